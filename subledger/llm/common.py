@@ -35,15 +35,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, broadcast_bytes: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with a written ``table`` that has one row for each key; its ``weight`` column says how many rows the key has.
 
-    A small table (measured) is broadcast. Of a larger one only the hot keys are, fewer than HOT_SHARE of them;
+    A table of up to ``broadcast_bytes`` (measured) is broadcast, BROADCAST_BYTES if not given. Of a larger one only the hot keys are, fewer than HOT_SHARE of them;
     the others meet in a shuffle, where no key is hot.
     """
     width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in table.dtypes), F.lit(16))
     size, total = table.agg(F.sum(width), F.sum(weight)).first()
-    if (size or 0) <= BROADCAST_BYTES:
+    if (size or 0) <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         return rows.join(F.broadcast(table), keys)
     hot = table.where(F.col(weight) * HOT_SHARE > total)
     cold = table.where(F.col(weight) * HOT_SHARE <= total)

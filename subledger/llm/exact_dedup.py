@@ -59,26 +59,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
     )
 
-    state, closed = open_rows.select("row", F.lit(0).cast("long").alias("group")), []
-    for k, (at, n) in enumerate(digits(longest)):
-        fields = open_rows.select("row", "doc_id", "bytes", F.col(f"d{k}").alias("digit"))
-        state = state.join(fields, "row") if k else fields.withColumn("group", F.lit(0).cast("long"))
+    state, closed, cuts = open_rows.withColumn("group", F.lit(0).cast("long")), alone, digits(longest)
+    for k, (at, n) in enumerate(cuts):
         split = written(
-            state.groupBy("group", "digit").agg(
+            state.groupBy("group", f"d{k}").agg(
                 F.count("*").alias("n"), F.max("bytes").alias("longest"),
                 F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"),
             )
         )
-        split = split.select("group", "digit", "n", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("next"), ((F.col("n") == 1) | (F.col("longest") <= at + n)).alias("over"))
-        moved = written(lookup_join(state, split, ["group", "digit"], "n").select("row", "doc_id", F.col("next").alias("group"), "keep_id", "n", "over"))
-        closed.append(moved.where("over").select("row", "keep_id", F.col("group").alias("keep_row"), "n"))
-        state = moved.where("not over").select("row", "group")
+        split = split.select("group", f"d{k}", "n", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("next"), ((F.col("n") == 1) | (F.col("longest") <= at + n)).alias("over"))
+        # The digits on both sides weigh about the same, so that only hot ones are worth a broadcast.
+        moved = lookup_join(state, split, ["group", f"d{k}"], "n", broadcast_bytes=0)
+        left = [f"d{i}" for i in range(k + 1, len(cuts))]
+        moved = written(moved.select("row", "doc_id", "text_sha256", "bytes", F.col("next").alias("group"), "keep_id", "n", "over", *(F.when(~F.col("over"), F.col(c)).alias(c) for c in left)))
+        ended = moved.where("over").select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("group")).alias("kept"), "text_sha256")
+        closed = closed.unionByName(ended)
+        state = moved.where("not over").select("row", "doc_id", "text_sha256", "bytes", "group", *left)
         if state.isEmpty():
             break
-    ended = closed[0]
-    for more in closed[1:]:
-        ended = ended.unionByName(more)
-    result = open_rows.select("row", "doc_id", "text_sha256").join(ended, "row")
-    return alone.unionByName(
-        result.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
-    )
+    return closed
