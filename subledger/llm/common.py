@@ -32,7 +32,16 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.shared_path = path
+    return back
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a ``written`` table that nothing will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, broadcast_bytes: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from subledger.llm import language_id, toxicity
 from subledger.llm.exact_dedup import exact_dedup
+from subledger.llm.jaccard_join import jaccard_components
 from subledger.llm.license_scan import license_report
 from subledger.llm.packing import pack
 from subledger.llm.quality_rules import quality_rules
@@ -66,6 +67,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(_remainder("doc_id", 3) != 1))
@@ -73,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_quality_rules, op4_exact_dedup, op5_packing, op6_sharding, op8_license_scan, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_quality_rules, op4_exact_dedup, op5_packing, op6_sharding, op8_license_scan, op9_jaccard_join, op10_language_id)}
 
 #: Filled below where DuckDB can express the whole result.
 ORACLES: dict[str, str] = {}

@@ -9,6 +9,7 @@ import pyarrow as pa
 
 #: Bytes of text that are taken apart at once.
 GROUP_BYTES = 2 << 20
+GROUP_ROWS = 32_000
 
 
 class WordTable:
@@ -50,13 +51,14 @@ class WordTable:
 
 
 def groups(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each has about GROUP_BYTES of text, or one row."""
+    """The batches, cut so that each has about GROUP_BYTES of text and GROUP_ROWS at most, or one row."""
     for batch in batches:
         sizes = np.cumsum(np.fromiter((len(x) if (x := t.as_py()) else 0 for t in batch.column(text)), np.int64, batch.num_rows)) if batch.num_rows else np.zeros(0, np.int64)
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(sizes, base + GROUP_BYTES, "right")))
+            to = min(to, at + GROUP_ROWS)
             yield batch.slice(at, to - at)
             at = to
 
