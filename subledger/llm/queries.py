@@ -12,7 +12,9 @@ from subledger.llm.exact_dedup import exact_dedup
 from subledger.llm.jaccard_join import jaccard_components
 from subledger.llm.license_scan import license_report
 from subledger.llm.packing import pack
+from subledger.llm.quality_model import quality_model
 from subledger.llm.quality_rules import quality_rules
+from subledger.llm.sentencepiece_sampling import decode, encode
 from subledger.llm.sharding import external_shuffle
 
 
@@ -32,6 +34,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_model(table(spark, sf_dir, "documents"), trusted)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules(docs).select("doc_id", *(f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")))
@@ -63,6 +70,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("record.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "bucket", "position")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    encoded = encode(table(spark, sf_dir, "documents"), path).withColumn("ids_crc32", F.crc32("ids"))
+    return decode(encoded, path).select("doc_id", "n_pieces", "ids_crc32", F.octet_length("text").cast("long").alias("decoded_bytes"), F.crc32("text").alias("decoded_crc32"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -78,7 +91,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_quality_rules, op4_exact_dedup, op5_packing, op6_sharding, op8_license_scan, op9_jaccard_join, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_model, op3_quality_rules, op4_exact_dedup, op5_packing, op6_sharding, op7_sentencepiece, op8_license_scan, op9_jaccard_join, op10_language_id)}
 
 #: Filled below where DuckDB can express the whole result.
 ORACLES: dict[str, str] = {}

@@ -54,17 +54,19 @@ class Vocabulary:
         keys = np.array([self.key(names[i]) for i in plain], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids, self.weights = keys[order], np.array(plain, np.int32)[order], weight[order].astype(np.float32)
-        self.maybe = np.zeros(1 << 22, bool)
+        # Of beginnings of pieces and of pieces: hashes with these first bits exist.
+        self.begins, self.maybe = np.zeros(1 << 22, bool), np.zeros(1 << 22, bool)
         self.maybe[keys >> np.uint64(42)] = True
+        self.begins[np.array([self.key(b) for b in {names[i][:k] for i in plain for k in range(1, len(names[i]))}], np.uint64) >> np.uint64(42)] = True
         lengths = np.array([len(b) for b in self.bytes])
         self.start, self.length, self.flat = np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(self.bytes), np.uint8)
 
     @staticmethod
     def key(piece: str) -> int:
-        h = np.zeros(1, np.uint64)
+        h = 0
         for c in piece.replace(MARK, " "):
-            h = h * _BASE + np.uint64(ord(c) + 1)
-        return int(mix(h)[0])
+            h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return int(mix(np.array([h], np.uint64))[0])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text of ids as ``encode`` makes them."""
@@ -82,7 +84,16 @@ class Lattices(WordTable):
 
     def _forget(self) -> None:
         super()._forget()
-        self.shares, self.pieces, self.chars, self.nodes = [], [], [], 0
+        self.nodes = 0
+        if not hasattr(self, "shares"):
+            self._room(1 << 20)
+
+    def _room(self, n: int) -> None:
+        grown = np.zeros((n, LONGEST), np.float32), np.zeros((n, LONGEST), np.int32), np.zeros(n, np.uint32)
+        if self.nodes:
+            for new, old in zip(grown, (self.shares, self.pieces, self.chars), strict=True):
+                new[: self.nodes] = old[: self.nodes]
+        self.shares, self.pieces, self.chars = grown
 
     def compute(self, words: list[bytes]) -> np.ndarray:
         v = self.vocabulary
@@ -90,61 +101,56 @@ class Lattices(WordTable):
         length = np.fromiter(map(len, texts), np.int64, len(texts))
         chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         n, begin = len(chars), np.cumsum(length) - length
-        left = np.repeat(begin + length, length) - np.arange(n)
-        # weight[i, l] and piece[i, l]: the edge of l + 1 characters that begins at character i.
-        weight, piece = np.full((n, LONGEST), -np.inf, np.float32), np.full((n, LONGEST), -1, np.int32)
-        h, codes = np.zeros(n, np.uint64), chars.astype(np.uint64) + np.uint64(1)
-        # A literal mark must not match a piece's space, nor does it: its code is its own.
+        place = np.arange(n) - np.repeat(begin, length)
+        left = np.repeat(length, length) - place
+        # weight[l, i] and piece[l, i]: the edge of l + 1 characters that begins at character i.
+        weight, piece = np.full((LONGEST, n), -np.inf, np.float32), np.full((LONGEST, n), -1, np.int32)
+        codes = chars.astype(np.uint64) + np.uint64(1)
+        at, h = np.arange(n), np.zeros(n, np.uint64)
         for k in range(LONGEST):
-            at = np.flatnonzero(left > k)
+            h = h * _BASE + codes[at + k]
+            own = mix(h)
+            first_bits = own >> np.uint64(42)
+            hit = np.flatnonzero(v.maybe[first_bits])
+            found = np.minimum(np.searchsorted(v.keys, own[hit]), len(v.keys) - 1)
+            same = v.keys[found] == own[hit]
+            weight[k, at[hit[same]]], piece[k, at[hit[same]]] = v.weights[found[same]], v.ids[found[same]]
+            more = v.begins[first_bits] & (left[at] > k + 1)
+            at, h = at[more], h[more]
             if not len(at):
                 break
-            h = h[: n - k] * _BASE + codes[k:]
-            own = mix(h[at])
-            hit = v.maybe[own >> np.uint64(42)]
-            at, own = at[hit], own[hit]
-            found = np.minimum(np.searchsorted(v.keys, own), len(v.keys) - 1)
-            same = v.keys[found] == own
-            weight[at[same], k], piece[at[same], k] = v.weights[found[same]], v.ids[found[same]]
-        bare = np.flatnonzero(piece[:, 0] < 0)
-        spelt = 1 + (chars[bare] >= 0x80) + (chars[bare] >= 0x800) + (chars[bare] >= 0x10000)
-        weight[bare, 0], piece[bare, 0] = v.byte_weight * spelt, -2
+        deepest = k + 1
+        bare = np.flatnonzero(piece[0] < 0)
+        weight[0, bare], piece[0, bare] = v.byte_weight * (1 + (chars[bare] >= 0x80) + (chars[bare] >= 0x800) + (chars[bare] >= 0x10000)), -2
         # Forward: total[i] is the log of the summed weights of all paths to the end of character i.
-        total = np.zeros(n, np.float64)
-        share, into = np.zeros((n, LONGEST), np.float32), np.full((n, LONGEST), -1, np.int32)
-        back = np.arange(LONGEST)
-        by_place = np.argsort(np.arange(n) - np.repeat(begin, length), kind="stable")
-        places = np.searchsorted((np.arange(n) - np.repeat(begin, length))[by_place], np.arange(int(length.max(initial=0)) + 1))
-        first = np.repeat(begin, length)
-        for a, b in zip(places[:-1], places[1:], strict=True):
-            ends = by_place[a:b]
-            starts = ends[:, None] - back
-            inside = starts >= first[ends][:, None]
-            safe = np.where(inside, starts, ends[:, None])
-            edge = np.where(inside, weight[safe, back], -np.inf)
-            before = np.where(starts > first[ends][:, None], total[np.maximum(safe - 1, 0)], 0.0)
-            path = edge + before
-            top = path.max(1, keepdims=True)
+        if self.nodes + n > len(self.chars):
+            self._room(max(2 * len(self.chars), self.nodes + n))
+        total = np.zeros(n, np.float32)
+        share, into = self.shares[self.nodes : self.nodes + n], self.pieces[self.nodes : self.nodes + n]
+        share[:], into[:] = 2.0, -1
+        self.chars[self.nodes : self.nodes + n] = chars
+        by_place = np.argsort(place, kind="stable")
+        ends_at = np.searchsorted(place[by_place], np.arange(int(length.max(initial=0)) + 1))
+        for p, (a, b) in enumerate(zip(ends_at[:-1], ends_at[1:], strict=True)):
+            ends, width = by_place[a:b], min(p + 1, deepest)
+            path = np.empty((width, b - a), np.float32)
+            for k in range(width):
+                starts = ends - k
+                path[k] = weight[k, starts] if k == p else weight[k, starts] + total[starts - 1]
+                into[ends, k] = piece[k, starts]
+            top = path.max(0)
             each = np.exp(path - top)
-            whole = each.sum(1, keepdims=True)
-            total[ends] = (top + np.log(whole))[:, 0]
-            share[ends] = np.cumsum(each / whole, 1)
-            into[ends] = np.where(np.isfinite(edge), piece[safe, back], -1)
-        # Rounding must not leave a draw above the last edge.
-        share[np.arange(n), LONGEST - 1 - np.argmax((into != -1)[:, ::-1], 1)] = 2.0
-        self.shares.append(share)
-        self.pieces.append(into)
-        self.chars.append(chars)
+            whole = each.sum(0)
+            total[ends] = top + np.log(whole)
+            shares = np.cumsum(each / whole, 0)
+            # Rounding must not leave a draw above the last edge: where nothing follows, the share is past any draw.
+            last = width - 1 - np.argmax((each > 0)[::-1], 0)
+            shares[last, np.arange(b - a)] = 2.0
+            share[ends, :width] = shares.T
         rows = np.stack([self.nodes + begin + length - 1, length], 1)
         self.nodes += n
         return rows
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        for parts in (self.shares, self.pieces, self.chars):
-            if len(parts) > 1:
-                parts[:] = [np.concatenate(parts)]
-        return self.shares[0], self.pieces[0], self.chars[0]
-
 
 def words_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
     words, starts = [], np.zeros(len(texts) + 1, np.int64)
@@ -161,15 +167,15 @@ def encode_all(texts: list[str | None], keys: np.ndarray, table: Lattices, seed:
     if not words:
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     number, rows = table.look_up(words)
-    shares, pieces, chars = table.tables()
+    shares, pieces, chars = table.shares, table.pieces, table.chars
     node, rest = rows[number].T.copy()
     place = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
-    dice = mix(mix(np.repeat(keys.astype(np.int64).view(np.uint64), np.diff(starts)) + np.uint64(seed) * _BASE) + place.astype(np.uint64) * _BASE)
+    dice = mix(mix(np.repeat(keys.astype(np.int64).view(np.uint64), np.diff(starts)) + np.uint64(seed * int(_BASE) % 2**64)) + place.astype(np.uint64) * _BASE)
     who, alive, found = [], np.arange(len(words)), []
     step = 0
     while len(alive):
         at = node[alive]
-        draw = (mix(dice[alive] + np.uint64(step + 1) * _BASE) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
+        draw = (mix(dice[alive] + np.uint64((step + 1) * int(_BASE) % 2**64)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
         edge = (shares[at] <= draw[:, None]).sum(1)
         who.append(alive)
         found.append(np.stack([pieces[at, edge].astype(np.int64), chars[at].astype(np.int64)]))

@@ -33,7 +33,7 @@ class WordTable:
         """(row number of each word, rows)."""
         if len(self.number) > self.most_words or self.bytes > self.most_bytes:
             self._forget()
-        new = sorted(set(words) - self.number.keys())
+        new = list(set(words) - self.number.keys())
         if new:
             at = len(self.number)
             self.number.update(zip(new, range(at, at + len(new)), strict=True))
