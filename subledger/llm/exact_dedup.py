@@ -7,7 +7,7 @@ when it is a single row or when its texts have ended. No digest takes part in th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subledger.llm.common import lookup_join, written
@@ -31,6 +31,11 @@ def _piece(column, start: int, length: int):
     return F.substring(column, start + 1, length)
 
 
+def normalised(text: Column) -> Column:
+    """The bytes that are compared: UTF-8, with one space for each run of ASCII white space; none for a null."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ").cast("binary")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -38,8 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id stays. A null id stays only if all ids of its group are null. Of rows that repeat both id and text exactly one
     has ``kept``. An empty input gives an empty result. Other columns of ``docs`` play no part, whatever their names.
     """
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.cast("binary").alias("body"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("body"))
     start, length = digits(1)[0]
     rows = rows.select("doc_id", "body", F.sha2("body", 256).alias("text_sha256"), _piece(F.col("body"), start, length).alias("d0"))
 

@@ -126,8 +126,8 @@ def languages_of(likelihoods: np.ndarray) -> dict[int, float]:
 
 def _identify(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.ndarray) -> Iterator[pa.RecordBatch]:
     words_seen = WordLikelihoods(table)
-    for batch in groups(batches):
-        words, starts = split_all(batch.column("text").to_pylist())
+    for batch in groups(batches, "_text"):
+        words, starts = split_all(batch.column("_text").to_pylist())
         found: list[tuple[str, float, list[str]]] = []
         number, rows = words_seen.look_up(words) if langs else (None, None)
         for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -137,18 +137,20 @@ def _identify(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.nda
                 found.append(("und", 0.0, []))
                 continue
             shares = languages_of(own.astype(np.float64))
-            first = min(shares, key=lambda k: (-shares[k], k))
-            found.append((langs[first], shares[first], [langs[k] for k in sorted(shares, key=lambda k: (-shares[k], k))]))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.list_(pa.string())), strict=True))], ["row", "lang_pred", "score", "languages"])
+            ordered = sorted(shares, key=lambda k: (-shares[k], k))
+            found.append((langs[ordered[0]], shares[ordered[0]], [langs[k] for k in ordered]))
+        new = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.list_(pa.string())), strict=True)]
+        carried = batch.drop_columns(["_text"])
+        yield pa.RecordBatch.from_arrays([*carried.columns, *new], [*carried.schema.names, "lang_pred", "score", "languages"])
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row of ``docs``: doc_id, lang_pred, score (that language's proportion) and languages, largest proportion first.
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str], text_col: str = "text") -> DataFrame:
+    """For each row of ``docs`` its columns ``carry``, lang_pred, score (that language's proportion) and languages, largest proportion first.
 
     A text that is null or has no letter, and any text where nothing could be learned, is ``und`` with score 0 and no languages. Ties go to the language that comes first by
-    name. Rows are judged alone by their text; null and repeated ids stay as they are. No rows give no rows.
+    name. Rows are judged alone by their text; what is carried, nulls and repeats included, stays as it is, but for columns with the names of the results, which are replaced. No rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats for each language
-    rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _identify(batches, *shared.value), f"row {kind}, lang_pred string, score double, languages array<string>").withColumnRenamed("row", "doc_id")
+    rows = docs.select(*(c for c in carry if c not in ("lang_pred", "score", "languages")), F.col(text_col).alias("_text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(lambda batches: _identify(batches, *shared.value), f"{fields}lang_pred string, score double, languages array<string>")
