@@ -6,8 +6,8 @@ The distance of two documents is 1 - J of their sets; they link when it is at mo
    fixed share, have L in common at least (prefix filter). Those are dealt by hash and counted; a document with fewer than L that others have is done: it links with nothing.
 2. *Blocks.* Of the others, equal sets are one point. Points that share one of their rarest low-hashed shingles, as linked points must, are tied to the first
    point that has it; what hangs together is a block. No link leads out of a block.
-3. *Regions.* A block is joined recursively. Pivots are drawn, each point goes to the region of its nearest pivot and to every other whose distance is within
-   2 * EPSILON of that one; large regions are split again, small ones compare their points outright. A block that fits a task is split there; a larger one is
+3. *Regions.* A block is joined recursively. Pivots are drawn; a point goes to the region of its nearest pivot and to every other whose distance is within
+   2 * EPSILON of that one, and to the region outside if no pivot is within RADIUS. Large regions are split again, small ones compare their points outright. A block that fits a task is split there; a larger one is
    dealt to regions by Spark, and the links found in different tasks meet in a search for components.
 """
 
@@ -35,8 +35,11 @@ EXTRA = 0.15
 #: Bytes of shingles that one task of the first step counts at once.
 DEAL_BYTES = 8 << 20
 #: Points that a region compares outright; points of a block that one task joins.
-LEAF, TASK_POINTS = 256, 4096
-PIVOTS = 8
+LEAF, TASK_POINTS = 1024, 8192
+#: One in so many points is a pivot, MOST_PIVOTS of a region at most. A region reaches RADIUS + EPSILON from its pivot.
+PIVOT_SHARE, MOST_PIVOTS, RADIUS = 32, 512, 0.6
+#: Matches of shingles that are counted at once.
+MATCHES = 1 << 23
 #: Rounds in which Spark deals blocks that are larger than a task to regions, and bytes of pivots that it broadcasts for that.
 ROUNDS, PIVOT_BYTES = 4, 32 << 20
 #: Stands for all texts of a group that share a shingle.
@@ -176,17 +179,24 @@ def _low_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(ties: DataFrame) -> DataFrame:
-    """(point, least) for every point of the ties (a, b): the smallest point reachable, by spreading it and halving paths until nothing changes."""
-    both = written(ties.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(ties.select(F.col("b").alias("x"), F.col("a").alias("y"))).where("x <> y").distinct())
-    label = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("least")))
+    """(point, least) for every point of the ties (a, b): the smallest point reachable.
+
+    Large-star and small-star steps take turns: each ties a point's larger, then its smaller, neighbours to the smallest one it knows, until every component is a star.
+    """
+    low, high = F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")
+    edges, before = written(ties.where("a <> b").select(high, low).distinct()), None
     while True:
-        seen = both.join(label.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("least").alias("around"))
-        spread = label.join(seen, "x").select("x", F.least("least", "around").alias("to"), F.col("least").alias("old"))
-        jump = label.select(F.col("x").alias("to"), F.col("least").alias("further"))
-        new = written(spread.join(jump, "to", "left").select("x", F.least("to", F.coalesce("further", "to")).alias("least"), "old"))
-        if new.where("least <> old").isEmpty():
-            return new.select(F.col("x").alias("point"), "least")
-        label = new.select("x", "least")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("u").alias("point"), F.col("v").alias("least")).unionByName(edges.select(F.col("v").alias("point"), F.col("v").alias("least")).distinct())
 
 
 def blocks(points: DataFrame) -> DataFrame:
@@ -206,120 +216,116 @@ def blocks(points: DataFrame) -> DataFrame:
 # -- 3. regions ---------------------------------------------------------------------------------------------------------------------
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets on the left with all on the right."""
-    every = np.concatenate([np.zeros(0, np.uint64), *left])
-    names, place = np.unique(every, return_inverse=True)
-    row = np.repeat(np.arange(len(left)), [len(x) for x in left])
-    out = np.zeros((len(left), len(right)), np.int64)
-    index = np.concatenate([np.zeros(0, np.uint64), *right])
-    column = np.repeat(np.arange(len(right)), [len(x) for x in right])
-    at = np.searchsorted(names, index)
-    at[at == len(names)] = 0
-    hit = names[at] == index if len(names) else np.zeros(len(index), bool)
-    at, column = at[hit], column[hit]
-    for a in range(0, len(names), 4096):
-        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((4096, len(right)), np.float32)
-        some, other = (place >= a) & (place < a + 4096), (at >= a) & (at < a + 4096)
-        if not other.any():
-            continue
-        x[row[some], place[some] - a] = 1
-        y[at[other] - a, column[other]] = 1
-        out += np.rint(x @ y).astype(np.int64)
-    return out
-
-
-class Forest:
-    """Components within one task, by union of points' numbers."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return int(i)
-
-    def tie(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-
-
-def _outright(points: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, forest: Forest) -> None:
-    for a in range(0, len(points), LEAF):
-        some = points[a : a + LEAF]
-        for b in range(a, len(points), LEAF):
-            other = points[b : b + LEAF]
-            both = overlaps([sets[i] for i in some], [sets[i] for i in other])
-            linked = 100 * both >= PERCENT * (sizes[some][:, None] + sizes[other][None] - both)
-            for i, j in zip(*np.nonzero(linked), strict=True):
-                forest.tie(some[i], other[j])
+class Index:
+    """Sets by shingle, to count what other sets have in common with each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        names = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(names, kind="stable")
+        self.names, self.owner = names[order], np.repeat(np.arange(self.n), [len(x) for x in sets])[order]
+        self.sizes = np.fromiter(map(len, sets), np.int64, self.n)
+
+    def overlaps(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Sizes of the intersections of each of ``sets`` (rows) with all sets of the index."""
+        names = np.concatenate([np.zeros(0, np.uint64), *sets])
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        first = np.searchsorted(self.names, names, "left")
+        times = np.searchsorted(self.names, names, "right") - first
+        out = np.zeros(len(sets) * self.n, np.int64)
+        cuts = np.searchsorted(np.cumsum(times), np.arange(MATCHES, int(times.sum()) + MATCHES, MATCHES))
+        for a, b in zip([0, *cuts], [*cuts, len(names)], strict=True):
+            t = times[a:b]
+            at = np.repeat(first[a:b] - (np.cumsum(t) - t), t) + np.arange(int(t.sum()))
+            out += np.bincount(np.repeat(row[a:b], t) * self.n + self.owner[at], minlength=len(out))
+        return out.reshape(len(sets), self.n)
+
+    def distances(self, sets: list[np.ndarray]) -> np.ndarray:
+        both = self.overlaps(sets)
+        return 1 - both / np.maximum(1, self.sizes[None] + np.fromiter(map(len, sets), np.int64, len(sets))[:, None] - both)
+
+
+def _tie(label: np.ndarray, points: np.ndarray) -> None:
+    """Give all points one label, the smallest, and with them all that have a label of theirs."""
+    some = np.unique(label[points])
+    if len(some) > 1:
+        label[np.isin(label, some)] = some[0]
+
+
+def _outright(points: np.ndarray, sets: list[np.ndarray], label: np.ndarray) -> None:
+    index = Index([sets[i] for i in points])
+    for a in range(0, len(points), 128):
+        some = points[a : a + 128]
+        both, size = index.overlaps([sets[i] for i in some]), index.sizes[a : a + 128]
+        linked = 100 * both >= PERCENT * (size[:, None] + index.sizes[None] - both)
+        for row in linked:
+            _tie(label, points[row])
 
 
 def regions(distances: np.ndarray) -> list[np.ndarray]:
-    """For each pivot (column) the points of its region: those nearest to it, and those within 2 * EPSILON of being so."""
-    nearest = distances.min(1, keepdims=True)
-    inside = distances <= nearest + 2 * EPSILON + 1e-9
-    return [np.flatnonzero(inside[:, k]) for k in range(distances.shape[1])]
+    """For each pivot (row) the points of its region, and last those of the region outside. Any two points within EPSILON share one."""
+    nearest = distances.min(0)
+    inside = (distances <= nearest + 2 * EPSILON + 1e-9) & (distances <= RADIUS + EPSILON + 1e-9)
+    return [*(np.flatnonzero(x) for x in inside), np.flatnonzero(nearest > RADIUS)]
 
 
-def join_region(points: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, forest: Forest, depth: int = 0) -> None:
+def join_region(points: np.ndarray, sets: list[np.ndarray], label: np.ndarray, depth: int = 0) -> None:
     """Tie all linked pairs among ``points``: split by pivots while that helps, compare outright what is small or can't be split."""
     if len(points) <= LEAF or depth > 12:
-        return _outright(points, sets, sizes, forest)
-    pivots = points[np.linspace(depth % 7, len(points) - 1, PIVOTS).astype(np.int64)]
-    both = overlaps([sets[i] for i in points], [sets[i] for i in pivots])
-    parts = regions(1 - both / np.maximum(1, sizes[points][:, None] + sizes[pivots][None] - both))
+        return _outright(points, sets, label)
+    pivots = points[depth % PIVOT_SHARE :: max(PIVOT_SHARE, len(points) // MOST_PIVOTS)]
+    parts = regions(Index([sets[i] for i in points]).distances([sets[i] for i in pivots]))
     if sum(len(p) ** 2 for p in parts) > 0.7 * len(points) ** 2:
-        return _outright(points, sets, sizes, forest)
+        return _outright(points, sets, label)
     for p in parts:
         if len(p) > 1:
-            join_region(points[p], sets, sizes, forest, depth + 1)
+            join_region(points[p], sets, label, depth + 1)
 
 
 def _join(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("point", ignore_index=True)
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-    forest = Forest(len(sets))
-    join_region(np.arange(len(sets)), sets, np.fromiter(map(len, sets), np.int64, len(sets)), forest)
+    label = np.arange(len(pdf))
+    join_region(label.copy(), [np.frombuffer(x, np.uint64) for x in pdf["shingles"]], label)
     ids = pdf["point"].to_numpy()
-    return pd.DataFrame({"a": ids, "b": ids[[forest.root(i) for i in range(len(ids))]]})
+    return pd.DataFrame({"a": ids, "b": ids[label]})
 
 
 def _deal_regions(batches: Iterator[pa.RecordBatch], pivots: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
     """Each point once for every region of its block that it belongs to."""
+    index = {region: Index([np.frombuffer(x, np.uint64) for x in of]) for region, of in pivots.items()}
     for batch in batches:
-        pdf = batch.to_pandas()
-        for region, some in pdf.groupby("region"):
-            sets, of = [np.frombuffer(x, np.uint64) for x in some["shingles"]], [np.frombuffer(x, np.uint64) for x in pivots[region]]
-            both = overlaps(sets, of)
-            sizes = np.array([len(x) for x in sets])[:, None] + np.array([len(x) for x in of])[None]
-            for k, own in enumerate(regions(1 - both / np.maximum(1, sizes - both))):
-                part = some.iloc[own].assign(region=int(_mix(np.array([region], np.int64).view(np.uint64) + np.uint64(k + 1)).view(np.int64)[0]))
-                yield pa.RecordBatch.from_pandas(part[["region", "point", "shingles"]], preserve_index=False)
+        for at in range(0, batch.num_rows, 256):
+            pdf = batch.slice(at, 256).to_pandas()
+            for region, some in pdf.groupby("region"):
+                if region not in index:  # it drew no pivot
+                    yield pa.RecordBatch.from_pandas(some[["region", "point", "shingles"]], preserve_index=False)
+                    continue
+                parts = regions(index[region].distances([np.frombuffer(x, np.uint64) for x in some["shingles"]]).T)
+                for k, own in enumerate(parts):
+                    if len(own):
+                        name = int(_mix(np.array([region], np.int64).view(np.uint64) + np.uint64(k + 1)).view(np.int64)[0])
+                        yield pa.RecordBatch.from_pandas(some.iloc[own].assign(region=name)[["region", "point", "shingles"]], preserve_index=False)
 
 
 def links_of_large(large: DataFrame) -> DataFrame:
     """(a, b): links that tie the components of blocks too large for a task; ``large`` has (region, point, shingles)."""
-    found = None
+    found = large.select(F.col("point").alias("a"), F.col("point").alias("b"))
     for _ in range(ROUNDS):
         sizes = written(large.groupBy("region").agg(F.count("*").alias("n")))
         fits = large.join(sizes.where(F.col("n") <= TASK_POINTS).select("region"), "region", "left_semi")
         links = fits.groupBy("region").applyInPandas(_join, "a long, b long")
-        found = links if found is None else found.unionByName(links)
+        found = found.unionByName(links)
+        if sizes.where(F.col("n") > TASK_POINTS).isEmpty():
+            return found
         large = large.join(sizes.where(F.col("n") > TASK_POINTS), "region")
-        chosen = large.where(F.pmod(F.xxhash64("point", "region"), F.col("n")) < PIVOTS).select("region", "shingles")
+        chosen = large.where(F.pmod(F.xxhash64("point", "region"), F.col("n")) < F.least(F.col("n") / PIVOT_SHARE, F.lit(MOST_PIVOTS))).select("region", "shingles")
         size = chosen.agg(F.sum(F.octet_length("shingles"))).first()[0]
-        if not size:
-            return found
-        if size > PIVOT_BYTES:
+        if not size or size > PIVOT_BYTES:
             break
         pivots: dict[int, list[bytes]] = {}
         for r in chosen.toLocalIterator():
             pivots.setdefault(r["region"], []).append(bytes(r["shingles"]))
         shared = large.sparkSession.sparkContext.broadcast(pivots)
-        large = large.where(F.col("region").isin(list(pivots)))
         large = written(large.select("region", "point", "shingles").mapInArrow(lambda batches, shared=shared: _deal_regions(batches, shared.value), "region long, point long, shingles binary"))
     # What pivots don't part is compared tile by tile; each pair of tiles is one task's work.
     sizes = large.groupBy("region").agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") * 2 / TASK_POINTS).cast("int"))
