@@ -7,6 +7,7 @@ folder for each length.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subledger.llm.words import WordTable, groups, split_all
+from subledger.llm.words import WordTable, groups
 
+_BEFORE_MARK = re.compile(rb"([.,!?;:]+)(?<=[a-z0-9][.,!?;:])(?=\s)")
 MAX_LENGTH = 2048
 END_ID = 1
 
@@ -27,23 +29,50 @@ class WordTokens(WordTable):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         super().__init__(most_words=1_000_000)
 
     def _forget(self) -> None:
         super()._forget()
         self.ids, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
 
-    def compute(self, words: list[bytes]) -> np.ndarray:
-        """Appends to ``ids``; the rows are the words' (first, length) there."""
-        lengths, found = np.zeros(len(words), np.int64), []
-        for at in range(0, len(words), 4096):
-            some = [w.decode("utf-8", "replace") for w in words[at : at + 4096]]
+    def _each(self, texts: list[str], which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, number of ids, ids) of the words, each encoded as a word of its own."""
+        sizes, found = np.zeros(len(which), np.int64), [np.zeros(0, np.uint32)]
+        for at in range(0, len(which), 4096):
+            some = [texts[i] for i in which[at : at + 4096]]
             encoded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             found.append(np.array(encoded.ids, np.uint32))
-            own = np.fromiter((-1 if x is None else x for x in encoded.word_ids), np.int64, len(encoded.ids))
-            lengths[at : at + len(some)] = np.bincount(own, minlength=len(some))
+            sizes[at : at + len(some)] = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(some))
+        return which, sizes, np.concatenate(found)
+
+    def _together(self, texts: list[str], which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for words of letters: encoded as one text, where the last id of every word is one that ends a word."""
+        sizes, found = np.zeros(len(which), np.int64), [np.zeros(0, np.uint32)]
+        for at in range(0, len(which), 4096):
+            some = which[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ending[ids])
+            if len(ends) != len(some):  # lower-casing made something else of a letter
+                _, sizes[at : at + len(some)], ids = self._each(texts, some)
+            else:
+                sizes[at : at + len(some)] = np.diff(ends, prepend=-1)
+            found.append(ids)
+        return which, sizes, np.concatenate(found)
+
+    def compute(self, words: list[bytes]) -> np.ndarray:
+        """Appends to ``ids``; the rows are the words' (first, length) there."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = np.fromiter((t.isalpha() for t in texts), bool, len(texts))
+        parts = [self._together(texts, np.flatnonzero(plain)), self._each(texts, np.flatnonzero(~plain))]
+        order = np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")
+        sizes = np.concatenate([p[1] for p in parts])
+        lengths = sizes[order]
+        from_start = (np.cumsum(sizes) - sizes)[order]
+        new = np.concatenate([p[2] for p in parts])[np.repeat(from_start - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
         end = int(self.first[-1])
-        new = np.concatenate(found) if found else np.zeros(0, np.uint32)
         while end + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[end : end + len(new)] = new
@@ -52,6 +81,20 @@ class WordTokens(WordTable):
         return np.stack([first, lengths], 1)
 
 
+def token_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """Words whose tokens, one after the other, are the texts' tokens, and where each text's words begin.
+
+    The vocabulary lower-cases and parts a letter or digit from a mark that follows; doing both first leaves fewer different words. Texts that could hold a special token stay as they are.
+    """
+    words, starts = [], np.zeros(len(texts) + 1, np.int64)
+    for i, t in enumerate(texts):
+        if t:
+            raw = t.encode("utf-8", "replace")
+            words += (raw if b"<|" in raw else _BEFORE_MARK.sub(rb" \1", raw.lower())).split()
+        starts[i + 1] = len(words)
+    return words, starts
+
+
 def piece_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
     rest = n % most
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 2, -1, -1) if rest >> b & 1]
@@ -60,7 +103,7 @@ def piece_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
 def _pack(batches: Iterator[pa.RecordBatch], path: str, most: int, end_id: int) -> Iterator[pa.RecordBatch]:
     table = WordTokens(path)
     for batch in groups(batches):
-        words, starts = split_all(batch.column("text").to_pylist())
+        words, starts = token_words(batch.column("text").to_pylist())
         number, rows = table.look_up(words)
         first, length = rows[number].T if words else (np.zeros(0, np.int64),) * 2
         ends = np.concatenate([[0], np.cumsum(length)])

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are taken apart at once.
 GROUP_BYTES = 2 << 20
@@ -53,7 +54,7 @@ class WordTable:
 def groups(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each has about GROUP_BYTES of text and GROUP_ROWS at most, or one row."""
     for batch in batches:
-        sizes = np.cumsum(np.fromiter((len(x) if (x := t.as_py()) else 0 for t in batch.column(text)), np.int64, batch.num_rows)) if batch.num_rows else np.zeros(0, np.int64)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
