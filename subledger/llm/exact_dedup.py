@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from subledger.llm.common import lookup_join, written
 
-FIRST_DIGIT = 64
+FIRST_DIGIT = 256
 GROWTH = 4
 SPACE = r"[\x20\x09-\x0D]+"
 
