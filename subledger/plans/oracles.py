@@ -127,8 +127,8 @@ ORACLES: dict[str, str] = {
     "price_upsert": sql("resolved stored", """SELECT service, plan, route, coalesce(f.price_minor, s.price_minor) AS price_minor, CASE WHEN f.price_minor IS NOT NULL AND f.price_minor IS DISTINCT FROM s.price_minor THEN DATE '1999-01-01' ELSE verified_on END AS verified_on,
         CASE WHEN f.price_minor IS NOT NULL THEN DATE '1999-01-01' ELSE checked_on END AS checked_on
         FROM stored s FULL JOIN (SELECT * FROM resolved WHERE verification = 'authoritative-provider' OR (verification = 'multi-source' AND by_agreement AND source_count >= 2)) f USING (service, plan, route)"""),
-    "price_snapshot": sql("cands", """, f AS (SELECT service, kind, [min((ord, line))[1], min((ord, line))[2]] AS at, max(seen_at) AS seen, count(*) AS n FROM cands GROUP BY ALL)
-        SELECT service, CAST(sum(n) AS BIGINT) AS n, max(seen) AS updated_at, array_to_string(list_transform(list_sort(list({'o': at[1], 'l': at[2], 'k': kind})), lambda x: x.k), ', ') AS sources FROM f GROUP BY service"""),
+    "price_snapshot": sql("cands", """, f AS (SELECT service, kind, min((ord, line)) AS firsts, max(seen_at) AS seen, count(*) AS n FROM cands GROUP BY ALL)
+        SELECT service, CAST(sum(n) AS BIGINT) AS n, max(seen) AS updated_at, string_agg(kind, ', ' ORDER BY firsts, kind) AS sources FROM f GROUP BY service"""),
     "price_cross_check": sql("cands", """SELECT DISTINCT service, plan, route, price_minor FROM cands a WHERE kind IN ('structured','page') AND EXISTS (SELECT 1 FROM cands b WHERE b.kind = 'help' AND b.service = a.service AND lower(trim(b.plan)) = lower(trim(a.plan)) AND b.price_minor = a.price_minor)"""),
     "price_unanimous": sql("cands", "SELECT service, plan, min(price_minor) AS price_minor, count(*) AS n FROM cands WHERE kind IN ('help','store') GROUP BY 1, 2 HAVING count(DISTINCT price_minor) = 1"),
     "price_complete_set": sql("cands", """, p AS (SELECT * FROM cands WHERE kind = 'structured' AND plan IN ('A','N','R')), g AS (SELECT service FROM p GROUP BY 1 HAVING count(DISTINCT plan) = 3),
