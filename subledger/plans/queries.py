@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subledger.functions import questions, text
+from subledger.functions import pages, questions, text
 from subledger.operators import lifecycle, portfolio, pricing, reminders, savings
 from subledger.sources.tables import EVENTS_AS_OF, ORDERS_AS_OF, Tables
 
@@ -355,3 +355,24 @@ def scenario_months(t):
 def goal_amount(t):
     asked = F.concat(_pick(F.col("conv_id"), "save about 120 kr a month. ", "please cut 12.50 per month, ", "reduce 0 "), F.col("text"))
     return _questions(t).select("conv_id", "turn", questions.goal_minor(asked).alias("goal_minor"), questions.asks_protection(asked).alias("protects"))
+
+
+@query
+def language_detect(t):
+    return _questions(t).select("conv_id", "turn", questions.speech_language(F.col("text")).alias("language"))
+
+
+@query
+def fuzzy_entities(t):
+    services = ["netflix", "youtube premium", "disney plus", "hbo max", "prime video", "apple tv"]
+    asked = F.concat(_pick(F.col("conv_id"), "cancel netflx and ", "is yt or apple tv dearer, ", "pause disny ", ""), F.col("text"))
+    found = _questions(t).select("conv_id", "turn", F.posexplode(questions.named_services(asked, services)).alias("rank", "one"))
+    return found.select("conv_id", "turn", "rank", F.col("one.service").alias("service"), F.col("one.score").cast("int").alias("score"))
+
+
+@query
+def price_near_plan(t):
+    plans = ["Basic", "Standard", "Standard with Ads", "Premium"]
+    body = F.concat(text.html_to_text(F.col("html")), F.lit(" Standard with Ads 99,00 kr per month. Standard NOK "), (F.col("page_id") % 50 + 100).cast("string"), F.lit(" monthly. Premium kr 169 a month"))
+    found = t.raw("pages").select("page_id", F.inline(pages.price_near_plan(body, plans, "NOK")))
+    return found.select("page_id", "plan", "amount")
