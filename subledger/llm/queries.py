@@ -93,5 +93,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_model, op3_quality_rules, op4_exact_dedup, op5_packing, op6_sharding, op7_sentencepiece, op8_license_scan, op9_jaccard_join, op10_language_id)}
 
-#: Filled below where DuckDB can express the whole result.
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL where it can express the whole result; the others are tested in tests/llm/.
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+windows AS (SELECT doc_id, i, [words[i], words[i + 1], words[i + 2]] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d WHERE len(words) > 2)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1),
+lines AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+marks AS (SELECT doc_id, host, t, trim(regexp_replace(lower(line), '[0-9]', '0', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS mark FROM lines),
+held AS (SELECT host, mark, count(DISTINCT t) AS n FROM marks WHERE mark <> '' GROUP BY 1, 2),
+hosts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY 1),
+frequent AS (SELECT h.host, h.mark FROM held h JOIN hosts o USING (host) WHERE h.n > 50 AND h.n > 0.2 * o.n),
+gone AS (SELECT doc_id, coalesce(sum(length(m.mark)) FILTER (f.mark IS NOT NULL), 0) AS removed, sum(length(m.mark)) AS total FROM marks m LEFT JOIN frequent f ON f.host = m.host AND f.mark = m.mark GROUP BY 1),
+r AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, removed, total FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND total - removed >= 0.2 * total AS kept, CAST(removed AS BIGINT) AS removed_chars FROM r""",
+    "op4_exact_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM d WINDOW w AS (PARTITION BY t)""",
+}
