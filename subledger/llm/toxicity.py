@@ -7,6 +7,7 @@ most n-grams, and so vectors, with the word that was seen.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ BUCKETS = 1 << 17
 DIMENSIONS = 4
 GRAMS = (3, 4, 5)
 #: The sample to train on has about as many rows of each label at most.
-ROWS_PER_LABEL = 4000
+ROWS_PER_LABEL = 3000
 #: Steps over the whole sample, how far speed carries on, step lengths of embeddings, softmax and bias, and how much a mean is scaled up.
 STEPS, MOMENTUM, RATES, SCALE = 60, 0.9, (100.0, 0.02, 0.1), 30.0
 #: Words in fewer of the sample's texts than this share, or than 3, are not trained on.
@@ -63,25 +64,38 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 3) ->
     A part weighs the log of the inverse share of texts that hold it. Steps follow the slope itself, so that parts which tell labels apart in many texts lead.
     """
     shift = float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
-    words, starts = split_all(texts, lower=True)
-    if not words or len(set(labels.tolist())) < 2:
+    index: dict[bytes, int] = {}
+    words, counts = [], []
+    for text in texts:
+        found = Counter(text.encode("utf-8", "surrogatepass").lower().split())
+        words.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int32, len(found)))
+        counts.append(np.fromiter(found.values(), np.float32, len(found)))
+    names = list(index)
+    if not names or len(set(labels.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), np.ones(BUCKETS, np.float32), shift
-    names, number = np.unique(np.array(words, object), return_inverse=True)
-    buckets, begin = parts_of(list(names))
-    pair, count = np.unique(np.repeat(np.arange(len(texts)), np.diff(starts)) * len(names) + number, return_counts=True)
-    doc, word = pair // len(names), pair % len(names)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(w) for w in words])
+    word, root = np.concatenate(words), np.sqrt(np.concatenate(counts))
     held = np.bincount(word, minlength=len(names))
-    absent = np.bincount(buckets, np.repeat(np.log1p(-held / (len(texts) + 1)), np.diff(begin)), BUCKETS)
+    # The parts of all words are taken a slice at a time, twice, rather than held.
+    slices = [slice(at, at + 20_000) for at in range(0, len(names), 20_000)]
+    absent = np.zeros(BUCKETS)
+    for x in slices:
+        buckets, begin = parts_of(names[x])
+        absent += np.bincount(buckets, np.repeat(np.log1p(-held[x] / (len(texts) + 1)), np.diff(begin)), BUCKETS)
     weights = -np.log(np.maximum(-np.expm1(absent), 1 / (len(texts) + 1)))
-    root = np.sqrt(count)
-    size = BLANK + np.bincount(doc, root * sums_by(weights[buckets], begin)[word], len(texts))
-
     # Words in very few texts are not trained on: they would be learned by heart.
     used = held >= max(3, LEAST_SHARE * len(texts))
+    word_weight, kept_parts, kept_lengths = np.zeros(len(names)), [], []
+    for x in slices:
+        buckets, begin = parts_of(names[x])
+        word_weight[x] = sums_by(weights[buckets], begin)
+        kept_parts.append(buckets[np.repeat(used[x], np.diff(begin))].astype(np.int32))
+        kept_lengths.append(np.diff(begin)[used[x]])
+    buckets, begin = np.concatenate(kept_parts), np.concatenate([[0], np.cumsum(np.concatenate(kept_lengths))])
+    size = BLANK + np.bincount(doc, root * word_weight[word], len(texts))
+
     dense, kept = np.cumsum(used) - 1, used[word]
     doc, word, factor = doc[kept], dense[word[kept]], (SCALE * root / size[doc])[kept][:, None]
-    of_used = np.repeat(used, np.diff(begin))
-    buckets, begin = buckets[of_used], np.concatenate([[0], np.cumsum(np.diff(begin)[used])])
     doc_edges = np.searchsorted(doc, np.arange(len(texts) + 1))
     by_word = np.argsort(word, kind="stable")
     word_edges = np.searchsorted(word[by_word], np.arange(len(begin)))
@@ -145,7 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < chance * (1 << 20)).limit(3 * rows_per_label)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna().join(F.broadcast(chosen), "id").select("label", "text").toArrow()
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train(sample.column("text").to_pylist(), sample.column("label").to_numpy().astype(np.int64), prior)
+    labels_of, texts = sample.column("label").to_numpy().astype(np.int64), sample.column("text").to_pylist()
+    del sample
+    return train(texts, labels_of, prior)
 
 
 def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
