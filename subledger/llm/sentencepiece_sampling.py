@@ -80,7 +80,7 @@ class Lattices(WordTable):
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        super().__init__(most_words=120_000, most_bytes=2 << 20)
+        super().__init__(most_words=50_000, most_bytes=2 << 20)
 
     def _forget(self) -> None:
         super()._forget()
@@ -124,7 +124,7 @@ class Lattices(WordTable):
         weight[0, bare], piece[0, bare] = v.byte_weight * (1 + (chars[bare] >= 0x80) + (chars[bare] >= 0x800) + (chars[bare] >= 0x10000)), -2
         # Forward: total[i] is the log of the summed weights of all paths to the end of character i.
         if self.nodes + n > len(self.chars):
-            self._room(max(2 * len(self.chars), self.nodes + n))
+            self._room(max(len(self.chars) * 5 // 4, self.nodes + n))
         total = np.zeros(n, np.float32)
         share, into = self.shares[self.nodes : self.nodes + n], self.pieces[self.nodes : self.nodes + n]
         share[:], into[:] = 2.0, -1
@@ -200,17 +200,17 @@ def encode_all(texts: list[str | None], keys: np.ndarray, table: Lattices, seed:
     return ids.astype(np.int32), np.searchsorted(owner, starts)
 
 
-_lattices: dict[str, Lattices] = {}
+_vocabularies: dict[str, Vocabulary] = {}
 
 
-def _lattices_of(path: str) -> Lattices:
-    if path not in _lattices:
-        _lattices[path] = Lattices(Vocabulary(path))
-    return _lattices[path]
+def _vocabulary_of(path: str) -> Vocabulary:
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, seed: int) -> Iterator[pa.RecordBatch]:
-    table = _lattices_of(path)
+    table = Lattices(_vocabulary_of(path))
     for batch in groups(batches):
         keys = batch.column("row").fill_null(0).to_numpy()
         ids, begin = encode_all(batch.column("text").to_pylist(), keys, table, seed)
@@ -228,7 +228,7 @@ def encode(docs: DataFrame, model_path: str, seed: int = 11, id_col: str = "doc_
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    vocabulary = _lattices_of(path).vocabulary
+    vocabulary = _vocabulary_of(path)
     for batch in batches:
         texts = [vocabulary.decode(np.frombuffer(x, "<i4")) for x in batch.column("ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.drop_columns(["ids"]).columns, pa.array(texts, pa.binary()).cast(pa.string())], [*batch.drop_columns(["ids"]).schema.names, "text"])
