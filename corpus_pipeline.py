@@ -29,8 +29,10 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs).where("rules.kept").select(*docs.columns)
+    """Documents that the quality rules keep, without the lines that the rules remove; ``n_chars`` follows the text."""
+    ruled = quality_rules(docs).where("rules.kept")
+    size = F.when(F.col("rules.removed_chars") > 0, F.char_length("rules.text").cast("long")).otherwise(F.col("n_chars"))
+    return ruled.withColumns({"text": F.col("rules.text"), "n_chars": size}).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

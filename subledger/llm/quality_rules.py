@@ -63,11 +63,15 @@ def base_measures(text: Column) -> Column:
     ))
 
 
-def line_marks(text: Column) -> Column:
-    """Array of (hash, chars) of a text's lines with a word; case, digits and outer white space of a line don't matter."""
+def marked_lines(text: Column) -> Column:
+    """Array of (hash, chars, line) of all lines of a text; case, digits and outer white space of a line don't matter, and a line without a word has no chars."""
     plain = lambda x: F.btrim(F.regexp_replace(F.lower(x), "[0-9]", "0"), F.lit(" \t\n\x0b\x0c\r"))
-    marks = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: let(plain(x), lambda p: F.struct(F.xxhash64(p).alias("hash"), F.char_length(p).cast("long").alias("chars"))))
-    return F.filter(marks, lambda m: m["chars"] > 0)
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: let(plain(x), lambda p: F.struct(F.xxhash64(p).alias("hash"), F.char_length(p).cast("long").alias("chars"), x.alias("line"))))
+
+
+def line_marks(text: Column) -> Column:
+    """``marked_lines`` with a word."""
+    return F.filter(marked_lines(text), lambda m: m["chars"] > 0)
 
 
 def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -81,7 +85,7 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``docs`` with the struct ``rules``: the base measures, base_failed, removed_chars, line_chars and kept.
+    """``docs`` with the struct ``rules``: the base measures, base_failed, removed_chars, line_chars, kept and text, which is the text without the removed lines.
 
     A null or empty text has no words and so fails the base rule. Lines are judged by the counts of all documents of their host; equal texts of a host count once, so
     copies can't make their own lines boilerplate. Repeated rows get equal results; other columns stay, but for one named ``rules``, which is replaced.
@@ -100,13 +104,15 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
         total = lambda ms: F.aggregate(ms, F.lit(0).cast("long"), lambda s, m: s + m["chars"])
 
         def weighed(marks: Column) -> Column:
-            gone = F.when(F.col("lines").isNull(), F.lit(0).cast("long")).otherwise(total(F.filter(marks, lambda m: F.array_contains(F.col("lines"), m["hash"]))))
-            return F.struct(gone.alias("removed_chars"), total(marks).alias("line_chars"))
+            removed = lambda m: (m["chars"] > 0) & F.array_contains(F.col("lines"), m["hash"])
+            gone = F.when(F.col("lines").isNull(), F.lit(0).cast("long")).otherwise(total(F.filter(marks, removed)))
+            left = F.array_join(F.transform(F.filter(marks, lambda m: ~removed(m)), lambda m: m["line"]), "\n")
+            return let(gone, lambda g: F.struct(g.alias("removed_chars"), total(marks).alias("line_chars"), F.when(g > 0, left).otherwise(F.col("body")).alias("text")))
 
-        return let(let(line_marks(F.col("body")), weighed), lambda x: F.struct(
+        return let(let(marked_lines(F.col("body")), weighed), lambda x: F.struct(
             *(base[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
             failed.alias("base_failed"), x["removed_chars"].alias("removed_chars"), x["line_chars"].alias("line_chars"),
-            (~failed & (x["line_chars"] - x["removed_chars"] >= LEFT_SHARE * x["line_chars"])).alias("kept"),
+            (~failed & (x["line_chars"] - x["removed_chars"] >= LEFT_SHARE * x["line_chars"])).alias("kept"), x["text"].alias("text"),
         ))
 
     return marked.select(*(F.col("record")[c].alias(c) for c in docs.columns if c != "rules"), let(base_measures(F.col("body")), ruled).alias("rules"))
