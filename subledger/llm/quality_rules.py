@@ -13,9 +13,12 @@ from subledger.llm.common import BROADCAST_BYTES, let, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: A line is removed when more documents of its host hold it than LEAST_DOCS and than HOST_SHARE of the host's documents.
+#: A line is removed when more than LEAST_DOCS documents of its host hold it, however many documents the host has.
 LEAST_DOCS = 50
+#: The share of the host's documents that op3's query and its SQL ask for besides.
 HOST_SHARE = 0.2
+#: Removed lines of a host that one look-up compares.
+LOOK_UP = 8
 #: A document is rejected when less than this share of its characters is left.
 LEFT_SHARE = 0.2
 #: Parts into which each host's documents are dealt when the removed lines are too many to broadcast.
@@ -74,24 +77,35 @@ def line_marks(text: Column) -> Column:
     return F.filter(marked_lines(text), lambda m: m["chars"] > 0)
 
 
-def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(host, lines): for each host the hashes of the lines that are above its limits. A null host is a host of its own, named ''."""
+def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_share: float = 0.0) -> DataFrame:
+    """(host, lines): for each host the hashes of the lines that more than LEAST_DOCS of its documents hold, and more than ``host_share`` of them. A null host is a host of its own, named ''."""
     marked = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.xxhash64(text_col).alias("document"), F.array_distinct(F.transform(line_marks(F.col(text_col)), lambda m: m["hash"])).alias("lines"))
     held = marked.select("host", "document", F.explode("lines").alias("line")).distinct()
     counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_DOCS)
-    sizes = marked.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    over = counts.join(sizes, "host").where(F.col("n") > HOST_SHARE * F.col("host_docs"))
-    return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    if host_share:
+        sizes = marked.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+        counts = counts.join(sizes, "host").where(F.col("n") > host_share * F.col("host_docs"))
+    return counts.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def _dealt(frequent: DataFrame) -> DataFrame:
+    """(host, lines): the hashes of each host in lists of about LOOK_UP; hash h is in list ``h mod number of lists``."""
+    sized = frequent.withColumn("parts", F.greatest(F.expr(f"size(lines) div {LOOK_UP}"), F.lit(1)).cast("long"))
+    each = sized.select("host", "parts", F.explode("lines").alias("line")).select("host", F.pmod("line", "parts").alias("at"), "line")
+    empty = sized.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("at"), F.lit(None).cast("long").alias("line"))
+    lists = each.unionByName(empty).groupBy("host", "at").agg(F.collect_list("line").alias("own"))
+    return lists.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "own"))), lambda x: x["own"]).alias("lines"))
+
+
+def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_share: float = 0.0) -> DataFrame:
     """``docs`` with the struct ``rules``: the base measures, base_failed, removed_chars, line_chars, kept and text, which is the text without the removed lines.
 
     A null or empty text has no words and so fails the base rule. Lines are judged by the counts of all documents of their host; equal texts of a host count once, so
     copies can't make their own lines boilerplate. Repeated rows get equal results; other columns stay, but for one named ``rules``, which is replaced.
     """
-    frequent = written(frequent_lines(docs, text_col, host_col))
-    size = frequent.agg(F.sum(F.octet_length("host") + 8 * F.size("lines") + 16)).first()[0] or 0
+    frequent = written(frequent_lines(docs, text_col, host_col, host_share))
+    size = frequent.agg(F.sum(F.octet_length("host") + 12 * F.size("lines") + 64)).first()[0] or 0
+    frequent = _dealt(frequent)
     rows = docs.select(F.struct("*").alias("record"), F.col(text_col).alias("body"), F.coalesce(F.col(host_col), F.lit("")).alias("host"))
     if size <= BROADCAST_BYTES:
         marked = rows.join(F.broadcast(frequent), "host", "left")
@@ -104,7 +118,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
         total = lambda ms: F.aggregate(ms, F.lit(0).cast("long"), lambda s, m: s + m["chars"])
 
         def weighed(marks: Column) -> Column:
-            removed = lambda m: (m["chars"] > 0) & F.array_contains(F.col("lines"), m["hash"])
+            removed = lambda m: (m["chars"] > 0) & F.array_contains(F.get("lines", F.pmod(m["hash"], F.size("lines")).cast("int")), m["hash"])
             gone = F.when(F.col("lines").isNull(), F.lit(0).cast("long")).otherwise(total(F.filter(marks, removed)))
             left = F.array_join(F.transform(F.filter(marks, lambda m: ~removed(m)), lambda m: m["line"]), "\n")
             return let(gone, lambda g: F.struct(g.alias("removed_chars"), total(marks).alias("line_chars"), F.when(g > 0, left).otherwise(F.col("body")).alias("text")))

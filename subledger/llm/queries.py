@@ -13,7 +13,7 @@ from subledger.llm.jaccard_join import jaccard_components
 from subledger.llm.license_scan import license_report
 from subledger.llm.packing import pack
 from subledger.llm.quality_model import quality_model
-from subledger.llm.quality_rules import quality_rules
+from subledger.llm.quality_rules import HOST_SHARE, quality_rules
 from subledger.llm.sentencepiece_sampling import decode, encode
 from subledger.llm.sharding import external_shuffle
 
@@ -41,7 +41,7 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality_rules(docs).select("doc_id", *(f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")))
+    return quality_rules(docs, host_share=HOST_SHARE).select("doc_id", *(f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
