@@ -20,6 +20,8 @@ from subledger.llm.queries import packed
 
 #: A document's largest language must have this share of its words.
 LANGUAGE_SHARE = 0.5
+#: Near copies share this percentage of their shingles of so many words.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    return _only(docs, jaccard_components(docs).where("doc_id <=> component_id"))
+    return _only(docs, jaccard_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).where("doc_id <=> component_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

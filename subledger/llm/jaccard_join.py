@@ -1,13 +1,13 @@
 """N-gram Jaccard join in the metric space of shingle sets, by pivots, Voronoi regions and triangle-inequality windows.
 
-The distance of two documents is 1 - J of their sets; they link when it is at most EPSILON. The join runs in three steps, each exact.
+The distance of two documents is 1 - J of their sets; they link when it is at most epsilon, 1 - percent / 100. The join runs in three steps, each exact.
 
-1. *Far documents.* Most documents are further than EPSILON from all others and need no region. Of two linked documents the lowest-hashed shingles of each, a
+1. *Far documents.* Most documents are further than epsilon from all others and need no region. Of two linked documents the lowest-hashed shingles of each, a
    fixed share, have L in common at least (prefix filter). Those are dealt by hash and counted; a document with fewer than L that others have is done: it links with nothing.
 2. *Blocks.* Of the others, equal sets are one point. Points that share one of their rarest low-hashed shingles, as linked points must, are tied to the first
    point that has it; what hangs together is a block. No link leads out of a block.
 3. *Regions.* A block is joined recursively. Pivots are drawn; a point goes to the region of its nearest pivot and to every other whose distance is within
-   2 * EPSILON of that one, and to the region outside if no pivot is within RADIUS. Large regions are split again, small ones compare their points outright. A block that fits a task is split there; a larger one is
+   2 * epsilon of that one, and to the region outside if no pivot is within RADIUS. Large regions are split again, small ones compare their points outright. A block that fits a task is split there; a larger one is
    dealt to regions by Spark, and the links found in different tasks meet in a search for components.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from subledger.llm.common import discard, lookup_join, written
 from subledger.llm.words import WordTable, groups, split_all
 
-#: Documents link when 100 * intersection >= PERCENT * union.
+#: Documents link when 100 * intersection >= percent * union of their shingles of width words; these are op9's.
 PERCENT = 85
 WIDTH = 4
 EPSILON = 1 - PERCENT / 100
@@ -36,7 +36,7 @@ EXTRA = 0.15
 DEAL_BYTES = 8 << 20
 #: Points that a region compares outright; points of a block that one task joins.
 LEAF, TASK_POINTS = 1024, 8192
-#: One in so many points is a pivot, MOST_PIVOTS of a region at most. A region reaches RADIUS + EPSILON from its pivot.
+#: One in so many points is a pivot, MOST_PIVOTS of a region at most. A region reaches RADIUS + epsilon from its pivot.
 PIVOT_SHARE, MOST_PIVOTS, RADIUS = 32, 512, 0.6
 #: Matches of shingles that are counted at once.
 MATCHES = 1 << 23
@@ -74,28 +74,28 @@ def shingle_sets(texts: list[str | None], table: WordTable, width: int = WIDTH)
     return found
 
 
-def needed(n: np.ndarray | int) -> np.ndarray | int:
+def needed(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
     """Least intersection of a set of n with any set that it links with."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
 def extra(n: np.ndarray | int) -> np.ndarray | int:
-    """L for a set of n: linked sets share as many of their ``n - needed(n) + extra(n)`` lowest hashes, for the smaller L of the two."""
+    """L for a set of n: linked sets share as many of their ``n - needed(n, percent) + extra(n)`` lowest hashes, for the smaller L of the two."""
     return np.maximum(1, (n * round(EXTRA * 100)) // 100)
 
 
 # -- 1. far documents ---------------------------------------------------------------------------------------------------------------
 
 
-def _deal(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], shards: int, width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """For each group of texts one row of heads (ids, set sizes, shingles that texts of the group share) and one row of hashes for each shard."""
     from pyspark import TaskContext
 
     table, part = WordHashes(), TaskContext.get().partitionId()
     for k, batch in enumerate(groups(batches)):
-        sets = shingle_sets(batch.column("text").to_pylist(), table)
+        sets = shingle_sets(batch.column("text").to_pylist(), table, width)
         n = np.fromiter(map(len, sets), np.int64, len(sets))
-        cut = [s[: len(s) - needed(len(s)) + extra(len(s))] if len(s) else s for s in sets]
+        cut = [s[: len(s) - needed(len(s), percent) + extra(len(s))] if len(s) else s for s in sets]
         owner = np.repeat(np.arange(len(sets), dtype=np.uint16), np.fromiter(map(len, cut), np.int64, len(cut)))
         every = np.concatenate([np.zeros(0, np.uint64), *cut])
         order = np.argsort(every, kind="stable")
@@ -131,24 +131,28 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["grp", "b"])
 
 
-def _near(pdf: pd.DataFrame) -> pd.DataFrame:
+def _near(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Of one group: every text's key and set size, and whether it may link."""
     head = pdf[pdf["shard"] == -1].iloc[0]
     ids, (n, known) = np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.int32).reshape(2, -1)
     shared = known.astype(np.int64)
     for x in pdf["b"][pdf["shard"] != -1]:
         shared += np.bincount(np.frombuffer(x, np.uint16), minlength=len(ids))
-    return pd.DataFrame({"key": ids, "n_shingles": n.astype(np.int64), "near": (n > 0) & (shared >= extra(needed(n.astype(np.int64))))})
+    return pd.DataFrame({"key": ids, "n_shingles": n.astype(np.int64), "near": (n > 0) & (shared >= extra(needed(n.astype(np.int64), percent)))})
 
 
-def near_texts(rows: DataFrame) -> DataFrame:
+def _near_of(percent: int):
+    return lambda pdf: _near(pdf, percent)
+
+
+def near_texts(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, near, times) for each key of (key, text); ``near`` is false only if the text links with no other."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(max(16, size // DEAL_BYTES))
-    dealt = written(rows.mapInArrow(partial(_deal, shards=shards), "grp long, shard int, a binary, b binary"))
+    dealt = written(rows.mapInArrow(partial(_deal, shards=shards, width=width, percent=percent), "grp long, shard int, a binary, b binary"))
     counted = dealt.where("shard >= 0").groupBy("shard").applyInPandas(_count, "grp long, b binary")
     both = dealt.where("shard = -1").unionByName(counted.select("grp", F.lit(-2).alias("shard"), F.lit(None).cast("binary").alias("a"), "b"))
-    near = both.groupBy("grp").applyInPandas(_near, "key long, n_shingles long, near boolean")
+    near = both.groupBy("grp").applyInPandas(_near_of(percent), "key long, n_shingles long, near boolean")
     kept = written(near.groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.max("near").alias("near"), F.count("*").alias("times")))
     discard(dealt)
     return kept
@@ -157,25 +161,25 @@ def near_texts(rows: DataFrame) -> DataFrame:
 # -- 2. blocks ----------------------------------------------------------------------------------------------------------------------
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """For each key of a group its set's digest; the set itself where the group has it first."""
     table = WordHashes()
     for batch in groups(batches):
         texts = dict(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True))
-        sets = [x.tobytes() for x in shingle_sets(list(texts.values()), table)]
+        sets = [x.tobytes() for x in shingle_sets(list(texts.values()), table, width)]
         digests, seen = [xxhash.xxh3_128_digest(x) for x in sets], set()
         first = [None if d in seen or seen.add(d) else x for d, x in zip(digests, sets, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.binary())], ["key", "digest", "shingles"])
 
 
-def _low_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _low_hashes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(point, least, hash) for each point's low hashes; ``least`` of them are in any set that it links with."""
     for batch in batches:
         sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
         n = np.fromiter(map(len, sets), np.int64, len(sets))
-        cut = [s[: len(s) - needed(len(s)) + extra(len(s))] for s in sets]
+        cut = [s[: len(s) - needed(len(s), percent) + extra(len(s))] for s in sets]
         owner = np.repeat(np.arange(len(sets)), np.fromiter(map(len, cut), np.int64, len(cut)))
-        yield pa.RecordBatch.from_arrays([batch.column("point").take(pa.array(owner)), pa.array(extra(needed(n))[owner]), pa.array(np.concatenate([np.zeros(0, np.uint64), *cut]).view(np.int64))], ["point", "least", "hash"])
+        yield pa.RecordBatch.from_arrays([batch.column("point").take(pa.array(owner)), pa.array(extra(needed(n, percent))[owner]), pa.array(np.concatenate([np.zeros(0, np.uint64), *cut]).view(np.int64))], ["point", "least", "hash"])
 
 
 def components(ties: DataFrame) -> DataFrame:
@@ -199,9 +203,9 @@ def components(ties: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("point"), F.col("v").alias("least")).unionByName(edges.select(F.col("v").alias("point"), F.col("v").alias("least")).distinct())
 
 
-def blocks(points: DataFrame) -> DataFrame:
+def blocks(points: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(point, block): points that share one of their rarest low hashes, tied together."""
-    low = points.mapInArrow(_low_hashes, "point long, least long, hash long")
+    low = points.mapInArrow(partial(_low_hashes, percent=percent), "point long, least long, hash long")
     held = low.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
     shared = low.join(held, "hash").groupBy("point", "least").agg(F.sort_array(F.collect_list(F.struct("times", "hash"))).alias("shared"))
     # Hashes of one point alone come first in the order, then the others by how many points have them; two sets with
@@ -252,45 +256,49 @@ def _tie(label: np.ndarray, points: np.ndarray) -> None:
         label[np.isin(label, some)] = some[0]
 
 
-def _outright(points: np.ndarray, sets: list[np.ndarray], label: np.ndarray) -> None:
+def _outright(points: np.ndarray, sets: list[np.ndarray], label: np.ndarray, percent: int = PERCENT) -> None:
     index = Index([sets[i] for i in points])
     for a in range(0, len(points), 128):
         some = points[a : a + 128]
         both, size = index.overlaps([sets[i] for i in some]), index.sizes[a : a + 128]
-        linked = 100 * both >= PERCENT * (size[:, None] + index.sizes[None] - both)
+        linked = 100 * both >= percent * (size[:, None] + index.sizes[None] - both)
         for row in linked:
             _tie(label, points[row])
 
 
-def regions(distances: np.ndarray) -> list[np.ndarray]:
-    """For each pivot (row) the points of its region, and last those of the region outside. Any two points within EPSILON share one."""
+def regions(distances: np.ndarray, epsilon: float = EPSILON) -> list[np.ndarray]:
+    """For each pivot (row) the points of its region, and last those of the region outside. Any two points within ``epsilon`` share one."""
     nearest = distances.min(0)
-    inside = (distances <= nearest + 2 * EPSILON + 1e-9) & (distances <= RADIUS + EPSILON + 1e-9)
+    inside = (distances <= nearest + 2 * epsilon + 1e-9) & (distances <= RADIUS + epsilon + 1e-9)
     return [*(np.flatnonzero(x) for x in inside), np.flatnonzero(nearest > RADIUS)]
 
 
-def join_region(points: np.ndarray, sets: list[np.ndarray], label: np.ndarray, depth: int = 0) -> None:
+def join_region(points: np.ndarray, sets: list[np.ndarray], label: np.ndarray, depth: int = 0, percent: int = PERCENT) -> None:
     """Tie all linked pairs among ``points``: split by pivots while that helps, compare outright what is small or can't be split."""
     if len(points) <= LEAF or depth > 12:
-        return _outright(points, sets, label)
+        return _outright(points, sets, label, percent)
     pivots = points[depth % PIVOT_SHARE :: max(PIVOT_SHARE, len(points) // MOST_PIVOTS)]
-    parts = regions(Index([sets[i] for i in points]).distances([sets[i] for i in pivots]))
+    parts = regions(Index([sets[i] for i in points]).distances([sets[i] for i in pivots]), 1 - percent / 100)
     if sum(len(p) ** 2 for p in parts) > 0.7 * len(points) ** 2:
-        return _outright(points, sets, label)
+        return _outright(points, sets, label, percent)
     for p in parts:
         if len(p) > 1:
-            join_region(points[p], sets, label, depth + 1)
+            join_region(points[p], sets, label, depth + 1, percent)
 
 
-def _join(pdf: pd.DataFrame) -> pd.DataFrame:
+def _join(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     pdf = pdf.sort_values("point", ignore_index=True)
     label = np.arange(len(pdf))
-    join_region(label.copy(), [np.frombuffer(x, np.uint64) for x in pdf["shingles"]], label)
+    join_region(label.copy(), [np.frombuffer(x, np.uint64) for x in pdf["shingles"]], label, percent=percent)
     ids = pdf["point"].to_numpy()
     return pd.DataFrame({"a": ids, "b": ids[label]})
 
 
-def _deal_regions(batches: Iterator[pa.RecordBatch], pivots: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+def _join_of(percent: int):
+    return lambda pdf: _join(pdf, percent)
+
+
+def _deal_regions(batches: Iterator[pa.RecordBatch], pivots: dict[int, list[bytes]], epsilon: float) -> Iterator[pa.RecordBatch]:
     """Each point once for every region of its block that it belongs to."""
     index = {region: Index([np.frombuffer(x, np.uint64) for x in of]) for region, of in pivots.items()}
     for batch in batches:
@@ -300,20 +308,20 @@ def _deal_regions(batches: Iterator[pa.RecordBatch], pivots: dict[int, list[byte
                 if region not in index:  # it drew no pivot
                     yield pa.RecordBatch.from_pandas(some[["region", "point", "shingles"]], preserve_index=False)
                     continue
-                parts = regions(index[region].distances([np.frombuffer(x, np.uint64) for x in some["shingles"]]).T)
+                parts = regions(index[region].distances([np.frombuffer(x, np.uint64) for x in some["shingles"]]).T, epsilon)
                 for k, own in enumerate(parts):
                     if len(own):
                         name = int(_mix(np.array([region], np.int64).view(np.uint64) + np.uint64(k + 1)).view(np.int64)[0])
                         yield pa.RecordBatch.from_pandas(some.iloc[own].assign(region=name)[["region", "point", "shingles"]], preserve_index=False)
 
 
-def links_of_large(large: DataFrame) -> DataFrame:
+def links_of_large(large: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links that tie the components of blocks too large for a task; ``large`` has (region, point, shingles)."""
     found = large.select(F.col("point").alias("a"), F.col("point").alias("b"))
     for _ in range(ROUNDS):
         sizes = written(large.groupBy("region").agg(F.count("*").alias("n")))
         fits = large.join(sizes.where(F.col("n") <= TASK_POINTS).select("region"), "region", "left_semi")
-        links = fits.groupBy("region").applyInPandas(_join, "a long, b long")
+        links = fits.groupBy("region").applyInPandas(_join_of(percent), "a long, b long")
         found = found.unionByName(links)
         if sizes.where(F.col("n") > TASK_POINTS).isEmpty():
             return found
@@ -326,35 +334,37 @@ def links_of_large(large: DataFrame) -> DataFrame:
         for r in chosen.toLocalIterator():
             pivots.setdefault(r["region"], []).append(bytes(r["shingles"]))
         shared = large.sparkSession.sparkContext.broadcast(pivots)
-        large = written(large.select("region", "point", "shingles").mapInArrow(lambda batches, shared=shared: _deal_regions(batches, shared.value), "region long, point long, shingles binary"))
+        large = written(large.select("region", "point", "shingles").mapInArrow(lambda batches, shared=shared: _deal_regions(batches, shared.value, 1 - percent / 100), "region long, point long, shingles binary"))
     # What pivots don't part is compared tile by tile; each pair of tiles is one task's work.
     sizes = large.groupBy("region").agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") * 2 / TASK_POINTS).cast("int"))
     tiled = large.drop("n").join(sizes, "region").withColumn("tile", F.pmod(F.xxhash64("point", F.lit(7)), F.col("tiles")).cast("int"))
     pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pairs = pairs.select(F.xxhash64("region", F.least("tile", "other"), F.greatest("tile", "other")).alias("region"), "point", "shingles")
-    return found.unionByName(pairs.groupBy("region").applyInPandas(_join, "a long, b long"))
+    return found.unionByName(pairs.groupBy("region").applyInPandas(_join_of(percent), "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links).
 
+    Documents link when their shingles of ``width`` words have a Jaccard similarity of ``percent`` / 100 at least; the defaults are op9's.
+
     A null text, or one without words, has the empty set and links with nothing, not even its like; other equal texts link. Rows that repeat an id
     are documents of their own with that id; a null id is no smallest id unless all of its component are null. No rows give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     texts = rows.select("key", "text")
-    near = near_texts(texts)
-    sets = written(lookup_join(texts, near.where("near").select("key", "times"), ["key"], "times").select("key", "text").mapInArrow(_sets, "key long, digest binary, shingles binary"))
+    near = near_texts(texts, width, percent)
+    sets = written(lookup_join(texts, near.where("near").select("key", "times"), ["key"], "times").select("key", "text").mapInArrow(partial(_sets, width=width), "key long, digest binary, shingles binary"))
     point = F.xxhash64("digest").alias("point")
     points = written(sets.where("shingles is not null").select(point, "shingles").dropDuplicates(["point"]))
-    block = written(blocks(points))
+    block = written(blocks(points, percent))
     sizes = written(block.groupBy("block").agg(F.count("*").alias("n")))
     placed = block.join(sizes, "block").join(points, "point")
-    small = placed.where(F.col("n") <= TASK_POINTS).select(F.col("block").alias("region"), "point", "shingles").groupBy("region").applyInPandas(_join, "a long, b long")
+    small = placed.where(F.col("n") <= TASK_POINTS).select(F.col("block").alias("region"), "point", "shingles").groupBy("region").applyInPandas(_join_of(percent), "a long, b long")
     tied = small.select(F.col("a").alias("point"), F.col("b").alias("component"))
     if not sizes.where(F.col("n") > TASK_POINTS).isEmpty():
         large = placed.where(F.col("n") > TASK_POINTS).select(F.col("block").alias("region"), "point", "shingles")
-        tied = tied.unionByName(components(links_of_large(large)).select("point", F.col("least").alias("component")))
+        tied = tied.unionByName(components(links_of_large(large, percent)).select("point", F.col("least").alias("component")))
     component = sets.select("key", point).distinct().join(tied, "point", "left").select("key", F.coalesce("component", "point").alias("component"))
     known = written(near.join(component, "key", "left").select("key", "n_shingles", "component", "times"))
     labelled = written(lookup_join(rows.select("doc_id", "key"), known, ["key"], "times").select("doc_id", "n_shingles", "component"))
