@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subledger.llm import language_id, toxicity
+from subledger.llm.common import shared_dir
 from subledger.llm.exact_dedup import exact_dedup
 from subledger.llm.jaccard_join import jaccard_components
 from subledger.llm.license_scan import license_report
@@ -15,7 +17,7 @@ from subledger.llm.packing import pack
 from subledger.llm.quality_model import quality_model
 from subledger.llm.quality_rules import HOST_SHARE, quality_rules
 from subledger.llm.sentencepiece_sampling import decode, encode
-from subledger.llm.sharding import external_shuffle
+from subledger.llm.sharding import external_shuffle, write_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +66,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    records = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = external_shuffle(records)
-    return placed.select("record.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "bucket", "position")
+    """The whole documents shuffled and written; what is returned is read from the shards' files."""
+    size, text = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"), F.coalesce("text", F.lit(""))
+    placed = external_shuffle(table(spark, sf_dir, "documents").withColumn("size", size))
+    shards = write_shards(placed, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    return shards.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "bucket", "position")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

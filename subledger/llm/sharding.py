@@ -46,7 +46,11 @@ def external_shuffle(records: DataFrame, size_col: str = "size", shards: int = 8
     return placed.select(F.col("one.record").alias("record"), F.col("bucket").cast("long"), position.alias("position"), F.pmod(position, F.lit(shards)).cast("int").alias("shard"), F.expr(f"(offset + at) div {int(shards)}").alias("slot"))
 
 
-def write_shards(placed: DataFrame, path: str) -> None:
-    """Write the records to ``path``/shard=N/ in slot order; each file holds one run of slots of one shard."""
-    run = F.expr("slot div 65536")
-    placed.withColumn("run", run).repartition("shard", "run").sortWithinPartitions("shard", "slot").select("shard", "slot", "record.*").write.partitionBy("shard").parquet(path)
+def write_shards(placed: DataFrame, path: str) -> DataFrame:
+    """Write the records to ``path``/shard=N/ and return the table as read from there.
+
+    Each task writes its buckets' records as they are placed, without another shuffle; a file holds runs of slots of one shard, in slot order.
+    """
+    rows = placed.select("slot", "bucket", "position", "record.*", "shard")
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return placed.sparkSession.read.schema(rows.schema).parquet(path)
