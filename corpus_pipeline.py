@@ -79,5 +79,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL can't tokenize or infer languages; tests/llm/test_pipeline.py compares the stages with brute force.
+#: SQL can't tokenize or infer languages; tests/llm/test_pipeline.py has the expected ids of each stage, test_cleaned.py and test_near.py compare removed lines and near copies with plain Python.
 ORACLE_SQL = None
