@@ -20,9 +20,11 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset, on a local master only: on a cluster a temporary folder would be each machine's own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -44,16 +46,29 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _bytes(table: DataFrame) -> Column:
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in table.dtypes), F.lit(16))
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, broadcast_bytes: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with a written ``table`` that has one row for each key; its ``weight`` column says how many rows the key has.
 
     A table of up to ``broadcast_bytes`` (measured) is broadcast, BROADCAST_BYTES if not given. Of a larger one only the hot keys are, fewer than HOT_SHARE of them;
     the others meet in a shuffle, where no key is hot.
     """
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in table.dtypes), F.lit(16))
-    size, total = table.agg(F.sum(width), F.sum(weight)).first()
+    size, total = table.agg(F.sum(_bytes(table)), F.sum(weight)).first()
     if (size or 0) <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         return rows.join(F.broadcast(table), keys)
     hot = table.where(F.col(weight) * HOT_SHARE > total)
     cold = table.where(F.col(weight) * HOT_SHARE <= total)
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def without(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` whose key is not in the written ``table``; sizes and hot keys are treated as ``lookup_join`` does."""
+    size, total = table.agg(F.sum(_bytes(table)), F.sum(weight)).first()
+    if (size or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table.select(*keys)), keys, "left_anti")
+    hot = table.where(F.col(weight) * HOT_SHARE > total).select(*keys)
+    cold = table.where(F.col(weight) * HOT_SHARE <= total).select(*keys)
+    return rows.join(F.broadcast(hot), keys, "left_anti").join(cold, keys, "left_anti")

@@ -12,8 +12,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from subledger.llm.common import lookup_join, without, written
+
 #: Bytes of text that one bucket holds on average.
 BUCKET_BYTES = 8 << 20
+#: Rows that one bucket holds on average at most.
+BUCKET_ROWS = 50_000
+#: Equal rows that one task makes of their count at once.
+EQUAL_RUN = 1000
 #: Buckets whose offsets are summed in one window.
 BLOCK = 1024
 
@@ -27,18 +33,37 @@ def _offsets(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before.select("block", "start"), "block").select("bucket", (F.col("start") + F.col("inner")).alias("offset"))
 
 
-def external_shuffle(records: DataFrame, size_col: str = "size", shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _dealt(records: DataFrame, seed: int, buckets: int) -> DataFrame:
+    """(record, dice, bucket): dice are a hash of the whole row and, for rows that are equal in every column, of which of them it is.
+
+    So the deal is the same however the rows come and however often they are computed. Rows whose hash repeats are counted by content, with a combination before the shuffle, and
+    dealt one by one from the count, so that no group of equal rows fills a bucket.
+    """
+    rows = records.select(F.struct("*").alias("record")).withColumn("hash", F.xxhash64(F.lit(seed), "record"))
+    repeated = written(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
+    if repeated.isEmpty():
+        dealt = rows.withColumn("dice", F.xxhash64("hash", F.lit(0).cast("long")))
+    else:
+        equal = lookup_join(rows, repeated, ["hash"], "n").groupBy("hash", "record").agg(F.count("*").alias("times"))
+        # A count is spread over tasks before it is made rows again, in runs of EQUAL_RUN.
+        runs = equal.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {EQUAL_RUN}")))).repartition("hash", "run")
+        copies = runs.withColumn("which", F.explode(F.sequence(F.col("run") * EQUAL_RUN, F.least((F.col("run") + 1) * EQUAL_RUN, F.col("times")) - 1)))
+        apart = without(rows, repeated, ["hash"], "n")
+        dealt = apart.withColumn("which", F.lit(0).cast("long")).unionByName(copies.select("record", "hash", "which")).withColumn("dice", F.xxhash64("hash", "which"))
+    return dealt.select("record", "dice", F.pmod("dice", F.lit(buckets)).alias("bucket"))
+
+
+def external_shuffle(records: DataFrame, size_col: str = "size", shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Every row of ``records`` once, all its columns in the struct ``record``, with bucket, position, shard and slot.
 
     ``position`` is the row's place in the seeded global order, gapless from 0; ``shard = position mod shards`` and
-    ``slot = position div shards``. Repeated rows are rows of their own; nulls in any column are kept; a null size counts as 0.
-    No rows give no rows. The order depends on the seed and on how the input is split, not on what the rows hold,
-    so that no key, source or group of copies can fill a bucket.
+    ``slot = position div shards``. Repeated rows are rows of their own; nulls in any column are kept; a null or negative size counts as 0, and buckets are
+    bounded by rows too. No rows give no rows. The order depends on the rows and the seed alone, not on how the input is split or in which order it comes; a bucket takes each row by
+    its own dice, so no key, source or group of copies can fill one. Columns of map type, which Spark can't compare, are not supported.
     """
-    total = records.agg(F.sum(F.col(size_col))).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
-    dice = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    dealt = records.select(F.struct("*").alias("record"), dice.alias("dice")).withColumn("bucket", F.pmod("dice", F.lit(buckets)))
+    total, n = records.agg(F.sum(F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0))), F.count("*")).first()
+    buckets = max(1, math.ceil((total or 0) / bucket_bytes), math.ceil(n / bucket_rows))
+    dealt = _dealt(records, seed, buckets)
     offsets = _offsets(dealt.groupBy("bucket").agg(F.count("*").alias("n")))
     held = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("dice", "record"))).alias("held"))
     placed = held.join(offsets, "bucket").sortWithinPartitions("bucket").select("bucket", "offset", F.posexplode(F.shuffle("held", F.lit(seed))).alias("at", "one"))
