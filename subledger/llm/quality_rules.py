@@ -1,7 +1,7 @@
 """Quality rules by cross-document line frequency.
 
-Lines are normalised and hashed; for each host (``source``) the distinct documents that hold a line are counted, where documents of
-equal text count as one. A line in more documents than the limit is boilerplate and is removed; a document that loses most of its characters is rejected.
+Lines are normalised and hashed; for each host (``source``) the distinct documents that hold a line are counted. A line in more documents than the limit is boilerplate
+and is removed; a document that loses most of its characters is rejected.
 """
 
 from __future__ import annotations
@@ -9,20 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subledger.llm.common import BROADCAST_BYTES, let, written
+from subledger.llm.common import BROADCAST_BYTES, let, lookup_join, without, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: A line is removed when more than LEAST_DOCS documents of its host hold it, however many documents the host has.
-LEAST_DOCS = 50
-#: The share of the host's documents that op3's query and its SQL ask for besides.
-HOST_SHARE = 0.2
+LEAST_DOCS = 10
 #: Removed lines of a host that one look-up compares.
 LOOK_UP = 8
 #: A document is rejected when less than this share of its characters is left.
 LEFT_SHARE = 0.2
-#: Parts into which each host's documents are dealt when the removed lines are too many to broadcast.
-SALTS = 32
 
 
 def split_words(text: Column) -> Column:
@@ -77,41 +73,48 @@ def line_marks(text: Column) -> Column:
     return F.filter(marked_lines(text), lambda m: m["chars"] > 0)
 
 
-def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_share: float = 0.0) -> DataFrame:
-    """(host, lines): for each host the hashes of the lines that more than LEAST_DOCS of its documents hold, and more than ``host_share`` of them. A null host is a host of its own, named ''."""
-    marked = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.xxhash64(text_col).alias("document"), F.array_distinct(F.transform(line_marks(F.col(text_col)), lambda m: m["hash"])).alias("lines"))
+def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", document_col: str | None = None, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(host, line, n): for each host the hashes of the lines that more than ``least_docs`` of its distinct documents hold, and how many do. A null host is a host of its own, named ''.
+
+    Rows with the same ``document_col`` are one document; without that column, or where it is null, rows of equal text are.
+    """
+    by_text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    document = F.coalesce(F.col(document_col).cast("string"), by_text) if document_col else by_text
+    marked = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), document.alias("document"), F.array_distinct(F.transform(line_marks(F.col(text_col)), lambda m: m["hash"])).alias("lines"))
     held = marked.select("host", "document", F.explode("lines").alias("line")).distinct()
-    counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_DOCS)
-    if host_share:
-        sizes = marked.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-        counts = counts.join(sizes, "host").where(F.col("n") > host_share * F.col("host_docs"))
-    return counts.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    return held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
 
 
 def _dealt(frequent: DataFrame) -> DataFrame:
-    """(host, lines): the hashes of each host in lists of about LOOK_UP; hash h is in list ``h mod number of lists``."""
-    sized = frequent.withColumn("parts", F.greatest(F.expr(f"size(lines) div {LOOK_UP}"), F.lit(1)).cast("long"))
-    each = sized.select("host", "parts", F.explode("lines").alias("line")).select("host", F.pmod("line", "parts").alias("at"), "line")
+    """(host, lines): the hashes of each host in lists of about LOOK_UP; hash h is in list ``h mod number of lists``. For a table that is small enough to broadcast."""
+    sized = frequent.groupBy("host").agg(F.greatest(F.floor(F.count("*") / LOOK_UP), F.lit(1)).cast("long").alias("parts"))
+    each = frequent.join(sized, "host").select("host", F.pmod("line", "parts").alias("at"), "line")
     empty = sized.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("at"), F.lit(None).cast("long").alias("line"))
     lists = each.unionByName(empty).groupBy("host", "at").agg(F.collect_list("line").alias("own"))
     return lists.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "own"))), lambda x: x["own"]).alias("lines"))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_share: float = 0.0) -> DataFrame:
+def _held_by(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``rows`` (record, body, host) with ``lines``: a list of the frequent lines that the row itself holds. One join on (host, line) and one on the text, whatever a host's number of frequent lines."""
+    keyed = rows.withColumn("key", F.md5(F.coalesce("body", F.lit(""))))
+    each = keyed.select("host", "key", F.explode(F.array_distinct(F.transform(line_marks(F.col("body")), lambda m: m["hash"]))).alias("line"))
+    own = written(lookup_join(each, frequent, ["host", "line"], "n").select("host", "key", "line").distinct().groupBy("host", "key").agg(F.array(F.collect_list("line")).alias("lines")))
+    counts = keyed.groupBy("host", "key").agg(F.count("*").alias("times"))
+    found = written(own.join(counts, ["host", "key"]))
+    none = without(keyed, found, ["host", "key"], "times").withColumn("lines", F.lit(None).cast("array<array<bigint>>"))
+    return lookup_join(keyed, found, ["host", "key"], "times").select("record", "body", "host", "lines").unionByName(none.select("record", "body", "host", "lines"))
+
+
+def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", document_col: str | None = None, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``docs`` with the struct ``rules``: the base measures, base_failed, removed_chars, line_chars, kept and text, which is the text without the removed lines.
 
-    A null or empty text has no words and so fails the base rule. Lines are judged by the counts of all documents of their host; equal texts of a host count once, so
-    copies can't make their own lines boilerplate. Repeated rows get equal results; other columns stay, but for one named ``rules``, which is replaced.
+    A null or empty text has no words and so fails the base rule. Lines are judged by the counts of all distinct documents of their host: those of ``document_col``, or by equal texts without it, so that
+    copies can't make their own lines boilerplate. Repeated rows get equal results; other columns stay, but for one named ``rules``, which is replaced. No rows give no rows.
     """
-    frequent = written(frequent_lines(docs, text_col, host_col, host_share))
-    size = frequent.agg(F.sum(F.octet_length("host") + 12 * F.size("lines") + 64)).first()[0] or 0
-    frequent = _dealt(frequent)
+    frequent = written(frequent_lines(docs, text_col, host_col, document_col, least_docs))
+    size = frequent.agg(F.sum(F.octet_length("host") + F.lit(48))).first()[0] or 0
     rows = docs.select(F.struct("*").alias("record"), F.col(text_col).alias("body"), F.coalesce(F.col(host_col), F.lit("")).alias("host"))
-    if size <= BROADCAST_BYTES:
-        marked = rows.join(F.broadcast(frequent), "host", "left")
-    else:
-        salted = frequent.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-        marked = rows.withColumn("part", F.pmod(F.xxhash64("body"), F.lit(SALTS)).cast("int")).join(salted, ["host", "part"], "left")
+    marked = rows.join(F.broadcast(_dealt(frequent)), "host", "left") if size <= BROADCAST_BYTES else _held_by(rows, frequent)
 
     def ruled(base: Column) -> Column:
         failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])

@@ -15,7 +15,7 @@ from subledger.llm.jaccard_join import jaccard_components
 from subledger.llm.license_scan import license_report
 from subledger.llm.packing import pack
 from subledger.llm.quality_model import quality_model
-from subledger.llm.quality_rules import HOST_SHARE, quality_rules
+from subledger.llm.quality_rules import quality_rules
 from subledger.llm.sentencepiece_sampling import decode, encode
 from subledger.llm.sharding import external_shuffle, write_shards
 
@@ -43,7 +43,7 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality_rules(docs, host_share=HOST_SHARE).select("doc_id", *(f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")))
+    return quality_rules(docs, document_col="doc_id").select("doc_id", *(f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +106,7 @@ repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i
 lines AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
 marks AS (SELECT doc_id, host, t, trim(regexp_replace(lower(line), '[0-9]', '0', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS mark FROM lines),
-held AS (SELECT host, mark, count(DISTINCT t) AS n FROM marks WHERE mark <> '' GROUP BY 1, 2),
-hosts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY 1),
-frequent AS (SELECT h.host, h.mark FROM held h JOIN hosts o USING (host) WHERE h.n > 50 AND h.n > 0.2 * o.n),
+frequent AS (SELECT host, mark FROM marks WHERE mark <> '' GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 10),
 gone AS (SELECT doc_id, coalesce(sum(length(m.mark)) FILTER (f.mark IS NOT NULL), 0) AS removed, sum(length(m.mark)) AS total FROM marks m LEFT JOIN frequent f ON f.host = m.host AND f.mark = m.mark GROUP BY 1),
 r AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, removed, total FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN gone USING (doc_id))
