@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subledger.llm.common import discard, lookup_join, written
+from subledger.llm.common import discard, lookup_join, without, written
 from subledger.llm.words import WordTable, groups, split_all
 
 #: Documents link when 100 * intersection >= percent * union of their shingles of width words; these are op9's.
@@ -38,7 +38,7 @@ EXTRA = 0.15
 #: Bytes of shingles that one task of the first step counts at once.
 DEAL_BYTES = 8 << 20
 #: Rounds of drawing pivots for all points; most regions that share a hash whose points meet pairwise with regions.
-ROUNDS, HOMES = 3, 16
+ROUNDS, HOMES = 2, 16
 #: Bytes of sets that are compared with one copy of a pivot in one task.
 SPREAD_BYTES = 16 << 20
 #: Points that a region compares outright; points and bytes of sets of a region that one task joins.
@@ -284,7 +284,9 @@ def regional_links(points: DataFrame, percent: int = PERCENT) -> tuple[DataFrame
     regions_of = written(regions_of)
     if regions_of.isEmpty():
         return homes, links
-    named = placed.select("hash", "home").distinct().join(regions_of.where(F.col("homes") <= HOMES).select("hash", "n"), "hash").groupBy("hash", "n").agg(F.collect_list("home").alias("pivots"))
+    crowded = written(regions_of.where(F.col("homes") > HOMES))
+    few = without(placed.select("hash", "home").distinct(), crowded, ["hash"], "homes")
+    named = few.join(regions_of.where(F.col("homes") <= HOMES).select("hash", "n"), "hash").groupBy("hash", "n").agg(F.collect_list("home").alias("pivots"))
     pairs = lookup_join(placed, written(named), ["hash"], "n").select("point", "bytes", "home", F.explode("pivots").alias("pivot")).where("home <> pivot").groupBy("pivot", "point").agg(F.max("bytes").alias("bytes"))
     met = distances(written(pairs), points, percent)
     links = links.unionByName(met.where("linked").select(F.col("pivot").alias("a"), F.col("point").alias("b")))
@@ -296,9 +298,8 @@ def regional_links(points: DataFrame, percent: int = PERCENT) -> tuple[DataFrame
     reach = edge.groupBy("pivot").agg(F.min("d").alias("nearest"))
     inside = homes.withColumnRenamed("home", "pivot").join(reach, "pivot").where(F.col("d") >= F.col("nearest") - epsilon - 1e-9)
     regions_ = edge.select(F.xxhash64("pivot").alias("region"), "point").unionByName(inside.select(F.xxhash64("pivot").alias("region"), "point"))
-    crowded = regions_of.where(F.col("homes") > HOMES).select("hash", "n")
     if not crowded.isEmpty():
-        many = written(lookup_join(placed, written(crowded), ["hash"], "n").select("hash", "point"))
+        many = written(lookup_join(placed, crowded.select("hash", "n"), ["hash"], "n").select("hash", "point"))
         first = written(many.groupBy("hash").agg(F.min("point").alias("first"), F.count("*").alias("n")))
         block = components(lookup_join(many, first, ["hash"], "n").select(F.col("point").alias("a"), F.col("first").alias("b")).distinct())
         regions_ = regions_.unionByName(block.select(F.xxhash64("least", F.lit(1)).alias("region"), "point"))
