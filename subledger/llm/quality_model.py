@@ -2,7 +2,7 @@
 
 Every text's trigrams are counted and dealt to shards by their context. The counts of trusted texts, summed over the corpus, give the model by joins of count tables: trigrams
 with their contexts, bigrams by how many characters come before them, and so on down to the uniform distribution. Each shard joins its part of the model with the texts'
-counts; the shards' sums give each text's log probability. A text is kept if its perplexity is within a quantile of the trusted texts of its language.
+counts; the shards' sums give each text's log probability. One in HELD_OUT trusted texts is not trained on; a text is kept if its perplexity is within a quantile of those of its language.
 """
 
 from __future__ import annotations
@@ -14,16 +14,19 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subledger.llm.common import BROADCAST_BYTES, discard, written
 from subledger.llm.words import groups
 
-#: A text is kept up to this quantile of the perplexities of trusted texts in its language.
-QUANTILE = 0.99
-#: Shards of the model; bytes of texts' counts that one task joins with one shard.
-SHARDS, TASK_BYTES = 16, 8 << 20
+#: A text is kept up to this quantile of the perplexities of held-out trusted texts in its language; one in HELD_OUT is held out, by a hash of its id.
+QUANTILE, HELD_OUT = 0.99, 5
+#: Shards of the model, from few to many: one more for every SHARD_BYTES of text. More shards mean fewer copies of the model, one for each salt.
+SHARDS, SHARD_BYTES = (16, 256), 256 << 20
+#: Bytes of texts' counts that one task joins with one shard.
+TASK_BYTES = 8 << 20
 #: Stand for what comes before a text, twice, and for its end.
 BEFORE, END = 2, 3
 _MASK = (1 << 21) - 1
@@ -35,7 +38,12 @@ def _grams(text: str | None) -> np.ndarray:
     return codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
 
 
-def _count(batches: Iterator[pa.RecordBatch], salts: int) -> Iterator[pa.RecordBatch]:
+def spread(part: int, k: int, salts: int) -> int:
+    """The salt of the k-th group of texts of a partition: a hash of both, so that few groups in each of many partitions use all salts."""
+    return xxhash.xxh3_64_intdigest(f"{part} {k}") % salts
+
+
+def _count(batches: Iterator[pa.RecordBatch], salts: int, shards: int) -> Iterator[pa.RecordBatch]:
     """For each group of texts a head (ids, languages, lengths) and for each shard its trigrams, how many entries each has, and the entries: a text of the group and a count of 255 at most."""
     from pyspark import TaskContext
 
@@ -50,15 +58,15 @@ def _count(batches: Iterator[pa.RecordBatch], salts: int) -> Iterator[pa.RecordB
         gram, owner = np.repeat(gram, times), np.repeat(owner, times)
         entry = np.full(len(gram), 255)
         entry[last] = count - 255 * (times - 1)
-        shard = ((gram >> 42) * 31 + (gram >> 21 & _MASK) * 131) % SHARDS
+        shard = ((gram >> 42) * 31 + (gram >> 21 & _MASK) * 131) % shards
         order = np.lexsort((owner, gram, shard))
         gram, owner, entry, shard = gram[order], owner[order].astype(np.uint16), entry[order].astype(np.uint8), shard[order]
-        edge = np.searchsorted(shard, np.arange(SHARDS + 1))
+        edge = np.searchsorted(shard, np.arange(shards + 1))
         name = part << 32 | k
         rows = [(name, -1, 0, pickle.dumps((batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist())), lengths.tobytes(), b"", b"")]
         for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
             own, n = np.unique(gram[a:b], return_counts=True)
-            rows.append((name, s, k % salts, own.tobytes(), n.astype(np.uint32).tobytes(), owner[a:b].tobytes(), entry[a:b].tobytes()))
+            rows.append((name, s, spread(part, k, salts), own.tobytes(), n.astype(np.uint32).tobytes(), owner[a:b].tobytes(), entry[a:b].tobytes()))
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["grp", "shard", "salt", "grams", "sizes", "owners", "entries"])
 
@@ -161,27 +169,32 @@ def _total(pdf: pd.DataFrame) -> pd.DataFrame:
 def quality_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang, n_symbols, perplexity, threshold, kept. ``trusted`` has the ids of trusted texts.
 
-    A null text counts as empty: its end is its one symbol. A null language is a language of its own. A language without trusted texts has the threshold of all trusted
-    texts together; without any, every text is kept. A null id is never trusted. Rows that repeat get equal perplexities, and each counts. No rows give no rows.
+    A null text counts as empty: its end is its one symbol. A null language is a language of its own. The model is of four in five trusted texts, the thresholds of the fifth; where that has none, all
+    trusted texts give the threshold. A language without held-out texts has the threshold of all languages together; without any trusted text, every text is kept. A null id is never trusted. Rows that repeat get equal perplexities, and each counts. No rows give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    salts = int(max(1, size * 0.4 // (SHARDS * TASK_BYTES)))
-    counted = written(rows.mapInArrow(partial(_count, salts=salts), _COUNTED))
-    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).dropna().distinct()
+    shards = int(min(max(SHARDS[0], size // SHARD_BYTES), SHARDS[1]))
+    salts = int(max(1, size * 0.4 // (shards * TASK_BYTES)))
+    counted = written(rows.mapInArrow(partial(_count, salts=salts, shards=shards), _COUNTED))
+    all_ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).dropna().distinct()
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HELD_OUT)) == 0
+    ids = all_ids.where(~held_out)
     heads, parts = counted.where("shard = -1"), counted.where("shard >= 0")
     flags = written(heads.select("grp", "grams").mapInArrow(_members, "grp long, owner int, doc_id long").join(ids, "doc_id", "left_semi").groupBy("grp").applyInPandas(_flags, "grp long, trusted binary"))
     weight = flags.agg(F.sum(F.octet_length("trusted") + 24)).first()[0] or 0
     flagged = parts.join(F.broadcast(flags) if weight <= BROADCAST_BYTES else flags, "grp", "left")
     grams = written(flagged.select("grams", "sizes", "owners", "entries", "trusted").mapInArrow(_sums, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    shard = F.pmod(F.shiftright("gram", 42) * 31 + F.shiftright("gram", 21).bitwiseAND(F.lit(_MASK)) * 131, F.lit(SHARDS)).cast("int")
+    shard = F.pmod(F.shiftright("gram", 42) * 31 + F.shiftright("gram", 21).bitwiseAND(F.lit(_MASK)) * 131, F.lit(shards)).cast("int")
     model = written(kneser_ney(grams).withColumn("shard", shard)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     sums = parts.groupBy("shard", "salt").cogroup(model.groupBy("shard", "salt")).applyInPandas(_score, "grp long, sums binary")
     each = heads.select("grp", F.col("grams").alias("head"), F.col("sizes").alias("sums")).unionByName(sums.withColumn("head", F.lit(None).cast("binary")))
     scored = each.groupBy("grp").applyInPandas(_total, "doc_id long, lang string, n_symbols long, log_p double")
     scored = written(scored.select("doc_id", "lang", "n_symbols", F.exp(-F.col("log_p") / F.col("n_symbols")).alias("perplexity")))
     discard(counted)
-    known = scored.join(ids, "doc_id", "left_semi")
+    known = scored.join(all_ids.where(held_out), "doc_id", "left_semi")
+    if known.isEmpty():
+        known = scored.join(all_ids, "doc_id", "left_semi")
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     overall = known.agg(limit).first()[0]
     by_lang = written(known.groupBy("lang").agg(limit.alias("own")).select(F.coalesce("lang", F.lit("")).alias("name"), "own"))
