@@ -1,13 +1,14 @@
 """SentencePiece encoding by forward-filtering backward-sampling over the piece lattice, and lossless decoding.
 
 A text, with a space put before it, is cut where a space follows what is no space; no piece of the vocabulary crosses such a cut. Each cut-out word has a lattice: an edge for every vocabulary piece in it, and for each
-character that is no piece an edge of its UTF-8 byte pieces. The forward pass sums edge weights over all paths to a position; the backward pass draws an edge into the end, then into where that began, and so on,
+character that is no piece an edge of its UTF-8 byte pieces. A very long word falls into parts at the places that no edge crosses, so that a long text without spaces takes no more memory or time than another. The forward pass sums edge weights over all paths to a position; the backward pass draws an edge into the end, then into where that began, and so on,
 each by its share of the sum. So a segmentation has the probability that its pieces' weights give it. The draws are hashes of the seed, the row key, the word's place in the text and the step: a row's sample
 never depends on other rows. A literal U+2581, which stands for a space in pieces, is always spelt in bytes, so that decoding gives back the text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,8 +23,13 @@ from subledger.llm.words import WordTable, groups
 MARK = "▁"
 #: Weight of a piece is its rank among pieces of text, plus RANK_SHIFT, to the power -SMOOTH: common pieces, which are merged early, weigh most. The larger SMOOTH, the fewer pieces a sample has.
 SMOOTH, RANK_SHIFT = 0.6, 50.0
-#: Longest piece in characters that the lattice looks for.
+#: Longest piece in characters that the lattice looks for; a vocabulary with a longer one is refused.
 LONGEST = 16
+#: A word of more than LONG bytes is taken apart where no piece can cross, into parts of PART characters if the cuts allow it. What can't be cut and has over WHOLE characters is sampled by itself,
+#: WINDOW characters at a time.
+LONG, PART, WHOLE, WINDOW = 1024, 256, 2048, 1 << 16
+#: Bytes of words that are sampled at once; bytes of ids that are decoded at once.
+SLICE_BYTES, DECODE_BYTES = 1 << 20, 8 << 20
 _WORD = re.compile(rb" *[^ ]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,7 +51,10 @@ class Vocabulary:
         names = [model.id_to_piece(i) for i in range(count)]
         self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.bytes = [b"" if model.is_control(i) or model.is_unknown(i) else bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
-        plain = [i for i, n in enumerate(names) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(n) <= LONGEST and (MARK not in n.lstrip(MARK))]
+        longest = max((len(n) for i, n in enumerate(names) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))), default=0)
+        if longest > LONGEST:
+            raise ValueError(f"a piece of {longest} characters is longer than LONGEST")
+        plain = [i for i, n in enumerate(names) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and (MARK not in n.lstrip(MARK))]
         scores = np.array([model.get_score(i) for i in plain])
         rank = np.empty(len(plain))
         rank[np.argsort(-scores, kind="stable")] = np.arange(len(plain))
@@ -61,6 +70,112 @@ class Vocabulary:
         lengths = np.array([len(b) for b in self.bytes])
         self.start, self.length, self.flat = np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(self.bytes), np.uint8)
 
+    def edges(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(weight, piece, longest): weight[k, i] and piece[k, i] are those of the edge of k + 1 characters that begins at character i, whose word has ``left[i]`` characters from there on.
+
+        A character that is no piece has the edge of its bytes, -2.
+        """
+        n = len(chars)
+        weight, piece = np.full((LONGEST, n), -np.inf, np.float32), np.full((LONGEST, n), -1, np.int32)
+        codes = chars.astype(np.uint64) + np.uint64(1)
+        at, h, k = np.arange(n), np.zeros(n, np.uint64), 0
+        for k in range(LONGEST):
+            h = h * _BASE + codes[at + k]
+            own = mix(h)
+            first_bits = own >> np.uint64(42)
+            hit = np.flatnonzero(self.maybe[first_bits])
+            found = np.minimum(np.searchsorted(self.keys, own[hit]), len(self.keys) - 1)
+            same = self.keys[found] == own[hit]
+            weight[k, at[hit[same]]], piece[k, at[hit[same]]] = self.weights[found[same]], self.ids[found[same]]
+            more = self.begins[first_bits] & (left[at] > k + 1)
+            at, h = at[more], h[more]
+            if not len(at):
+                break
+        bare = np.flatnonzero(piece[0] < 0)
+        weight[0, bare], piece[0, bare] = self.byte_weight * (1 + (chars[bare] >= 0x80) + (chars[bare] >= 0x800) + (chars[bare] >= 0x10000)), -2
+        return weight, piece, k + 1
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """``word`` cut where no edge crosses, into parts of PART characters or as near to that as the cuts allow."""
+        text = word.decode("utf-8")
+        found, whole = [], 0
+        for a in range(0, len(text), WINDOW):
+            # Edges into the next window begin in this one's last characters; those that begin before it were seen with it.
+            b = min(len(text), a + WINDOW)
+            chars = np.frombuffer(text[max(0, a - LONGEST) : min(len(text), b + LONGEST)].encode("utf-32-le"), np.uint32)
+            _, piece, longest = self.edges(chars, np.arange(len(chars), 0, -1))
+            crossed = np.zeros(len(chars) + 1, bool)
+            for k in range(1, longest):
+                starts = np.flatnonzero(piece[k] >= 0)
+                for j in range(1, k + 1):
+                    crossed[starts + j] = True
+            free = np.flatnonzero(~crossed) + max(0, a - LONGEST)
+            found.append(free[(free > a) & (free <= b) & (free < len(text))])
+        free = np.append(np.concatenate(found), len(text))
+        # Of the cuts in each run of PART characters the first.
+        ends = free[np.unique(free // PART, return_index=True)[1]]
+        ends = ends if ends[-1] == len(text) else np.append(ends, len(text))
+        out = []
+        for end in ends:
+            out.append(text[whole:end].encode("utf-8"))
+            whole = end
+        return out
+
+    def long_sample(self, word: bytes, dice: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, characters) of a sample of one word that can't be cut, with its lattice in memory for WINDOW characters at a time."""
+        chars = np.frombuffer(word.decode("utf-8").encode("utf-32-le"), np.uint32)
+        n = len(chars)
+        total = np.empty(n)
+
+        def into(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            """(weight, piece) of the edges that end at characters a to b: [k, i] is of the edge of k + 1 characters into a + i."""
+            lo, hi = max(0, a - LONGEST + 1), min(n, b + LONGEST)
+            weight, piece, _ = self.edges(chars[lo:hi], np.arange(hi - lo, 0, -1))
+            ends = np.arange(a, b)
+            w, p = np.full((LONGEST, b - a), -np.inf), np.full((LONGEST, b - a), -1, np.int32)
+            for k in range(LONGEST):
+                some = ends - k >= lo
+                w[k, some], p[k, some] = weight[k, ends[some] - k - lo], piece[k, ends[some] - k - lo]
+            return w, p
+
+        # Forward, in plain numbers that are scaled down when they grow and up when they shrink; recent[k] is the sum k + 1 characters back.
+        recent, offset = [1.0] + [0.0] * (LONGEST - 1), 0.0
+        for a in range(0, n, WINDOW):
+            b = min(n, a + WINDOW)
+            w, _ = into(a, b)
+            end, k = np.nonzero(w.T > -np.inf)
+            edges, sums = iter(zip(end.tolist(), k.tolist(), np.exp(w[k, end]).tolist(), strict=True)), []
+            edge = next(edges, None)
+            for i in range(b - a):
+                f = 0.0
+                while edge is not None and edge[0] == i:
+                    f += edge[2] * recent[edge[1]]
+                    edge = next(edges, None)
+                recent = [f, *recent[:-1]]
+                if not 1e-100 < f < 1e100:
+                    offset += math.log(f)
+                    recent = [x / f for x in recent]
+                    f = 1.0
+                sums.append(math.log(f) + offset)
+            total[a:b] = sums
+        ids, codes, at, step, a, b = [], [], n - 1, 0, n, n
+        while at >= 0:
+            if step % WINDOW == 0:
+                draws = ((mix(np.arange(step + 1, step + WINDOW + 1, dtype=np.uint64) * _BASE + dice) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+            if at < a:
+                a, b = max(0, at + 1 - WINDOW), at + 1
+                w, p = into(a, b)
+                before = np.concatenate([np.full(LONGEST, -np.inf), [0.0], total])[np.arange(a, b) - np.arange(1, LONGEST + 1)[:, None] + 1 + LONGEST]
+                shares, p = np.cumsum(np.exp(w + before - total[a:b]), 0).T.tolist(), p.T.tolist()
+            own = shares[at - a]
+            draw = draws[step % WINDOW] * own[-1]
+            edge = next(k for k, x in enumerate(own) if x > draw)
+            ids.append(p[at - a][edge])
+            codes.append(int(chars[at]))
+            at -= edge + 1
+            step += 1
+        return np.array(ids[::-1], np.int64), np.array(codes[::-1], np.int64)
+
     @staticmethod
     def key(piece: str) -> int:
         h = 0
@@ -103,25 +218,7 @@ class Lattices(WordTable):
         n, begin = len(chars), np.cumsum(length) - length
         place = np.arange(n) - np.repeat(begin, length)
         left = np.repeat(length, length) - place
-        # weight[l, i] and piece[l, i]: the edge of l + 1 characters that begins at character i.
-        weight, piece = np.full((LONGEST, n), -np.inf, np.float32), np.full((LONGEST, n), -1, np.int32)
-        codes = chars.astype(np.uint64) + np.uint64(1)
-        at, h = np.arange(n), np.zeros(n, np.uint64)
-        for k in range(LONGEST):
-            h = h * _BASE + codes[at + k]
-            own = mix(h)
-            first_bits = own >> np.uint64(42)
-            hit = np.flatnonzero(v.maybe[first_bits])
-            found = np.minimum(np.searchsorted(v.keys, own[hit]), len(v.keys) - 1)
-            same = v.keys[found] == own[hit]
-            weight[k, at[hit[same]]], piece[k, at[hit[same]]] = v.weights[found[same]], v.ids[found[same]]
-            more = v.begins[first_bits] & (left[at] > k + 1)
-            at, h = at[more], h[more]
-            if not len(at):
-                break
-        deepest = k + 1
-        bare = np.flatnonzero(piece[0] < 0)
-        weight[0, bare], piece[0, bare] = v.byte_weight * (1 + (chars[bare] >= 0x80) + (chars[bare] >= 0x800) + (chars[bare] >= 0x10000)), -2
+        weight, piece, deepest = v.edges(chars, left)
         # Forward: total[i] is the log of the summed weights of all paths to the end of character i.
         if self.nodes + n > len(self.chars):
             self._room(max(len(self.chars) * 5 // 4, self.nodes + n))
@@ -152,25 +249,22 @@ class Lattices(WordTable):
         return rows
 
 
-def words_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+def words_of(texts: list[str | None], vocabulary: Vocabulary) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts, long ones in parts, and where each text's begin; the last entry is their number."""
     words, starts = [], np.zeros(len(texts) + 1, np.int64)
     for i, t in enumerate(texts):
         if t:
-            words += _WORD.findall(b" " + t.encode("utf-8"))
+            own = _WORD.findall(b" " + t.encode("utf-8"))
+            words += own if max(map(len, own)) <= LONG else [x for w in own for x in ([w] if len(w) <= LONG else vocabulary.parts(w))]
         starts[i + 1] = len(words)
     return words, starts
 
 
-def encode_all(texts: list[str | None], keys: np.ndarray, table: Lattices, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the ids of all texts, where each text's begin)."""
-    words, starts = words_of(texts)
-    if not words:
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+def _sample(words: list[bytes], dice: np.ndarray, table: Lattices) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, word of each): a sample of each word's lattice."""
     number, rows = table.look_up(words)
     shares, pieces, chars = table.shares, table.pieces, table.chars
     node, rest = rows[number].T.copy()
-    place = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
-    dice = mix(mix(np.repeat(keys.astype(np.int64).view(np.uint64), np.diff(starts)) + np.uint64(seed * int(_BASE) % 2**64)) + place.astype(np.uint64) * _BASE)
     who, alive, found = [], np.arange(len(words)), []
     step = 0
     while len(alive):
@@ -187,7 +281,11 @@ def encode_all(texts: list[str | None], keys: np.ndarray, table: Lattices, seed:
     owner, level = np.concatenate(who), np.concatenate([np.full(len(x), k, np.int32) for k, x in enumerate(who)])
     order = np.lexsort((-level, owner))
     ids, code = np.concatenate(found, 1)[:, order]
-    owner = owner[order]
+    return _spelt(ids, code, owner[order], table.vocabulary)
+
+
+def _spelt(ids: np.ndarray, code: np.ndarray, owner: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with the byte pieces of each character that is no piece."""
     bare = np.flatnonzero(ids == -2)
     if len(bare):
         spelt = [chr(c).encode("utf-8") for c in code[bare]]
@@ -196,8 +294,31 @@ def encode_all(texts: list[str | None], keys: np.ndarray, table: Lattices, seed:
         first = np.cumsum(times) - times
         ids, owner = np.repeat(ids, times), np.repeat(owner, times)
         into = np.repeat(first[bare], times[bare]) + np.arange(int(times[bare].sum())) - np.repeat(np.cumsum(times[bare]) - times[bare], times[bare])
-        ids[into] = table.vocabulary.byte_ids[np.frombuffer(b"".join(spelt), np.uint8)]
-    return ids.astype(np.int32), np.searchsorted(owner, starts)
+        ids[into] = vocabulary.byte_ids[np.frombuffer(b"".join(spelt), np.uint8)]
+    return ids.astype(np.int32), owner
+
+
+def encode_all(texts: list[str | None], keys: np.ndarray, table: Lattices, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of all texts, where each text's begin)."""
+    words, starts = words_of(texts, table.vocabulary)
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    place = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
+    dice = mix(mix(np.repeat(keys.astype(np.int64).view(np.uint64), np.diff(starts)) + np.uint64(seed * int(_BASE) % 2**64)) + place.astype(np.uint64) * _BASE)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    # Slices of about SLICE_BYTES; a word that is too long for a lattice in memory is one of its own.
+    alone = lengths > 4 * WHOLE
+    number = np.cumsum(lengths) // SLICE_BYTES + np.cumsum(alone) + np.cumsum(np.append(False, alone[:-1]))
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1), len(words)]
+    found = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if alone[a]:
+            ids, code = table.vocabulary.long_sample(words[a], dice[a])
+            ids, owner = _spelt(ids, code, np.zeros(len(ids), np.int64), table.vocabulary)
+        else:
+            ids, owner = _sample(words[a:b], dice[a:b], table)
+        found.append((ids, owner + a))
+    return np.concatenate([x for x, _ in found]), np.searchsorted(np.concatenate([x for _, x in found]), starts)
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -229,7 +350,7 @@ def encode(docs: DataFrame, model_path: str, seed: int = 11, id_col: str = "doc_
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     vocabulary = _vocabulary_of(path)
-    for batch in batches:
+    for batch in groups(batches, "ids", DECODE_BYTES):
         texts = [vocabulary.decode(np.frombuffer(x, "<i4")) for x in batch.column("ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.drop_columns(["ids"]).columns, pa.array(texts, pa.binary()).cast(pa.string())], [*batch.drop_columns(["ids"]).schema.names, "text"])
 

@@ -51,14 +51,14 @@ class WordTable:
         return self.parts[0] if self.parts else self.compute([])
 
 
-def groups(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each has about GROUP_BYTES of text and GROUP_ROWS at most, or one row."""
+def groups(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each has about ``most_bytes`` of text and GROUP_ROWS at most, or one row."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, base + GROUP_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(sizes, base + most_bytes, "right")))
             to = min(to, at + GROUP_ROWS)
             yield batch.slice(at, to - at)
             at = to
