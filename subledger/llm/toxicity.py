@@ -2,11 +2,12 @@
 
 A word's parts are its character n-grams, with ``<`` and ``>`` at its ends, and the word itself, hashed into BUCKETS rows of one embedding table. A text is the mean of the embeddings of
 all parts of its words, where a word that occurs n times counts as the root of n; a linear softmax tells the two labels apart. Table and softmax are trained together, in numpy, on a bounded sample of labelled rows; a misspelt word shares
-most n-grams, and so vectors, with the word that was seen.
+most n-grams, and so vectors, with the word that was seen. A fifth of the sample takes no part in that: on it the logits are shifted, so that a score of DECISION is where the labels part.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subledger.llm.common import written
 from subledger.llm.words import WordTable, groups, split_all, sums_by
 
 BUCKETS = 1 << 17
 DIMENSIONS = 4
 GRAMS = (3, 4, 5)
-#: The sample to train on has about as many rows of each label at most.
-ROWS_PER_LABEL = 3000
+#: The sample to train on has about as many rows of each label at most, and as many bytes of text in all; one in CALIBRATE rows is calibrated on.
+ROWS_PER_LABEL, SAMPLE_BYTES, CALIBRATE = 3000, 64 << 20, 5
+#: The score at which a text is taken for toxic, and how much more recall counts than precision when the scores are shifted to that.
+DECISION, BETA = 0.3, 2.0
 #: Steps over the whole sample, how far speed carries on, step lengths of embeddings, softmax and bias, and how much a mean is scaled up.
 STEPS, MOMENTUM, RATES, SCALE = 60, 0.9, (100.0, 0.02, 0.1), 30.0
 #: Words in fewer of the sample's texts than this share, or than 3, are not trained on.
@@ -58,6 +62,25 @@ def parts_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed[order].astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(by, minlength=len(marked)))])
 
 
+def calibration(logits: np.ndarray, labels: np.ndarray, prior: float) -> float:
+    """What to add to the logits so that a score of DECISION parts the labels best: by the F-measure that counts recall BETA times as much as precision, where label 1 has the share ``prior``.
+
+    Of cuts that part equally well the middle one counts. With one label only it is the share's own logit.
+    """
+    ones = labels == 1
+    if not 0 < prior < 1 or not ones.any() or ones.all():
+        return float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
+    order = np.argsort(-logits, kind="stable")
+    found, wrong = np.cumsum(ones[order]) / ones.sum(), np.cumsum(~ones[order]) / (~ones).sum()
+    precision = prior * found / np.maximum(prior * found + (1 - prior) * wrong, 1e-12)
+    f = (1 + BETA**2) * precision * found / np.maximum(BETA**2 * precision + found, 1e-12)
+    x = logits[order]
+    below = np.append(x[1:], x[-1] - 1.0)
+    f[x == below] = -1.0  # no cut between equals
+    best = int(f.argmax())
+    return float(np.log(DECISION / (1 - DECISION)) - (x[best] + below[best]) / 2)
+
+
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """(score, weight) of each bucket and the bias: the embeddings and the softmax, multiplied out. ``prior``: the share of label 1 among all labelled rows.
 
@@ -108,7 +131,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 3) ->
     table = np.zeros((len(own), DIMENSIONS))
     softmax, bias = np.random.default_rng(seed).normal(0, 1 / np.sqrt(DIMENSIONS), (DIMENSIONS, 2)), np.zeros(2)
     truth = np.eye(2)[labels]
-    balance = (truth / np.maximum(1, truth.sum(0))).sum(1, keepdims=True) / 2
+    aside = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) % CALIBRATE == 0 for t in texts), bool, len(texts))
+    learned = truth * ~aside[:, None]
+    balance = (learned / np.maximum(1, learned.sum(0))).sum(1, keepdims=True) / 2
     params, speeds = [table, softmax, bias], [0.0, 0.0, 0.0]
     for _ in range(STEPS):
         vectors = sums_by((table * idf)[local], begin)
@@ -122,9 +147,10 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 3) ->
             speeds[k] = MOMENTUM * speeds[k] + g
             x -= RATES[k] * speeds[k]
     scores, all_weights = np.zeros(BUCKETS, np.float32), weights.astype(np.float32)
+    means = sums_by(sums_by((table * idf)[local], begin)[word] * factor, doc_edges)
+    logits = means @ (softmax[:, 1] - softmax[:, 0]) + float(bias[1] - bias[0])
     scores[own] = SCALE * (table * idf) @ (softmax[:, 1] - softmax[:, 0])
-    # The sample is balanced by weight; the shift gives label 1 its share among all labelled rows.
-    return scores, all_weights, float(bias[1] - bias[0]) + shift
+    return scores, all_weights, float(bias[1] - bias[0]) + calibration(logits[aside], labels[aside], prior)
 
 
 class WordScores(WordTable):
@@ -152,20 +178,30 @@ def _score(batches: Iterator[pa.RecordBatch], scores: np.ndarray, weights: np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_label: int = ROWS_PER_LABEL) -> tuple[np.ndarray, np.ndarray, float]:
-    """Train on about ``rows_per_label`` rows of each label at most, chosen by a hash of their id; the labels' shares are counted over all of ``labels``."""
-    known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label")).dropna().dropDuplicates(["id"])
+    """Train on about ``rows_per_label`` rows of each label at most, those with the lowest hashes of their id, and on SAMPLE_BYTES of text; the labels' shares are counted over all of ``labels``.
+
+    A null id or label is left out; of an id with two labels the larger counts. Of an id with several texts all are taken, within the bound. Labels of one kind only, or none, give every text the share of label 1.
+    """
+    known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
     counts = dict(known.groupBy("label").count().collect())
+    dice = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20))
     chance = F.when(F.col("label") == 1, rows_per_label / max(1, counts.get(1, 0))).otherwise(rows_per_label / max(1, counts.get(0, 0)))
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < chance * (1 << 20)).limit(3 * rows_per_label)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna().join(F.broadcast(chosen), "id").select("label", "text").toArrow()
+    chosen = known.where(dice < chance * (1 << 20)).withColumn("dice", dice).orderBy("dice", "id").limit(3 * rows_per_label)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna().join(F.broadcast(chosen), "id").select("label", "dice", "text")
+    sized = written(sample)
+    size, rows = sized.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    share = min(1.0, SAMPLE_BYTES / max(1, size or 0), 3 * rows_per_label / max(1, rows))
+    # Fewer rows rather than parts of texts.
+    table = sized.where(F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 20)) < share * (1 << 20)).orderBy("dice", "text").select("label", "text").toArrow()
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    labels_of, texts = sample.column("label").to_numpy().astype(np.int64), sample.column("text").to_pylist()
-    del sample
+    labels_of, texts = table.column("label").to_numpy().astype(np.int64), table.column("text").to_pylist()
+    del table
     return train(texts, labels_of, prior)
 
 
 def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for each row of ``docs``, over its whole text. A null or empty text has the score of the bias alone; equal texts have equal scores; no rows give no rows."""
+    """(doc_id, score) for each row of ``docs``, over its whole text. A null or empty text has the score of the bias alone; equal texts have equal scores; null and repeated ids stay as they are; other columns play no part, whatever
+    their names; no rows give no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 x BUCKETS floats, whatever the input
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda batches: _score(batches, *shared.value), "doc_id long, score double")
