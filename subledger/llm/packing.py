@@ -1,8 +1,8 @@
 """Packing by power-of-two decomposition.
 
 A document of n tokens is cut into n div MAX_LENGTH pieces of MAX_LENGTH and one piece for each binary digit of the rest, longest
-first. Every piece is a sequence of its own whose length is a power of two, so nothing is padded and no sequence holds two documents. Batches are made of equal lengths: ``write_buckets`` keeps one
-folder for each length.
+first. Every piece is a sequence of its own whose length is a power of two, so nothing is padded and no sequence holds two documents. ``write_buckets`` puts equal lengths into one folder,
+from which batches are cut.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """One row for each piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
     A null text counts as empty; an empty text is one piece of the end id alone. Each row of ``docs`` is packed by itself, so repeated rows and null ids
-    get sequences of their own. No rows give no rows. ``max_length`` is a power of two. ``sequence_id`` is unique; it follows the input's files and splits.
+    get sequences of their own; other columns play no part, whatever their names. No rows give no rows. ``max_length`` is a power of two. ``sequence_id`` is unique; it follows the input's files and splits.
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
@@ -136,6 +136,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
-def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Write the sequences to ``path``/bucket=LENGTH/, each ready to be cut into batches of equal lengths without padding."""
-    pieces.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
+def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
+    """Write the sequences to ``path``/bucket=LENGTH/ and return the table as read from there: all sequences of one length lie together, ready to be cut into batches without padding.
+
+    Each task writes its own pieces, one file for each of the log2(max_length) + 1 lengths at most, without a shuffle.
+    """
+    rows = pieces.withColumn("bucket", F.col("length").cast("int"))
+    rows.write.partitionBy("bucket").parquet(path)
+    return pieces.sparkSession.read.schema(rows.schema).parquet(path)

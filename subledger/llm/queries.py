@@ -13,7 +13,7 @@ from subledger.llm.common import shared_dir
 from subledger.llm.exact_dedup import exact_dedup
 from subledger.llm.jaccard_join import jaccard_components
 from subledger.llm.license_scan import license_report
-from subledger.llm.packing import pack
+from subledger.llm.packing import pack, write_buckets
 from subledger.llm.quality_model import quality_model
 from subledger.llm.quality_rules import quality_rules
 from subledger.llm.sentencepiece_sampling import decode, encode
@@ -57,8 +57,9 @@ def tokenizer_path(name: str) -> str:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = pack(docs, tokenizer_path("word_bpe_49k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """The sequences as read from the buckets of equal lengths."""
+    pieces = write_buckets(pack(docs, tokenizer_path("word_bpe_49k.json")), f"{shared_dir(docs.sparkSession)}/{uuid.uuid4().hex}")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
