@@ -2,7 +2,7 @@
 
 Each language has a character-trigram model, counted over all labelled rows. A document is a mixture of languages: its words are draws from them, and a word's likelihood in a
 language is that of its trigrams. Expectation-maximisation estimates the proportions. The set of languages is the one whose likelihood, less PENALTY times the
-log of the number of words for each language after the first, is largest: the best single language, then others while they pay.
+log of the number of words for each language after the first, is largest. It is looked for step by step: the best single language, then the one that adds most, while it pays.
 """
 
 from __future__ import annotations
@@ -124,10 +124,10 @@ def languages_of(likelihoods: np.ndarray) -> dict[int, float]:
     return dict(zip(chosen, map(float, shares), strict=True))
 
 
-def _identify(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _identify(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.ndarray, text: str) -> Iterator[pa.RecordBatch]:
     words_seen = WordLikelihoods(table)
-    for batch in groups(batches, "_text"):
-        words, starts = split_all(batch.column("_text").to_pylist())
+    for batch in groups(batches, text):
+        words, starts = split_all(batch.column(text).to_pylist())
         found: list[tuple[str, float, list[str]]] = []
         number, rows = words_seen.look_up(words) if langs else (None, None)
         for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -140,7 +140,7 @@ def _identify(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.nda
             ordered = sorted(shares, key=lambda k: (-shares[k], k))
             found.append((langs[ordered[0]], shares[ordered[0]], [langs[k] for k in ordered]))
         new = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.list_(pa.string())), strict=True)]
-        carried = batch.drop_columns(["_text"])
+        carried = batch.drop_columns([text])
         yield pa.RecordBatch.from_arrays([*carried.columns, *new], [*carried.schema.names, "lang_pred", "score", "languages"])
 
 
@@ -151,6 +151,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[s
     name. Rows are judged alone by their text; what is carried, nulls and repeats included, stays as it is, but for columns with the names of the results, which are replaced. No rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats for each language
-    rows = docs.select(*(c for c in carry if c not in ("lang_pred", "score", "languages")), F.col(text_col).alias("_text"))
+    carried = [c for c in carry if c not in ("lang_pred", "score", "languages")]
+    text = "text_" + "_".join(carried)  # no name that is carried
+    rows = docs.select(*carried, F.col(text_col).alias(text))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda batches: _identify(batches, *shared.value), f"{fields}lang_pred string, score double, languages array<string>")
+    return rows.mapInArrow(lambda batches: _identify(batches, *shared.value, text), f"{fields}lang_pred string, score double, languages array<string>")
