@@ -24,41 +24,50 @@ LANGUAGE_SHARE = 0.5
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with an id in ``ids``; rows that share an id, or have none, stay or go together."""
-    chosen = ids.select(F.col("doc_id").alias("chosen")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from the struct ``record``, where no name can clash with one of ours."""
+    return rows.select(*(F.col("record")[c].alias(c) for c in docs.columns))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines that the rules remove; ``n_chars`` follows the text."""
-    ruled = quality_rules(docs).where("rules.kept")
+    """Documents that the quality rules keep, without the lines that the rules remove; ``n_chars`` follows the text.
+
+    Null, empty and short texts go. Equal texts of a host count as one document for its lines, since the copies go only in a later stage; repeated rows stay or go together. Other columns are carried.
+    """
+    rows = docs.select(F.struct("*").alias("record"), "text", "source", "n_chars")
+    ruled = quality_rules(rows).where("rules.kept")
     size = F.when(F.col("rules.removed_chars") > 0, F.char_length("rules.text").cast("long")).otherwise(F.col("n_chars"))
-    return ruled.withColumns({"text": F.col("rules.text"), "n_chars": size}).select(*docs.columns)
+    new = {"text": F.col("rules.text"), "n_chars": size}
+    return ruled.select(*(new.get(c, F.col("record")[c]).alias(c) for c in docs.columns))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that can be told, and one that most of their words are in; learned from the stage's own input."""
+    """Documents with a language that can be told, and one that most of their words are in; learned from the stage's own input.
+
+    Null texts and texts without a letter go; a null ``lang`` is not learned from. Equal texts stay or go together. Other columns are carried.
+    """
     model = language_id.fit(docs)
-    found = language_id.identify(docs.withColumn("document", F.struct("*")), model, ["document"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE)).select("document.*")
+    found = language_id.identify(docs.select(F.struct("*").alias("record"), "text"), model, ["record"])
+    return _restored(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE)), docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id."""
+    """Of equal texts the document with the smallest id, null ids last; a null text counts as empty. Of rows that repeat id and text one stays. Other columns are carried."""
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    marked = docs.withColumn("sha", F.sha2(normalised(F.col("text")), 256))
-    rows = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "sha"]).select(*docs.columns)
+    marked = docs.select(F.struct("*").alias("record"), F.col("doc_id").alias("own_id"), F.sha2(normalised(F.col("text")), 256).alias("own_sha"))
+    rows = marked.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_sha") == F.col("kept_sha")), "left_semi")
+    return _restored(rows.dropDuplicates(["own_id", "own_sha"]), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    return _only(docs, jaccard_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).where("doc_id <=> component_id"))
+    """Of each group of near copies the document with the smallest id; texts without a word are near none. Rows that share an id, or have none, stay or go together. Other columns are carried."""
+    chosen = jaccard_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).where("doc_id <=> component_id").select(F.col("doc_id").alias("chosen_id")).distinct()
+    rows = docs.select(F.struct("*").alias("record"), F.col("doc_id").alias("own_id"))
+    return _restored(rows.join(chosen, F.col("own_id").eqNullSafe(F.col("chosen_id")), "left_semi"), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens as sequences."""
+    """The documents' tokens as sequences; a null or empty text is its end id alone. Each row is packed by itself; other columns play no part."""
     return packed(docs)
 
 
