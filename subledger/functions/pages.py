@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from subledger.functions.text import let, parse_number
+from subledger.functions.text import html_to_text, let, parse_number
 
 # How each currency is written on pages.
 CURRENCY_PATTERNS = {
@@ -16,6 +16,7 @@ CURRENCY_PATTERNS = {
     "AUD": r"(?:A\$|AUD)", "NZD": r"(?:NZ\$|NZD)", "JPY": "(?:¥|JPY)", "KRW": "(?:₩|KRW)", "CNY": "(?:¥|CNY)", "HKD": r"(?:HK\$|HKD)", "TWD": r"(?:NT\$|TWD)", "SGD": r"(?:S\$|SGD)", "INR": "(?:₹|INR)",
     "IDR": "(?:Rp|IDR)", "MYR": "(?:RM|MYR)", "THB": "(?:฿|THB)", "PHP": "(?:₱|PHP)", "VND": "(?:₫|VND)", "AED": "(?:AED)", "SAR": r"(?:SAR|ر\.س)", "ILS": "(?:₪|ILS)", "TRY": "(?:₺|TRY)", "UAH": "(?:₴|UAH)", "ZAR": "(?:R|ZAR)",
 }
+# What months are called next to a price.
 MONTH_WORDS = "(?:month|monthly|måned|månad|monat|mese|mes|mois|maand)"
 
 
@@ -92,3 +93,136 @@ def price_range(text: Column, currency: str) -> Column:
     )
     ends = (F.struct(parse_number(F.regexp_extract(text, t, 1)).alias("low"), parse_number(F.regexp_extract(text, t, 2)).alias("high")) for t in tries)
     return F.coalesce(*(let(e, lambda x: F.when((x["low"] > 0) & (x["high"] >= x["low"]), x)) for e in ends))
+
+
+PRICES = "array<struct<plan:string,amount:double>>"
+
+
+def _none() -> Column:
+    return F.array().cast(PRICES)
+
+
+def _pairs(names: Column, amounts: Column) -> Column:
+    """(plan, amount) of two arrays, without those that have no amount above 0."""
+    rows = F.zip_with(names, amounts, lambda n, a: F.struct(F.btrim(n).alias("plan"), parse_number(a).alias("amount")))
+    return F.filter(rows, lambda x: x["amount"] > 0)
+
+
+def recurring_prices(text: Column, plans: list[str], currency: str) -> Column:
+    """Array of (plan, amount): the price that an introductory offer turns into, named by "then" or "after"; without one, the price near the plan's name."""
+    money, number = currency_pattern(currency), r"([\d.,\s]+)"
+
+    def amount(plan: str) -> Column:
+        lead = rf"(?iu){re.escape(plan)}.{{0,220}}?(?:then|after|deretter).{{0,40}}?"
+        tries = (rf"{lead}{money}\s*{number}.{{0,30}}?{MONTH_WORDS}", rf"{lead}{number}\s*{money}.{{0,30}}?{MONTH_WORDS}")
+        found = [let(parse_number(F.regexp_extract(text, t, 1)), lambda x: F.when(x > 0, x)) for t in tries]
+        return F.coalesce(*found, F.get(price_near_plan(text, [plan], currency), 0)["amount"])
+
+    each = F.array(*(F.struct(F.lit(p).alias("plan"), amount(p).alias("amount")) for p in plans))
+    return F.filter(each, lambda x: x["amount"] > 0)
+
+
+def storage_tiers(html: Column, currency: str) -> Column:
+    """Array of (plan, amount) of the storage plans in a page's third embedded data block: monthly ones in the currency, in millionths there; a plan with an assistant is named after its tier."""
+    block = F.regexp_extract(html, r"(?s)AF_initDataCallback\(\{key: 'ds:2'(.*?)(?:</script>|\z)", 1)
+    # A record: size, then [millionths, shown price, currency], then [number, product id, ...]; its section ends where the next one begins.
+    record = r'\["\d+","([^"]+)"\],2,\["(\d+)","[^"]+","([A-Z]{3})"\],\["\d+","([^"]+)","[^"]+"\],"[^"]+","[^"]+"'
+    part = lambda k: F.regexp_extract_all(block, F.lit(record), F.lit(k))
+    # What follows each record: the block is split where records begin.
+    rest = F.slice(F.split(F.regexp_replace(block, record, "\x01"), "\x01"), 2, 10_000)
+    rows = F.arrays_zip(part(1).alias("size"), part(2).alias("micros"), part(3).alias("currency"), part(4).alias("product"))
+    counted = F.transform(rows, lambda r, i: F.struct(r["size"].alias("size"), r["micros"].cast("double").alias("micros"), (r["currency"] == currency).alias("here"), r["product"].alias("product"), F.get(rest, i).alias("rest")))
+    good = F.filter(counted, lambda r: r["here"] & ~r["product"].endswith(".annual") & (r["micros"] > 0))
+
+    def named(r: Column) -> Column:
+        tier = F.nullif(F.regexp_extract(r["rest"], '"(Google AI (?:Plus|Pro|Ultra))"', 1), F.lit(""))
+        return F.struct(F.coalesce(F.concat(tier, F.lit(" — "), r["size"]), F.concat(F.lit("Storage "), r["size"])).alias("plan"), (r["micros"] / 1_000_000).alias("amount"))
+
+    return F.transform(good, named)
+
+
+# What a month is called in the embedded data of one service.
+PERIODS = ("måned", "månad", "month", "monthly", "mois", "mese", "mês", "maand", "kuukausi")
+
+
+def structured_plans(html: Column, currency: str) -> Column:
+    """Array of (plan, amount) of products in a page's embedded JSON, by their name's plain text, price, period and plan id: monthly ones in the currency, each once."""
+    text = lambda key: rf'"{key}"\s*:\s*"([^"]*)"'
+    record = rf'"productName"\s*:\s*\{{[^{{}}]*{text("plainText")}[^{{}}]*\}}\s*,\s*"price"\s*:\s*\{{([^{{}}]*)\}}'
+    names, bodies = (F.regexp_extract_all(html, F.lit(record), F.lit(k)) for k in (1, 2))
+    field = lambda body, key: F.regexp_extract(body, rf'"{key}"\s*:\s*"?([^",}}]*)', 1)
+
+    def row(name: Column, body: Column) -> Column:
+        amount = F.replace(F.regexp_replace(field(body, "amount"), r"\s", ""), F.lit(","), F.lit(".")).try_cast("double")
+        good = (field(body, "currencyCode") == currency) & F.lower(F.btrim(field(body, "period"))).isin(*PERIODS) & (amount > 0) & (field(body, "pricePlanId") != "")
+        return F.when(good, F.struct(F.btrim(name).alias("plan"), amount.alias("amount")))
+
+    return F.array_distinct(F.filter(F.zip_with(names, bodies, row), lambda x: x.isNotNull()))
+
+
+def footnote_prices(html: Column, currency: str) -> Column:
+    """Array of (plan, amount) from the Norwegian footnote that states the three current prices together; empty if one is missing, or in another currency."""
+    number, month = r"([0-9][0-9\s.,]*)\s*kr\s+per\s+m[åa]ned\s+for\s+", r"(?iu)for\s+[øo]yeblikket\s+"
+    pattern = rf"{month}{number}Premium,\s*{number}Standard\s+eller\s+{number}Standard\s+med\s+reklame"
+    text = html_to_text(html)
+    rows = F.array(*(F.struct(F.lit(plan).alias("plan"), parse_number(F.regexp_extract(text, pattern, k)).alias("amount")) for k, plan in enumerate(("Premium", "Standard", "Standard with Ads"), 1)))
+    whole = let(F.filter(rows, lambda x: x["amount"] > 0), lambda x: F.when(F.size(x) == 3, x))
+    return F.coalesce(whole, _none()) if currency == "NOK" else _none()
+
+
+def basic_monthly(html: Column, currency: str) -> Column:
+    """The monthly amount of the Basic product card: heading, price and "per måned" inside one card; null for yearly cards and other currencies."""
+    cards = F.slice(F.split(html, r'(?i)<div\b[^>]*class="[^"]*\bsku\b[^"]*"[^>]*>'), 2, 1000)
+    here = F.filter(cards, lambda c: c.rlike(r"(?is)<h3\b[^>]*>\s*Microsoft 365 Basic\s*</h3>"))
+    amount = lambda c: parse_number(F.regexp_extract(html_to_text(c), r"(?iu)kr\s*([\d\s.,]+?)\s*per\s+måned", 1))
+    return F.get(F.filter(F.transform(here, amount), lambda x: x > 0), 0) if currency == "NOK" else F.lit(None).cast("double")
+
+
+def comparison_prices(html: Column, currency: str) -> Column:
+    """Array of (plan, amount): after each product's heading the first price "/måned" before the next heading."""
+    sections = F.slice(F.split(html, r"(?i)<h2\b[^>]*>"), 2, 1000)
+    plan = lambda s: F.regexp_extract(s, r"(?is)^\s*Microsoft 365 (Personal|Family|Premium)\s*</h2>", 1)
+    amount = lambda s: parse_number(F.regexp_extract(html_to_text(s), r"(?iu)kr\s*([\d\s.,]+?)\s*/\s*måned", 1))
+    rows = F.transform(sections, lambda s: F.struct(plan(s).alias("plan"), amount(s).alias("amount")))
+    return F.array_distinct(F.filter(rows, lambda x: (x["plan"] != "") & (x["amount"] > 0))) if currency == "NOK" else _none()
+
+
+# Markers of the storage tiers on a page, in order, and their names.
+TIERS = {"plan-50gb": "50 GB", "plan-200gb": "200 GB", "plan-2tb": "2 TB", "plan-6tb": "6 TB", "plan-12tb": "12 TB"}
+
+
+def tier_prices(html: Column, currency: str) -> Column:
+    """Array of (plan, amount) of all five storage tiers; empty unless each one's block, from its marker to the next, names exactly one amount."""
+    money = currency_pattern(currency)
+    blocks = F.split(html, r'(?=[ "]plan-(?:50gb|200gb|2tb|6tb|12tb)\b)')
+
+    def tier(marker: str, name: str) -> Column:
+        own = F.get(F.filter(blocks, lambda b: F.substring(b, 2, len(marker)) == marker), 0)
+        text = F.replace(html_to_text(own), F.lit("\u00a0"), F.lit(" "))
+        amount = unanimous_price(text, [rf"{money}\s*([\d][\d.,]*)", rf"([\d][\d.,]*)\s*{money}"])
+        return F.struct(F.lit(name).alias("plan"), amount.alias("amount"))
+
+    rows = F.filter(F.array(*(tier(m, n) for m, n in TIERS.items())), lambda x: x["amount"].isNotNull())
+    return let(rows, lambda x: F.when(F.size(x) == len(TIERS), x).otherwise(_none()))
+
+
+def last_amounts(text: Column, currency: str) -> Column:
+    """The last distinct amount that a card names: an offer comes first, what it turns into last."""
+    money = currency_pattern(currency)
+    raw = F.regexp_extract_all(text, F.lit(rf"(?iu){money}\s*([\d][\d.,]*)|([\d][\d.,]*)\s*{money}"), F.lit(0))
+    amounts = F.array_distinct(F.filter(F.transform(raw, parse_number), lambda x: x > 0))
+    return F.when(F.size(amounts) > 0, F.element_at(amounts, -1))
+
+
+# Other names of plans.
+PLAN_NAMES = {"basic": "Basic", "basis": "Basic", "standard": "Standard", "premium": "Premium", "standard with ads": "Standard with Ads", "standard med reklame": "Standard with Ads"}
+
+
+def plan_name(raw: Column) -> Column:
+    """A plan's usual name; null for an unknown one."""
+    return F.element_at(F.create_map(*(F.lit(x) for kv in PLAN_NAMES.items() for x in kv)), F.lower(F.btrim(raw)))
+
+
+def page_language(html: Column) -> Column:
+    """The language that a page declares, in lower case; null without one."""
+    return F.nullif(F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*\blang=["']?([A-Za-z-]+)""", 1)), F.lit(""))

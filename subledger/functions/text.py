@@ -50,24 +50,39 @@ def threshold(length: Column) -> Column:
 def word_score(word: Column, target: Column) -> Column:
     """100 for equal words; 80 less 10 for each edit within the threshold, from four letters on; else null."""
     far = F.levenshtein(word, target)
-    near = (F.length(word) >= 4) & (F.length(target) >= 4) & (F.abs(F.length(word) - F.length(target)) <= 3) & (far <= threshold(F.length(target)))
-    return F.when(word == target, 100).when(near, 80 - 10 * far)
+    close = (F.length(word) >= 4) & (F.length(target) >= 4) & (F.abs(F.length(word) - F.length(target)) <= 3)
+    return F.when(word == target, 100).when(close & (far <= threshold(F.length(target))), 80 - 10 * far)
 
 
-def phrase_score(text: Column, phrase: str) -> Column:
-    """How well a normalised ``text`` holds a normalised phrase: as whole words, or the best run of words close to its words; null if it doesn't."""
-    words = phrase.split()
-    whole = F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {phrase} ")
+def word_matches(word: Column, target: Column) -> Column:
+    """Whether two words are equal or within the target's threshold, however short; never for an empty one."""
+    a, b = normalise(word), normalise(target)
+    return (a != "") & (b != "") & ((a == b) | (F.levenshtein(a, b) <= threshold(F.length(b))))
 
-    def windows(given: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(given) - len(words))
-        total = lambda i: sum((word_score(F.get(given, i + k), F.lit(w)) for k, w in enumerate(words)), F.lit(20 * len(words)))
-        return F.when(F.size(given) >= len(words), F.array_max(F.transform(at, total)))
 
-    fuzzy = let(F.split(text, " "), windows)
-    return F.when((text == "") | (phrase == ""), None).when(whole, 1000 + 100 * len(words) + len(phrase)).otherwise(fuzzy)
+def phrases_of(phrases: list[str]) -> Column:
+    """A literal array of phrases as one expression, so that plans stay small."""
+    return F.split(F.lit("|".join(phrases)), r"\|")
 
 
-def best_score(text: Column, phrases: list[str]) -> Column:
-    scores = [phrase_score(text, p) for p in phrases]
-    return F.greatest(*scores) if len(scores) > 1 else scores[0]
+def phrase_score(text: Column, words: Column, phrase: Column, score=word_score, per_letter: int = 1) -> Column:
+    """How well a normalised ``text`` of ``words`` holds a normalised phrase: as whole words, or the best run of words close to its words; null if it doesn't."""
+
+    def windows(own: Column) -> Column:
+        total = lambda i: F.aggregate(F.zip_with(F.slice(words, i + 1, F.size(own)), own, score), 20 * F.size(own), lambda s, x: s + x)
+        return F.when(F.size(words) >= F.size(own), F.array_max(F.transform(F.sequence(F.lit(0), F.size(words) - F.size(own)), total)))
+
+    whole = F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" ")))
+    own = F.split(phrase, " ")
+    return F.when((text == "") | (phrase == ""), None).when(whole, 1000 + 100 * F.size(own) + per_letter * F.length(phrase)).otherwise(let(own, windows))
+
+
+def best_match(text: Column, words: Column, phrases: list[str]) -> Column:
+    """Struct of the best score and the phrase that has it, the first at a tie; null if none fits."""
+    each = F.transform(phrases_of(phrases), lambda p, i: F.struct(phrase_score(text, words, p).alias("score"), (-i).alias("at"), p.alias("phrase")))
+    best = F.array_max(F.filter(each, lambda x: x["score"].isNotNull()))
+    return F.when(best.isNotNull(), F.struct(best["score"].alias("score"), best["phrase"].alias("phrase")))
+
+
+def holds(text: Column, words: Column, phrases: list[str]) -> Column:
+    return F.exists(phrases_of(phrases), lambda p: phrase_score(text, words, p).isNotNull())

@@ -20,10 +20,15 @@ def renews(status: Column, effective: Column, renewal: Column) -> Column:
 
 
 def subscription_list(subscriptions: DataFrame, services: DataFrame, providers: DataFrame) -> DataFrame:
-    """Subscriptions with service and provider names and a formatted renewal date, by service name."""
-    named = subscriptions.join(F.broadcast(services.select("service_id", "service_name")), "service_id").join(F.broadcast(providers), "provider_id")
+    """Subscriptions with service and provider names and a formatted renewal date. Providers are five; services may be many, and are left to adaptive execution."""
+    named = subscriptions.join(services.select("service_id", "service_name"), "service_id").join(F.broadcast(providers), "provider_id")
     shown = F.when(F.col("status") != "ACTIVE", F.date_format("status_effective_date", "yyyy-MM-dd"))
-    return named.select("id", "user_id", "service_name", "provider_slug", "status", "plan_name", "price_minor", F.date_format("renewal_date", "yyyy-MM-dd").alias("renewal"), shown.alias("stopped_on")).orderBy("service_name", "id")
+    return named.select("id", "user_id", "service_name", "provider_slug", "status", "plan_name", "price_minor", F.date_format("renewal_date", "yyyy-MM-dd").alias("renewal"), shown.alias("stopped_on"))
+
+
+def list_of(listed: DataFrame, user_id: int) -> DataFrame:
+    """One user's list by service name."""
+    return listed.where(F.col("user_id") == user_id).orderBy("service_name", "id")
 
 
 def best_of_each(subscriptions: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,22 +67,25 @@ def confirm(actions: DataFrame) -> DataFrame:
     return actions.select("id", status.alias("before"), F.when(direct, "COMPLETED").when(waits, "AWAITING_USER_ACTION").otherwise(status).alias("after"), F.when(direct, target).alias("subscription_status"))
 
 
-def provider_result(actions: DataFrame, subscriptions: DataFrame, results: DataFrame) -> DataFrame:
+def provider_result(actions: DataFrame, subscriptions: DataFrame, results: DataFrame, booked: DataFrame | None = None) -> DataFrame:
     """What ``results`` (id, result, on_date) of a provider do: the action's and the subscription's new state and the saving it books.
 
-    Only redirected or guided actions that wait are touched. UNCHANGED cancels the action; ACTIVE clears the effective date; a stop with a price above 0 books one estimated month.
+    Only redirected or guided actions that wait, and whose subscription is their user's, are touched. An action with an estimate among the ``booked`` savings events books no second one. UNCHANGED cancels the action; ACTIVE clears the effective date; a stop with a price above 0 books one estimated month.
     """
     open_ones = actions.where(F.col("execution").isin("PROVIDER_REDIRECT", "GUIDED") & (first_action_status(actions) != "REQUESTED"))
-    priced = subscriptions.select(F.col("id").alias("subscription_id"), "price_minor", "status", "status_effective_date")
-    joined = open_ones.join(results, "id").join(priced, "subscription_id")
+    priced = subscriptions.select(F.col("id").alias("subscription_id"), "user_id", "price_minor", "status", "status_effective_date")
+    joined = open_ones.join(results, "id").join(priced, ["subscription_id", "user_id"])
+    before = booked.where("kind = 'ESTIMATED'").select(F.col("action_id").alias("id"), F.lit(True).alias("booked")).distinct() if booked is not None else results.limit(0).select("id", F.lit(True).alias("booked"))
+    joined = joined.join(before, "id", "left")
     stops = F.col("result").isin("PAUSED", "CANCELLED")
+    books = stops & (F.col("price_minor") > 0) & F.col("booked").isNull()
     same = F.col("result") == "UNCHANGED"
     return joined.select(
         "id", "subscription_id", F.when(same, "CANCELLED").otherwise("COMPLETED").alias("action_status"),
         F.when(same, F.col("status")).otherwise(F.col("result")).alias("subscription_status"),
         F.when(same, F.col("status_effective_date")).when(stops, F.col("on_date")).alias("status_effective_date"),
-        F.when(stops & (F.col("price_minor") > 0), F.col("price_minor")).alias("saving_minor"),
-        F.when(stops & (F.col("price_minor") > 0), F.date_sub(F.add_months("on_date", 1), 1)).alias("saving_until"),
+        F.when(books, F.col("price_minor")).alias("saving_minor"),
+        F.when(books, F.date_sub(F.add_months("on_date", 1), 1)).alias("saving_until"),
     )
 
 
@@ -88,9 +96,124 @@ def preview(actions: DataFrame, entitlements: DataFrame) -> DataFrame:
     return actions.join(entitlements, "user_id", "left").select("id", "user_id", plan.alias("plan"), verdict.alias("verdict"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` in place of those of ``old`` with the same key, the rest as it was; both have the same columns."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def merge_metadata(old: Column, new: Column) -> Column:
+    """Two JSON objects of texts as one; a key of the new one replaces the old one's."""
+    maps = [F.coalesce(F.from_json(x, "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>")) for x in (old, new)]
+    kept = F.map_filter(maps[0], lambda k, _: ~F.array_contains(F.map_keys(maps[1]), k))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, maps[1])))))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of ``new`` in place of those of ``old`` with the same key, the rest as it was; both have the same columns. Of new rows with one key the last by ``order`` counts, or one of them without it."""
+    if order:
+        rank = Window.partitionBy(key).orderBy(F.desc(order))
+        last = new.withColumn("nth", F.row_number().over(rank)).where("nth = 1").select(*old.columns)
+    else:
+        last = new.select(*old.columns).dropDuplicates([key])
+    return old.join(last.select(key), key, "left_anti").unionByName(last)
+
+
+def create_users(users: DataFrame, entitlements: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(users, entitlements, rejected) with new accounts (user_id, email, ...): e-mail in lower case, plan VIEWER; an e-mail that exists, or comes twice, is rejected for all but the first id."""
+    lower = new.withColumn("email", F.lower("email"))
+    first = lower.groupBy("email").agg(F.min("user_id").alias("user_id")).join(users.select("email"), "email", "left_anti")
+    good = lower.join(first, ["email", "user_id"], "left_semi")
+    rejected = lower.join(first, ["email", "user_id"], "left_anti").select("user_id", "email", F.lit("EMAIL_EXISTS").alias("error"))
+    return users.unionByName(good.select(*users.columns)), entitlements.unionByName(good.select("user_id", F.lit("VIEWER").alias("plan"))), rejected
+
+
+def user_by_email(users: DataFrame, entitlements: DataFrame, email: str) -> DataFrame:
+    """The account with an e-mail, in any case, and its plan."""
+    return users.where(F.col("email") == email.lower()).join(entitlements, "user_id", "left").select("user_id", "email", F.coalesce("plan", F.lit("VIEWER")).alias("plan"))
+
+
+def renewal_noon(renewal: Column) -> Column:
+    """Noon of a renewal date, without zone."""
+    return F.make_timestamp_ntz(F.year(renewal), F.month(renewal), F.dayofmonth(renewal), F.lit(12), F.lit(0), F.lit(0))
+
+
+def update_subscriptions(subscriptions: DataFrame, changes: DataFrame, services: DataFrame, providers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(subscriptions, rejected) after ``changes`` (id, user_id, service_name, provider_slug, new_plan, new_price, renewal as text): of the owner's subscription, known services and providers only; an empty date clears it, another becomes noon."""
+    known = changes.join(services.select("service_name", F.col("service_id").alias("new_service")), "service_name", "left").join(F.broadcast(providers.select("provider_slug", F.col("provider_id").alias("new_provider"))), "provider_slug", "left")
+    owned = known.join(subscriptions.select("id", "user_id", F.lit(True).alias("owned")), ["id", "user_id"], "left")
+    good = F.col("new_service").isNotNull() & F.col("new_provider").isNotNull() & F.col("owned").isNotNull()
+    rejected = owned.where(~good).select("id", F.lit("SUBSCRIPTION_OR_PROVIDER_NOT_FOUND").alias("error"))
+    day = F.to_date(F.nullif("renewal", F.lit("")))
+    new = owned.where(good).select("id", "new_service", "new_provider", "new_plan", "new_price", renewal_noon(day).alias("new_renewal"), F.lit(True).alias("changed"))
+    both = subscriptions.join(new, "id", "left")
+    pick = lambda new_col, old: F.when(F.col("changed"), F.col(new_col)).otherwise(old)
+    rows = both.select(
+        "id", "user_id", pick("new_service", F.col("service_id")).alias("service_id"), pick("new_provider", F.col("provider_id")).alias("provider_id"), pick("new_plan", F.col("plan_name")).alias("plan_name"),
+        pick("new_price", F.col("price_minor")).alias("price_minor"), pick("new_renewal", renewal_noon(F.col("renewal_date"))).alias("renews_at"),
+    )
+    return rows, rejected
+
+
+def delete_subscriptions(asked: DataFrame, subscriptions: DataFrame, owned: dict[str, DataFrame], events: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """(subscriptions, dependent tables, savings events) after deleting what users ask for (id, user_id), their own only: rows of ``owned`` tables go with their subscription_id, savings events stay without it."""
+    gone = subscriptions.join(asked.select("id", "user_id").distinct(), ["id", "user_id"], "left_semi").select("id")
+    by = gone.select(F.col("id").alias("subscription_id"))
+    kept = {name: table.join(by, "subscription_id", "left_anti") for name, table in owned.items()}
+    marked = events.join(by.withColumn("gone", F.lit(True)), "subscription_id", "left")
+    cleared = {"subscription_id": F.when(F.col("gone").isNull(), F.col("subscription_id"))}
+    return subscriptions.join(gone, "id", "left_anti"), kept, marked.select(*(cleared.get(c, F.col(c)).alias(c) for c in events.columns))
+
+
+#: Plans by rank.
+RANKS = {"VIEWER": 0, "MANUAL": 1, "PREMIUM": 2}
+
+
+def at_least(plan: Column, needed: str) -> Column:
+    """Whether a plan includes what ``needed`` does; no plan is VIEWER."""
+    rank = F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv))
+    return F.coalesce(F.element_at(rank, F.coalesce(plan, F.lit("VIEWER"))), F.lit(0)) >= RANKS[needed]
+
+
+def valid_purchase(purchases: DataFrame, products: DataFrame, now: dt.datetime) -> DataFrame:
+    """Purchases of known products with both transaction ids, not revoked and not expired; with the product's plan."""
+    known = purchases.join(F.broadcast(products), "product_id")
+    return known.where(F.col("transaction_id").isNotNull() & F.col("original_id").isNotNull() & F.col("revoked_at").isNull() & (F.col("expires_at") > F.lit(now)))
+
+
+def claim_purchases(events: DataFrame, entitlements: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, entitlements, rejected) after valid purchases (platform, original_id, user_id, plan, ord): a transaction belongs to the user who claimed it first, claiming it again changes nothing but the plan, and
+    other users are rejected. A user's last claim by ``ord`` sets the plan."""
+    key = ["platform", "original_id"]
+    first = new.groupBy(*key).agg(F.min(F.struct("ord", "user_id")).alias("first")).select(*key, F.col("first.user_id").alias("first_user"))
+    owner = first.join(events.select(*key, F.col("user_id").alias("old_user")), key, "left").select(*key, F.coalesce("old_user", "first_user").alias("owner"), F.col("old_user").isNull().alias("fresh"))
+    judged = new.join(owner, key)
+    good = judged.where("user_id = owner")
+    added = owner.where("fresh").select(*key, F.col("owner").alias("user_id"))
+    rejected = judged.where("user_id <> owner").select("user_id", "original_id", F.lit("PURCHASE_ALREADY_CLAIMED").alias("error"))
+    return events.unionByName(added.select(*events.columns)), upsert(entitlements, good.select("user_id", "plan", "ord"), "user_id", "ord"), rejected
+
+
+# The country of a currency that only one market has.
+COUNTRY_OF = {"USD": "US", "NOK": "NO", "SEK": "SE", "DKK": "DK", "CNY": "CN"}
+
+
+def country_or_currencys(country: Column, currency: Column) -> Column:
+    """A row's country, or where it has none that of its currency; null for a currency of several."""
+    return F.coalesce(country, F.element_at(F.create_map(*(F.lit(x) for kv in COUNTRY_OF.items() for x in kv)), currency))
+
+
+def request_deletion(users: DataFrame, asked: DataFrame, cancelled: DataFrame, today: dt.date) -> DataFrame:
+    """Users with ``deletion_requested``: today for those who ask and have not asked before, none for those who cancel."""
+    marked = users.join(asked.select("user_id", F.lit(True).alias("asks")), "user_id", "left").join(cancelled.select("user_id", F.lit(True).alias("cancels")), "user_id", "left")
+    day = F.when(F.col("cancels"), None).when(F.col("asks"), F.coalesce("deletion_requested", F.lit(today))).otherwise(F.col("deletion_requested"))
+    return marked.withColumn("deletion_requested", day).drop("asks", "cancels")
+
+
+def may_sign_in(users: DataFrame) -> DataFrame:
+    """(user_id, error): users with a pending deletion may only cancel it."""
+    return users.select("user_id", F.when(F.col("deletion_requested").isNotNull(), "ACCOUNT_DELETION_PENDING").alias("error"))
+
+
+def chat_history(turns: DataFrame, most: int = 10) -> DataFrame:
+    """The last ``most`` turns of each conversation, and of those the ones of the user and the assistant that say something."""
+    back = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    last = turns.withColumn("back", F.row_number().over(back)).where(F.col("back") <= most)
+    return last.where(F.col("role").isin("user", "assistant") & (F.btrim("text") != "")).select("conv_id", "turn", "role", F.btrim("text").alias("text"))
 
 
 def without_scheduled(users: DataFrame, now: dt.date) -> DataFrame:
@@ -100,7 +223,7 @@ def without_scheduled(users: DataFrame, now: dt.date) -> DataFrame:
 
 def add_subscriptions(asked: DataFrame, services: DataFrame, providers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(added, rejected): requests by service and provider names; unknown ones are rejected, a missing currency is USD, the status is ACTIVE."""
-    known = asked.join(F.broadcast(services), "service_name", "left").join(F.broadcast(providers), "provider_slug", "left")
+    known = asked.join(services, "service_name", "left").join(F.broadcast(providers), "provider_slug", "left")
     good = F.col("service_id").isNotNull() & F.col("provider_id").isNotNull()
     added = known.where(good).select("request_id", "service_id", "provider_id", F.lit("ACTIVE").alias("status"), F.coalesce("currency", F.lit("USD")).alias("currency"))
     return added, known.where(~good).select("request_id", F.lit("UNKNOWN_SERVICE_OR_BILLING_PROVIDER").alias("error"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subledger.operators.lifecycle import effective_status
+from subledger.operators.lifecycle import country_or_currencys, effective_status
 
 
 def with_effective(subscriptions: DataFrame, as_of: dt.date) -> DataFrame:
@@ -54,7 +54,7 @@ def top_recommendations(subscriptions: DataFrame, as_of: dt.date, most: int = 2)
 
 def keep_pause_leave(subscriptions: DataFrame, services: DataFrame) -> DataFrame:
     """Per user: the two cheapest active ones by catalogue price to keep, the dearest to pause, the first inactive one to leave off."""
-    priced = subscriptions.join(F.broadcast(services.select("service_id", "catalog_minor")), "service_id")
+    priced = subscriptions.join(services.select("service_id", "catalog_minor"), "service_id")
     cheap = Window.partitionBy("user_id", "active").orderBy("catalog_minor", "id")
     dear = Window.partitionBy("user_id", "active").orderBy(F.desc("catalog_minor"), "id")
     first = Window.partitionBy("user_id", "active").orderBy("id")
@@ -71,37 +71,76 @@ def next_renewal(subscriptions: DataFrame, as_of: dt.date) -> DataFrame:
     return first.select("user_id", F.col("next.id").alias("id"), F.col("next.renewal_date").alias("renewal_date"), "n_upcoming")
 
 
-def data_health(subscriptions: DataFrame, as_of: dt.date) -> DataFrame:
-    """Subscriptions with something missing or out of date, and what."""
+def issues(as_of: dt.date) -> Column:
+    """What a subscription with ``effective`` lacks or has out of date."""
     active = F.col("effective") == "ACTIVE"
-    issues = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(F.col("renewal_date").isNull(), "renewal date"), F.when(active & (F.col("renewal_date") < F.lit(as_of)), "updated renewal date"),
         F.when(F.col("provider_id").isNull(), "billing route"), F.when(F.col("price_minor").isNull(), "price"), F.when(F.col("plan_name").isNull(), "plan"),
     ))
-    return with_effective(subscriptions, as_of).select("id", "user_id", F.size(issues).cast("bigint").alias("n_issues"), F.array_join(issues, ", ").alias("issues")).where("n_issues > 0")
+
+
+def data_health(subscriptions: DataFrame, as_of: dt.date) -> DataFrame:
+    """Subscriptions with something missing or out of date, and what."""
+    found = issues(as_of)
+    return with_effective(subscriptions, as_of).select("id", "user_id", F.size(found).cast("bigint").alias("n_issues"), F.array_join(found, ", ").alias("issues")).where("n_issues > 0")
 
 
 def attention_feed(subscriptions: DataFrame, as_of: dt.date) -> DataFrame:
-    """Per user at most one row of each kind: first data issue, next renewal, first paused one, dearest one."""
-    issue = data_health(subscriptions, as_of).groupBy("user_id").agg(F.min("id").alias("id")).withColumn("kind", F.lit("issue"))
-    renewal = next_renewal(subscriptions, as_of).select("user_id", "id").withColumn("kind", F.lit("renewal"))
-    paused = with_effective(subscriptions, as_of).where("effective = 'PAUSED'").groupBy("user_id").agg(F.min("id").alias("id")).withColumn("kind", F.lit("paused"))
-    dearest = top_recommendations(subscriptions, as_of, 1).select("user_id", "id").withColumn("kind", F.lit("recommendation"))
-    return issue.unionByName(renewal).unionByName(paused).unionByName(dearest)
-
-
-def price_fallback(wanted: DataFrame, prices: DataFrame) -> DataFrame:
-    """For each (id, service, plan, route, own_minor): the price of its route, else of route 'O', else its own; of a plan, or without one if the route has a single plan."""
-    counts = prices.groupBy("service", "route").agg(F.count("*").alias("n"), F.min("price_minor").alias("only"))
-
-    def by(name: str, route) -> DataFrame:
-        exact = prices.select("service", "plan", F.col("route").alias("r"), F.col("price_minor").alias(f"{name}_exact"))
-        single = counts.select("service", F.col("route").alias("r"), F.when(F.col("n") == 1, F.col("only")).alias(f"{name}_only"))
-        return lambda rows: rows.withColumn("r", route).join(exact, ["service", "plan", "r"], "left").join(single, ["service", "r"], "left").drop("r")
-
-    rows = by("direct", F.lit("O"))(by("route", F.col("route"))(wanted))
-    found = F.coalesce("route_exact", "route_only", "direct_exact", "direct_only", "own_minor")
-    return rows.select("id", found.alias("price_minor"))
+    """Per user at most one row of each kind: first data issue, next renewal, first paused one, dearest one. One pass and one aggregation."""
+    active, found = F.col("effective") == "ACTIVE", issues(as_of)
+    first = lambda when, value: F.min(F.when(when, value))
+    each = with_effective(subscriptions, as_of).groupBy("user_id").agg(
+        first(F.size(found) > 0, F.col("id")).alias("issue"), first(active & (F.col("renewal_date") >= F.lit(as_of)), F.struct("renewal_date", "id"))["id"].alias("renewal"),
+        first(F.col("effective") == "PAUSED", F.col("id")).alias("paused"), first(active & (F.col("price_minor") > 0), F.struct(-F.col("price_minor"), "id"))["id"].alias("recommendation"),
+    )
+    kinds = F.array(*(F.struct(F.col(k).alias("id"), F.lit(k).alias("kind")) for k in ("issue", "renewal", "paused", "recommendation")))
+    return each.select("user_id", F.inline(kinds)).where("id is not null")
+
+
+def price_fallback(wanted: DataFrame, prices: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(id, price_minor) for each of ``wanted`` (id, service, plan, route, country, currency, own_minor, own_currency).
+
+    A manual override (id, override_minor) comes first; then the price of its route, that of route O, and its own bill if that is in the market's currency. A plan's price is the named plan's, or the only one that the route has.
+    """
+    offers = prices.groupBy("service", "country", "currency").agg(F.collect_list(F.struct("route", "plan", "price_minor")).alias("offers"))
+    rows = wanted.join(offers, ["service", "country", "currency"], "left")
+    rows = rows.join(overrides, "id", "left") if overrides is not None else rows.withColumn("override_minor", F.lit(None).cast("bigint"))
+
+    def by(route) -> list:
+        here = F.filter("offers", lambda x: x["route"] == route)
+        return [F.get(F.filter(here, lambda x: x["plan"] == F.col("plan")), 0)["price_minor"], F.when(F.size(here) == 1, F.get(here, 0)["price_minor"])]
+
+    own = F.when(F.col("own_currency") == F.col("currency"), F.col("own_minor"))
+    return rows.select("id", F.coalesce("override_minor", *by(F.col("route")), *by(F.lit("O")), own).alias("price_minor"))
+
+
+def in_market(subscriptions: DataFrame, country: str) -> DataFrame:
+    """Subscriptions of a market; an old one without country belongs to that of its currency."""
+    return subscriptions.where(country_or_currencys(F.col("country"), F.col("currency")) == country)
+
+
+def comparison(subscriptions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, dearer, difference_minor) of pairs of subscriptions with prices; at a tie neither is dearer."""
+    price = lambda of: subscriptions.where("price_minor is not null").select(F.col("id").alias(of), F.col("price_minor").alias(f"{of}_minor"))
+    more = F.col("a_minor") - F.col("b_minor")
+    return pairs.join(price("a"), "a").join(price("b"), "b").select("a", "b", F.when(more > 0, F.col("a")).when(more < 0, F.col("b")).alias("dearer"), F.abs(more).alias("difference_minor"))
+
+
+def html_escape(text) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def html_export(subscriptions: DataFrame, saved: DataFrame) -> DataFrame:
+    """(user_id, html): a card for each subscription (id, user_id, service_name, status, price_minor), in order of name, and the totals; missing prices show a dash and count 0."""
+    rows = subscriptions.join(saved.select(F.col("subscription_id").alias("id"), "saved_minor"), "id", "left")
+    price = F.when(F.col("price_minor").isNull(), "-").otherwise(F.format_string("%.2f", F.col("price_minor") / 100))
+    card = F.concat(F.lit("<div><h2>"), html_escape(F.coalesce("service_name", F.lit(""))), F.lit("</h2><p>"), html_escape(F.col("status")), F.lit("</p><p>"), price, F.lit("</p></div>"))
+    each = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("service_name", F.lit("")).alias("name"), "id", card.alias("card")))).alias("cards"), F.coalesce(F.sum("saved_minor"), F.lit(0)).cast("bigint").alias("saved_minor"))
+    body = F.array_join(F.transform("cards", lambda x: x["card"]), "")
+    return each.select("user_id", F.concat(F.lit("<main>"), body, F.lit("<p>Total saved: "), F.format_string("%.2f", F.col("saved_minor") / 100), F.lit("</p></main>")).alias("html"))
 
 
 def goal_plan(subscriptions: DataFrame, protected: DataFrame, goal_minor: int, as_of: dt.date) -> DataFrame:

@@ -16,9 +16,10 @@ def saving_intervals(history: DataFrame, prices: DataFrame, as_of: dt.date) -> D
 
     Each interval is rounded by itself. A pause followed by a cancellation without activation between counts twice. An interval in the future counts no days; no price saves nothing.
     """
-    later = Window.partitionBy("subscription_id").orderBy(F.unix_date("effective_date")).rangeBetween(1, Window.unboundedFollowing)
+    # From the last day backwards, so that the frame grows row by row.
+    later = Window.partitionBy("subscription_id").orderBy(F.desc("effective_day")).rangeBetween(Window.unboundedPreceding, -1)
     ends = F.min(F.when(F.col("new_status") == "ACTIVE", F.col("effective_date"))).over(later)
-    marked = history.withColumn("until", ends).where("new_status in ('PAUSED', 'CANCELLED')")
+    marked = history.withColumn("effective_day", F.unix_date("effective_date")).withColumn("until", ends).where("new_status in ('PAUSED', 'CANCELLED')")
     days = F.greatest(F.lit(0), F.datediff(F.coalesce("until", F.lit(as_of)), F.col("effective_date"))).cast("bigint")
     priced = marked.withColumn("days", days).join(prices, "subscription_id", "left")
     saved = F.coalesce(F.round(F.col("price_minor") * F.col("days") / F.lit(MONTH_DAYS)).cast("bigint"), F.lit(0).cast("bigint"))
@@ -42,9 +43,14 @@ def savings_summary(events: DataFrame) -> DataFrame:
 
 
 def savings_ledger(events: DataFrame, subscriptions: DataFrame, services: DataFrame) -> DataFrame:
-    """Every event with its subscription's plan and service where they are known, newest period first."""
-    named = subscriptions.select(F.col("id").alias("subscription_id"), "service_id", "plan_name").join(F.broadcast(services.select("service_id", "service_name")), "service_id", "left").drop("service_id")
-    return events.join(named, "subscription_id", "left").select("id", "user_id", "kind", "amount_minor", "currency", "period_start", "period_end", "service_name", "plan_name").orderBy(F.desc_nulls_last("period_start"), F.desc("id"))
+    """Every event with its subscription's plan and service where they are known. Order is the caller's: a user's rows are sorted by O2's keys, not the whole table."""
+    named = subscriptions.select(F.col("id").alias("subscription_id"), "service_id", "plan_name").join(services.select("service_id", "service_name"), "service_id", "left").drop("service_id")
+    return events.join(named, "subscription_id", "left").select("id", "user_id", "kind", "amount_minor", "currency", "period_start", "period_end", "service_name", "plan_name")
+
+
+def ledger_of(ledger: DataFrame, user_id: int) -> DataFrame:
+    """One user's ledger, the newest period first and those without one last."""
+    return ledger.where(F.col("user_id") == user_id).orderBy(F.desc_nulls_last("period_start"), F.desc("id"))
 
 
 def estimates(actions: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -61,9 +67,19 @@ def current_status(history: DataFrame) -> DataFrame:
 
 
 def verify_savings(events: DataFrame, current: DataFrame, as_of: dt.date) -> DataFrame:
-    """New verified events: of estimates whose whole period is over and whose subscription has been inactive from its start on, one for each action that has none yet."""
+    """New verified events: of estimates whose whole period is over and whose subscription, of the same user, has been inactive from its start on, one for each action that has none yet. ``current``: subscription_id, user_id, status, status_effective_date."""
     estimated = events.where((F.col("kind") == "ESTIMATED") & F.col("action_id").isNotNull() & (F.col("period_end") < F.lit(as_of)))
     open_ones = estimated.join(events.where("kind = 'VERIFIED'").select("action_id").dropna().distinct(), "action_id", "left_anti")
-    due = open_ones.join(current.where("status in ('PAUSED', 'CANCELLED')"), "subscription_id").where("status_effective_date <= period_start")
+    due = open_ones.join(current.where("status in ('PAUSED', 'CANCELLED')"), ["subscription_id", "user_id"]).where("status_effective_date <= period_start")
     first = due.groupBy("action_id").agg(F.min(F.struct("id", "user_id", "subscription_id", "amount_minor", "currency", "period_start", "period_end")).alias("e"))
     return first.select("action_id", "e.user_id", "e.subscription_id", "e.amount_minor", "e.currency", F.lit("VERIFIED").alias("kind"), "e.period_start", "e.period_end")
+
+
+def verified_count(events: DataFrame, current: DataFrame, as_of: dt.date) -> DataFrame:
+    return verify_savings(events, current, as_of).agg(F.count("*").alias("verified"))
+
+
+def total_saved(saved: DataFrame, owners: DataFrame) -> DataFrame:
+    """Per user the sum of what their subscriptions saved so far; (subscription_id, user_id) are ``owners``, and one without savings counts 0."""
+    each = owners.join(saved, "subscription_id", "left")
+    return each.groupBy("user_id").agg(F.coalesce(F.sum("saved_minor"), F.lit(0)).cast("bigint").alias("saved_minor"))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subledger.functions import pages, questions, text
-from subledger.operators import lifecycle, portfolio, pricing, reminders, savings
-from subledger.sources.tables import EVENTS_AS_OF, ORDERS_AS_OF, Tables
+from subledger.operators import lifecycle, portfolio, pricing, reminders, routing, savings
+from subledger.sources.tables import EVENTS_AS_OF, MARKETS, ORDERS_AS_OF, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,8 +37,17 @@ def _due(t: Tables) -> DataFrame:
     return reminders.due_renewals(t.subscriptions(), t.users(), t.preferences(), ORDERS_AS_OF)
 
 
+def _valid(t: Tables) -> DataFrame:
+    return pricing.valid(t.candidates(), t.markets())
+
+
 def _stored(t: Tables) -> DataFrame:
-    return t.candidates().where("service % 3 <> 0 and price_minor > 0").groupBy(*pricing.KEY).agg(F.max("price_minor").alias("price_minor"), F.min("seen_at").alias("verified_on"), F.max("seen_at").alias("checked_on"))
+    return _valid(t).where("service % 3 <> 0").groupBy(*pricing.KEY).agg(F.max("price_minor").alias("price_minor"), F.min("seen_at").alias("verified_on"), F.max("seen_at").alias("checked_on"))
+
+
+def _current(t: Tables) -> DataFrame:
+    """The history's subscriptions with their users; every seventh has another one than its savings say."""
+    return savings.current_status(t.history()).withColumn("user_id", F.when(F.col("subscription_id") % 7 == 3, F.col("subscription_id") + 1).otherwise(F.col("subscription_id")))
 
 
 def _questions(t: Tables) -> DataFrame:
@@ -72,7 +81,7 @@ def savings_estimate(t):
 
 @query
 def savings_verify(t):
-    return savings.verify_savings(t.savings_events(), savings.current_status(t.history()), dt.date(2024, 3, 5))
+    return savings.verify_savings(t.savings_events(), _current(t), dt.date(2024, 3, 5))
 
 
 @query
@@ -124,7 +133,9 @@ def action_preview(t):
 @query
 def provider_result(t):
     results = t.actions().where("id % 3 <> 1").select("id", _pick(F.col("id"), "PAUSED", "CANCELLED", "ACTIVE", "UNCHANGED").alias("result"), F.col("requested_at").cast("date").alias("on_date"))
-    return lifecycle.provider_result(t.actions(), t.subscriptions(), results)
+    theirs = t.actions().withColumn("user_id", F.when(F.col("id") % 23 == 5, F.col("user_id") + 1).otherwise(F.col("user_id")))
+    booked = t.actions().where("id % 6 = 0").select(F.col("id").alias("action_id"), F.when(F.col("id") % 4 == 2, "VERIFIED").otherwise("ESTIMATED").alias("kind"))
+    return lifecycle.provider_result(theirs, t.subscriptions(), results, booked)
 
 
 @query
@@ -175,10 +186,79 @@ def reminder_purge(t):
     return reminders.purge(jobs, t.subscriptions(), t.users(), t.preferences()).withColumn("scheduled_for", F.col("scheduled_for").cast("timestamp_ntz"))
 
 
+def _jobs(t: Tables) -> DataFrame:
+    """Jobs of both channels, some sent, some failed, some with an endpoint that is off by now."""
+    push = reminders.queue_push(_due(t), t.endpoints().withColumn("enabled", F.lit(True))).withColumn("channel", F.lit("PUSH")).drop("payload")
+    both = push.unionByName(reminders.queue_email(_due(t)).withColumn("channel", F.lit("EMAIL")))
+    id = F.col("subscription_id") * 2 + (F.col("channel") == "EMAIL").cast("bigint")
+    at = lambda k: F.when(F.col("subscription_id") % 10 == k, F.lit(dt.datetime(1998, 7, 1)).cast("timestamp_ntz"))
+    return both.select(id.alias("id"), "subscription_id", "user_id", F.lit("RENEWAL").alias("kind"), "channel", "destination", F.col("scheduled_for").cast("timestamp_ntz").alias("scheduled_for"), at(4).alias("sent_at"), at(7).alias("failed_at"), F.lit(None).cast("string").alias("last_error"))
+
+
 @query
 def reminder_due_top100(t):
-    jobs = reminders.queue_push(_due(t), t.endpoints()).select("subscription_id", "destination", F.col("scheduled_for").cast("timestamp_ntz").alias("scheduled_for"))
-    return reminders.due_jobs(jobs, dt.datetime(1998, 7, 20))
+    now = t.subscriptions().withColumn("status", F.when(F.col("id") % 9 == 0, "CANCELLED").otherwise(F.col("status")))
+    return reminders.due_jobs(_jobs(t), now, t.users(), t.preferences(), t.endpoints(), dt.datetime(1998, 7, 20)).select("id", "subscription_id", "channel", "destination", "scheduled_for")
+
+
+def _results(t: Tables) -> DataFrame:
+    return _jobs(t).where("id % 3 <> 1").select("id", F.when(F.col("id") % 5 == 0, "RATE_LIMIT").when(F.col("id") % 7 == 0, "GONE").alias("error"))
+
+
+@query
+def reminder_dispatch(t):
+    return reminders.dispatched(_jobs(t), _results(t), dt.datetime(1998, 7, 21), ("RATE_LIMIT",)).select("id", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"), F.col("failed_at").cast("timestamp_ntz").alias("failed_at"), "last_error")
+
+
+@query
+def reminder_dispatch_counts(t):
+    return reminders.dispatch_counts(_jobs(t), _results(t))
+
+
+@query
+def reminder_queue_once(t):
+    jobs = _jobs(t)
+    return reminders.queue(jobs.where("subscription_id % 4 = 1"), jobs.unionByName(jobs.where("id % 2 = 0"))).select("id", "destination", "scheduled_for")
+
+
+@query
+def reminder_simple_rule(t):
+    rows = t.subscriptions().join(t.preferences(), "user_id", "left")
+    rule = lambda channel: reminders.simply_eligible(F.col("status"), F.when(F.col("id") % 12 != 5, F.col("renewal_date")), F.col("renewal_reminders"), F.lit(channel), F.col("email_enabled"), F.col("user_id") % 2 == 0)
+    return rows.select("id", rule("EMAIL").alias("email"), rule("PUSH").alias("push"))
+
+
+def _tokens(t: Tables) -> DataFrame:
+    key = F.col("c_custkey")
+    return t.raw("customer").where("c_custkey % 2 = 0").select(key.alias("user_id"), F.concat(F.when(key % 5 == 0, "Token[").when(key % 4 == 0, "ExponentPushToken[").otherwise("ExpoPushToken["), key.cast("string"), F.lit("]")).alias("destination"))
+
+
+@query
+def endpoint_upsert(t):
+    return reminders.set_endpoints(t.endpoints(), _tokens(t))[0]
+
+
+@query
+def endpoint_rejects(t):
+    return reminders.set_endpoints(t.endpoints(), _tokens(t))[1]
+
+
+def _zones(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([("Europe/Oslo",), ("America/New_York",), ("Asia/Tokyo",), ("UTC",)], "zone string")
+
+
+@query
+def timezone_update(t):
+    change = t.users().where("user_id % 3 = 0").select("user_id", _pick(F.col("user_id"), "Asia/Tokyo", "Mars/Base", "UTC", "europe/oslo").alias("new_zone"))
+    return reminders.set_timezone(t.users(), change, _zones(t))[0].select("user_id", "timezone")
+
+
+@query
+def reminder_validation(t):
+    text = F.when(F.col("id") % 8 == 0, F.date_format("renewal_date", "yyyy/MM/dd")).when(F.col("id") % 8 == 1, F.concat(F.date_format("renewal_date", "yyyy-MM"), F.lit("-31"))).otherwise(F.date_format("renewal_date", "yyyy-MM-dd"))
+    rows = t.subscriptions().join(t.users().select("user_id", F.when(F.col("user_id") % 9 == 4, "Mars/Base").otherwise(F.col("timezone")).alias("timezone")), "user_id").select("id", text.alias("renewal"), "timezone")
+    good, bad = reminders.valid_times(rows, _zones(t))
+    return good.select("id", F.concat_ws(" ", F.date_format("renewal", "yyyy-MM-dd"), "timezone").alias("verdict")).unionByName(bad.select("id", F.col("error").alias("verdict")))
 
 
 @query
@@ -189,27 +269,27 @@ def preference_upsert(t):
 
 @query
 def price_resolve(t):
-    return pricing.resolve(t.candidates())
+    return pricing.resolve(_valid(t))
 
 
 @query
 def price_conflicts(t):
-    return pricing.conflicts(t.candidates())
+    return pricing.conflicts(_valid(t))
 
 
 @query
 def price_merge(t):
-    return pricing.merge(pricing.resolve(t.candidates()), _stored(t))
+    return pricing.merge(pricing.resolve(_valid(t)), _stored(t))
 
 
 @query
 def price_upsert(t):
-    return pricing.store(_stored(t), pricing.resolve(t.candidates()), dt.date(1999, 1, 1))
+    return pricing.store(_stored(t), pricing.resolve(_valid(t)), dt.date(1999, 1, 1))
 
 
 @query
 def price_snapshot(t):
-    return pricing.snapshot(t.candidates(), "service")
+    return pricing.snapshot(t.candidates(), ["service", "country"])
 
 
 @query
@@ -235,7 +315,9 @@ def price_unambiguous(t):
 
 @query
 def registry_quality(t):
-    return pricing.registry_quality(t.candidates())
+    url = F.concat(F.when(F.col("ord") % 17 == 0, "http").otherwise("https"), F.lit("://example.org/"), F.col("service").cast("string"))
+    odd = F.when(F.col("ord") % 19 == 0, F.lower("country")).otherwise(F.col("country"))
+    return pricing.registry_quality(t.candidates().withColumns({"source_url": url, "country": odd}), t.markets())
 
 
 @query
@@ -294,8 +376,10 @@ def attention_feed(t):
 def catalog_price_fallback(t):
     key = F.col("id")
     plan = F.when(key % 4 == 0, "A").when(key % 4 == 1, "N").when(key % 4 == 2, "R")
-    wanted = t.subscriptions().select("id", F.col("service_id").alias("service"), plan.alias("plan"), _pick(key, "F", "O").alias("route"), F.col("price_minor").alias("own_minor"))
-    return portfolio.price_fallback(wanted, pricing.resolve(t.candidates()))
+    country, currency = _pick(key, *(c for c, _ in MARKETS)), _pick(key, *(c for _, c in MARKETS))
+    wanted = t.subscriptions().select("id", F.col("service_id").alias("service"), plan.alias("plan"), _pick(key, "F", "O").alias("route"), country.alias("country"), currency.alias("currency"), F.col("price_minor").alias("own_minor"), _pick(key, "NOK", "EUR").alias("own_currency"))
+    overrides = t.subscriptions().where("id % 29 = 0").select("id", F.lit(777).cast("bigint").alias("override_minor"))
+    return portfolio.price_fallback(wanted, pricing.resolve(_valid(t)), overrides)
 
 
 @query
@@ -362,9 +446,13 @@ def language_detect(t):
     return _questions(t).select("conv_id", "turn", questions.speech_language(F.col("text")).alias("language"))
 
 
+#: Services whose names are looked for in questions.
+SERVICES = ["netflix", "youtube premium", "disney plus", "hbo max", "prime video", "apple tv"]
+
+
 @query
 def fuzzy_entities(t):
-    services = ["netflix", "youtube premium", "disney plus", "hbo max", "prime video", "apple tv"]
+    services = SERVICES
     asked = F.concat(_pick(F.col("conv_id"), "cancel netflx and ", "is yt or apple tv dearer, ", "pause disny ", ""), F.col("text"))
     found = _questions(t).select("conv_id", "turn", F.posexplode(questions.named_services(asked, services)).alias("rank", "one"))
     return found.select("conv_id", "turn", "rank", F.col("one.service").alias("service"), F.col("one.score").cast("int").alias("score"))
@@ -376,3 +464,473 @@ def price_near_plan(t):
     body = F.concat(text.html_to_text(F.col("html")), F.lit(" Standard with Ads 99,00 kr per month. Standard NOK "), (F.col("page_id") % 50 + 100).cast("string"), F.lit(" monthly. Premium kr 169 a month"))
     found = t.raw("pages").select("page_id", F.inline(pages.price_near_plan(body, plans, "NOK")))
     return found.select("page_id", "plan", "amount")
+
+
+# -- accounts and subscriptions ------------------------------------------------------------------------------------------------------
+
+
+@query
+def subscription_ledger_of(t):
+    return savings.ledger_of(savings.savings_ledger(t.savings_events(), t.subscriptions(), t.services()), 7)
+
+
+@query
+def subscription_list_of(t):
+    return lifecycle.list_of(lifecycle.subscription_list(t.subscriptions(), t.services(), t.providers()), 7)
+
+
+@query
+def savings_verified_count(t):
+    return savings.verified_count(t.savings_events(), _current(t), dt.date(2024, 3, 5))
+
+
+@query
+def total_saved_so_far(t):
+    saved = savings.saved_so_far(t.history(), t.history_prices(), EVENTS_AS_OF)
+    owners = t.history().select("subscription_id").distinct().unionByName(t.users().select(F.col("user_id").alias("subscription_id")).where("subscription_id < 50")).distinct()
+    return savings.total_saved(saved, owners.select("subscription_id", (F.col("subscription_id") % 40).alias("user_id")))
+
+
+def _new_users(t: Tables) -> DataFrame:
+    key = F.col("user_id")
+    return t.users().where("user_id % 3 = 1").select((key + 1_000_000).alias("user_id"), F.when(key % 2 == 0, F.upper("email")).otherwise(F.concat(F.lit("New"), (key % 50).cast("string"), F.lit("@Example.org"))).alias("email"))
+
+
+def _created(t: Tables):
+    return lifecycle.create_users(t.users().select("user_id", "email"), _entitlements(t), _new_users(t))
+
+
+@query
+def account_create(t):
+    users, entitlements, _ = _created(t)
+    return users.join(entitlements, "user_id", "left").select("user_id", "email", "plan")
+
+
+@query
+def account_create_rejects(t):
+    return _created(t)[2]
+
+
+@query
+def account_by_email(t):
+    return lifecycle.user_by_email(t.users(), _entitlements(t), "CUSTOMER#000000004@example.org")
+
+
+@query
+def account_deletion(t):
+    users = t.users().withColumn("deletion_requested", F.when(F.col("user_id") % 3 == 0, F.date_add(F.lit(dt.date(1998, 6, 15)), (F.col("user_id") % 30).cast("int"))))
+    asked, cancelled = t.users().where("user_id % 2 = 0").select("user_id"), t.users().where("user_id % 5 = 0").select("user_id")
+    after = lifecycle.request_deletion(users, asked, cancelled, ORDERS_AS_OF)
+    return after.select("user_id", "deletion_requested").join(lifecycle.may_sign_in(after), "user_id")
+
+
+@query
+def plan_gates(t):
+    return t.users().join(_entitlements(t), "user_id", "left").select("user_id", lifecycle.at_least(F.col("plan"), "MANUAL").alias("manual"), lifecycle.at_least(F.col("plan"), "PREMIUM").alias("premium"))
+
+
+@query
+def subscription_update(t):
+    return lifecycle.update_subscriptions(t.subscriptions(), _edits(t), t.services(), t.providers())[0].where("id % 2 = 0")
+
+
+@query
+def subscription_update_rejects(t):
+    return lifecycle.update_subscriptions(t.subscriptions(), _edits(t), t.services(), t.providers())[1]
+
+
+def _edits(t: Tables) -> DataFrame:
+    key = F.col("id")
+    named = t.subscriptions().where("id % 3 = 0").join(t.services().select("service_id", "service_name"), "service_id")
+    return named.select(
+        "id", F.when(key % 10 == 1, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"), F.when(key % 7 == 2, "no such service").otherwise(F.col("service_name")).alias("service_name"), _pick(key, "asia", "europe", "nobody").alias("provider_slug"),
+        F.lit("New plan").alias("new_plan"), F.when(key % 4 != 0, key % 1000).alias("new_price"), F.when(key % 5 == 0, "").otherwise(F.date_format("renewal_date", "yyyy-MM-dd")).alias("renewal"),
+    )
+
+
+def _deleted(t: Tables):
+    asked = t.subscriptions().where("id % 6 = 1").select("id", F.when(F.col("id") % 4 == 3, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"))
+    return lifecycle.delete_subscriptions(asked, t.subscriptions(), {"actions": t.actions()}, t.savings_events())
+
+
+@query
+def subscription_delete(t):
+    return _deleted(t)[0].select("id")
+
+
+@query
+def subscription_delete_actions(t):
+    return _deleted(t)[1]["actions"].select("id", "subscription_id")
+
+
+@query
+def subscription_delete_savings(t):
+    return _deleted(t)[2].select("id", "subscription_id")
+
+
+@query
+def provider_seed_upsert(t):
+    seed = t.spark.createDataFrame([(1, "america", 1), (1, "the americas", 2), (7, "moon", 1)], "provider_id int, provider_slug string, ord int")
+    return lifecycle.upsert(t.providers().withColumn("provider_id", F.col("provider_id").cast("int")), seed, "provider_id", "ord")
+
+
+def _purchases(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    return t.raw("orders").select(
+        key.alias("ord"), F.col("o_custkey").alias("user_id"), _pick(key, "IOS", "ANDROID").alias("platform"), _pick(key, "monthly", "yearly", "unknown").alias("product_id"), F.when(key % 31 != 0, key.cast("string")).alias("transaction_id"),
+        F.when(key % 37 != 0, F.concat(F.lit("t"), (key % 5000).cast("string"))).alias("original_id"), F.when(key % 17 == 0, F.col("o_orderdate")).alias("revoked_at"), F.date_add(F.col("o_orderdate").cast("date"), 31).alias("expires_at"),
+    )
+
+
+def _claims(t: Tables):
+    products = t.spark.createDataFrame([("monthly", "MANUAL"), ("yearly", "PREMIUM")], "product_id string, plan string")
+    good = lifecycle.valid_purchase(_purchases(t), products, dt.datetime(1998, 7, 1))
+    before = t.raw("orders").where("o_orderkey % 400 = 0").select(_pick(F.col("o_orderkey"), "IOS", "ANDROID").alias("platform"), F.concat(F.lit("t"), (F.col("o_orderkey") % 5000).cast("string")).alias("original_id"), F.lit(1).cast("bigint").alias("user_id")).distinct()
+    return good, lifecycle.claim_purchases(before, _entitlements(t), good)
+
+
+@query
+def purchase_validity(t):
+    return _claims(t)[0].select("ord", "plan")
+
+
+@query
+def purchase_events(t):
+    return _claims(t)[1][0]
+
+
+@query
+def purchase_entitlements(t):
+    return _claims(t)[1][1]
+
+
+@query
+def purchase_rejects(t):
+    return _claims(t)[1][2]
+
+
+def _placed(t: Tables) -> DataFrame:
+    key = F.col("id")
+    return t.subscriptions().withColumns({"currency": _pick(key, "NOK", "USD", "EUR", "DKK"), "country": F.when(key % 3 == 0, _pick(key, "NO", "DE", "US"))})
+
+
+@query
+def country_backfill(t):
+    return _placed(t).select("id", lifecycle.country_or_currencys(F.col("country"), F.col("currency")).alias("country"))
+
+
+@query
+def market_filter(t):
+    return portfolio.in_market(_placed(t), "NO").select("id")
+
+
+@query
+def renewal_at_noon(t):
+    return t.subscriptions().select("id", lifecycle.renewal_noon(F.col("renewal_date")).alias("renews_at"))
+
+
+@query
+def metadata_merge(t):
+    return t.actions().select("id", lifecycle.merge_metadata(F.when(F.col("id") % 3 != 0, F.lit('{"a":"1","b":"2"}')), F.concat(F.lit('{"b":"'), F.col("id").cast("string"), F.lit('"}'))).alias("metadata"))
+
+
+@query
+def chat_history(t):
+    return lifecycle.chat_history(t.raw("conversations"), 3)
+
+
+@query
+def top3_expensive(t):
+    return portfolio.top_recommendations(t.subscriptions(), ORDERS_AS_OF, 3)
+
+
+@query
+def cost_comparison(t):
+    pairs = t.subscriptions().where("id % 4 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return portfolio.comparison(t.subscriptions(), pairs)
+
+
+@query
+def html_export(t):
+    rows = lifecycle.subscription_list(t.subscriptions(), t.services(), t.providers()).withColumn("service_name", F.concat("service_name", F.lit(" <&> 'x'")))
+    saved = t.subscriptions().where("id % 3 = 0").select(F.col("id").alias("subscription_id"), (F.col("id") % 5000).alias("saved_minor"))
+    return portfolio.html_export(rows.where("user_id % 10 = 3"), saved)
+
+
+# -- markets and sources -------------------------------------------------------------------------------------------------------------
+
+
+@query
+def price_valid(t):
+    return _valid(t).groupBy("country", "currency", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def price_last_wins(t):
+    return pricing.last_of_each(t.candidates())
+
+
+@query
+def price_market_scan(t):
+    return pricing.verified_prices(_stored(t), "no", "nok")
+
+
+@query
+def price_store_counts(t):
+    return pricing.stored_counts(pricing.resolve(_valid(t)))
+
+
+def _registry(t: Tables) -> DataFrame:
+    return t.candidates().where("kind = 'registry'").withColumn("route", F.when(F.col("ord") % 3 != 0, F.col("route")))
+
+
+@query
+def registry_scan(t):
+    return pricing.registry_scan(_registry(t), 5, "no", "NOK").select("plan", "route", "price_minor", "ord", "line")
+
+
+def _catalogue(t: Tables, markets) -> DataFrame:
+    """A nested store catalogue: plans by service and market."""
+    pick = lambda k: F.element_at(F.array(*(F.lit(m[k]) for m in markets)), (F.col("p_partkey") % len(markets)).cast("int") + 1)
+    price = F.col("p_partkey") % 900
+    plans = F.array(F.struct(F.lit("Small").alias("plan"), price.alias("price_minor")), F.struct(F.lit("Large").alias("plan"), (price * 2).alias("price_minor")))
+    return t.raw("part").select(F.col("p_partkey").alias("service"), pick(0).alias("country"), pick(1).alias("currency"), F.lit("apple").alias("route"), plans.alias("plans"))
+
+
+@query
+def store_catalogue(t):
+    return pricing.store_catalogue(_catalogue(t, (*MARKETS, ("US", "USD"))), t.markets())
+
+
+@query
+def china_catalogue(t):
+    return pricing.china_catalogue(_catalogue(t, (("CN", "CNY"), ("CN", "USD"), ("NO", "NOK"))))
+
+
+@query
+def market_sources(t):
+    adapters = [t.candidates().where(f"kind = '{kind}' and country = 'NO' and service % 4 <> 1").select(*pricing.KEY, "price_minor", "kind") for kind in ("page", "help")]
+    return pricing.market_sources(adapters, t.candidates().where("kind = 'registry' and country = 'NO'").select(*pricing.KEY, "price_minor", "kind")).groupBy("service", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def refresh_summary(t):
+    results = t.raw("nation").select(F.substring("n_name", 1, 2).alias("country"), F.when(F.col("n_nationkey") % 6 != 1, F.col("n_nationkey").cast("bigint")).alias("n_prices"))
+    return pricing.refresh_summary(results)
+
+
+SLUGS = ("netflix", "hulu", "youku", "apple-music", "paramount-plus", "prime-video", "amazon-prime", "amazon-music-unlimited", "disney-plus", "unknown")
+
+
+@query
+def service_availability(t):
+    return t.raw("part").select("p_partkey", routing.available(_pick(F.col("p_partkey"), *SLUGS), _pick(F.col("p_partkey"), "US", "NO", "CN", "DE", "SE", "IE", "PT")).alias("available"))
+
+
+@query
+def billing_routes(t):
+    routes = t.raw("part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("s"), (F.col("p_partkey") % 60).cast("string")).alias("service"), _pick(F.col("p_partkey"), "apple", "direct", "moon", "carrier", "amazon").alias("provider"))
+    services = t.raw("part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 70).cast("string")).alias("service")).distinct()
+    return routing.allowed_routes(services, routes, ["direct", "apple", "google-play", "amazon", "carrier"])
+
+
+@query
+def service_picker(t):
+    services = t.services().select(_pick(F.col("service_id"), "netflix", "hulu", "youku", "x").alias("slug"), F.concat(F.lit("s"), F.col("service_id").cast("string")).alias("service"), "service_name", "category")
+    prices = t.candidates().where("price_minor > 0").select(F.concat(F.lit("s"), F.col("service").cast("string")).alias("service"), "country")
+    owned = t.subscriptions().where("user_id = 7").select(F.concat(F.lit("s"), F.col("service_id").cast("string")).alias("service"))
+    return routing.picker(services, prices, owned, "NO", "Brand#13")
+
+
+@query
+def country_search(t):
+    return routing.country_search(t.raw("nation").select(F.substring("n_name", 1, 2).alias("country"), F.col("n_name").alias("name")), " N_1 ")
+
+
+@query
+def page_metadata(t):
+    key = F.col("page_id")
+    pages_ = t.raw("pages").select("page_id", _pick(key, "NO", "se", "DE", "USA").alias("requested"), F.when(key % 3 == 0, _pick(key, "NO", "DE")).alias("reported"))
+    return routing.page_metadata(pages_)
+
+
+def _contexts(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    return t.raw("orders").select(key.alias("id"), _pick(key, *SLUGS).alias("service"), _pick(F.floor(key / 3), "apple", "Google", "carrier-tv", "amazon", "direct", "google-play", " DIRECT ").alias("provider"), _pick(F.floor(key / 7), "PAUSE", "CANCEL", "REACTIVATE", "MANAGE").alias("action"), _pick(F.floor(key / 11), "NO", "US", "gb").alias("country"))
+
+
+@query
+def provider_routes(t):
+    return _contexts(t).select("id", routing.billing_provider(F.col("provider")).alias("billing"), routing.provider_route(routing.billing_provider(F.col("provider"))).alias("r")).select("id", "billing", "r.provider", "r.url", "r.label")
+
+
+@query
+def management_urls(t):
+    pages_ = t.spark.createDataFrame([("netflix", "https://m", "https://p", None, None), ("disney-plus", "https://d", None, "https://c", "https://r"), ("hulu", None, None, "https://h", None)], "service string, manage_url string, pause_url string, cancel_url string, reactivate_url string")
+    return routing.management_urls(_contexts(t), pages_).select("id", "url")
+
+
+@query
+def pause_support(t):
+    return _contexts(t).select("id", routing.supports_pause(F.col("provider"), F.when(F.col("service") != "unknown", F.col("service").isin("netflix", "hulu"))).alias("pauses"))
+
+
+@query
+def capability_resolution(t):
+    return routing.capabilities(_contexts(t).select("id", "service", "provider", "action")).select("id", "adapter", "execution", "supported", "premium_only", "url")
+
+
+# -- questions -----------------------------------------------------------------------------------------------------------------------
+
+#: Questions that are asked besides the turns' own words, so that every kind of answer occurs.
+ASKED = ("never cancel it", "save about 120 kr a month", "what should i cut", "open settings", "how do i add a subscription", "what if i pause it for 3 months", "which costs more", "most expensive", "recommend something", "stale prices", "how much am i spending",
+    "what did i save", "set up", "when does it renew", "cancel netflx", "next charge", "hello", "help", "explain dark mode", "and then the first one", "what about the latter")
+
+
+def _asked(t: Tables) -> DataFrame:
+    return _questions(t).select("conv_id", "turn", F.concat(_pick(F.col("conv_id") + F.col("turn"), *ASKED), F.lit(" "), F.substring("text", 1, 20)).alias("text"))
+
+
+@query
+def help_topics(t):
+    return _asked(t).select("conv_id", "turn", questions.help_topic(F.col("text")).alias("topic"))
+
+
+@query
+def answer_kinds(t):
+    rows = _asked(t).select("conv_id", "turn", "text", questions.intent(F.col("text")).alias("intent"))
+    months, compared = F.when(F.col("conv_id") % 3 == 0, 6), F.when(F.col("conv_id") % 2 == 0, F.col("turn") % 4 == 0)
+    return rows.select("conv_id", "turn", "intent", questions.answer_kind(F.col("text"), F.col("intent"), months, compared).alias("kind"))
+
+
+@query
+def conversation_memory(t):
+    ids = lambda *xs: F.array(*xs).cast("array<bigint>")
+    k = F.col("conv_id") + F.col("turn")
+    named = F.when(k % 5 == 0, ids(k)).when(k % 5 == 2, ids(k, k + 1, k + 2)).otherwise(ids())
+    rows = questions.remembered(_asked(t).withColumn("mentioned", named))
+    return rows.select("conv_id", "turn", "last_id", F.array_join("compared", ",").alias("compared"), F.col("months_before").cast("int").alias("months_before"), "about")
+
+
+@query
+def word_matches(t):
+    words = _questions(t).select(F.explode(F.split(text.normalise(F.col("text")), " ")).alias("word")).distinct()
+    pairs = words.withColumn("target", F.explode(F.array(*map(F.lit, ("the", "canel", "thing", "")))))
+    return pairs.select("word", "target", text.word_matches(F.col("word"), F.col("target")).alias("matches"))
+
+
+# -- pages ---------------------------------------------------------------------------------------------------------------------------
+
+#: What stands on a page in the form that each parser knows; {a} and {b} are prices of the page, and {x} is its currency mark on some pages and another's on others.
+SAMPLES = {
+    "faq_prices": '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"components":{"faq":{"faqEntry":[{"question":"How much is Spotify Premium?","answer":"Premium Individual plan costs %d,50 %s per month. Premium Duo plan costs %d kr per month."}]}}}}}</script>',
+    "price_range": "<p>Plans range from %d %s a month to kr %d a month</p>",
+}
+
+
+def _page(t: Tables, sample: str, *values) -> DataFrame:
+    return t.raw("pages").select("page_id", F.concat("html", F.format_string(sample, *values)).alias("html"))
+
+
+def _amounts(t: Tables):
+    key = F.col("page_id")
+    return (key % 90 + 10).cast("int"), F.when(key % 7 == 3, "usd").otherwise("kr"), (key % 60 + 120).cast("int")
+
+
+@query
+def page_faq_prices(t):
+    return _page(t, SAMPLES["faq_prices"], *_amounts(t)).select("page_id", F.inline(pages.faq_prices(F.col("html"), "NOK")))
+
+
+@query
+def page_price_range(t):
+    low, mark, high = _amounts(t)
+    rows = _page(t, "<p>Plans range from kr %d a month to kr %d a month</p>", low, high)
+    return rows.select("page_id", pages.price_range(text.html_to_text(F.col("html")), "NOK").alias("r")).select("page_id", "r.low", "r.high")
+
+
+@query
+def page_market(t):
+    code = F.when(F.col("page_id") % 4 == 0, "no").otherwise(_pick(F.col("page_id"), "NO", "SE"))
+    rows = _page(t, "<script>AF_initDataCallback({key: 'ds:0', hash: '1', data:[[null,null,null,12,3,null,\"%s\"]]});</script>", code)
+    return rows.select("page_id", pages.embedded_market(F.col("html")).alias("market"))
+
+
+@query
+def page_anchored_price(t):
+    low, mark, high = _amounts(t)
+    rows = _page(t, "<p>Få Apple TV for bare kr %d per måned.</p><p>Apple TV-abonnementet koster NOK %d per måned</p>", low, F.when(F.col("page_id") % 2 == 0, low).otherwise(high))
+    return rows.select("page_id", pages.unanimous_price(text.html_to_text(F.col("html")), pages.NORWAY_MONTHLY).alias("amount"))
+
+
+@query
+def page_recurring_prices(t):
+    low, mark, high = _amounts(t)
+    rows = _page(t, "<p>Individual 0 kr for 3 months, then %d kr per month. Duo kr %d monthly.</p>", low, high)
+    return rows.select("page_id", F.inline(pages.recurring_prices(text.html_to_text(F.col("html")), ["Individual", "Duo", "Student"], "NOK")))
+
+
+@query
+def page_storage_tiers(t):
+    low, mark, high = _amounts(t)
+    currency = F.when(F.col("page_id") % 5 == 0, "EUR").otherwise("NOK")
+    one = '["%d","100 GB"],2,["%d000000","x","%s"],["1","one.%s","y"],"p","q", "Google AI Pro" '
+    rows = _page(t, "<script>AF_initDataCallback({key: 'ds:2', data:[" + one + one.replace('"Google AI Pro"', '"none"') + "]});</script>", low, low, currency, F.lit("monthly"), high, high, F.lit("NOK"), F.when(F.col("page_id") % 2 == 0, "annual").otherwise("monthly"))
+    return rows.select("page_id", F.inline(pages.storage_tiers(F.col("html"), "NOK")))
+
+
+@query
+def page_structured_plans(t):
+    low, mark, high = _amounts(t)
+    one = '{"productName":{"k":"1","plainText":" %s "},"price":{"format":"f","currencyCode":"%s","amount":"%d,00","period":"%s","pricePlanId":"p1"}}'
+    rows = _page(t, "<script>[" + one + "," + one + "]</script>", F.lit("Basic"), F.lit("NOK"), low, F.when(F.col("page_id") % 3 == 0, "år").otherwise("Måned"), F.lit("Premium"), F.when(F.col("page_id") % 4 == 0, "SEK").otherwise("NOK"), high, F.lit("month"))
+    return rows.select("page_id", F.inline(pages.structured_plans(F.col("html"), "NOK")))
+
+
+@query
+def page_footnote_prices(t):
+    low, mark, high = _amounts(t)
+    rows = _page(t, "<p>for øyeblikket %d kr per måned for Premium, %d kr per måned for Standard eller %d %s per måned for Standard med reklame</p>", high, high, low, mark)
+    return rows.select("page_id", F.inline(pages.footnote_prices(F.col("html"), "NOK")))
+
+
+@query
+def page_basic_monthly(t):
+    low, mark, high = _amounts(t)
+    card = '<div class="sku x"><h3 class="oc-product-title"> Microsoft 365 Basic </h3><b>kr %d,00</b> per %s</div>'
+    rows = _page(t, card + card, high, F.lit("år"), low, F.when(F.col("page_id") % 3 == 0, "år").otherwise("måned"))
+    return rows.select("page_id", pages.basic_monthly(F.col("html"), "NOK").alias("amount"))
+
+
+@query
+def page_comparison_prices(t):
+    low, mark, high = _amounts(t)
+    rows = _page(t, "<h2>Microsoft 365 Personal</h2><p>kr %d,00/måned</p><p>kr 999,00/år</p><h2>Microsoft 365 Family</h2><p>kr %d,00/%s</p><h2>Other</h2><p>kr 1,00/måned</p>", low, high, F.when(F.col("page_id") % 3 == 0, "år").otherwise("måned"))
+    return rows.select("page_id", F.inline(pages.comparison_prices(F.col("html"), "NOK")))
+
+
+@query
+def page_tier_prices(t):
+    low, mark, high = _amounts(t)
+    tiers = "".join(f'<div class="tile plan-{x}"><p>%d kr</p></div>' for x in ("50gb", "200gb", "2tb", "6tb", "12tb"))
+    rows = _page(t, tiers + "<p>%s</p>", low, low + 1, high, high + 1, high + 2, F.when(F.col("page_id") % 3 == 0, "77 kr").otherwise("end"))
+    return rows.select("page_id", F.inline(pages.tier_prices(F.col("html"), "NOK")))
+
+
+@query
+def page_last_amount(t):
+    low, mark, high = _amounts(t)
+    rows = _page(t, "<p>0 kr, %d kr, %d kr, %d kr</p>", low, high, low)
+    return rows.select("page_id", pages.last_amounts(text.html_to_text(F.substring_index("html", "</html>", -1)), "NOK").alias("amount"))
+
+
+@query
+def plan_names(t):
+    raw = _pick(F.col("p_partkey"), " Basis", "STANDARD", "Standard med reklame ", "Ultra", "premium", "Basic")
+    return t.raw("part").select("p_partkey", pages.plan_name(raw).alias("plan"))
+
+
+@query
+def page_language(t):
+    rows = t.raw("pages").select("page_id", F.concat(F.format_string('<HTML class="x" lang="%s">', _pick(F.col("page_id"), "nb-NO", "en", "")), F.lit("<body>text</body>")).alias("html"))
+    return rows.select("page_id", pages.page_language(F.col("html")).alias("language"))

@@ -14,6 +14,8 @@ ORDERS_AS_OF = dt.date(1998, 7, 1)
 KINDS = ("structured", "registry", "api", "help", "store", "page")
 PRIORITIES = {"structured": 110, "registry": 100, "api": 90, "help": 80, "store": 75, "page": 70}
 TIMEZONES = ("Europe/Oslo", "America/New_York", "Asia/Tokyo", "", "UTC")
+#: Country and currency of the markets that have price evidence.
+MARKETS = (("NO", "NOK"), ("SE", "SEK"), ("DE", "EUR"))
 CURRENCIES = ("USD", "EUR", "NOK", "GBP", "SEK")
 
 
@@ -73,13 +75,21 @@ class Tables:
         )
 
     def candidates(self) -> DataFrame:
+        """Price evidence of three markets; some of it in a foreign currency, some only a range."""
         kind = F.element_at(F.array(*map(F.lit, KINDS)), ((F.col("l_suppkey") + F.col("l_linenumber")) % 6).cast("int") + 1)
         priority = F.element_at(F.create_map(*(F.lit(x) for kv in PRIORITIES.items() for x in kv)), F.col("kind"))
+        market = ((F.col("l_suppkey") + F.col("l_partkey")) % 3).cast("int") + 1
+        own = F.element_at(F.array(*(F.lit(c) for _, c in MARKETS)), market)
         return self.raw("lineitem").select(
-            F.col("l_partkey").alias("service"), F.col("l_returnflag").alias("plan"), F.col("l_linestatus").alias("route"), (F.col("l_quantity").cast("int") % 4).cast("bigint").alias("price_minor"),
+            F.col("l_partkey").alias("service"), F.col("l_returnflag").alias("plan"), F.col("l_linestatus").alias("route"), F.element_at(F.array(*(F.lit(c) for c, _ in MARKETS)), market).alias("country"),
+            F.when(F.col("l_orderkey") % 13 == 0, "USD").otherwise(own).alias("currency"), (F.col("l_quantity").cast("int") % 4).cast("bigint").alias("price_minor"),
+            F.when(F.col("l_orderkey") % 11 == 0, "range").otherwise("exact").alias("price_type"),
             kind.alias("kind"), F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").cast("date").alias("seen_at"),
         ).withColumn("priority", priority)
 
+    def markets(self) -> DataFrame:
+        return self.spark.createDataFrame(list(MARKETS), "country string, currency string")
+
     def preferences(self) -> DataFrame:
         """Some users have no row, which means that all is on."""
         key = F.col("c_custkey")

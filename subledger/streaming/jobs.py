@@ -1,44 +1,104 @@
-"""The periodic jobs as Structured Streaming: reminders that are queued once, and savings of intervals as they close."""
+"""The periodic jobs as Structured Streaming: reminders that are queued once, savings of intervals as they close, what a conversation is about, and the loop that runs them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
-JOB_KEY = ["subscription_id", "channel", "destination", "scheduled_for"]
+JOB_KEY = ["subscription_id", "kind", "channel", "destination", "scheduled_for"]
 INTERVALS = "subscription_id long, new_status string, started date, ended date, days long"
+MEMORY = "conv_id long, turn int, about long"
 
 
-def once(jobs: DataFrame, delay: str = "30 days") -> DataFrame:
-    """A stream of jobs without those whose key was seen within ``delay`` of event time ``created_at``."""
-    return jobs.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(JOB_KEY)
+def insert_once(table: str, key: list[str]) -> Callable[[DataFrame, int], None]:
+    """A sink that adds a batch's rows whose key the Parquet table doesn't have yet, for ever. A batch that is written again replaces what it wrote before, so a restart adds nothing twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, columns = batch.sparkSession, batch.columns
+        new = batch.dropDuplicates(key)
+        try:
+            old = spark.read.schema(StructType([*batch.schema.fields, StructField("batch", LongType())])).parquet(table)
+        except Exception as missing:  # the first batch
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+        else:
+            new = new.join(old.where(f"batch <> {number}").select(*key), key, "left_anti").select(*columns)
+        new.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return write
 
 
 def _close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Open stops are the state; an activation strictly after a stop's start closes it."""
+    """Open stops are the state; an activation strictly after a stop's start closes it, whichever of them arrives first: the latest activations are kept for stops that come late."""
     (subscription,) = key
-    open_ones = [tuple(x) for x in zip(*state.get, strict=True)] if state.exists else []
+    if state.exists:
+        statuses, starts, activations = state.get
+        open_ones, activated = list(zip(statuses, starts, strict=True)), list(activations)
+    else:
+        open_ones, activated = [], []
     out = []
+
+    def closed(status: str, started, ended) -> tuple:
+        return (subscription, status, started, ended, (ended - started).days)
+
     for pdf in batches:
         for r in pdf.sort_values(["recorded_at", "id"]).itertuples():
-            if r.new_status != "ACTIVE":
+            if r.new_status == "ACTIVE":
+                out += [closed(*x, r.effective_date) for x in open_ones if x[1] < r.effective_date]
+                open_ones = [x for x in open_ones if x[1] >= r.effective_date]
+                activated = sorted({*activated, r.effective_date})
+            elif later := [a for a in activated if a > r.effective_date]:
+                out.append(closed(r.new_status, r.effective_date, later[0]))
+            else:
                 open_ones.append((r.new_status, r.effective_date))
-                continue
-            closed = [x for x in open_ones if x[1] < r.effective_date]
-            out += [(subscription, status, started, r.effective_date, (r.effective_date - started).days) for status, started in closed]
-            open_ones = [x for x in open_ones if x[1] >= r.effective_date]
-    state.update(([x[0] for x in open_ones], [x[1] for x in open_ones]))
+    state.update(([x[0] for x in open_ones], [x[1] for x in open_ones], activated))
     yield pd.DataFrame(out, columns=["subscription_id", "new_status", "started", "ended", "days"])
 
 
 def closed_intervals(history: DataFrame) -> DataFrame:
-    """A stream of status changes to a stream of closed stops. Changes of a subscription must arrive in order of their recording."""
-    return history.groupBy("subscription_id").applyInPandasWithState(_close, INTERVALS, "statuses array<string>, starts array<date>", "append", GroupStateTimeout.NoTimeout)
+    """A stream of status changes to a stream of closed stops. Changes may come in any order as long as an activation doesn't come after a later one that has closed the same stop."""
+    return history.groupBy("subscription_id").applyInPandasWithState(_close, INTERVALS, "statuses array<string>, starts array<date>, activations array<date>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The state is the last subscription mentioned; a turn that mentions none, but points back, is about it."""
+    (conversation,) = key
+    last = state.get[0] if state.exists else None
+    out = []
+    for r in sorted((r for pdf in batches for r in pdf.itertuples()), key=lambda r: r.turn):
+        own = None if pd.isna(r.mentioned) else int(r.mentioned)
+        out.append((conversation, r.turn, own if own is not None else last if r.points else None))
+        last = own if own is not None else last
+    state.update((last,))
+    yield pd.DataFrame({"conv_id": [x[0] for x in out], "turn": [x[1] for x in out], "about": pd.array([x[2] for x in out], "Int64")})
+
+
+def conversation_memory(turns: DataFrame) -> DataFrame:
+    """A stream of turns (conv_id, turn, mentioned, points) with the subscription that each is about; a conversation's batches come in order."""
+    return turns.groupBy("conv_id").applyInPandasWithState(_remember, MEMORY, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(stream: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Work off all that is there now. ``each_batch`` gets (batch, number) and must be idempotent for a number."""
     stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def cycle(spark: SparkSession, steps: dict[str, Callable[[SparkSession], None]]) -> dict[str, str | None]:
+    """Run the steps in order, each by itself: {step: its error, or None}. One that fails doesn't stop the others."""
+    errors: dict[str, str | None] = {}
+    for name, step in steps.items():
+        try:
+            step(spark)
+            errors[name] = None
+        except Exception as error:  # what failed is reported, and is due again in the next cycle
+            errors[name] = f"{type(error).__name__}: {error}"
+    return errors
+
+
+def every(ticks: DataFrame, steps: dict[str, Callable[[SparkSession], None]], checkpoint: str, interval: str = "15 minutes"):
+    """The job loop: a cycle for each trigger that finds new ``ticks`` (such as a rate source). Returns the running query."""
+    return ticks.writeStream.foreachBatch(lambda batch, _: cycle(batch.sparkSession, steps) and None).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
