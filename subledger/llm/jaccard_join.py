@@ -180,13 +180,13 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _low_hashes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(point, least, bytes, hash) for each point's low hashes; ``least`` of them are in any set that it links with."""
+    """(point, least, hash) for each point's low hashes; ``least`` of them are in any set that it links with."""
     for batch in batches:
         sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
         n = np.fromiter(map(len, sets), np.int64, len(sets))
         cut = [s[: len(s) - needed(len(s), percent) + extra(len(s))] for s in sets]
         owner = np.repeat(np.arange(len(sets)), np.fromiter(map(len, cut), np.int64, len(cut)))
-        yield pa.RecordBatch.from_arrays([batch.column("point").take(pa.array(owner)), pa.array(extra(needed(n, percent))[owner]), pa.array(8 * n[owner]), pa.array(np.concatenate([np.zeros(0, np.uint64), *cut]).view(np.int64))], ["point", "least", "bytes", "hash"])
+        yield pa.RecordBatch.from_arrays([batch.column("point").take(pa.array(owner)), pa.array(extra(needed(n, percent))[owner]), pa.array(np.concatenate([np.zeros(0, np.uint64), *cut]).view(np.int64))], ["point", "least", "hash"])
 
 
 def components(ties: DataFrame) -> DataFrame:
@@ -212,14 +212,14 @@ def components(ties: DataFrame) -> DataFrame:
 
 
 def rare_hashes(points: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(point, hash, bytes) for the rarest low hashes of each point that others have too; two linked points share one. ``bytes`` is the size of the point's set."""
-    low = points.mapInArrow(partial(_low_hashes, percent=percent), "point binary, least long, bytes long, hash long")
+    """(point, hash) for the rarest low hashes of each point that others have too; two linked points share one."""
+    low = points.mapInArrow(partial(_low_hashes, percent=percent), "point long, least long, hash long")
     held = written(low.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1"))
-    shared = lookup_join(low, held, ["hash"], "times").groupBy("point", "least", "bytes").agg(F.sort_array(F.collect_list(F.struct("times", "hash"))).alias("shared"))
+    shared = lookup_join(low, held, ["hash"], "times").groupBy("point", "least").agg(F.sort_array(F.collect_list(F.struct("times", "hash"))).alias("shared"))
     # Hashes of one point alone come first in the order, then the others by how many points have them; two sets with
     # ``least`` in common meet before the last ``least - 1``.
     reach = (F.size("shared") - F.col("least") + 1).cast("int")
-    return written(shared.where(reach > 0).select("point", "bytes", F.explode(F.slice("shared", F.lit(1), reach)).alias("one")).select("point", F.col("one.hash").alias("hash"), "bytes"))
+    return written(shared.where(reach > 0).select("point", F.explode(F.slice("shared", F.lit(1), reach)).alias("one")).select("point", F.col("one.hash").alias("hash")))
 
 
 # -- 3. regions of all points ---------------------------------------------------------------------------------------------------------------------
@@ -239,16 +239,16 @@ def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = int((own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some).sum())
             found.append((pivot, point, both, len(own) + len(some) - both))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["pivot", "point", "both", "either"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["pivot", "point", "both", "either"])
 
 
 def distances(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """(pivot, point, d, linked) for each of the written ``pairs`` (pivot, point, bytes). A pivot's set is sent once for every SPREAD_BYTES of points, so no region is one task's."""
-    parts = written(pairs.groupBy("pivot").agg(F.count("*").alias("n"), (F.floor(F.sum("bytes") / SPREAD_BYTES) + 1).cast("int").alias("parts")))
+    """(pivot, point, d, linked) for each of the written ``pairs`` (pivot, point); ``points`` has (point, bytes, shingles). A pivot's set is sent once for every SPREAD_BYTES of points, so no region is one task's."""
+    parts = written(pairs.join(points.select("point", "bytes"), "point").groupBy("pivot").agg(F.count("*").alias("n"), (F.floor(F.sum("bytes") / SPREAD_BYTES) + 1).cast("int").alias("parts")))
     dealt = lookup_join(pairs.select("pivot", "point"), parts, ["pivot"], "n").withColumn("part", F.pmod(F.xxhash64("point"), "parts").cast("int"))
     sets = dealt.select("pivot", "part", "point").join(points, "point").select("pivot", "part", "point", "shingles")
-    own = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(points.withColumnRenamed("point", "pivot"), "pivot").select("pivot", "part", F.lit(None).cast("binary").alias("point"), "shingles")
-    met = sets.unionByName(own).repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.asc_nulls_first("point")).mapInArrow(_to_pivots, "pivot binary, point binary, both long, either long")
+    own = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(points.select(F.col("point").alias("pivot"), "shingles"), "pivot").select("pivot", "part", F.lit(None).cast("long").alias("point"), "shingles")
+    met = sets.unionByName(own).repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.asc_nulls_first("point")).mapInArrow(_to_pivots, "pivot long, point long, both long, either long")
     return written(met.select("pivot", "point", (1 - F.col("both") / F.col("either")).alias("d"), (100 * F.col("both") >= percent * F.col("either")).alias("linked")))
 
 
@@ -260,17 +260,20 @@ def voronoi(rare: DataFrame, points: DataFrame, percent: int = PERCENT) -> tuple
         first = written(left.groupBy("hash").agg(F.min(F.struct(F.xxhash64("point"), "point")).getField("point").alias("pivot"), F.count("*").alias("n")))
         if first.isEmpty():
             break
-        meets = written(lookup_join(left, first, ["hash"], "n").groupBy("pivot", "point").agg(F.max("bytes").alias("bytes")))
+        meets = written(lookup_join(left, first, ["hash"], "n").select("pivot", "point").distinct())
+        discard(first)
         # A pivot comes first in all its hashes, so no hash leads to two.
         chosen = meets.groupBy("point").agg(F.count_if(F.col("pivot") != F.col("point")).alias("others")).where("others = 0").select(F.col("point").alias("pivot"))
         met = meets.groupBy("pivot").agg(F.count("*").alias("n")).join(chosen, "pivot")
-        pairs = written(lookup_join(meets.where(F.col("pivot") != F.col("point")), written(met), ["pivot"], "n").select("pivot", "point", "bytes"))
+        pairs = written(lookup_join(meets.where(F.col("pivot") != F.col("point")), written(met), ["pivot"], "n").select("pivot", "point"))
         near = distances(pairs, points, percent).where("linked")
         home = near.groupBy("point").agg(F.min(F.struct("d", "pivot")).alias("x")).select("point", F.col("x.pivot").alias("home"), F.col("x.d").alias("d"))
         home = written(home.unionByName(met.select(F.col("pivot").alias("point"), F.col("pivot").alias("home"), F.lit(0.0).alias("d"))))
         homes.append(home)
         links.append(near.select(F.col("pivot").alias("a"), F.col("point").alias("b")))
-        left = left.join(home.select("point"), "point", "left_anti")
+        left = written(left.join(home.select("point"), "point", "left_anti"))
+        discard(meets)
+        discard(pairs)
     alone = left.select("point").distinct().select("point", F.col("point").alias("home"), F.lit(0.0).alias("d"))
     return written(reduce(DataFrame.unionByName, [*homes, alone])), reduce(DataFrame.unionByName, links)
 
@@ -279,7 +282,8 @@ def regional_links(points: DataFrame, percent: int = PERCENT) -> tuple[DataFrame
     """((point, home, d) of all points that may link; (a, b): links between points of different regions, up to connection)."""
     rare = rare_hashes(points, percent)
     homes, links = voronoi(rare, points, percent)
-    placed = written(rare.join(homes, "point").select("hash", "point", "bytes", "home"))
+    placed = written(rare.join(homes, "point").select("hash", "point", "home"))
+    discard(rare)
     regions_of = placed.groupBy("hash", "home").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("homes"), F.sum("n").alias("n")).where("homes > 1")
     regions_of = written(regions_of)
     if regions_of.isEmpty():
@@ -287,7 +291,7 @@ def regional_links(points: DataFrame, percent: int = PERCENT) -> tuple[DataFrame
     crowded = written(regions_of.where(F.col("homes") > HOMES))
     few = without(placed.select("hash", "home").distinct(), crowded, ["hash"], "homes")
     named = few.join(regions_of.where(F.col("homes") <= HOMES).select("hash", "n"), "hash").groupBy("hash", "n").agg(F.collect_list("home").alias("pivots"))
-    pairs = lookup_join(placed, written(named), ["hash"], "n").select("point", "bytes", "home", F.explode("pivots").alias("pivot")).where("home <> pivot").groupBy("pivot", "point").agg(F.max("bytes").alias("bytes"))
+    pairs = lookup_join(placed, written(named), ["hash"], "n").select("point", "home", F.explode("pivots").alias("pivot")).where("home <> pivot").select("pivot", "point").distinct()
     met = distances(written(pairs), points, percent)
     links = links.unionByName(met.where("linked").select(F.col("pivot").alias("a"), F.col("point").alias("b")))
 
@@ -412,7 +416,7 @@ def join_regions(regions_: DataFrame, percent: int = PERCENT) -> DataFrame:
         sizes = written(large.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes")))
         over = (F.col("n") > TASK_POINTS) | (F.col("bytes") > TASK_BYTES)
         fits = large.join(sizes.where(~over).select("region"), "region", "left_semi")
-        links = fits.groupBy("region").applyInPandas(_join_of(percent), "a binary, b binary").where("a <> b")
+        links = fits.groupBy("region").applyInPandas(_join_of(percent), "a long, b long").where("a <> b")
         found = links if found is None else found.unionByName(links)
         drawn = F.least(F.col("n") / PIVOT_SHARE, F.lit(float(MOST_PIVOTS)))
         regions_over, weight = sizes.where(over).agg(F.count("*"), F.sum(drawn * F.col("bytes") / F.col("n"))).first()
@@ -431,13 +435,13 @@ def join_regions(regions_: DataFrame, percent: int = PERCENT) -> DataFrame:
         for r in chosen.toLocalIterator():
             pivots.setdefault(r["region"], []).append(bytes(r["shingles"]))
         shared = large.sparkSession.sparkContext.broadcast(pivots)
-        large = written(large.select("region", "point", "shingles").mapInArrow(lambda batches, shared=shared: _deal_regions(batches, shared.value, 1 - percent / 100), "region long, point binary, shingles binary"))
+        large = written(large.select("region", "point", "shingles").mapInArrow(lambda batches, shared=shared: _deal_regions(batches, shared.value, 1 - percent / 100), "region long, point long, shingles binary"))
     # What pivots don't part is compared tile by tile; each pair of tiles is one task's work.
     large = large.select("region", "point", "shingles").join(sizes.where(over), "region")
     tiled = large.withColumn("tiles", F.ceil(F.greatest(F.col("n") / TASK_POINTS, F.col("bytes") / TASK_BYTES) * 2).cast("int")).withColumn("tile", F.pmod(F.xxhash64("point", F.lit(7)), F.col("tiles")).cast("int"))
     pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pairs = pairs.select(F.xxhash64("region", F.least("tile", "other"), F.greatest("tile", "other")).alias("region"), "point", "shingles")
-    return found.unionByName(pairs.groupBy("region").applyInPandas(_join_of(percent), "a binary, b binary").where("a <> b"))
+    return found.unionByName(pairs.groupBy("region").applyInPandas(_join_of(percent), "a long, b long").where("a <> b"))
 
 
 def merged_regions(points: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -463,9 +467,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = rows.select("key", "text")
     near = near_texts(texts, width, percent)
     sets = written(lookup_join(texts, near.where("near").select("key", "times"), ["key"], "times").select("key", "text").mapInArrow(partial(_sets, width=width), "key binary, digest binary, shingles binary"))
-    points = written(sets.where("shingles is not null").select(F.col("digest").alias("point"), "shingles").dropDuplicates(["point"]))
-    regions_ = merged_regions(points, percent)
-    component = sets.select("key", F.col("digest").alias("point")).distinct().join(regions_, "point", "left").select("key", F.coalesce("component", "point").alias("component"))
+    # Written once, so that a point's number stays.
+    one = sets.where("shingles is not null").select("digest", "shingles").dropDuplicates(["digest"])
+    points = written(one.select(F.monotonically_increasing_id().alias("point"), "digest", F.octet_length("shingles").alias("bytes"), "shingles"))
+    regions_ = merged_regions(points, percent)  # numbers of points and of pivots alike
+    named = sets.select("key", "digest").distinct().join(points.select("digest", "point"), "digest").select("key", "point")
+    component = named.join(regions_, "point", "left").select("key", F.coalesce("component", "point").alias("component"))
     known = written(near.join(component, "key", "left").select("key", "n_shingles", "component", "times"))
     labelled = written(lookup_join(rows.select("doc_id", "key"), known, ["key"], "times").select("doc_id", "n_shingles", "component"))
     least = written(labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
