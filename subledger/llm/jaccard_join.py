@@ -42,13 +42,15 @@ ROUNDS, HOMES = 2, 16
 #: Bytes of sets that are compared with one copy of a pivot in one task.
 SPREAD_BYTES = 16 << 20
 #: Points that a region compares outright; points and bytes of sets of a region that one task joins.
-LEAF, TASK_POINTS, TASK_BYTES = 128, 8192, 32 << 20
+LEAF, TASK_POINTS, TASK_BYTES = 128, 1024, 32 << 20
 #: Inside a region one in so many points is a pivot, MOST_PIVOTS at most. A region there reaches RADIUS + epsilon from its pivot.
 PIVOT_SHARE, MOST_PIVOTS, RADIUS = 32, 512, 0.6
 #: Matches of shingles that are counted at once.
 MATCHES = 1 << 23
 #: Rounds in which Spark deals regions that are larger than a task anew, and bytes of pivots that it broadcasts for that.
 DEALS, PIVOT_BYTES = 4, 32 << 20
+#: Pivots that do not part a region copy its points to each other's windows; with more than COPIES of each, measured on one in 16 points, the region goes to tiles instead.
+COPIES = 2.5
 #: Stands for all texts of a group that share a shingle.
 MANY = 0xFFFF
 
@@ -435,7 +437,13 @@ def join_regions(regions_: DataFrame, percent: int = PERCENT) -> DataFrame:
         for r in chosen.toLocalIterator():
             pivots.setdefault(r["region"], []).append(bytes(r["shingles"]))
         shared = large.sparkSession.sparkContext.broadcast(pivots)
-        large = written(large.select("region", "point", "shingles").mapInArrow(lambda batches, shared=shared: _deal_regions(batches, shared.value, 1 - percent / 100), "region long, point long, shingles binary"))
+        def dealt(rows: DataFrame, shared=shared) -> DataFrame:
+            return rows.select("region", "point", "shingles").mapInArrow(lambda batches: _deal_regions(batches, shared.value, 1 - percent / 100), "region long, point long, shingles binary")
+
+        some = large.where(F.pmod(F.xxhash64("point", F.lit(11)), F.lit(16)) == 0)
+        if dealt(some).count() > COPIES * some.count():
+            break
+        large = written(dealt(large))
     # What pivots don't part is compared tile by tile; each pair of tiles is one task's work.
     large = large.select("region", "point", "shingles").join(sizes.where(over), "region")
     tiled = large.withColumn("tiles", F.ceil(F.greatest(F.col("n") / TASK_POINTS, F.col("bytes") / TASK_BYTES) * 2).cast("int")).withColumn("tile", F.pmod(F.xxhash64("point", F.lit(7)), F.col("tiles")).cast("int"))
