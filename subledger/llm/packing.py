@@ -20,6 +20,8 @@ from subledger.llm.words import WordTable, groups
 _BEFORE_MARK = re.compile(rb"([.,!?;:]+)(?<=[a-z0-9][.,!?;:])(?=\s)")
 MAX_LENGTH = 2048
 END_ID = 1
+#: Spark's setting for how many files of a partitioned write a task keeps open before it sorts.
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 class WordTokens(WordTable):
@@ -139,8 +141,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
     """Write the sequences to ``path``/bucket=LENGTH/ and return the table as read from there: all sequences of one length lie together, ready to be cut into batches without padding.
 
-    Each task writes its own pieces, one file for each of the log2(max_length) + 1 lengths at most, without a shuffle.
+    Each task writes its own pieces, one file for each of the log2(max_length) + 1 lengths at most, without a shuffle; it keeps all of them open, so that it needn't sort by length.
     """
-    rows = pieces.withColumn("bucket", F.col("length").cast("int"))
-    rows.write.partitionBy("bucket").parquet(path)
-    return pieces.sparkSession.read.schema(rows.schema).parquet(path)
+    spark, rows = pieces.sparkSession, pieces.withColumn("bucket", F.col("length").cast("int"))
+    before = spark.conf.get(OPEN_FILES)
+    spark.conf.set(OPEN_FILES, "32")
+    try:
+        rows.write.option("parquet.enable.dictionary#ids", "false").partitionBy("bucket").parquet(path)
+    finally:
+        spark.conf.set(OPEN_FILES, before)
+    return spark.read.schema(rows.schema).parquet(path)
