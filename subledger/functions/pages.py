@@ -226,3 +226,50 @@ def plan_name(raw: Column) -> Column:
 def page_language(html: Column) -> Column:
     """The language that a page declares, in lower case; null without one."""
     return F.nullif(F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*\blang=["']?([A-Za-z-]+)""", 1)), F.lit(""))
+
+
+def card_recurring(html: Column, currency: str) -> Column:
+    """Array of (plan, amount) of the Norwegian comparison cards: what is paid after the offer ("deretter betaler du") within a card, each once; offers, unknown plans and other currencies don't count."""
+    # Each part begins at a card's link and ends where the next one begins.
+    cards = F.slice(F.split(html, '(?i)data-testid="l4l_(?=(?:premium|standard|basic)")'), 2, 1000)
+    title = lambda c: F.regexp_extract(c, r"(?is)^[^>]*>([^<]*)</a>", 1)
+    close = lambda c: html_to_text(F.substring(F.regexp_replace(c, r"(?is)^.*?</a>", ""), 1, 1000))
+    amount = lambda c: parse_number(F.regexp_extract(close(c), r"(?iu)deretter betaler du\s*(\d[\d\s.,]*)kr per m[åa]ned", 1))
+    rows = F.transform(cards, lambda c: F.struct(plan_name(title(c)).alias("plan"), amount(c).alias("amount")))
+    known = F.filter(rows, lambda x: x["plan"].isin("Premium", "Standard", "Standard with Ads") & (x["amount"] > 0))
+    return F.array_distinct(known) if currency == "NOK" else _none()
+
+
+# Headings of the two plans on the Chinese comparison page.
+CHINA_PLANS = {"个人版": "Personal", "家庭版": "Family"}
+
+
+def china_prices(html: Column, currency: str) -> Column:
+    """Array of (plan, amount) of both plans on the Chinese comparison page: the one monthly amount between a heading, which the page has once, and the first yearly amount after it; empty if either plan lacks it."""
+
+    def plan(title: str, name: str) -> Column:
+        around = F.split(html, rf"(?i)<h2\b[^>]*>\s*Microsoft 365 {title}\s*</h2>")
+        tail = F.when(F.size(around) == 2, F.get(around, 1))
+        before_year = F.split(tail, r"¥\s*\d[\d.,]*\s*/\s*年", 2)
+        monthly = unanimous_price(F.when(F.size(before_year) == 2, F.get(before_year, 0)), [r"¥\s*(\d[\d.,]*)\s*/\s*月"])
+        return F.struct(F.lit(name).alias("plan"), monthly.alias("amount"))
+
+    rows = F.filter(F.array(*(plan(t, n) for t, n in CHINA_PLANS.items())), lambda x: x["amount"].isNotNull())
+    whole = let(rows, lambda x: F.when(F.size(x) == len(CHINA_PLANS), x))
+    return F.coalesce(whole, _none()) if currency == "CNY" else _none()
+
+
+# What a month is called on the membership card, and how the currencies of its pages are written there.
+MEMBERSHIP_MONTH = ["per month", "/month", "per månad", "pro monat", "al mes", "par mois", "por mes", "por mês", "per maand"]
+MEMBERSHIP_AMOUNTS = {"USD": [r"\$\s*(\d+(?:[.,]\d{1,2})?)", r"(\d+(?:[.,]\d{1,2})?)\s*USD\b"], "SEK": [r"(\d+(?:[.,]\d{1,2})?)\s*kr\b"], "EUR": [r"€\s*(\d+(?:[.,]\d{1,2})?)", r"(\d+(?:[.,]\d{1,2})?)\s*€"]}
+
+
+def membership_monthly(html: Column, currency: str) -> Column:
+    """The one amount of the first plan card of a membership page, if the card names a month; null for several amounts and for yearly cards. Other cards (students, years) don't count."""
+    if currency not in MEMBERSHIP_AMOUNTS:
+        return F.lit(None).cast("double")
+    opened = F.split(html, r"""(?i)(?=<div\b[^>]*\bdata-a-input-name=["']ChoosePlanRadioButton["'])""")
+    first = F.get(F.filter(opened, lambda c: c.rlike(r"""(?i)^<div\b[^>]*\bChoosePlanRadioButton\b[^>]*\bdata-index=["']1["']""")), 0)
+    card = html_to_text(F.regexp_extract(first, r"(?is)^(<div\b[^>]*>.{0,2200}?</label>\s*</div>)", 1))
+    monthly = F.exists(F.array(*map(F.lit, MEMBERSHIP_MONTH)), lambda m: F.lower(card).contains(m))
+    return F.when(monthly, unanimous_price(card, MEMBERSHIP_AMOUNTS[currency]))

@@ -283,6 +283,9 @@ ORACLES |= {
     "page_basic_monthly": sql("priced", "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN CAST(low AS DOUBLE) END AS amount FROM priced"),
     "page_comparison_prices": sql("priced", "SELECT page_id, 'Personal' AS plan, CAST(low AS DOUBLE) AS amount FROM priced UNION ALL SELECT page_id, 'Family', CAST(high AS DOUBLE) FROM priced WHERE page_id % 3 <> 0"),
     "page_tier_prices": sql("priced", "SELECT page_id, plan, CAST(CASE k WHEN 0 THEN low WHEN 1 THEN low + 1 ELSE high + k - 2 END AS DOUBLE) AS amount FROM priced, (VALUES (0, '50 GB'), (1, '200 GB'), (2, '2 TB'), (3, '6 TB'), (4, '12 TB')) v(k, plan) WHERE page_id % 3 <> 0 OR high + 2 = 77"),
+    "page_card_recurring": sql("priced", "SELECT page_id, 'Premium' AS plan, CAST(high AS DOUBLE) AS amount FROM priced UNION ALL SELECT page_id, 'Standard with Ads', CAST(low AS DOUBLE) FROM priced WHERE mark = 'kr'"),
+    "page_china_prices": sql("priced", "SELECT page_id, 'Personal' AS plan, CAST(low AS DOUBLE) AS amount FROM priced WHERE page_id % 3 <> 0 AND page_id % 4 <> 0 UNION ALL SELECT page_id, 'Family', CAST(high || '.5' AS DOUBLE) FROM priced WHERE page_id % 3 <> 0 AND page_id % 4 <> 0"),
+    "page_membership_monthly": sql("priced", "SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN CAST(low || '.99' AS DOUBLE) END AS amount FROM priced"),
     "page_last_amount": sql("priced", "SELECT page_id, CAST(CASE WHEN low = high THEN low ELSE high END AS DOUBLE) AS amount FROM priced"),
 }
 

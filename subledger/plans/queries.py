@@ -934,3 +934,28 @@ def plan_names(t):
 def page_language(t):
     rows = t.raw("pages").select("page_id", F.concat(F.format_string('<HTML class="x" lang="%s">', _pick(F.col("page_id"), "nb-NO", "en", "")), F.lit("<body>text</body>")).alias("html"))
     return rows.select("page_id", pages.page_language(F.col("html")).alias("language"))
+
+
+@query
+def page_card_recurring(t):
+    low, mark, high = _amounts(t)
+    card = '<a data-testid="l4l_%s" class="x"> %s </a><p>Fra 59 kr per måned</p><p>deretter betaler du</p><b>%d %s per måned</b>'
+    rows = _page(t, card * 4, F.lit("premium"), F.lit("PREMIUM"), high, F.lit("kr"), F.lit("premium"), F.lit("PREMIUM"), high, F.lit("kr"), F.lit("basic"), F.lit("STANDARD MED REKLAME"), low, mark, F.lit("standard"), F.lit("UKJENT"), low, F.lit("kr"))
+    return rows.select("page_id", F.inline(pages.card_recurring(F.col("html"), "NOK")))
+
+
+@query
+def page_china_prices(t):
+    low, mark, high = _amounts(t)
+    sample = "<h2>Microsoft 365 个人版</h2><p>¥%d/月</p><p>¥%d/年</p><h2>Microsoft 365 家庭版</h2><p>¥ %d.50 / 月</p><i>¥%d.50/月</i><p>¥999/年</p><h2>Microsoft 365 %s</h2>"
+    rows = _page(t, sample, low, high, high, F.when(F.col("page_id") % 3 == 0, high + 1).otherwise(high), F.when(F.col("page_id") % 4 == 0, "个人版").otherwise("商业版"))
+    return rows.select("page_id", F.inline(pages.china_prices(F.col("html"), "CNY")))
+
+
+@query
+def page_membership_monthly(t):
+    low, mark, high = _amounts(t)
+    card = """<div class="c" data-a-input-name='ChoosePlanRadioButton' data-index="%d"><label>€%d.99 %s</label></div>"""
+    period = F.when(F.col("page_id") % 3 == 0, "per jaar").when(F.col("page_id") % 5 == 0, "per maand, 3,50 € per week").otherwise("per maand")
+    rows = _page(t, card * 2, F.lit(2), high, F.lit("per maand"), F.lit(1), low, period)
+    return rows.select("page_id", pages.membership_monthly(F.col("html"), "EUR").alias("amount"))
