@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subledger.llm import language_id, toxicity
-from subledger.llm.common import shared_dir
+from subledger.llm import grouped_packing, language_id, toxicity
+from subledger.llm.common import let, scratch
+from subledger.llm.conversation_trie import prefix_trie
 from subledger.llm.exact_dedup import exact_dedup
 from subledger.llm.jaccard_join import jaccard_components
 from subledger.llm.license_scan import license_report
@@ -18,6 +18,7 @@ from subledger.llm.quality_model import quality_model
 from subledger.llm.quality_rules import quality_rules
 from subledger.llm.sentencepiece_sampling import decode, encode
 from subledger.llm.sharding import external_shuffle, write_shards
+from subledger.llm.tandem_runs import tandem_runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,7 @@ def tokenizer_path(name: str) -> str:
 
 def packed(docs: DataFrame) -> DataFrame:
     """The sequences as read from the buckets of equal lengths."""
-    pieces = write_buckets(pack(docs, tokenizer_path("word_bpe_49k.json")), f"{shared_dir(docs.sparkSession)}/{uuid.uuid4().hex}")
+    pieces = write_buckets(pack(docs, tokenizer_path("word_bpe_49k.json")), f"{scratch(docs.sparkSession)}/buckets")
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
@@ -70,7 +71,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents shuffled and written; what is returned is read from the shards' files."""
     size, text = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"), F.coalesce("text", F.lit(""))
     placed = external_shuffle(table(spark, sf_dir, "documents").withColumn("size", size))
-    shards = write_shards(placed, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    shards = write_shards(placed, f"{scratch(spark)}/shards")
     return shards.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "bucket", "position")
 
 
@@ -95,7 +96,43 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_model, op3_quality_rules, op4_exact_dedup, op5_packing, op6_sharding, op7_sentencepiece, op8_license_scan, op9_jaccard_join, op10_language_id)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def _with_repeats(text, h):
+    """The text, or, where h is a multiple of 10, its words with all from one place on replaced by repetitions of the first few of them."""
+    g, words = F.floor(h / 10), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeated(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = let(F.slice(w, a + 1, p), lambda part: F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.get(part, i % p)))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " ")).otherwise(text)
+
+    return F.when((h % 10 == 0) & text.isNotNull(), let(words, repeated)).otherwise(text)
+
+
+def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_repeats(F.col("text"), F.crc32(F.col("doc_id").cast("string"))).alias("text"))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = tandem_runs(docs, ["doc_id"]).withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids themselves are digested before the pieces are dealt, so that only the pieces' sizes are shuffled."""
+    parts = grouped_packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return grouped_packing.place(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_quality_model, op3_quality_rules, op4_exact_dedup, op5_packing, op6_sharding, op7_sentencepiece, op8_license_scan, op9_jaccard_join, op10_language_id, op11_conversation_trie, op12_tandem_runs, op13_grouped_packing)}
 
 #: DuckDB SQL where it can express the whole result; the others are tested in tests/llm/.
 ORACLES: dict[str, str] = {
