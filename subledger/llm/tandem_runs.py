@@ -23,6 +23,8 @@ from subledger.llm.words import groups, split_all
 
 LEAST_LENGTH = 6
 LEAST_EXPONENT = 4
+#: Bytes of text that share one suffix tree, which takes some hundred times as many where all of it repeats.
+TREE_BYTES = 256 << 10
 
 
 def _lowest(values: np.ndarray) -> list[np.ndarray]:
@@ -69,14 +71,14 @@ class Suffixes:
         name = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
         self.names, step = [], 1
         while True:
-            self.names.append(name)
+            self.names.append(name.astype(np.int32))
             if int(name.max()) == n - 1:
                 break
             after = np.zeros(n, np.int64)
             after[:-step] = name[step:] + 1
             name = np.unique(name * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
             step *= 2
-        self.rank = self.names.pop() if len(self.names) > 1 else self.names[0]
+        self.rank = (self.names.pop() if len(self.names) > 1 else self.names[0]).astype(np.int64)
         self.order = np.empty(n, np.int64)
         self.order[self.rank] = np.arange(n)
         common = self.forward(self.order[:-1], self.order[1:])
@@ -283,7 +285,7 @@ _RUN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("peri
 
 
 def _tandem(batches: Iterator[pa.RecordBatch], carry: list[str], least_length: int, least_exponent: int) -> Iterator[pa.RecordBatch]:
-    for batch in groups(batches):
+    for batch in groups(batches, most_bytes=TREE_BYTES):
         words, starts = split_all(batch.column("text").to_pylist())
         number = {w: i for i, w in enumerate(set(words))}
         found = runs_of(np.fromiter(map(number.__getitem__, words), np.int64, len(words)), starts, least_length, least_exponent)
@@ -298,7 +300,7 @@ def tandem_runs(docs: DataFrame, carry: list[str], text_col: str = "text", least
     """One row for each row of ``docs``: the columns ``carry``, n_words, runs (start, length, period in words; in order of start, then period) and collapsed.
 
     Words are what ASCII white space parts. A run is a maximal stretch with smallest period q, of ``least_length`` words and ``least_exponent`` (3 at least) times q or more. ``collapsed`` has the words, joined by one space, that no run contains after its first q.
-    A null or empty text has no words, no runs and an empty ``collapsed``. Rows that repeat are rows of their own; nulls in other columns are carried; no column can clash but the three that are made. Each text is searched whole, whatever its length: a task holds one batch of texts, of about 2 MB or one text.
+    A null or empty text has no words, no runs and an empty ``collapsed``. Rows that repeat are rows of their own; nulls in other columns are carried; no column can clash but the three that are made. Each text is searched whole, whatever its length: a task holds the tree of one batch of texts, TREE_BYTES of them or one text.
     """
     if least_exponent < 3 or least_length < 2 * least_exponent - 2:
         raise ValueError("a run has an exponent of 3 at least and twice as many words, less 2")
