@@ -23,8 +23,8 @@ from subledger.llm.words import groups
 
 #: A text is kept up to this quantile of the perplexities of held-out trusted texts in its language; one in HELD_OUT is held out, by a hash of its id.
 QUANTILE, HELD_OUT = 0.99, 5
-#: Shards of the model, from few to many: one more for every SHARD_BYTES of text. More shards mean fewer copies of the model, one for each salt.
-SHARDS, SHARD_BYTES = (16, 256), 256 << 20
+#: Shards of the model: SHARDS at least, and one for every SHARD_BYTES of text. More shards mean fewer copies of the model, one for each salt.
+SHARDS, SHARD_BYTES = 16, 256 << 20
 #: Bytes of texts' counts that one task joins with one shard.
 TASK_BYTES = 8 << 20
 #: Stand for what comes before a text, twice, and for its end.
@@ -174,7 +174,7 @@ def quality_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(min(max(SHARDS[0], size // SHARD_BYTES), SHARDS[1]))
+    shards = int(max(SHARDS, size // SHARD_BYTES))
     salts = int(max(1, size * 0.4 // (shards * TASK_BYTES)))
     counted = written(rows.mapInArrow(partial(_count, salts=salts, shards=shards), _COUNTED))
     all_ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).dropna().distinct()
@@ -197,7 +197,7 @@ def quality_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
         known = scored.join(all_ids, "doc_id", "left_semi")
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     overall = known.agg(limit).first()[0]
-    by_lang = written(known.groupBy("lang").agg(limit.alias("own")).select(F.coalesce("lang", F.lit("")).alias("name"), "own"))
-    judged = scored.withColumn("name", F.coalesce("lang", F.lit(""))).join(by_lang, "name", "left")
+    by_lang = written(known.groupBy("lang").agg(limit.alias("own")).select(F.col("lang").alias("name"), "own"))
+    judged = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("name")), "left")
     threshold = F.coalesce("own", F.lit(overall).cast("double"))
     return judged.select("doc_id", "lang", "n_symbols", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("kept"))

@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle: a global random order in pieces that fit in memory.
 
 Pass one scatters records over buckets by a seeded hash, so that a bucket holds about ``bucket_bytes``. Pass two gathers each
-bucket, shuffles it (Spark's ``shuffle`` is a Fisher-Yates shuffle) and numbers it. A record's place in the global order is the rows of all
+bucket, deals it into hands in the order of the same hash, shuffles each hand (Fisher and Yates) with draws that are hashes too, and numbers it. (Spark's own ``shuffle`` draws by the number of the partition, so its order would change with the layout.) A record's place in the global order is the rows of all
 buckets before plus its place in its own; shards take places in turn, so that their row counts differ by one at most.
 """
 
@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subledger.llm.common import lookup_join, without, written
 
 #: Bytes of text that one bucket holds on average.
 BUCKET_BYTES = 8 << 20
+#: Records that a hand has: an array of so many is shuffled at once.
+HAND = 32
 #: Rows that one bucket holds on average at most.
 BUCKET_ROWS = 50_000
 #: Equal rows that one task makes of their count at once.
@@ -53,6 +55,17 @@ def _dealt(records: DataFrame, seed: int, buckets: int) -> DataFrame:
     return dealt.select("record", "dice", F.pmod("dice", F.lit(buckets)).alias("bucket"))
 
 
+def _fisher_yates(bucket: Column, number: Column, hand: Column, seed: int) -> Column:
+    """The hand shuffled from inside out: the i-th record takes the place of the j-th, which moves to the end; j is a hash of seed, bucket, hand and i, from 0 to i."""
+
+    def put(done: Column, i: Column) -> Column:
+        j = F.pmod(F.xxhash64(F.lit(seed), bucket, number, i), i + 1).cast("int")
+        return F.when(j == i, F.concat(done, F.array(i))).otherwise(F.concat(F.slice(done, F.lit(1), j), F.array(i), F.slice(done, j + 2, i), F.slice(done, j + 1, F.lit(1))))
+
+    order = F.aggregate(F.sequence(F.lit(0), F.size(hand) - 1), F.array().cast("array<int>"), put)
+    return F.transform(order, lambda i: F.get(hand, i))
+
+
 def external_shuffle(records: DataFrame, size_col: str = "size", shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Every row of ``records`` once, all its columns in the struct ``record``, with bucket, position, shard and slot.
 
@@ -66,7 +79,8 @@ def external_shuffle(records: DataFrame, size_col: str = "size", shards: int = 8
     dealt = _dealt(records, seed, buckets)
     offsets = _offsets(dealt.groupBy("bucket").agg(F.count("*").alias("n")))
     held = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("dice", "record"))).alias("held"))
-    placed = held.join(offsets, "bucket").sortWithinPartitions("bucket").select("bucket", "offset", F.posexplode(F.shuffle("held", F.lit(seed))).alias("at", "one"))
+    hands = F.transform(F.sequence(F.lit(0), F.expr(f"(size(held) - 1) div {HAND}").cast("int")), lambda h: _fisher_yates(F.col("bucket"), h, F.slice("held", h * HAND + 1, F.lit(HAND)), seed))
+    placed = held.join(offsets, "bucket").select("bucket", "offset", F.posexplode(F.flatten(hands)).alias("at", "one"))
     position = F.col("offset") + F.col("at")
     return placed.select(F.col("one.record").alias("record"), F.col("bucket").cast("long"), position.alias("position"), F.pmod(position, F.lit(shards)).cast("int").alias("shard"), F.expr(f"(offset + at) div {int(shards)}").alias("slot"))
 
