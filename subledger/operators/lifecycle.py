@@ -55,26 +55,39 @@ def transition_history(subscriptions: DataFrame, changes: DataFrame, today: dt.d
 
 
 def first_action_status(actions: DataFrame) -> Column:
-    return F.when(F.col("requires_confirmation"), "AWAITING_CONFIRMATION").when(F.col("redirect_url").isNotNull(), "AWAITING_USER_ACTION").otherwise("REQUESTED")
+    """The status that a new action is stored with: one that needs no confirmation waits for its user only where it redirects."""
+    return F.when(F.col("requires_confirmation"), "AWAITING_CONFIRMATION").when(F.col("execution") == "PROVIDER_REDIRECT", "AWAITING_USER_ACTION").otherwise("REQUESTED")
+
+
+def create_actions(requests: DataFrame) -> DataFrame:
+    """New actions as they are stored: the requests' columns and ``status``."""
+    return requests.withColumn("status", first_action_status(requests))
+
+
+def _target(action: Column) -> Column:
+    return F.when(action == "PAUSE", "PAUSED").when(action == "CANCEL", "CANCELLED").otherwise("ACTIVE")
 
 
 def confirm(actions: DataFrame) -> DataFrame:
-    """Actions after confirmation: only those that wait for it move; direct ones complete and set the subscription's status."""
-    status = first_action_status(actions)
-    waits = status == "AWAITING_CONFIRMATION"
+    """Actions after each is confirmed once: only those that are stored as waiting for it move; direct ones complete and set the subscription's status."""
+    waits = F.col("status") == "AWAITING_CONFIRMATION"
     direct = waits & (F.col("execution") == "DIRECT")
-    target = F.when(F.col("action") == "PAUSE", "PAUSED").when(F.col("action") == "CANCEL", "CANCELLED").otherwise("ACTIVE")
-    return actions.select("id", status.alias("before"), F.when(direct, "COMPLETED").when(waits, "AWAITING_USER_ACTION").otherwise(status).alias("after"), F.when(direct, target).alias("subscription_status"))
+    after = F.when(direct, "COMPLETED").when(waits, "AWAITING_USER_ACTION").otherwise(F.col("status"))
+    return actions.select("id", F.col("status").alias("before"), after.alias("after"), F.when(direct, _target(F.col("action"))).alias("subscription_status"))
+
+
+def takes_result(actions: DataFrame) -> DataFrame:
+    """Actions that a provider's result may still finish: redirected or guided, and stored as waiting."""
+    return actions.where(F.col("execution").isin("PROVIDER_REDIRECT", "GUIDED") & F.col("status").isin("AWAITING_CONFIRMATION", "AWAITING_USER_ACTION"))
 
 
 def provider_result(actions: DataFrame, subscriptions: DataFrame, results: DataFrame, booked: DataFrame | None = None) -> DataFrame:
-    """What ``results`` (id, result, on_date) of a provider do: the action's and the subscription's new state and the saving it books.
+    """What ``results`` (id, result, on_date), one for each action, do: the action's and the subscription's new state and the saving it books.
 
-    Only redirected or guided actions that wait, and whose subscription is their user's, are touched. An action with an estimate among the ``booked`` savings events books no second one. UNCHANGED cancels the action; ACTIVE clears the effective date; a stop with a price above 0 books one estimated month.
+    Only redirected or guided actions that are stored as waiting, and whose subscription is their user's, are touched. An action with an estimate among the ``booked`` savings events books no second one. UNCHANGED cancels the action; ACTIVE clears the effective date; a stop with a price above 0 books one estimated month.
     """
-    open_ones = actions.where(F.col("execution").isin("PROVIDER_REDIRECT", "GUIDED") & (first_action_status(actions) != "REQUESTED"))
-    priced = subscriptions.select(F.col("id").alias("subscription_id"), "user_id", "price_minor", "status", "status_effective_date")
-    joined = open_ones.join(results, "id").join(priced, ["subscription_id", "user_id"])
+    priced = subscriptions.select(F.col("id").alias("subscription_id"), "user_id", "price_minor", F.col("status").alias("status_before"), "status_effective_date")
+    joined = takes_result(actions).drop("status").join(results, "id").join(priced, ["subscription_id", "user_id"])
     before = booked.where("kind = 'ESTIMATED'").select(F.col("action_id").alias("id"), F.lit(True).alias("booked")).distinct() if booked is not None else results.limit(0).select("id", F.lit(True).alias("booked"))
     joined = joined.join(before, "id", "left")
     stops = F.col("result").isin("PAUSED", "CANCELLED")
@@ -82,13 +95,62 @@ def provider_result(actions: DataFrame, subscriptions: DataFrame, results: DataF
     same = F.col("result") == "UNCHANGED"
     return joined.select(
         "id", "subscription_id", F.when(same, "CANCELLED").otherwise("COMPLETED").alias("action_status"),
-        F.when(same, F.col("status")).otherwise(F.col("result")).alias("subscription_status"),
+        F.when(same, F.col("status_before")).otherwise(F.col("result")).alias("subscription_status"),
         F.when(same, F.col("status_effective_date")).when(stops, F.col("on_date")).alias("status_effective_date"),
         F.when(books, F.col("price_minor")).alias("saving_minor"),
         F.when(books, F.date_sub(F.add_months("on_date", 1), 1)).alias("saving_until"),
     )
 
 
+def action_log(actions: DataFrame, subscriptions: DataFrame, events: DataFrame) -> DataFrame:
+    """What each of ``events`` (event_id, at, action_id, user_id, kind CONFIRM or RESULT, result, on_date) does, in their order by ``at`` and event_id (which is unique): the events with ``accepted``, the action's ``new_status`` and, where it sets them, ``sets_status`` and ``sets_date``.
+
+    An action starts from its stored status. A confirmation is accepted once, while the action waits for it; a result once, while a redirected or guided action waits for either. Both leave the action where no second one is: so of the events of an action at most the first confirmation
+    that comes before the first result, and the first result, count, which two minima per action find without gathering its events. An event of another user, for no action, or a status-changing result whose subscription is gone does nothing; nor does one of a kind or result that isn't known.
+    """
+    own = actions.select(F.col("id").alias("action_id"), "user_id", "subscription_id", "action", "execution", "status")
+    found = subscriptions.select(F.col("id").alias("subscription_id"), "user_id", F.lit(True).alias("found"))
+    open_ones = own.where(F.col("status").isin("AWAITING_CONFIRMATION", "AWAITING_USER_ACTION")).join(found, ["subscription_id", "user_id"], "left")
+    joined = events.join(open_ones, ["action_id", "user_id"])
+    order = F.struct("at", "event_id")
+    confirms = (F.col("kind") == "CONFIRM") & (F.col("status") == "AWAITING_CONFIRMATION")
+    known = (F.col("result") == "UNCHANGED") | (F.col("result").isin("ACTIVE", "PAUSED", "CANCELLED") & F.col("found"))
+    finishes = (F.col("kind") == "RESULT") & F.col("execution").isin("PROVIDER_REDIRECT", "GUIDED") & known
+    first = joined.groupBy("action_id").agg(F.min(F.when(confirms, order)).alias("confirmed"), F.min(F.when(finishes, order)).alias("finished"))
+    counted = first.select("action_id", F.when(F.col("finished").isNull() | (F.col("confirmed") < F.col("finished")), F.col("confirmed.event_id")).alias("confirm_id"), F.col("finished.event_id").alias("finish_id"))
+    state = own.join(counted, "action_id", "left")
+    told = events.join(state.drop("user_id"), "action_id", "left")
+    by_confirm, by_result = (F.coalesce(F.col("event_id") == F.col(c), F.lit(False)) for c in ("confirm_id", "finish_id"))
+    direct = by_confirm & (F.col("execution") == "DIRECT")
+    changes = by_result & (F.col("result") != "UNCHANGED")
+    moved = F.when(by_result & (F.col("result") == "UNCHANGED"), "CANCELLED").when(by_result | direct, "COMPLETED").when(by_confirm, "AWAITING_USER_ACTION")
+    return told.select(
+        *events.columns, "subscription_id", (by_confirm | by_result).alias("accepted"), moved.alias("new_status"),
+        F.when(direct, _target(F.col("action"))).when(changes, F.col("result")).alias("sets_status"), F.when(changes & (F.col("result") != "ACTIVE"), F.col("on_date")).alias("sets_date"),
+    )
+
+
+def after_log(actions: DataFrame, subscriptions: DataFrame, log: DataFrame, booked: DataFrame, today: dt.date) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(actions, subscriptions, savings) after an ``action_log``: the same columns with new statuses and dates, and the estimates that it books (action_id, subscription_id, user_id, amount_minor, period_start, period_end).
+
+    Of several actions on a subscription the last accepted one sets its status, and the last accepted result its date. A stop with a price above 0 books a month from its date, or from ``today``; not where the action has an estimate in ``booked``.
+    """
+    good = log.where("accepted")
+    order = F.struct("at", "event_id")
+    last = good.groupBy("action_id").agg(F.max_by("new_status", order).alias("new_status"))
+    moved = actions.join(last, actions["id"] == last["action_id"], "left").select(*(F.coalesce("new_status", "status").alias(c) if c == "status" else actions[c] for c in actions.columns))
+    set_ones = good.where("sets_status is not null")
+    result = F.when(F.col("kind") == "RESULT", order)
+    effects = set_ones.groupBy("subscription_id", "user_id").agg(F.max_by("sets_status", order).alias("sets_status"), F.max_by("sets_date", result).alias("sets_date"), F.max(result).isNotNull().alias("dated"))
+    subs = subscriptions.alias("s").join(effects.withColumnRenamed("subscription_id", "id").alias("e"), ["id", "user_id"], "left")
+    new = {"status": F.coalesce("sets_status", F.col("s.status")), "status_effective_date": F.when(F.col("dated"), F.col("sets_date")).otherwise(F.col("s.status_effective_date"))}
+    changed = subs.select(*(new.get(c, F.col(c)).alias(c) for c in subscriptions.columns))
+    stops = set_ones.where("kind = 'RESULT' and sets_status in ('PAUSED', 'CANCELLED')").join(subscriptions.select(F.col("id").alias("subscription_id"), "user_id", "price_minor").where("price_minor > 0"), ["subscription_id", "user_id"])
+    start = F.coalesce("sets_date", F.lit(today))
+    estimates = stops.join(booked.where("kind = 'ESTIMATED'").select("action_id"), "action_id", "left_anti")
+    return moved, changed, estimates.select("action_id", "subscription_id", "user_id", F.col("price_minor").alias("amount_minor"), start.alias("period_start"), F.date_sub(F.add_months(start, 1), 1).alias("period_end"))
+
+
 def preview(actions: DataFrame, entitlements: DataFrame) -> DataFrame:
     """What each requested action would come to under its user's plan; no entitlement counts as VIEWER."""
     plan = F.coalesce("plan", F.lit("VIEWER"))

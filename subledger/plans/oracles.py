@@ -63,7 +63,7 @@ TABLES = {
     "ends": "SELECT c_custkey AS user_id, 'ExpoPushToken[' || c_custkey || ']' AS destination, c_custkey % 7 <> 0 AS enabled FROM customer WHERE c_custkey % 3 <> 0",
     "acts": """SELECT o_orderkey AS id, o_orderkey AS subscription_id, o_custkey AS user_id, (['PAUSE','CANCEL','REACTIVATE'])[o_orderkey % 3 + 1] AS action,
         (['DIRECT','PROVIDER_REDIRECT','GUIDED','UNSUPPORTED'])[o_orderkey % 4 + 1] AS execution, o_orderkey % 5 = 0 AS requires_confirmation, CASE WHEN o_orderkey % 2 = 0 THEN 'https://example.org/' || o_orderkey END AS redirect_url,
-        CASE WHEN o_orderkey % 5 = 0 THEN 'AWAITING_CONFIRMATION' WHEN o_orderkey % 2 = 0 THEN 'AWAITING_USER_ACTION' ELSE 'REQUESTED' END AS status, o_orderdate AS requested_at FROM orders""",
+        CASE WHEN o_orderkey % 11 = 3 THEN 'COMPLETED' WHEN o_orderkey % 11 = 7 THEN 'CANCELLED' WHEN o_orderkey % 5 = 0 THEN 'AWAITING_CONFIRMATION' WHEN o_orderkey % 4 = 1 THEN 'AWAITING_USER_ACTION' ELSE 'REQUESTED' END AS status, o_orderdate AS requested_at FROM orders""",
     "due": """SELECT s.*, u.email, u.timezone, p.renewal_reminders, p.email_enabled,
         timezone('UTC', timezone(CASE WHEN trim(u.timezone) = '' THEN 'UTC' ELSE u.timezone END, CAST(s.renewal_date - 3 AS TIMESTAMP) + INTERVAL 9 HOUR)) AS scheduled_for
         FROM subs s JOIN users u USING (user_id) LEFT JOIN prefs p USING (user_id)
@@ -77,12 +77,21 @@ TABLES = {
         CASE WHEN provider_id IS NULL THEN 'billing route' END, CASE WHEN price_minor IS NULL THEN 'price' END, CASE WHEN plan_name IS NULL THEN 'plan' END], lambda x: x IS NOT NULL) AS found FROM effective""",
     "upcoming": "SELECT user_id, id, renewal_date, row_number() OVER (PARTITION BY user_id ORDER BY renewal_date, id) AS n, count(*) OVER (PARTITION BY user_id) AS n_upcoming FROM effective WHERE effective = 'ACTIVE' AND renewal_date >= DATE '1998-07-01'",
     "turns": "SELECT conv_id, turn, text, trim(regexp_replace(regexp_replace(replace(lower(text), '+', ' plus '), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM conversations WHERE role = 'user'",
+    "events_in_turn": """SELECT ((l_orderkey * 20000 + (CAST(l_shipdate AS DATE) - DATE '1970-01-01')) * 8 + l_linenumber) * 64 + CAST(l_quantity AS BIGINT) AS event_id, CAST(l_shipdate AS DATE) AS day, l_orderkey AS action_id, CASE WHEN l_quantity > 45 THEN o_custkey + 1 ELSE o_custkey END AS user_id, (l_orderkey + l_linenumber) % 3 = 0 AS confirms,
+        CASE WHEN l_linenumber = 4 THEN 'UNCHANGED' WHEN l_returnflag = 'A' THEN 'PAUSED' WHEN l_returnflag = 'R' THEN 'CANCELLED' WHEN l_linenumber = 5 THEN 'LATER' ELSE 'ACTIVE' END AS result, CASE WHEN l_linenumber <> 2 THEN CAST(l_shipdate AS DATE) + 10 END AS on_date,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_shipdate AS DATE), l_linenumber, l_quantity) AS nth FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+    # An action's events one after the other: each step reads the status that the step before has left.
+    "steps": """SELECT id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS event_id, status, false AS accepted, CAST(NULL AS VARCHAR) AS sets_status, CAST(NULL AS DATE) AS sets_date, CAST(NULL AS DATE) AS day FROM acts
+        UNION ALL SELECT id, nth, event_id, CASE WHEN c THEN CASE WHEN execution = 'DIRECT' THEN 'COMPLETED' ELSE 'AWAITING_USER_ACTION' END WHEN r THEN CASE WHEN result = 'UNCHANGED' THEN 'CANCELLED' ELSE 'COMPLETED' END ELSE status END, c OR r,
+        CASE WHEN c AND execution = 'DIRECT' THEN CASE action WHEN 'PAUSE' THEN 'PAUSED' WHEN 'CANCEL' THEN 'CANCELLED' ELSE 'ACTIVE' END WHEN r AND result <> 'UNCHANGED' THEN result END, CASE WHEN r AND result IN ('PAUSED','CANCELLED') THEN on_date END, day
+        FROM (SELECT s.id, e.nth, e.event_id, s.status, e.result, e.on_date, e.day, a.execution, a.action, e.confirms AND a.user_id = e.user_id AND s.status = 'AWAITING_CONFIRMATION' AS c,
+            NOT e.confirms AND a.user_id = e.user_id AND a.execution IN ('PROVIDER_REDIRECT','GUIDED') AND s.status LIKE 'AWAITING%' AND e.result <> 'LATER' AS r FROM steps s JOIN events_in_turn e ON e.action_id = s.id AND e.nth = s.nth + 1 JOIN acts a ON a.id = s.id)""",
 }
 #: Which CTEs a CTE reads.
 NEEDS = {
     "effective": ["subs"], "good": ["cands"], "votes": ["good"], "pairs": ["votes"], "won": ["pairs"], "resolved": ["won", "good"], "stored": ["good"], "due": ["subs", "users", "prefs"], "changes": ["subs"], "results": ["acts"], "ents": ["users"],
     "ranked": ["effective"], "spend": ["effective"], "issues": ["effective"], "upcoming": ["effective"], "current": ["history"], "verified": ["saves", "current"], "jobs": ["due", "ends"], "sent": ["jobs"], "newcomers": ["users"], "accepted": ["newcomers", "users"],
-    "edits": ["subs", "services"], "applied": ["edits", "subs"], "gone": ["subs"], "owners": ["buys", "claimed"], "billed": ["contexts"], "placed": ["subs"],
+    "edits": ["subs", "services"], "applied": ["edits", "subs"], "gone": ["subs"], "owners": ["buys", "claimed"], "billed": ["contexts"], "placed": ["subs"], "steps": ["events_in_turn", "acts"],
 }
 
 
@@ -98,7 +107,7 @@ def sql(tables: str, body: str) -> str:
 
     for name in tables.split():
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in order) + "\n" + body
+    return ("WITH RECURSIVE " if "steps" in order else "WITH ") + ",\n".join(f"{n} AS ({TABLES[n]})" for n in order) + "\n" + body
 
 
 INTERVALS = """ivals AS (SELECT h.id, h.subscription_id, h.new_status, h.effective_date, (SELECT min(a.effective_date) FROM history a WHERE a.subscription_id = h.subscription_id AND a.new_status = 'ACTIVE' AND a.effective_date > h.effective_date) AS until FROM history h WHERE h.new_status IN ('PAUSED','CANCELLED')),
@@ -127,12 +136,18 @@ ORACLES: dict[str, str] = {
     "status_history_append": sql("subs changes", "SELECT s.id AS subscription_id, s.user_id, s.status AS previous_status, c.new_status, coalesce(c.on_date, DATE '1998-07-01') AS effective_date FROM subs s JOIN changes c USING (id) WHERE c.new_status <> s.status"),
     "action_status": sql("acts", """SELECT id, status AS before, CASE WHEN status <> 'AWAITING_CONFIRMATION' THEN status WHEN execution = 'DIRECT' THEN 'COMPLETED' ELSE 'AWAITING_USER_ACTION' END AS after,
         CASE WHEN status = 'AWAITING_CONFIRMATION' AND execution = 'DIRECT' THEN CASE action WHEN 'PAUSE' THEN 'PAUSED' WHEN 'CANCEL' THEN 'CANCELLED' ELSE 'ACTIVE' END END AS subscription_status FROM acts"""),
+    "action_create": sql("acts", "SELECT id, execution, requires_confirmation, CASE WHEN requires_confirmation THEN 'AWAITING_CONFIRMATION' WHEN execution = 'PROVIDER_REDIRECT' THEN 'AWAITING_USER_ACTION' ELSE 'REQUESTED' END AS status FROM acts"),
+    "action_log": sql("steps", "SELECT event_id, id AS action_id, accepted, CASE WHEN accepted THEN status END AS new_status, sets_status, sets_date FROM steps WHERE nth > 0"),
+    "action_log_actions": sql("steps", "SELECT id, arg_max(status, nth) AS status FROM steps GROUP BY id"),
+    "action_log_subscriptions": sql("steps subs", "SELECT s.id, coalesce(t.sets_status, s.status) AS status, CASE WHEN t.id IS NULL OR a.execution = 'DIRECT' THEN s.status_effective_date ELSE t.sets_date END AS status_effective_date FROM subs s LEFT JOIN (SELECT * FROM steps WHERE sets_status IS NOT NULL) t ON t.id = s.id LEFT JOIN acts a ON a.id = s.id"),
+    "action_log_savings": sql("steps subs", """SELECT s.id AS action_id, s.id AS subscription_id, s.user_id, s.price_minor AS amount_minor, coalesce(sets_date, DATE '1998-07-01') AS period_start, CAST(coalesce(sets_date, DATE '1998-07-01') + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS period_end
+        FROM steps t JOIN acts a USING (id) JOIN subs s ON s.id = t.id WHERE sets_status IN ('PAUSED','CANCELLED') AND a.execution <> 'DIRECT' AND s.price_minor > 0 AND (s.id % 6 <> 0 OR s.id % 4 = 2)"""),
     "action_preview": sql("acts ents", """SELECT a.id, a.user_id, coalesce(e.plan, 'VIEWER') AS plan, CASE WHEN coalesce(e.plan, 'VIEWER') = 'VIEWER' THEN 'REJECTED' WHEN execution = 'UNSUPPORTED' THEN 'UNSUPPORTED' WHEN execution = 'DIRECT' AND e.plan <> 'PREMIUM' THEN 'PREMIUM_REQUIRED' ELSE 'PREPARED' END AS verdict
         FROM acts a LEFT JOIN ents e USING (user_id)"""),
     "provider_result": sql("acts subs results", """SELECT a.id, a.subscription_id, CASE WHEN result = 'UNCHANGED' THEN 'CANCELLED' ELSE 'COMPLETED' END AS action_status, CASE WHEN result = 'UNCHANGED' THEN s.status ELSE result END AS subscription_status,
         CASE WHEN result = 'UNCHANGED' THEN s.status_effective_date WHEN result <> 'ACTIVE' THEN on_date END AS status_effective_date, CASE WHEN result IN ('PAUSED','CANCELLED') AND price_minor > 0 AND (a.id % 6 <> 0 OR a.id % 4 = 2) THEN price_minor END AS saving_minor,
         CASE WHEN result IN ('PAUSED','CANCELLED') AND price_minor > 0 AND (a.id % 6 <> 0 OR a.id % 4 = 2) THEN CAST(on_date + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) END AS saving_until
-        FROM acts a JOIN results r USING (id) JOIN subs s ON s.id = a.subscription_id WHERE execution IN ('PROVIDER_REDIRECT','GUIDED') AND a.status <> 'REQUESTED' AND a.id % 23 <> 5"""),
+        FROM acts a JOIN results r USING (id) JOIN subs s ON s.id = a.subscription_id WHERE execution IN ('PROVIDER_REDIRECT','GUIDED') AND a.status IN ('AWAITING_CONFIRMATION','AWAITING_USER_ACTION') AND a.id % 23 <> 5"""),
     "recent_actions_top100": sql("acts", "SELECT id, user_id, action, requested_at FROM acts ORDER BY requested_at DESC, id DESC LIMIT 100"),
     "entitlement_upsert": sql("ents users", "SELECT user_id, plan FROM ents WHERE user_id % 5 <> 0 UNION ALL SELECT user_id, 'PREMIUM' FROM users WHERE user_id % 5 = 0"),
     "account_purge": sql("users", "SELECT user_id, email FROM users WHERE NOT (user_id % 3 = 0 AND DATE '1998-06-15' + CAST(user_id % 30 AS INTEGER) + 7 <= DATE '1998-07-01')"),

@@ -138,6 +138,42 @@ def provider_result(t):
     return lifecycle.provider_result(theirs, t.subscriptions(), results, booked)
 
 
+def _log(t: Tables) -> DataFrame:
+    return lifecycle.action_log(t.actions(), t.subscriptions(), t.action_events())
+
+
+def _after_log(t: Tables):
+    booked = t.actions().where("id % 6 = 0").select(F.col("id").alias("action_id"), F.when(F.col("id") % 4 == 2, "VERIFIED").otherwise("ESTIMATED").alias("kind"))
+    return lifecycle.after_log(t.actions(), t.subscriptions(), _log(t), booked, ORDERS_AS_OF)
+
+
+@query
+def action_create(t):
+    """New actions with the status that they are stored with."""
+    return lifecycle.create_actions(t.actions().drop("status")).select("id", "execution", "requires_confirmation", "status")
+
+
+@query
+def action_log(t):
+    """Every event with what it did; late and repeated ones do nothing."""
+    return _log(t).select("event_id", "action_id", "accepted", "new_status", "sets_status", "sets_date")
+
+
+@query
+def action_log_actions(t):
+    return _after_log(t)[0].select("id", "status")
+
+
+@query
+def action_log_subscriptions(t):
+    return _after_log(t)[1].select("id", "status", "status_effective_date")
+
+
+@query
+def action_log_savings(t):
+    return _after_log(t)[2]
+
+
 @query
 def recent_actions_top100(t):
     return t.actions().select("id", "user_id", "action", "requested_at").orderBy(F.desc("requested_at"), F.desc("id")).limit(100)

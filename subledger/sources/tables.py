@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from subledger.operators import lifecycle
+
 #: Dates that stand for today.
 EVENTS_AS_OF = dt.date(2024, 1, 31)
 ORDERS_AS_OF = dt.date(1998, 7, 1)
@@ -100,10 +102,24 @@ class Tables:
         return self.raw("customer").where("c_custkey % 3 <> 0").select(key.alias("user_id"), F.concat(F.lit("ExpoPushToken["), key.cast("string"), F.lit("]")).alias("destination"), (key % 7 != 0).alias("enabled"))
 
     def actions(self) -> DataFrame:
+        """Actions with their stored status; two in eleven are finished."""
         key = F.col("o_orderkey")
         pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (key % len(values)).cast("int") + 1)
-        return self.raw("orders").select(
+        requests = self.raw("orders").select(
             key.alias("id"), key.alias("subscription_id"), F.col("o_custkey").alias("user_id"), pick("PAUSE", "CANCEL", "REACTIVATE").alias("action"),
             pick("DIRECT", "PROVIDER_REDIRECT", "GUIDED", "UNSUPPORTED").alias("execution"), (key % 5 == 0).alias("requires_confirmation"),
             F.when(key % 2 == 0, F.concat(F.lit("https://example.org/"), key.cast("string"))).alias("redirect_url"), F.col("o_orderdate").alias("requested_at"),
         )
+        done = F.when(F.col("id") % 11 == 3, "COMPLETED").when(F.col("id") % 11 == 7, "CANCELLED")
+        return lifecycle.create_actions(requests).withColumn("status", F.coalesce(done, F.col("status")))
+
+    def action_events(self) -> DataFrame:
+        """Confirmations and provider results, several for each action and many of them late, repeated or another user's: the lines of an order are the events of its action."""
+        line = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_quantity")
+        owners = self.raw("orders").select("o_orderkey", "o_custkey")
+        odd = (F.col("l_orderkey") + F.col("l_linenumber")) % 3 == 0
+        result = F.when(F.col("l_linenumber") == 4, "UNCHANGED").when(F.col("l_returnflag") == "A", "PAUSED").when(F.col("l_returnflag") == "R", "CANCELLED").when(F.col("l_linenumber") == 5, "LATER").otherwise("ACTIVE")
+        return line.join(owners, line["l_orderkey"] == owners["o_orderkey"]).select(
+            (((F.col("l_orderkey") * 20_000 + F.unix_date(F.col("l_shipdate").cast("date"))) * 8 + F.col("l_linenumber")) * 64 + F.col("l_quantity").cast("long")).alias("event_id"), F.col("l_shipdate").cast("date").alias("at"), F.col("l_orderkey").alias("action_id"), F.when(F.col("l_quantity") > 45, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("user_id"),
+            F.when(odd, "CONFIRM").otherwise("RESULT").alias("kind"), F.when(~odd, result).alias("result"), F.when(~odd & (F.col("l_linenumber") != 2), F.date_add(F.col("l_shipdate").cast("date"), 10)).alias("on_date"),
+        )
