@@ -145,19 +145,42 @@ def storage_tiers(html: Column, currency: str) -> Column:
 PERIODS = ("måned", "månad", "month", "monthly", "mois", "mese", "mês", "maand", "kuukausi")
 
 
+# What one service calls its plans, in lower case.
+STRUCTURED_NAMES = {
+    "basis med reklame": "Basic With Ads", "basic med reklam": "Basic With Ads", "basis med reklamer": "Basic With Ads", "basic avec pub": "Basic With Ads", "base con pubblicità": "Basic With Ads",
+    "basic com anúncios": "Basic With Ads", "basic met reclame": "Basic With Ads", "basic (mainoksilla)": "Basic With Ads", "standard": "Standard", "standaard": "Standard", "premium": "Premium",
+}
+# The keys of a product record, in its order; those named "plain" hold an object with the text.
+RECORD = (("productName", "plain"), ("price", "open"), ("format", "text"), ("currencyCode", "code"), ("amount", "plain"), ("period", "plain"), ("currency", "plain"), ("", "close"), ("pricePlan", "open"), ("id", "id"))
+
+
+def _record() -> str:
+    """A product record as a pattern; its groups are name, currency code, amount, period, currency and plan id."""
+    forms = {"plain": r'\{[^{}]*"plainText"\s*:\s*"([^"]+)"\s*\}', "open": r"\{", "text": r'"[^"]*"', "code": r'"([A-Z]{3})"', "id": r'"([^"]+)"\s*\}', "close": r"\}"}
+    pattern, comma = "", False
+    for key, form in RECORD:
+        if form != "close":
+            pattern += (r"\s*,\s*" if comma else r"\s*" if pattern else "") + rf'"{key}"\s*:\s*'
+        else:
+            pattern += r"\s*"
+        pattern += forms[form]
+        comma = form != "open"
+    return pattern
+
+
 def structured_plans(html: Column, currency: str) -> Column:
-    """Array of (plan, amount) of products in a page's embedded JSON, by their name's plain text, price, period and plan id: monthly ones in the currency, each once."""
-    text = lambda key: rf'"{key}"\s*:\s*"([^"]*)"'
-    record = rf'"productName"\s*:\s*\{{[^{{}}]*{text("plainText")}[^{{}}]*\}}\s*,\s*"price"\s*:\s*\{{([^{{}}]*)\}}'
-    names, bodies = (F.regexp_extract_all(html, F.lit(record), F.lit(k)) for k in (1, 2))
-    field = lambda body, key: F.regexp_extract(body, rf'"{key}"\s*:\s*"?([^",}}]*)', 1)
-
-    def row(name: Column, body: Column) -> Column:
-        amount = F.replace(F.regexp_replace(field(body, "amount"), r"\s", ""), F.lit(","), F.lit(".")).try_cast("double")
-        good = (field(body, "currencyCode") == currency) & F.lower(F.btrim(field(body, "period"))).isin(*PERIODS) & (amount > 0) & (field(body, "pricePlanId") != "")
-        return F.when(good, F.struct(F.btrim(name).alias("plan"), amount.alias("amount")))
-
-    return F.array_distinct(F.filter(F.zip_with(names, bodies, row), lambda x: x.isNotNull()))
+    """Array of (plan, amount, plan_id) of products in a page's embedded JSON, whose name, amount, period and currency are objects with a plain text: monthly ones in the currency, each once. Names that are known in several languages get one name."""
+    parts = [F.regexp_extract_all(html, F.lit(_record()), F.lit(k)) for k in (1, 2, 3, 4, 6)]
+    rows = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("name", "code", "amount", "period", "id"), strict=True)))
+    known = F.create_map(*(F.lit(x) for pair in STRUCTURED_NAMES.items() for x in pair))
+
+    def row(r: Column) -> Column:
+        amount = F.regexp_replace(F.regexp_replace(r["amount"], r"[\s\u00a0]", ""), "^([^,]*),", "$1.").try_cast("double")
+        good = (r["code"] == currency) & F.lower(F.btrim(r["period"])).isin(*PERIODS) & (amount > 0)
+        plan = F.coalesce(F.element_at(known, F.lower(F.btrim(r["name"]))), F.btrim(r["name"]))
+        return F.when(good, F.struct(plan.alias("plan"), amount.alias("amount"), r["id"].alias("plan_id")))
+
+    return F.array_distinct(F.filter(F.transform(rows, row), lambda x: x.isNotNull()))
 
 
 def footnote_prices(html: Column, currency: str) -> Column:

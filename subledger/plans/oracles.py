@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from subledger.functions import questions as Q
-from subledger.plans.queries import ASKED, SERVICES
+from subledger.plans.queries import ASKED, SAMPLES, SERVICES
 
 TABLES = {
     "history": """SELECT event_id AS id, user_id AS subscription_id, CASE event_type WHEN 'error' THEN 'PAUSED' WHEN 'click' THEN 'CANCELLED' ELSE 'ACTIVE' END AS new_status,
@@ -116,6 +116,13 @@ INTERVALS = """ivals AS (SELECT h.id, h.subscription_id, h.new_status, h.effecti
 
 RENEWS = "renewal_date IS NOT NULL AND (status = 'ACTIVE' OR coalesce(status IN ('PAUSED','CANCELLED') AND status_effective_date > renewal_date, false))"
 
+
+
+def shown(name: str, values: str) -> str:
+    """A CTE of the pages with the query's sample in them, which the SQL then reads by expressions of its own."""
+    return f", shown AS (SELECT page_id, html || printf('{SAMPLES[name].replace("'", "''")}', {values}) AS html FROM priced)"
+
+
 ORACLES: dict[str, str] = {
     "saved_so_far": sql("history prices", "").rstrip() + ",\n" + INTERVALS + "\nSELECT h.subscription_id, CAST(coalesce(sum(s.saved_minor), 0) AS BIGINT) AS saved_minor FROM (SELECT DISTINCT subscription_id FROM history) h LEFT JOIN saved s USING (subscription_id) GROUP BY 1",
     "saved_so_far_intervals": sql("history prices", "").rstrip() + ",\n" + INTERVALS + "\nSELECT id, subscription_id, new_status, effective_date, until, days, saved_minor FROM saved",
@@ -293,7 +300,30 @@ ORACLES |= {
     "page_anchored_price": sql("priced", "SELECT page_id, CASE WHEN page_id % 2 = 0 OR low = high THEN CAST(low AS DOUBLE) END AS amount FROM priced"),
     "page_recurring_prices": sql("priced", "SELECT page_id, 'Individual' AS plan, CAST(low AS DOUBLE) AS amount FROM priced UNION ALL SELECT page_id, 'Duo', CAST(high AS DOUBLE) FROM priced"),
     "page_storage_tiers": sql("priced", "SELECT page_id, 'Google AI Pro — 100 GB' AS plan, CAST(low AS DOUBLE) AS amount FROM priced WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, 'Storage 100 GB', CAST(high AS DOUBLE) FROM priced WHERE page_id % 2 <> 0"),
-    "page_structured_plans": sql("priced", "SELECT page_id, 'Basic' AS plan, CAST(low AS DOUBLE) AS amount FROM priced WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, 'Premium', CAST(high AS DOUBLE) FROM priced WHERE page_id % 4 <> 0"),
+    "page_structured_plans": sql("priced", shown('structured_plans', "low, CASE WHEN page_id % 3 = 0 THEN 'år' WHEN page_id % 2 = 0 THEN 'måned' ELSE ' Måned ' END, CASE WHEN page_id % 4 = 0 THEN 'SEK' ELSE 'NOK' END, high, high") + r""",
+        r AS (SELECT page_id, unnest(regexp_extract_all(html, '"productName".*?"pricePlan":[^}]*')) AS x FROM shown), f AS (SELECT page_id, regexp_extract(x, '"productName":[^}]*"plainText":"([^"]*)"', 1) AS name, regexp_extract(x, '"currencyCode":"([^"]*)"', 1) AS code,
+        regexp_extract(x, '"amount":[{][^}]*"plainText":"([^"]*)"', 1) AS amount, lower(trim(regexp_extract(x, '"period":[{][^}]*"plainText":"([^"]*)"', 1))) AS period, regexp_extract(x, '"id":"([^"]*)"', 1) AS plan_id FROM r)
+        SELECT page_id, CASE lower(trim(name)) WHEN 'basis med reklame' THEN 'Basic With Ads' WHEN 'premium' THEN 'Premium' ELSE trim(name) END AS plan, CAST(replace(replace(amount, ' ', ''), ',', '.') AS DOUBLE) AS amount, plan_id FROM f WHERE code = 'NOK' AND period IN ('måned','mese','month') AND amount <> ''"""),
+    "page_embedded_plans": sql("priced", shown('embedded_plans', "CASE WHEN page_id % 5 = 0 THEN 'SE' ELSE 'no' END, low, mark, CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END, low, high") + r""",
+        j AS (SELECT page_id, CAST(regexp_extract(html, 'id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1) AS JSON) AS data FROM shown), o AS (SELECT page_id, t.id, t.value AS v FROM j, json_tree(data, '$.props.pageProps.components') t WHERE t.type = 'OBJECT' AND upper(trim(data->>'$.props.pageProps.basePageProps.country')) = 'NO'),
+        d AS (SELECT page_id, id, v->>'planId' AS plan, unnest([v->>'secondaryPriceDescription', v->>'primaryPriceDescription', v->>'subheaderPrice']) AS x, unnest([1, 2, 3]) AS k FROM o WHERE v->>'isRecurringProduct' = 'true' AND v->>'planId' LIKE 'PREMIUM%'),
+        a AS (SELECT *, CAST(nullif(replace(coalesce(nullif(regexp_extract(x, 'kr *([0-9]+)', 1), ''), regexp_extract(x, '([0-9,]+) *kr', 1)), ',', '.'), '') AS DOUBLE) AS amount FROM d)
+        SELECT page_id, upper(substr(plan, 9, 1)) || lower(substr(plan, 10)) AS plan, arg_min(amount, (id, k)) AS amount FROM a WHERE amount > 0 GROUP BY page_id, plan"""),
+    "page_renewal_price": sql("priced", shown('renewal_price', "CASE WHEN page_id % 3 = 0 THEN '连续包年' ELSE '连续包月' END, low, CASE WHEN page_id % 4 = 0 THEN '{\"sellProductName\":\"SVIP会员\"}' ELSE '{}' END") + r"""
+        SELECT page_id, regexp_extract(html, '"sellProductName":"([A-Z]+)', 1) AS plan, CAST(regexp_extract(html, '第 *[0-9]+ *个月起 *([0-9]+) *元', 1) AS DOUBLE) AS amount FROM shown WHERE len(string_split(html, '"sellProductName"')) = 2 AND regexp_extract(html, '"sellSkuName":"([^"]*)"', 1) = '连续包月'"""),
+    "page_field_plans": sql("priced", shown('field_plans', "low, CASE WHEN page_id % 7 = 3 THEN 'USD' ELSE 'NOK' END, high, CASE WHEN page_id % 5 = 0 THEN 'Yearly' ELSE ' monthly' END, high, CASE WHEN page_id % 4 = 0 THEN low + 1 ELSE low END") + r""",
+        b AS (SELECT page_id, unnest(string_split(replace(html, '"fields": ', '"fields":'), '"fields":')[2:]) AS x FROM shown), g AS (SELECT page_id, regexp_extract(x, '"planType":[^}]*"value":"([^"]*)"', 1) AS kind, regexp_extract(x, '"localizedPlanName":[^}]*"value":"([^"]*)"', 1) AS name, regexp_extract(x, '"planPriceCurrency":[^}]*"value":"([^"]*)"', 1) AS code,
+        CAST(replace(regexp_extract(x, '"planPriceAmount":[^}]*"value":"([^"]*)"', 1), ',', '.') AS DOUBLE) AS amount, lower(trim(regexp_extract(x, '"billingFrequency":[^}]*"value":"([^"]*)"', 1))) AS every FROM b),
+        n AS (SELECT page_id, CASE WHEN lower(kind) IN ('basic','basis') THEN 'Basic' WHEN lower(kind) = 'premium' THEN 'Premium' WHEN lower(trim(name)) = 'standard' THEN 'Standard' END AS plan, amount FROM g WHERE code = 'NOK' AND every = 'monthly'), u AS (SELECT page_id, plan, min(amount) AS amount FROM n GROUP BY ALL HAVING min(amount) = max(amount))
+        SELECT * FROM u WHERE page_id IN (SELECT page_id FROM u GROUP BY 1 HAVING count(*) = 3)"""),
+    "page_tv_price": sql("priced", shown('tv_price', "low, CASE page_id % 3 WHEN 0 THEN 'Apple TV is $9.99 / month' WHEN 1 THEN 'Apple TV with Apple One is $9.99 / month' ELSE 'end' END") + r""",
+        x AS (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(html, '&nbsp;', ' '), '&#36;', '$'), '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM shown),
+        k AS (SELECT page_id, t, unnest(range(1, length(t) + 1)) AS i FROM x), w AS (SELECT page_id, substr(t, i, 420) AS w FROM k WHERE substr(t, i, 8) = 'apple tv' AND NOT regexp_matches(substr(t, greatest(i - 80, 1), least(i - 1, 80)), 'apple (music|one)')),
+        m AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(w, 'apple (music|one).*', ''), '\$ *([0-9.]+) *(?:per|/) month', 1)) AS p FROM w) SELECT x.page_id, CASE WHEN min(CAST(p AS DOUBLE)) = max(CAST(p AS DOUBLE)) THEN min(CAST(p AS DOUBLE)) END AS amount FROM x LEFT JOIN m USING (page_id) GROUP BY 1"""),
+    "page_video_price": sql("priced", shown('video_price', "(['fr-FR','fr_FR','de-DE','fr-FR'])[page_id % 4 + 1], (['FR','fr','FR','BE','FR'])[page_id % 5 + 1], low, CASE WHEN page_id % 6 = 0 THEN 'or €3,99 / mois' ELSE '3,99 € one day' END") + r""",
+        n AS (SELECT *, replace(replace(substr(html, greatest(instr(html, '"planLogoAltText"') - 6000, 1), 6000), chr(92) || 'u002F', '/'), '&nbsp;', ' ') AS near FROM shown WHERE regexp_matches(html, '"recordTerritory":"(FR|fr)"') AND regexp_matches(html, '"osLocale":"fr[-_]FR"')),
+        m AS (SELECT page_id, unnest(regexp_extract_all(near, '([0-9]+,[0-9]+) *€ */ *mois', 1) || regexp_extract_all(near, '€ *([0-9]+,[0-9]+) */ *mois', 1)) AS p FROM n)
+        SELECT s.page_id, CASE WHEN min(p) = max(p) THEN CAST(replace(min(p), ',', '.') AS DOUBLE) END AS amount FROM shown s LEFT JOIN m USING (page_id) GROUP BY 1"""),
     "page_footnote_prices": sql("priced", "SELECT page_id, plan, CAST(CASE WHEN plan = 'Standard with Ads' THEN low ELSE high END AS DOUBLE) AS amount FROM priced, (VALUES ('Premium'), ('Standard'), ('Standard with Ads')) v(plan) WHERE mark = 'kr'"),
     "page_basic_monthly": sql("priced", "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN CAST(low AS DOUBLE) END AS amount FROM priced"),
     "page_comparison_prices": sql("priced", "SELECT page_id, 'Personal' AS plan, CAST(low AS DOUBLE) AS amount FROM priced UNION ALL SELECT page_id, 'Family', CAST(high AS DOUBLE) FROM priced WHERE page_id % 3 <> 0"),

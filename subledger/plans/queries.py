@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subledger.functions import pages, questions, text
+from subledger.functions import pages, questions, storefronts, text
 from subledger.operators import lifecycle, portfolio, pricing, reminders, routing, savings
 from subledger.sources.tables import EVENTS_AS_OF, MARKETS, ORDERS_AS_OF, Tables
 
@@ -861,6 +861,17 @@ def word_matches(t):
 SAMPLES = {
     "faq_prices": '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"components":{"faq":{"faqEntry":[{"question":"How much is Spotify Premium?","answer":"Premium Individual plan costs %d,50 %s per month. Premium Duo plan costs %d kr per month."}]}}}}}</script>',
     "price_range": "<p>Plans range from %d %s a month to kr %d a month</p>",
+    "structured_plans": '<script>[{"productName":{"richTextHtml":"<p>x</p>","plainText":"Basis med reklame"},"price":{"format":"{{amount}} {{currency}}/{{period}}","currencyCode":"NOK","amount":{"richTextHtml":"<p>x</p>","plainText":"%d,00"},"period":{"plainText":"%s"},"currency":{"plainText":"kr"}},"pricePlan":{"id":"p1"}},'
+    '{"productName":{"plainText":"Standard"},"price":{"amount":"77","currencyCode":"NOK","period":"month"},"pricePlan":{"id":"p0"}},{"productName":{"plainText":" Premium Plus "},"price":{"format":"x","currencyCode":"%s","amount":{"plainText":"1 %d,50"},"period":{"plainText":"mese"},"currency":{"plainText":"kr"}} , "pricePlan":{"id":"p2"}},'
+    '{"productName":{"plainText":"PREMIUM"},"price":{"format":"x","currencyCode":"NOK","amount":{"plainText":"%d"},"period":{"plainText":"month"},"currency":{"plainText":"kr"}},"pricePlan":{"id":"p3"}}]</script>',
+    "embedded_plans": '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"basePageProps":{"country":" %s "},"other":{"planId":"PREMIUM_FAMILY","isRecurringProduct":true,"primaryPriceDescription":"1 kr"},"components":{"a":[{"b":{"planId":"PREMIUM_INDIVIDUAL","isRecurringProduct":true,"primaryPriceDescription":"0 kr for 3 months","secondaryPriceDescription":"%d,90 %s/month after",'
+    '"c":[[{"planId":"PREMIUM_STUDENT","isRecurringProduct":%s,"subheaderPrice":"kr %d"}]]}},{"planId":"PREMIUM_DUO","isRecurringProduct":true,"secondaryPriceDescription":null,"primaryPriceDescription":"%d kr"},{"planId":"PREMIUM_DUO","isRecurringProduct":true,"primaryPriceDescription":"5 kr"},{"planId":"TRIAL","isRecurringProduct":true,"primaryPriceDescription":"7 kr"}]}}}}</script>',
+    "renewal_price": '<script>x = {"note":"a } brace { in a string, and \\"} one","list":[{"k":{}},{"sellProductName":"SVIP会员","inner":{"a":"}"},"sellSkuName":"%s","sellGoodsName":"SVIP会员连续包月","sellPrice":"18","sellGoodsDesc":"享前3个月18元/月，第4个月起%d元/月"}],"more":%s};</script>',
+    "field_plans": '<script>"fields":{"planPriceCurrency":{"fieldType":"String","value":"NOK"},"planPriceAmount":{"fieldType":"String","value":"%d.0"},"billingFrequency":{"fieldType":"String","value":"Monthly"},"planType":{"fieldType":"String","value":"BASIC"}} "fields": {"planType":{"fieldType":"String","value":"STD"},"localizedPlanName":{"fieldType":"String","value":" Standard"},'
+    '"planPriceCurrency":{"fieldType":"String","value":"%s"},"planPriceAmount":{"fieldType":"String","value":"%d,50"},"billingFrequency":{"fieldType":"String","value":"%s"}} "fields":{"planType":{"fieldType":"String","value":"Premium"},"planPriceCurrency":{"value":"NOK"},"planPriceAmount":{"value":"%d"},"billingFrequency":{"value":"MONTHLY"}} '
+    '"fields":{"planType":{"fieldType":"String","value":"Basis"},"planPriceCurrency":{"value":"NOK"},"planPriceAmount":{"value":"%d"},"billingFrequency":{"value":"Monthly"}}</script>',
+    "tv_price": "<p>Get Apple&nbsp;TV for just &#36;%d.99 per month after a free trial.</p><p>Apple One plans start at $21.95 per month.</p><p>Apple Music and Apple TV. Student Plan renews at $6.99 per month.</p><p>Nothing of this is an offer to anyone, and what is written here only keeps the next sentence away from it.</p><p>%s</p>",
+    "video_price": '<script>{"osLocale":"%s","recordTerritory":"%s"}</script><script>{"body":"Prime Video %d,90&nbsp;€ \\u002F mois %s","planLogoAltText":"Prime Video"}</script>',
 }
 
 
@@ -918,11 +929,56 @@ def page_storage_tiers(t):
 @query
 def page_structured_plans(t):
     low, mark, high = _amounts(t)
-    one = '{"productName":{"k":"1","plainText":" %s "},"price":{"format":"f","currencyCode":"%s","amount":"%d,00","period":"%s","pricePlanId":"p1"}}'
-    rows = _page(t, "<script>[" + one + "," + one + "]</script>", F.lit("Basic"), F.lit("NOK"), low, F.when(F.col("page_id") % 3 == 0, "år").otherwise("Måned"), F.lit("Premium"), F.when(F.col("page_id") % 4 == 0, "SEK").otherwise("NOK"), high, F.lit("month"))
+    key = F.col("page_id")
+    period, foreign = F.when(key % 3 == 0, "år").otherwise(_pick(key, "måned", " Måned ")), F.when(key % 4 == 0, "SEK").otherwise("NOK")
+    rows = _page(t, SAMPLES["structured_plans"], low, period, foreign, high, high)
     return rows.select("page_id", F.inline(pages.structured_plans(F.col("html"), "NOK")))
 
 
+@query
+def page_embedded_plans(t):
+    """Plans at several depths of a page's data; other countries' pages, other currencies, trials and what stands outside the components don't count."""
+    low, mark, high = _amounts(t)
+    rows = _page(t, SAMPLES["embedded_plans"], F.when(F.col("page_id") % 5 == 0, "SE").otherwise("no"), low, mark, F.when(F.col("page_id") % 2 == 0, "true").otherwise("false"), low, high)
+    return rows.select("page_id", F.inline(storefronts.embedded_plans(F.col("html"), "NOK", "NO")))
+
+
+@query
+def page_renewal_price(t):
+    """The price of later months, in an object among braces that stand in strings; two products on a page leave it in doubt."""
+    low, mark, high = _amounts(t)
+    key = F.col("page_id")
+    sample = F.format_string(SAMPLES["renewal_price"], F.when(key % 3 == 0, "连续包年").otherwise("连续包月"), low, F.when(key % 4 == 0, '{"sellProductName":"SVIP会员"}').otherwise("{}"))
+    return t.raw("pages").select("page_id", F.concat(sample, "html").alias("html")).select("page_id", F.inline(storefronts.renewal_price(F.col("html"), "CNY")))
+
+
+@query
+def page_field_plans(t):
+    """Three plans in field objects; a foreign price, a yearly one or a plan with two prices empties the page."""
+    low, mark, high = _amounts(t)
+    key = F.col("page_id")
+    values = low, F.when(key % 7 == 3, "USD").otherwise("NOK"), high, F.when(key % 5 == 0, "Yearly").otherwise(" monthly"), high, F.when(key % 4 == 0, low + 1).otherwise(low)
+    return _page(t, SAMPLES["field_plans"], *values).select("page_id", F.inline(storefronts.field_plans(F.col("html"), "NOK")))
+
+
+@query
+def page_tv_price(t):
+    """A price near the service's name, with other offers before, after and between."""
+    low, mark, high = _amounts(t)
+    more = F.when(F.col("page_id") % 3 == 0, "Apple TV is $9.99 / month").when(F.col("page_id") % 3 == 1, "Apple TV with Apple One is $9.99 / month").otherwise("end")
+    rows = _page(t, SAMPLES["tv_price"], low, more)
+    return rows.select("page_id", storefronts.tv_price(F.col("html"), "USD").alias("amount"))
+
+
+@query
+def page_video_price(t):
+    """A price near the service's logo, on pages of the territory and the language alone."""
+    low, mark, high = _amounts(t)
+    key = F.col("page_id")
+    rows = _page(t, SAMPLES["video_price"], _pick(key, "fr-FR", "fr_FR", "de-DE", "fr-FR"), _pick(key, "FR", "fr", "FR", "BE", "FR"), low, F.when(key % 6 == 0, "or €3,99 / mois").otherwise("3,99 € one day"))
+    return rows.select("page_id", storefronts.video_price(F.col("html"), "FR", "EUR", ["fr-fr"]).alias("amount"))
+
+
 @query
 def page_footnote_prices(t):
     low, mark, high = _amounts(t)
