@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,12 +55,17 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+_OPEN = threading.local()
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: it cuts the lineage and survives lost executors. The files go with ``discard``, or when the application ends."""
-    path = f"{scratch(df.sparkSession)}/rows"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back.shared_path = path
+    """``df`` written to the shared folder and read again: it cuts the lineage and survives lost executors. The files go with ``discard``, at the end of a ``settled`` function, or when the application ends."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(f"{folder}/rows")
+    back = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+    back.shared_path = folder
+    for tables in getattr(_OPEN, "scopes", [])[-1:]:
+        tables.append(back)
     return back
 
 
@@ -68,6 +75,25 @@ def discard(table: DataFrame) -> None:
     files.delete(path, True)
 
 
+def settled(operator):
+    """An operator whose result is written, whereupon all tables that it has written on the way are deleted."""
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        scopes = _OPEN.__dict__.setdefault("scopes", [])
+        scopes.append(tables := [])
+        try:
+            found = operator(*args, **options)
+        finally:
+            scopes.pop()
+        kept = written(found)
+        for table in tables:
+            discard(table)
+        return kept
+
+    return run
+
+
 def _bytes(table: DataFrame) -> Column:
     return sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in table.dtypes), F.lit(16))
 

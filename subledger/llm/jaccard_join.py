@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subledger.llm.common import discard, lookup_join, without, written
+from subledger.llm.common import discard, lookup_join, settled, without, written
 from subledger.llm.words import WordTable, groups, split_all
 
 #: Documents link when 100 * intersection >= percent * union of their shingles of width words; these are op9's.
@@ -117,10 +117,12 @@ def _deal(batches: Iterator[pa.RecordBatch], shards: int, width: int, percent: i
         every, owner = every[first], owner[first]
         shard = (every % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        every, owner, edge = every[order], owner[order], np.searchsorted(shard[order], np.arange(shards + 1))
+        every, owner = every[order], owner[order]
+        # Only the shards that occur: there are as many shards as the corpus needs, and a group meets few of them.
+        met, edge = np.unique(shard[order], return_index=True)
         name = part << 32 | k
         rows = [(name, -1, b"".join(batch.column("key").to_pylist()), np.stack([n, known]).astype(np.int32).tobytes())]
-        rows += [(name, s, every[a:b].tobytes(), owner[a:b].tobytes()) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+        rows += [(name, s, every[a:b].tobytes(), owner[a:b].tobytes()) for s, a, b in zip(met.tolist(), edge, np.append(edge[1:], len(every)), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["grp", "shard", "a", "b"])
 
 
@@ -462,6 +464,7 @@ def merged_regions(points: DataFrame, percent: int = PERCENT) -> DataFrame:
     return homes.join(tied.select(F.col("point").alias("home"), "least"), "home", "left").select("point", F.coalesce("least", "home").alias("component"))
 
 
+@settled
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links).
 
