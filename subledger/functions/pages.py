@@ -24,6 +24,11 @@ def currency_pattern(currency: str) -> str:
     return CURRENCY_PATTERNS.get(currency, f"(?:{currency})")
 
 
+def sections(html: Column, pattern: str) -> Column:
+    """What follows each match of ``pattern``, up to the next one."""
+    return let(F.split(html, pattern, -1), lambda parts: F.slice(parts, F.lit(2), F.size(parts)))
+
+
 def price_near_plan(text: Column, plans: list[str], currency: str) -> Column:
     """Array of (plan, amount) for plans with a price close by: after the name and monthly, or before the name.
 
@@ -128,8 +133,7 @@ def storage_tiers(html: Column, currency: str) -> Column:
     # A record: size, then [millionths, shown price, currency], then [number, product id, ...]; its section ends where the next one begins.
     record = r'\["\d+","([^"]+)"\],2,\["(\d+)","[^"]+","([A-Z]{3})"\],\["\d+","([^"]+)","[^"]+"\],"[^"]+","[^"]+"'
     part = lambda k: F.regexp_extract_all(block, F.lit(record), F.lit(k))
-    # What follows each record: the block is split where records begin.
-    rest = F.slice(F.split(F.regexp_replace(block, record, "\x01"), "\x01"), 2, 10_000)
+    rest = sections(F.regexp_replace(block, record, "\x01"), "\x01")  # what follows each record
     rows = F.arrays_zip(part(1).alias("size"), part(2).alias("micros"), part(3).alias("currency"), part(4).alias("product"))
     counted = F.transform(rows, lambda r, i: F.struct(r["size"].alias("size"), r["micros"].cast("double").alias("micros"), (r["currency"] == currency).alias("here"), r["product"].alias("product"), F.get(rest, i).alias("rest")))
     good = F.filter(counted, lambda r: r["here"] & ~r["product"].endswith(".annual") & (r["micros"] > 0))
@@ -193,21 +197,28 @@ def footnote_prices(html: Column, currency: str) -> Column:
     return F.coalesce(whole, _none()) if currency == "NOK" else _none()
 
 
+def _spanned(name: str, text: str, tag: str = "span") -> str:
+    """A pattern: an element that has a class ``name`` and holds just ``text``."""
+    return rf'<{tag}\b[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>\s*{text}\s*</{tag}>'
+
+
 def basic_monthly(html: Column, currency: str) -> Column:
-    """The monthly amount of the Basic product card: heading, price and "per måned" inside one card; null for yearly cards and other currencies."""
-    cards = F.slice(F.split(html, r'(?i)<div\b[^>]*class="[^"]*\bsku\b[^"]*"[^>]*>'), 2, 1000)
-    here = F.filter(cards, lambda c: c.rlike(r"(?is)<h3\b[^>]*>\s*Microsoft 365 Basic\s*</h3>"))
-    amount = lambda c: parse_number(F.regexp_extract(html_to_text(c), r"(?iu)kr\s*([\d\s.,]+?)\s*per\s+måned", 1))
-    return F.get(F.filter(F.transform(here, amount), lambda x: x > 0), 0) if currency == "NOK" else F.lit(None).cast("double")
+    """The monthly amount of the Basic product card: in one card the product's title, then its list price, then that price's unit "per måned"; null for yearly cards, other prices of a card and other currencies."""
+    if currency != "NOK":
+        return F.lit(None).cast("double")
+    cards = sections(html, r'(?i)<div\b[^>]*class="[^"]*\bsku\b[^"]*"[^>]*>')
+    card = "(?isu)" + _spanned("oc-product-title", "Microsoft 365 Basic", "h3") + ".*?" + _spanned("oc-displayListPrice", r"kr\s*([0-9][0-9\s.,]*)") + ".{0,500}?" + _spanned("oc-displayUnit", "per måned")
+    return F.get(F.filter(F.transform(cards, lambda c: parse_number(F.regexp_extract(c, card, 1))), lambda x: x > 0), 0)
 
 
 def comparison_prices(html: Column, currency: str) -> Column:
-    """Array of (plan, amount): after each product's heading the first price "/måned" before the next heading."""
-    sections = F.slice(F.split(html, r"(?i)<h2\b[^>]*>"), 2, 1000)
+    """Array of (plan, amount): after each product's heading the first price heading that names an amount "/måned", before the next product's heading; amounts elsewhere in a section don't count."""
+    if currency != "NOK":
+        return _none()
+    heading = r'(?isu)<div\b[^>]*class="[^"]*\bsku1price\b[^"]*\bprice-heading\b[^"]*"[^>]*>\s*kr\s*([0-9][0-9\s.,]*)\s*/måned\s*</div>'
     plan = lambda s: F.regexp_extract(s, r"(?is)^\s*Microsoft 365 (Personal|Family|Premium)\s*</h2>", 1)
-    amount = lambda s: parse_number(F.regexp_extract(html_to_text(s), r"(?iu)kr\s*([\d\s.,]+?)\s*/\s*måned", 1))
-    rows = F.transform(sections, lambda s: F.struct(plan(s).alias("plan"), amount(s).alias("amount")))
-    return F.array_distinct(F.filter(rows, lambda x: (x["plan"] != "") & (x["amount"] > 0))) if currency == "NOK" else _none()
+    rows = F.transform(sections(html, r"(?i)<h2\b[^>]*>"), lambda s: F.struct(plan(s).alias("plan"), parse_number(F.regexp_extract(s, heading, 1)).alias("amount")))
+    return F.array_distinct(F.filter(rows, lambda x: (x["plan"] != "") & (x["amount"] > 0)))
 
 
 # Markers of the storage tiers on a page, in order, and their names.
@@ -254,10 +265,12 @@ def page_language(html: Column) -> Column:
 def card_recurring(html: Column, currency: str) -> Column:
     """Array of (plan, amount) of the Norwegian comparison cards: what is paid after the offer ("deretter betaler du") within a card, each once; offers, unknown plans and other currencies don't count."""
     # Each part begins at a card's link and ends where the next one begins.
-    cards = F.slice(F.split(html, '(?i)data-testid="l4l_(?=(?:premium|standard|basic)")'), 2, 1000)
+    cards = sections(html, '(?i)data-testid="l4l_(?=(?:premium|standard|basic)")')
     title = lambda c: F.regexp_extract(c, r"(?is)^[^>]*>([^<]*)</a>", 1)
-    close = lambda c: html_to_text(F.substring(F.regexp_replace(c, r"(?is)^.*?</a>", ""), 1, 1000))
-    amount = lambda c: parse_number(F.regexp_extract(close(c), r"(?iu)deretter betaler du\s*(\d[\d\s.,]*)kr per m[åa]ned", 1))
+    # Fixed value: within how many characters of a card's title the words stand after which the lasting price follows.
+    reach = 900
+    after = rf"(?isu)^.{{0,{reach}}}?deretter\s+betaler\s+du(?:<[^>]+>|\s)*([0-9][0-9\s.,]*)\s*kr\s+per\s+m[åa]ned"
+    amount = lambda c: parse_number(F.regexp_extract(F.regexp_replace(c, r"(?is)^.*?</a>", ""), after, 1))
     rows = F.transform(cards, lambda c: F.struct(plan_name(title(c)).alias("plan"), amount(c).alias("amount")))
     known = F.filter(rows, lambda x: x["plan"].isin("Premium", "Standard", "Standard with Ads") & (x["amount"] > 0))
     return F.array_distinct(known) if currency == "NOK" else _none()

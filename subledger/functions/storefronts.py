@@ -156,6 +156,38 @@ def field_plans(html: Column, currency: str) -> Column:
     return let(let(blocks, bounded), lambda b: let(F.flatten(F.transform(b, rows)), whole))
 
 
+# A card's id and its plan, what a month is called on cards, and how the Finnish card names the lasting price.
+CARD_PLANS = {"basic": "Standard with Ads", "standard": "Standard", "premium": "Premium"}
+CARD_MONTH = r"(?:month|monthly|monat|mois|mese|mes|mês|maand|m[eå]nad|m[åa]ned|m[eå]ned|kuukaudessa|kuukausi(?:hinta)?|md\.?|mo)"
+CARD_LASTING = r"t[aä]m[aä]n\s+j[aä]lkeen[\s\S]{0,80}?kuukausihinta\s+on\s+"
+
+
+def card_prices(html: Column, currency: str) -> Column:
+    """(plan, amount) of the comparison cards, told apart by their ids in any language: the last distinct monthly amount of a card, since what an offer turns into comes last; one that is named as the lasting price comes after all others. The first card of a plan with an amount counts. Not for NOK.
+
+    A card reaches to the next one, the last one 7000 characters.
+    """
+    if currency == "NOK":
+        return none()
+    money, number = currency_pattern(currency), rf"([\d](?:[\d.,]|{S})*)"
+    mark = r"""(?i)(?=data-testid=["']l4l_(?:basic|standard|premium)["'])"""
+    parts = F.split(html, mark, -1)
+
+    def amounts(card: Column) -> Column:
+        found = F.concat(*(F.regexp_extract_all(card, F.lit(f"(?iu){p}[\\s\\S]{{0,40}}?{CARD_MONTH}"), F.lit(1)) for p in (rf"{money}{S}*{number}", rf"{number}{S}*{money}")))
+        usual = F.array_distinct(F.filter(F.transform(found, parse_number), lambda x: x > 0))
+        lasting = parse_number(F.regexp_extract(card, rf"(?iu){CARD_LASTING}{number}{S}*{money}", 1))
+        return F.when(lasting > 0, F.array(lasting)).otherwise(F.slice(usual, F.greatest(F.size(usual), F.lit(1)), F.lit(1)))
+
+    def cards(all_parts: Column) -> Column:
+        last = F.size(all_parts) - 1
+        cut = F.transform(all_parts, lambda p, i: F.when(i == last, F.substring(p, 1, 7000)).otherwise(p))
+        rows = F.transform(cut, lambda c: F.struct(one_by_name(F.lower(F.regexp_extract(c, r"""(?i)^data-testid=["']l4l_([a-z]+)["']""", 1)), CARD_PLANS).alias("plan"), F.get(amounts(c), 0).alias("amount")))
+        return F.filter(rows, lambda r: r["plan"].isNotNull() & r["amount"].isNotNull())
+
+    return F.coalesce(let(let(parts, cards), first_of_each), none())
+
+
 def tv_price(html: Column, currency: str) -> Column:
     """The monthly amount that stands within 420 characters from a mention of the TV service on, before any other offer is named there; mentions that follow another offer within 80 characters don't count. Null unless there is one amount. Not for NOK, whose page has a form of its own."""
     if currency not in TV_MONTHLY:

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from subledger.functions.text import slugify
+
 from subledger.operators.lifecycle import country_or_currencys, effective_status
 
 
@@ -98,10 +100,10 @@ def attention_feed(subscriptions: DataFrame, as_of: dt.date) -> DataFrame:
     return each.select("user_id", F.inline(kinds)).where("id is not null")
 
 
-def price_fallback(wanted: DataFrame, prices: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def price_fallback(wanted: DataFrame, prices: DataFrame, overrides: DataFrame | None = None, direct: str = "direct") -> DataFrame:
     """(id, price_minor) for each of ``wanted`` (id, service, plan, route, country, currency, own_minor, own_currency).
 
-    A manual override (id, override_minor) comes first; then the price of its route, that of route O, and its own bill if that is in the market's currency. A plan's price is the named plan's, or the only one that the route has.
+    A manual override (id, override_minor) comes first; then the price of its route, that of the ``direct`` route, and its own bill if that is in the market's currency. A plan's price is the named plan's, whose names count by their slugs, or the only one that the route has.
     """
     offers = prices.groupBy("service", "country", "currency").agg(F.collect_list(F.struct("route", "plan", "price_minor")).alias("offers"))
     rows = wanted.join(offers, ["service", "country", "currency"], "left")
@@ -109,10 +111,10 @@ def price_fallback(wanted: DataFrame, prices: DataFrame, overrides: DataFrame |
 
     def by(route) -> list:
         here = F.filter("offers", lambda x: x["route"] == route)
-        return [F.get(F.filter(here, lambda x: x["plan"] == F.col("plan")), 0)["price_minor"], F.when(F.size(here) == 1, F.get(here, 0)["price_minor"])]
+        return [F.get(F.filter(here, lambda x: slugify(x["plan"]) == slugify(F.col("plan"))), 0)["price_minor"], F.when(F.size(here) == 1, F.get(here, 0)["price_minor"])]
 
     own = F.when(F.col("own_currency") == F.col("currency"), F.col("own_minor"))
-    return rows.select("id", F.coalesce("override_minor", *by(F.col("route")), *by(F.lit("O")), own).alias("price_minor"))
+    return rows.select("id", F.coalesce("override_minor", *by(F.col("route")), *by(F.lit(direct)), own).alias("price_minor"))
 
 
 def in_market(subscriptions: DataFrame, country: str) -> DataFrame:

@@ -244,7 +244,7 @@ ORACLES |= {
         SELECT *, CASE WHEN deletion_requested IS NOT NULL THEN 'ACCOUNT_DELETION_PENDING' END AS error FROM d"""),
     "plan_gates": sql("users ents", "SELECT user_id, coalesce(plan IN ('MANUAL','PREMIUM'), false) AS manual, coalesce(plan = 'PREMIUM', false) AS premium FROM users LEFT JOIN ents USING (user_id)"),
     "subscription_update": sql("subs applied", """SELECT s.id, s.user_id, coalesce(a.new_service, s.service_id) AS service_id, CAST(coalesce(a.new_provider, s.provider_id) AS INTEGER) AS provider_id, CASE WHEN a.id IS NOT NULL THEN 'New plan' ELSE plan_name END AS plan_name,
-        CASE WHEN a.id IS NOT NULL THEN new_price ELSE price_minor END AS price_minor, CAST(CASE WHEN a.id IS NOT NULL THEN new_renewal ELSE renewal_date END AS TIMESTAMP) + INTERVAL 12 HOUR AS renews_at FROM subs s LEFT JOIN applied a ON a.id = s.id WHERE s.id % 2 = 0"""),
+        CASE WHEN a.id IS NOT NULL THEN new_price ELSE price_minor END AS price_minor, CAST(CASE WHEN a.id IS NOT NULL THEN new_renewal ELSE renewal_date END AS TIMESTAMP) + INTERVAL 12 HOUR AS renews_at FROM subs s LEFT JOIN applied a ON a.id = s.id"""),
     "subscription_update_rejects": sql("edits applied", "SELECT id, 'SUBSCRIPTION_OR_PROVIDER_NOT_FOUND' AS error FROM edits WHERE id NOT IN (SELECT id FROM applied)"),
     "subscription_delete": sql("subs gone", "SELECT id FROM subs WHERE id NOT IN (SELECT id FROM gone)"),
     "subscription_delete_actions": sql("acts gone", "SELECT id, subscription_id FROM acts WHERE subscription_id NOT IN (SELECT id FROM gone)"),
@@ -261,7 +261,7 @@ ORACLES |= {
     "chat_history": """SELECT conv_id, turn, role, trim(text) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3 AND role IN ('user','assistant') AND trim(text) <> ''""",
     "top3_expensive": sql("ranked", "SELECT user_id, id, price_minor, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 3"),
     "cost_comparison": sql("subs", "SELECT a.id AS a, b.id AS b, CASE WHEN a.price_minor > b.price_minor THEN a.id WHEN b.price_minor > a.price_minor THEN b.id END AS dearer, abs(a.price_minor - b.price_minor) AS difference_minor FROM subs a JOIN subs b ON b.id = a.id + 1 WHERE a.id % 4 = 0 AND a.price_minor IS NOT NULL AND b.price_minor IS NOT NULL"),
-    "html_export": sql("subs services", """, c AS (SELECT s.id, user_id, service_name || ' <&> ' || chr(39) || 'x' || chr(39) AS name, '<div><h2>' || service_name || ' &lt;&amp;&gt; &#39;x&#39;</h2><p>' || status || '</p><p>' || coalesce(printf('%.2f', price_minor / 100.0), '-') || '</p></div>' AS card FROM subs s JOIN services USING (service_id) WHERE user_id % 10 = 3)
+    "html_export": sql("subs services", """, c AS (SELECT s.id, user_id, service_name || ' <&> ' || chr(39) || 'x' || chr(39) AS name, '<div><h2>' || service_name || ' &lt;&amp;&gt; &#39;x&#39;</h2><p>' || status || '</p><p>' || coalesce(printf('%.2f', price_minor / 100.0), '-') || '</p></div>' AS card FROM subs s JOIN services USING (service_id))
         SELECT user_id, '<main>' || string_agg(card, '' ORDER BY name, id) || '<p>Total saved: ' || printf('%.2f', coalesce(sum(CASE WHEN id % 3 = 0 THEN id % 5000 END), 0) / 100.0) || '</p></main>' AS html FROM c GROUP BY 1"""),
     "price_valid": sql("good", "SELECT country, currency, kind, count(*) AS n FROM good GROUP BY ALL"),
     "price_last_wins": sql("cands", "SELECT service, plan, route, country, currency, price_minor, kind FROM cands QUALIFY row_number() OVER (PARTITION BY service, plan, route, country, currency ORDER BY ord DESC, line DESC) = 1"),
@@ -293,7 +293,7 @@ ORACLES |= {
         x AS (SELECT *, CASE WHEN adapter IN ('netflix-direct','disney-direct') THEN 'DIRECT' WHEN action = 'PAUSE' THEN 'UNSUPPORTED' WHEN adapter = 'apple-platform' THEN 'PROVIDER_REDIRECT' ELSE 'GUIDED' END AS execution FROM f)
         SELECT id, adapter, execution, execution <> 'UNSUPPORTED' AS supported, adapter = 'disney-direct' AND action = 'PAUSE' AS premium_only, CASE WHEN execution = 'PROVIDER_REDIRECT' THEN 'https://apps.apple.com/account/subscriptions' END AS url FROM x"""),
     "plan_names": """SELECT p_partkey, (['Basic','Standard','Standard with Ads',NULL,'Premium','Basic'])[p_partkey % 6 + 1] AS plan FROM part""",
-    "page_language": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'nb-no' WHEN 1 THEN 'en' END AS language FROM pages",
+    "page_language": """WITH h AS (SELECT page_id, '<HTML class="x" lang="' || (['nb-NO','en',''])[page_id % 3 + 1] || '">' || html AS html FROM pages) SELECT page_id, nullif(lower(regexp_extract(html, '<(?:html|HTML)[^>]* lang="([A-Za-z-]+)"', 1)), '') AS language FROM h""",
     "page_faq_prices": sql("priced", "SELECT page_id, plan, amount FROM (SELECT page_id, unnest(CASE WHEN mark = 'kr' THEN [{'plan': 'Individual', 'amount': low + 0.5}, {'plan': 'Duo', 'amount': CAST(high AS DOUBLE)}] ELSE [{'plan': 'Duo', 'amount': CAST(high AS DOUBLE)}] END, recursive := true) FROM priced)"),
     "page_price_range": sql("priced", "SELECT page_id, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM priced"),
     "page_market": "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 'NO' ELSE 'SE' END AS market FROM pages",
@@ -325,13 +325,22 @@ ORACLES |= {
         m AS (SELECT page_id, unnest(regexp_extract_all(near, '([0-9]+,[0-9]+) *€ */ *mois', 1) || regexp_extract_all(near, '€ *([0-9]+,[0-9]+) */ *mois', 1)) AS p FROM n)
         SELECT s.page_id, CASE WHEN min(p) = max(p) THEN CAST(replace(min(p), ',', '.') AS DOUBLE) END AS amount FROM shown s LEFT JOIN m USING (page_id) GROUP BY 1"""),
     "page_footnote_prices": sql("priced", "SELECT page_id, plan, CAST(CASE WHEN plan = 'Standard with Ads' THEN low ELSE high END AS DOUBLE) AS amount FROM priced, (VALUES ('Premium'), ('Standard'), ('Standard with Ads')) v(plan) WHERE mark = 'kr'"),
-    "page_basic_monthly": sql("priced", "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN CAST(low AS DOUBLE) END AS amount FROM priced"),
-    "page_comparison_prices": sql("priced", "SELECT page_id, 'Personal' AS plan, CAST(low AS DOUBLE) AS amount FROM priced UNION ALL SELECT page_id, 'Family', CAST(high AS DOUBLE) FROM priced WHERE page_id % 3 <> 0"),
+    "page_basic_monthly": sql("priced", shown("basic_monthly", "high, low, CASE WHEN page_id % 3 = 0 THEN 'år' ELSE 'måned' END") + r""",
+        c AS (SELECT page_id, unnest(regexp_split_to_array(html, '<div class="[^"]*sku[^"]*">')[2:]) AS card FROM shown), m AS (SELECT page_id, regexp_extract(card, 'Microsoft 365 Basic *</h3>.*oc-displayListPrice"> *kr ([0-9]+,[0-9]+) *</span>.*oc-displayUnit[^>]*> *per måned *<', 1) AS p FROM c)
+        SELECT page_id, max(CAST(replace(nullif(p, ''), ',', '.') AS DOUBLE)) AS amount FROM m GROUP BY 1"""),
+    "page_comparison_prices": sql("priced", shown("comparison_prices", "low, high, CASE WHEN page_id % 3 = 0 THEN 'år' ELSE 'måned' END") + r""",
+        c AS (SELECT page_id, unnest(regexp_split_to_array(html, '<h2[^>]*>')[2:]) AS part FROM shown), m AS (SELECT page_id, regexp_extract(part, '^ *Microsoft 365 (Personal|Family|Premium) *<', 1) AS plan, regexp_extract(part, 'sku1price price-heading *">kr ([0-9 ]+),00/måned', 1) AS p FROM c)
+        SELECT page_id, plan, CAST(replace(p, ' ', '') AS DOUBLE) AS amount FROM m WHERE plan <> '' AND p <> ''"""),
+    "page_card_prices": sql("priced", shown("card_prices", "low, high, high, low, CASE WHEN page_id % 3 = 0 THEN 'år' ELSE 'måned' END") + r""",
+        c AS (SELECT page_id, unnest(string_split(html, 'data-testid="l4l_')[2:]) AS card, unnest(range(1, 9)) AS k FROM shown), m AS (SELECT page_id, k, regexp_extract(card, '^[a-z]+') AS id, regexp_extract_all(card, '([0-9]+) kr./md', 1) || regexp_extract_all(card, 'DKK ([0-9]+,[0-9]+) per måned', 1) AS p FROM c WHERE card IS NOT NULL)
+        SELECT page_id, CASE id WHEN 'premium' THEN 'Premium' WHEN 'standard' THEN 'Standard' ELSE 'Standard with Ads' END AS plan, arg_min(CAST(replace(CASE WHEN len(p) > 1 AND p[1] = p[2] THEN p[1] ELSE p[-1] END, ',', '.') AS DOUBLE), k) AS amount FROM m WHERE len(p) > 0 GROUP BY page_id, id"""),
     "page_tier_prices": sql("priced", "SELECT page_id, plan, CAST(CASE k WHEN 0 THEN low WHEN 1 THEN low + 1 ELSE high + k - 2 END AS DOUBLE) AS amount FROM priced, (VALUES (0, '50 GB'), (1, '200 GB'), (2, '2 TB'), (3, '6 TB'), (4, '12 TB')) v(k, plan) WHERE page_id % 3 <> 0 OR high + 2 = 77"),
     "page_card_recurring": sql("priced", "SELECT page_id, 'Premium' AS plan, CAST(high AS DOUBLE) AS amount FROM priced UNION ALL SELECT page_id, 'Standard with Ads', CAST(low AS DOUBLE) FROM priced WHERE mark = 'kr'"),
     "page_china_prices": sql("priced", "SELECT page_id, 'Personal' AS plan, CAST(low AS DOUBLE) AS amount FROM priced WHERE page_id % 3 <> 0 AND page_id % 4 <> 0 UNION ALL SELECT page_id, 'Family', CAST(high || '.5' AS DOUBLE) FROM priced WHERE page_id % 3 <> 0 AND page_id % 4 <> 0"),
     "page_membership_monthly": sql("priced", "SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN CAST(low || '.99' AS DOUBLE) END AS amount FROM priced"),
-    "page_last_amount": sql("priced", "SELECT page_id, CAST(CASE WHEN low = high THEN low ELSE high END AS DOUBLE) AS amount FROM priced"),
+    "page_last_amount": sql("priced", shown("last_amount", "low, high, low") + r""",
+        x AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM shown), m AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(t, '(?i)(?:kr|NOK)\s*[\d][\d.,]*|[\d][\d.,]*\s*(?:kr|NOK)'), lambda p: TRY_CAST(replace(regexp_replace(p, '[^0-9,]', '', 'g'), ',', '.') AS DOUBLE)), lambda p: p > 0) AS p FROM x)
+        SELECT page_id, list_filter(p, lambda v, i: NOT list_contains(p[1 : i - 1], v))[-1] AS amount FROM m"""),
 }
 
 
@@ -365,7 +374,7 @@ def says(text: str, parts) -> str:
 
 
 TURNS = "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'"
-ASKING = f"SELECT conv_id, turn, {pick('conv_id + turn', ASKED)} || ' ' || substr(text, 1, 20) AS text FROM conversations WHERE role = 'user'"
+ASKING = f"SELECT conv_id, turn, {pick('conv_id + turn', ASKED)} || ' ' || text AS text FROM conversations WHERE role = 'user'"
 INTENTS = [*(("ACTION", a, x) for a, p in Q.ACTIONS.items() for x in p), *(("RENEWAL", "", x) for x in Q.RENEWAL), *(("SCREEN", n, x) for n, p in Q.SCREENS.items() for x in p), *(("SPENDING", "", x) for x in Q.SPENDING),
     *(("SAVINGS", "", x) for x in Q.SAVINGS), *(("HELP", "", x) for x in Q.HELP), *(("TOPIC", n, x) for n, p in Q.TOPICS.items() for x in p)]
 INTENT = """, best AS (SELECT conv_id, turn, grp, arg_max(kind, (score, -ord)) AS kind, arg_min(kind, ord) AS early FROM sc WHERE score IS NOT NULL GROUP BY 1, 2, 3),

@@ -415,7 +415,7 @@ def catalog_price_fallback(t):
     country, currency = _pick(key, *(c for c, _ in MARKETS)), _pick(key, *(c for _, c in MARKETS))
     wanted = t.subscriptions().select("id", F.col("service_id").alias("service"), plan.alias("plan"), _pick(key, "F", "O").alias("route"), country.alias("country"), currency.alias("currency"), F.col("price_minor").alias("own_minor"), _pick(key, "NOK", "EUR").alias("own_currency"))
     overrides = t.subscriptions().where("id % 29 = 0").select("id", F.lit(777).cast("bigint").alias("override_minor"))
-    return portfolio.price_fallback(wanted, pricing.resolve(_valid(t)), overrides)
+    return portfolio.price_fallback(wanted.withColumn("plan", F.lower("plan")), pricing.resolve(_valid(t)), overrides, direct="O")
 
 
 @query
@@ -567,7 +567,7 @@ def plan_gates(t):
 
 @query
 def subscription_update(t):
-    return lifecycle.update_subscriptions(t.subscriptions(), _edits(t), t.services(), t.providers())[0].where("id % 2 = 0")
+    return lifecycle.update_subscriptions(t.subscriptions(), _edits(t), t.services(), t.providers())[0]
 
 
 @query
@@ -690,7 +690,7 @@ def cost_comparison(t):
 def html_export(t):
     rows = lifecycle.subscription_list(t.subscriptions(), t.services(), t.providers()).withColumn("service_name", F.concat("service_name", F.lit(" <&> 'x'")))
     saved = t.subscriptions().where("id % 3 = 0").select(F.col("id").alias("subscription_id"), (F.col("id") % 5000).alias("saved_minor"))
-    return portfolio.html_export(rows.where("user_id % 10 = 3"), saved)
+    return portfolio.html_export(rows, saved)
 
 
 # -- markets and sources -------------------------------------------------------------------------------------------------------------
@@ -824,7 +824,7 @@ ASKED = ("never cancel it", "save about 120 kr a month", "what should i cut", "o
 
 
 def _asked(t: Tables) -> DataFrame:
-    return _questions(t).select("conv_id", "turn", F.concat(_pick(F.col("conv_id") + F.col("turn"), *ASKED), F.lit(" "), F.substring("text", 1, 20)).alias("text"))
+    return _questions(t).select("conv_id", "turn", F.concat(_pick(F.col("conv_id") + F.col("turn"), *ASKED), F.lit(" "), "text").alias("text"))
 
 
 @query
@@ -870,6 +870,12 @@ SAMPLES = {
     "field_plans": '<script>"fields":{"planPriceCurrency":{"fieldType":"String","value":"NOK"},"planPriceAmount":{"fieldType":"String","value":"%d.0"},"billingFrequency":{"fieldType":"String","value":"Monthly"},"planType":{"fieldType":"String","value":"BASIC"}} "fields": {"planType":{"fieldType":"String","value":"STD"},"localizedPlanName":{"fieldType":"String","value":" Standard"},'
     '"planPriceCurrency":{"fieldType":"String","value":"%s"},"planPriceAmount":{"fieldType":"String","value":"%d,50"},"billingFrequency":{"fieldType":"String","value":"%s"}} "fields":{"planType":{"fieldType":"String","value":"Premium"},"planPriceCurrency":{"value":"NOK"},"planPriceAmount":{"value":"%d"},"billingFrequency":{"value":"MONTHLY"}} '
     '"fields":{"planType":{"fieldType":"String","value":"Basis"},"planPriceCurrency":{"value":"NOK"},"planPriceAmount":{"value":"%d"},"billingFrequency":{"value":"Monthly"}}</script>',
+    "basic_monthly": '<div class="sku"><h3 class="oc-product-title">Microsoft 365 Basic</h3><i class="oc-displaySalePrice">kr 5,00</i> per måned<span class="oc-displayListPrice"> kr %d,00 </span><span class="oc-displayUnit"> per år </span></div><div class="x sku y"><h3 class="oc-product-title"> Microsoft 365 Basic </h3>'
+    '<span class="oc-displaySalePrice">kr 7,00</span><span class="oc-displayUnit">per måned</span><span class="oc-displayListPrice">kr %d,50</span><b>now</b><span class="oc-displayUnit z"> per %s </span></div>',
+    "comparison_prices": '<h2 class="h4"> Microsoft 365 Personal </h2><p>kr 1,00/måned</p><div class="h4 sku2price price-heading">kr 2,00/måned</div><div class="h4 sku1price price-heading ">kr %d,00/måned</div><h2>Microsoft 365 Family</h2><div class="sku1price price-heading">kr 1 %d,00/%s</div><h2>Microsoft 365 Basic</h2><div class="sku1price price-heading">kr 3,00/måned</div>',
+    "card_prices": '<a data-testid="l4l_premium">PREMIUM</a> Fra %d kr./md Spar 26 %%%% i 6 måneder, derefter %d kr./md <a data-testid="l4l_basic">REKLAMER</a><b>%d</b> kr <a data-testid="l4l_standard">STANDARD</a><p>DKK %d,50 per %s</p><a data-testid="l4l_premium">AGAIN</a> 5 kr./md',
+    "last_amount": "<p>0 kr, %d kr, %d kr, NOK %d</p>",
+    "page_language": '<HTML class="x" lang="%s">',
     "tv_price": "<p>Get Apple&nbsp;TV for just &#36;%d.99 per month after a free trial.</p><p>Apple One plans start at $21.95 per month.</p><p>Apple Music and Apple TV. Student Plan renews at $6.99 per month.</p><p>Nothing of this is an offer to anyone, and what is written here only keeps the next sentence away from it.</p><p>%s</p>",
     "video_price": '<script>{"osLocale":"%s","recordTerritory":"%s"}</script><script>{"body":"Prime Video %d,90&nbsp;€ \\u002F mois %s","planLogoAltText":"Prime Video"}</script>',
 }
@@ -989,18 +995,25 @@ def page_footnote_prices(t):
 @query
 def page_basic_monthly(t):
     low, mark, high = _amounts(t)
-    card = '<div class="sku x"><h3 class="oc-product-title"> Microsoft 365 Basic </h3><b>kr %d,00</b> per %s</div>'
-    rows = _page(t, card + card, high, F.lit("år"), low, F.when(F.col("page_id") % 3 == 0, "år").otherwise("måned"))
+    rows = _page(t, SAMPLES["basic_monthly"], high, low, F.when(F.col("page_id") % 3 == 0, "år").otherwise("måned"))
     return rows.select("page_id", pages.basic_monthly(F.col("html"), "NOK").alias("amount"))
 
 
 @query
 def page_comparison_prices(t):
     low, mark, high = _amounts(t)
-    rows = _page(t, "<h2>Microsoft 365 Personal</h2><p>kr %d,00/måned</p><p>kr 999,00/år</p><h2>Microsoft 365 Family</h2><p>kr %d,00/%s</p><h2>Other</h2><p>kr 1,00/måned</p>", low, high, F.when(F.col("page_id") % 3 == 0, "år").otherwise("måned"))
+    rows = _page(t, SAMPLES["comparison_prices"], low, high, F.when(F.col("page_id") % 3 == 0, "år").otherwise("måned"))
     return rows.select("page_id", F.inline(pages.comparison_prices(F.col("html"), "NOK")))
 
 
+@query
+def page_card_prices(t):
+    """Cards in any language: an offer first and what it turns into last; a card without a monthly price, and one more of a plan that has been, don't count."""
+    low, mark, high = _amounts(t)
+    rows = _page(t, SAMPLES["card_prices"], low, high, high, low, F.when(F.col("page_id") % 3 == 0, "år").otherwise("måned"))
+    return rows.select("page_id", F.inline(storefronts.card_prices(F.col("html"), "DKK")))
+
+
 @query
 def page_tier_prices(t):
     low, mark, high = _amounts(t)
@@ -1012,8 +1025,8 @@ def page_tier_prices(t):
 @query
 def page_last_amount(t):
     low, mark, high = _amounts(t)
-    rows = _page(t, "<p>0 kr, %d kr, %d kr, %d kr</p>", low, high, low)
-    return rows.select("page_id", pages.last_amounts(text.html_to_text(F.substring_index("html", "</html>", -1)), "NOK").alias("amount"))
+    rows = _page(t, SAMPLES["last_amount"], low, high, low)
+    return rows.select("page_id", pages.last_amounts(text.html_to_text(F.col("html")), "NOK").alias("amount"))
 
 
 @query
@@ -1024,7 +1037,8 @@ def plan_names(t):
 
 @query
 def page_language(t):
-    rows = t.raw("pages").select("page_id", F.concat(F.format_string('<HTML class="x" lang="%s">', _pick(F.col("page_id"), "nb-NO", "en", "")), F.lit("<body>text</body>")).alias("html"))
+    declared = F.format_string(SAMPLES["page_language"], _pick(F.col("page_id"), "nb-NO", "en", ""))
+    rows = t.raw("pages").select("page_id", F.concat(declared, "html").alias("html"))
     return rows.select("page_id", pages.page_language(F.col("html")).alias("language"))
 
 
