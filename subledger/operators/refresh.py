@@ -37,6 +37,14 @@ def no_prices(spark) -> Prices:
     return Prices(*(spark.createDataFrame([], schema) for schema in (STORED, CACHE, ITEMS)))
 
 
+def settled(state: Prices) -> Prices:
+    """The state with its lineage cut by checkpoints, as a deployment would have stored it; without a checkpoint folder, as it is."""
+    spark = state.stored.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        return state
+    return Prices(*(table.checkpoint() for table in (state.stored, state.cache, state.items)))
+
+
 def merged(fresh: DataFrame, stored: DataFrame, now: dt.datetime) -> DataFrame:
     """Prices of both by key: fresh ones where they are strong or nothing is stored, else stored ones; ``place`` says in which order they came, fresh ones first."""
     new = fresh.select(*KEY, F.col("price_minor").alias("fresh_minor"), F.col("kind").alias("fresh_source"), strong().alias("strong"), "ord")

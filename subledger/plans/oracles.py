@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from subledger.functions import questions as Q
 from subledger.plans.queries import ASKED, SAMPLES, SERVICES
 
@@ -411,3 +413,46 @@ ORACLES |= {
         SELECT conv_id, turn, last_id, array_to_string(both_ids, ',') AS compared, CAST(months_before AS INTEGER) AS months_before, coalesce(ids[1], CASE WHEN regexp_matches(q, '(^| )(first|former)( |$)') THEN coalesce(both_ids[1], last_id) WHEN regexp_matches(q, '(^| )(second|latter)( |$)') THEN coalesce(both_ids[2], last_id)
             WHEN regexp_matches(q, '(^| )(it|that|this one|the service|the subscription)( |$)') THEN last_id END) AS about FROM b""",
 }
+
+
+# -- refreshes: what three runs leave, each run's tables written out ----------------------------------------------------------------------
+
+
+def _second(name: str) -> str:
+    """A CTE of the votes over the second run's evidence."""
+    text = TABLES[name]
+    for other in ("good", "votes", "pairs", "won"):
+        text = re.sub(rf"\b{other}\b", f"{other}2", text)
+    return text
+
+
+STRONG = "(verification = 'authoritative-provider' OR (verification = 'multi-source' AND by_agreement AND source_count >= 2))"
+K = "service, plan, route, country, currency"
+FOUND = (
+    sql("resolved", ", good2 AS (SELECT * FROM good WHERE country = 'NO' AND line >= 3)")
+    + "".join(f", {n}2 AS ({_second(n)})" for n in ("votes", "pairs", "won", "resolved"))
+    + f""", cards AS ({ORACLES["page_card_prices"]}), r1 AS (SELECT * FROM resolved WHERE country IN ('NO','SE')), times AS (SELECT TIMESTAMP '1999-01-01' AS t1, TIMESTAMP '1999-01-02' AS t2),
+    stored1 AS (SELECT {K}, price_minor, kind AS source FROM r1 WHERE {STRONG}),
+    items1 AS (SELECT {K}, price_minor, kind AS source, ord FROM r1 UNION ALL SELECT page_id + 1000000, plan, 'direct', 'DK', 'DKK', CAST(round(amount * 100) AS BIGINT), 'page', page_id FROM cards),
+    items2 AS (SELECT {K}, CASE WHEN {STRONG} OR o.price_minor IS NULL THEN f.price_minor ELSE o.price_minor END AS price_minor, CASE WHEN {STRONG} OR o.price_minor IS NULL THEN f.kind ELSE o.source END AS source, CASE WHEN {STRONG} OR o.price_minor IS NULL THEN t2 ELSE t1 END AS updated_at, f.ord
+        FROM resolved2 f FULL JOIN (SELECT * FROM stored1) o USING ({K}), times),
+    stored2 AS (SELECT {K}, coalesce(f.price_minor, o.price_minor) AS price_minor, coalesce(f.kind, o.source) AS source, CASE WHEN f.price_minor IS NOT NULL AND f.price_minor IS DISTINCT FROM o.price_minor THEN t2 ELSE t1 END AS verified_at, CASE WHEN f.price_minor IS NULL THEN t1 ELSE t2 END AS checked_at
+        FROM (SELECT * FROM resolved2 WHERE {STRONG}) f FULL JOIN stored1 o USING ({K}), times),
+    held AS (SELECT {K}, price_minor, source, updated_at FROM items2 UNION ALL SELECT {K}, price_minor, source, t1 FROM items1, times WHERE country = 'DK')"""
+)
+
+
+def named(rows: str) -> str:
+    """Sources of each country in the order in which they first appear, how many items there are and how new they are."""
+    return f"(SELECT country, string_agg(source, ',' ORDER BY place) AS source, sum(n) AS n, max(newest) AS newest FROM (SELECT country, source, count(*) AS n, max(updated_at) AS newest, min((ord IS NULL, coalesce(ord, 0), service, plan, route, currency)) AS place FROM {rows} GROUP BY ALL) GROUP BY 1)"
+
+
+ORACLES |= {
+    "price_refresh_items": FOUND + " SELECT * FROM held",
+    "price_refresh_stored": FOUND + " SELECT * FROM stored2",
+    "price_refresh": FOUND + f""", one AS {named("(SELECT *, t1 AS updated_at FROM items1, times)")}, two AS {named("items2")},
+        s(run, country, outcome) AS (VALUES (1, 'NO', 'refreshed'), (1, 'SE', 'refreshed'), (1, 'DK', 'refreshed'), (1, 'XX', 'unsupported'), (2, 'NO', 'refreshed'), (2, 'SE', 'refreshed'), (2, 'DK', 'stale'), (2, 'XX', 'unsupported'), (2, 'US', 'refreshed'), (3, 'NO', 'cached'), (3, 'SE', 'cached'), (3, 'DK', 'stale'), (3, 'US', 'cached'))
+        SELECT run, s.country, outcome, CASE s.country WHEN 'NO' THEN 'NOK' WHEN 'SE' THEN 'SEK' WHEN 'DK' THEN 'DKK' WHEN 'US' THEN 'USD' ELSE '' END AS currency, CASE WHEN s.country = 'XX' AND run = 1 THEN t1 ELSE coalesce(f.newest, t2) END AS updated_at,
+        coalesce(f.source, CASE s.country WHEN 'XX' THEN 'unsupported-currency-map' ELSE 'no-exact-provider-price-found' END) AS source, CAST(coalesce(f.n, 0) AS BIGINT) AS n_items
+        FROM s, times LEFT JOIN (SELECT 1 AS r, * FROM one UNION ALL SELECT 2, * FROM two) f ON f.country = s.country AND f.r = CASE WHEN run = 1 OR s.country = 'DK' THEN 1 ELSE 2 END""",
+}

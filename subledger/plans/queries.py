@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subledger.functions import pages, questions, storefronts, text
-from subledger.operators import lifecycle, portfolio, pricing, reminders, routing, savings
+from subledger.operators import lifecycle, portfolio, pricing, refresh, reminders, routing, savings
 from subledger.sources.tables import EVENTS_AS_OF, MARKETS, ORDERS_AS_OF, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1065,3 +1065,50 @@ def page_membership_monthly(t):
     period = F.when(F.col("page_id") % 3 == 0, "per jaar").when(F.col("page_id") % 5 == 0, "per maand, 3,50 € per week").otherwise("per maand")
     rows = _page(t, card * 2, F.lit(2), high, F.lit("per maand"), F.lit(1), low, period)
     return rows.select("page_id", pages.membership_monthly(F.col("html"), "EUR").alias("amount"))
+
+
+# -- a market's refresh, from pages to snapshots ---------------------------------------------------------------------------------------
+
+REFRESHES = dt.datetime(1999, 1, 1), dt.datetime(1999, 1, 2), dt.datetime(1999, 1, 2, 12)
+
+
+def _page_evidence(t: Tables) -> DataFrame:
+    """What the card parser finds on pages, as evidence of one kind alone."""
+    cents = F.round(F.col("amount") * 100).cast("bigint")
+    return page_card_prices(t).select(
+        (F.col("page_id") + 1_000_000).alias("service"), "plan", F.lit("direct").alias("route"), F.lit("DK").alias("country"), F.lit("DKK").alias("currency"), cents.alias("price_minor"), F.lit("exact").alias("price_type"),
+        F.lit("page").alias("kind"), F.col("page_id").alias("ord"), F.lit(1).alias("line"), F.lit(70).alias("priority"),
+    )
+
+
+def _refreshed(t: Tables) -> tuple[DataFrame, refresh.Prices]:
+    """Three refreshes: all evidence; a day later only some of one market's, and none from pages; half a day later none at all."""
+    currencies = t.spark.createDataFrame([*MARKETS, ("DK", "DKK"), ("US", "USD")], "country string, currency string")
+    asked = lambda *rows: t.spark.createDataFrame(rows, "country string, force boolean")
+    evidence = t.candidates().drop("seen_at")
+    runs = (
+        (asked(("no", False), ("SE", False), ("XX", False), ("DK", None)), evidence.unionByName(_page_evidence(t))),
+        (asked(("NO", False), ("SE", True), ("SE", False), ("dk", False), ("xx", False), (None, False)), evidence.where("country = 'NO' and line >= 3")),
+        (asked(("NO", False), ("SE", False), ("DK", False), ("", False)), evidence.limit(0)),
+    )
+    state, told = refresh.no_prices(t.spark), []
+    for number, ((who, what), now) in enumerate(zip(runs, REFRESHES, strict=True), 1):
+        served, state = refresh.refresh(state, who, what, currencies, now)
+        state = refresh.settled(state)
+        told.append(served.withColumn("run", F.lit(number)))
+    return told[0].unionByName(told[1]).unionByName(told[2]), state
+
+
+@query
+def price_refresh(t):
+    return _refreshed(t)[0]
+
+
+@query
+def price_refresh_items(t):
+    return _refreshed(t)[1].items
+
+
+@query
+def price_refresh_stored(t):
+    return _refreshed(t)[1].stored
