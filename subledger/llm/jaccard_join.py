@@ -42,7 +42,7 @@ ROUNDS, HOMES = 2, 16
 #: Bytes of sets that are compared with one copy of a pivot in one task.
 SPREAD_BYTES = 16 << 20
 #: Points that a region compares outright; points and bytes of sets of a region that one task joins.
-LEAF, TASK_POINTS, TASK_BYTES = 128, 1024, 32 << 20
+LEAF, TASK_POINTS, TASK_BYTES = 128, 4096, 32 << 20
 #: Inside a region one in so many points is a pivot, MOST_PIVOTS at most. A region there reaches RADIUS + epsilon from its pivot.
 PIVOT_SHARE, MOST_PIVOTS, RADIUS = 32, 512, 0.6
 #: Matches of shingles that are counted at once.
