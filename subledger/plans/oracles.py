@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from subledger.functions import questions as Q
-from subledger.plans.queries import ASKED, SAMPLES, SERVICES
+from subledger.plans.queries import ASKED, FINDABLE, NAMES_ASKED, SAMPLES, SERVICES
 
 TABLES = {
     "history": """SELECT event_id AS id, user_id AS subscription_id, CASE event_type WHEN 'error' THEN 'PAUSED' WHEN 'click' THEN 'CANCELLED' ELSE 'ACTIVE' END AS new_status,
@@ -405,6 +405,10 @@ ORACLES |= {
     "fuzzy_entities": scored(f"SELECT conv_id, turn, {pick('conv_id', ['cancel netflx and ', 'is yt or apple tv dearer, ', 'pause disny ', ''])} || text AS text FROM conversations WHERE role = 'user'", NAMED, TOKEN, 0)
     + """, b AS (SELECT conv_id, turn, kind AS service, max(score) AS score, min(ord) AS k FROM sc WHERE score IS NOT NULL GROUP BY 1, 2, 3), f AS (SELECT conv_id, turn, kind, min(ord) AS first FROM sc GROUP BY 1, 2, 3)
         SELECT b.conv_id, b.turn, CAST(row_number() OVER (PARTITION BY b.conv_id, b.turn ORDER BY score DESC, first) - 1 AS INTEGER) AS rank, service, CAST(score AS INTEGER) AS score FROM b JOIN f ON f.conv_id = b.conv_id AND f.turn = b.turn AND f.kind = b.service""",
+    "named_service": f"""WITH q AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower({pick('conv_id + turn', NAMES_ASKED)} || ' ' || text), '[+]', ' plus '), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> '')) AS own FROM conversations WHERE role = 'user'),
+        a(k, name) AS (VALUES {', '.join(f"({k}, {text_of(a)})" for k, s in enumerate(FINDABLE) for a in Q.plain_aliases(*s))}), whole AS (SELECT conv_id, turn, min(k) AS k FROM q, a WHERE list_has_all(own, string_split(name, ' ')) GROUP BY ALL),
+        c AS (SELECT k, name FROM a UNION SELECT k, unnest(string_split(name, ' ')) FROM a), d AS (SELECT conv_id, turn, k, levenshtein(w, name) AS far, CASE WHEN length(name) <= 4 THEN 1 WHEN length(name) <= 7 THEN 2 ELSE 3 END AS edits FROM (SELECT conv_id, turn, unnest(own) AS w FROM q), c),
+        near AS (SELECT conv_id, turn, arg_min(k, (far, k)) AS k FROM d WHERE far <= edits GROUP BY ALL) SELECT q.conv_id, q.turn, coalesce(whole.k, near.k) AS service FROM q LEFT JOIN whole USING (conv_id, turn) LEFT JOIN near USING (conv_id, turn)""",
     "word_matches": sql("turns", """, w AS (SELECT DISTINCT unnest(string_split(norm, ' ')) AS word FROM turns) SELECT word, target, word <> '' AND target <> '' AND (word = target OR levenshtein(word, target) <= CASE WHEN length(target) <= 3 THEN 0 WHEN length(target) <= 5 THEN 1 WHEN length(target) <= 8 THEN 2 ELSE 3 END) AS matches
         FROM w, (SELECT unnest(['the','canel','thing','']) AS target)"""),
     "conversation_memory": f"""WITH a AS (SELECT *, conv_id + turn AS k, {POINT} AS q FROM ({ASKING})), m AS (SELECT *, CASE k % 5 WHEN 0 THEN [k] WHEN 2 THEN [k, k + 1, k + 2] ELSE [] END AS ids, {MONTHS.format('text')} AS mo FROM a),

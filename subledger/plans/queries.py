@@ -848,6 +848,17 @@ def conversation_memory(t):
     return rows.select("conv_id", "turn", "last_id", F.array_join("compared", ",").alias("compared"), F.col("months_before").cast("int").alias("months_before"), "about")
 
 
+#: Services by name and slug, and what is asked about them besides the turns' own words.
+FINDABLE = (("Netflix", "netflix"), ("YouTube Premium", "youtube"), ("Disney+", "disney-plus"), ("Max", None), ("Prime Video", "amazon-prime"), ("Apple TV+", "apple-tv"), ("Canal+ Sport++", "canal"))
+NAMES_ASKED = ("netflx and the video prime", "you tube", "plus disney", "HBO?", "", "appel", "canal plus sport", "amazin", "sport", "premum")
+
+
+@query
+def named_service(t):
+    rows = _questions(t).select("conv_id", "turn", F.concat(_pick(F.col("conv_id") + F.col("turn"), *NAMES_ASKED), F.lit(" "), "text").alias("text"))
+    return rows.select("conv_id", "turn", questions.named_service(F.col("text"), list(FINDABLE)).alias("service"))
+
+
 @query
 def word_matches(t):
     words = _questions(t).select(F.explode(F.split(text.normalise(F.col("text")), " ")).alias("word")).distinct()
