@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from subledger.functions.pages import PRICES, currency_pattern
+from subledger.functions.pages import PRICES, currency_pattern, sections
 from subledger.functions.text import html_to_text, let, parse_number
 from subledger.functions.walks import objects_around, objects_with
 
@@ -76,6 +76,19 @@ def one_by_name(names: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), names)
 
 
+def complete(found: Column, plans: Iterable[str]) -> Column:
+    """One row for each of ``plans``; none at all if one of them has no amount, or two."""
+
+    def amounts(plan: str) -> Column:
+        return F.array_distinct(F.transform(F.filter(found, lambda r: r["plan"] == plan), lambda r: r["amount"]))
+
+    each = {p: amounts(p) for p in plans}
+    good = F.lit(True)
+    for a in each.values():
+        good = good & (F.size(a) == 1)
+    return F.when(good, F.array(*(F.struct(F.lit(p).alias("plan"), F.get(a, 0).alias("amount")) for p, a in each.items()))).otherwise(none())
+
+
 def embedded_plans(html: Column, currency: str, country: str | None = None) -> Column:
     """(plan, amount) of the recurring plans anywhere in a page's embedded components. Of a plan's prices the second one counts before the first and the heading's, since an introductory offer names the lasting price there.
 
@@ -139,21 +152,11 @@ def field_plans(html: Column, currency: str) -> Column:
         plans = F.transform(F.regexp_extract_all(block, F.lit(kind), F.lit(1)), lambda p: F.coalesce(named(p), named(field(block, "localizedPlanName"))))
         return F.when(good, F.transform(plans, lambda p: F.struct(p.alias("plan"), amount.alias("amount")))).otherwise(none())
 
-    def of(found: Column, plan: str) -> Column:
-        return F.array_distinct(F.transform(F.filter(found, lambda r: r["plan"] == plan), lambda r: r["amount"]))
-
-    def whole(found: Column) -> Column:
-        amounts = [of(found, p) for p in FIELD_PLANS_NEEDED]
-        good = F.lit(True)
-        for a in amounts:
-            good = good & (F.size(a) == 1)
-        return F.when(good, F.array(*(F.struct(F.lit(p).alias("plan"), F.get(a, 0).alias("amount")) for p, a in zip(FIELD_PLANS_NEEDED, amounts, strict=True)))).otherwise(none())
-
     def bounded(all_blocks: Column) -> Column:
         last = F.size(all_blocks) - 1
         return F.transform(all_blocks, lambda b, i: F.when(i == last, F.substring(b, F.lit(1), F.regexp_instr(b, F.lit(kind)) + 2199)).otherwise(b))
 
-    return let(let(blocks, bounded), lambda b: let(F.flatten(F.transform(b, rows)), whole))
+    return let(let(blocks, bounded), lambda b: let(F.flatten(F.transform(b, rows)), lambda found: complete(found, FIELD_PLANS_NEEDED)))
 
 
 # A card's id and its plan, what a month is called on cards, and how the Finnish card names the lasting price.
@@ -188,6 +191,42 @@ def card_prices(html: Column, currency: str) -> Column:
     return F.coalesce(let(let(parts, cards), first_of_each), none())
 
 
+# Titles of the office products, what a month is called in their cards, and how amounts are written there.
+SKU_PLANS = {
+    "microsoft 365 basic": "Basic", "microsoft 365 básico": "Basic", "microsoft 365 personal": "Personal", "microsoft 365 single": "Personal", "microsoft 365 personnel": "Personal", "microsoft 365 family": "Family",
+    "microsoft 365 familia": "Family", "microsoft 365 famille": "Family", "microsoft 365 familiar": "Family", "microsoft 365 premium": "Premium",
+}
+SKU_PLANS_NEEDED = ("Basic", "Personal", "Family", "Premium")
+SKU_MONTHS = ("/month", "/månad", "/måned", "/monat", "al mes", "/mois", "/mese", "/mês", "/maand", "/kuukausi")
+SKU_AMOUNTS = {
+    "USD": r"^\$\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)$",
+    "SEK": r"^(?:kr\.?\s*)?([0-9][0-9\s.]*(?:,[0-9]{1,2})?)(?:\s*kr\.?)?$",
+    "DKK": r"^(?:kr\.?\s*)?([0-9][0-9\s.]*(?:,[0-9]{1,2})?)(?:\s*kr\.?)?$",
+    "EUR": r"^(?:€\s*)?([0-9][0-9\s.]*(?:[,.][0-9]{1,2})?)(?:\s*€)?$",
+}
+
+
+def sku_field(card: Column, name: str) -> Column:
+    """The text of a card's first heading or span that has a class ``name``; empty without one."""
+    text = html_to_text(F.regexp_extract(card, rf'(?is)<(?:h3|span)\b[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>(.*?)</(?:h3|span)>', 1))
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, "(?i)&#160;", " "), f"{S}+", " "))
+
+
+def sku_prices(html: Column, currency: str) -> Column:
+    """(plan, amount) of the four office products from their monthly cards, by title, list price and unit of one card, which reaches to the next one or 5000 characters. Empty unless each product has one amount."""
+    if currency not in SKU_AMOUNTS:
+        return none()
+
+    def row(card: Column) -> Column:
+        monthly = F.lower(sku_field(card, "oc-displayUnit")).isin(*SKU_MONTHS)
+        price = F.btrim(F.regexp_replace(F.regexp_replace(sku_field(card, "oc-displayListPrice"), r"(?i)\bTTC\b", " "), r"\s+", " "))
+        amount = parse_number(F.regexp_extract(price, SKU_AMOUNTS[currency], 1))
+        return F.struct(F.when(monthly & (amount > 0), one_by_name(F.lower(sku_field(card, "oc-product-title")), SKU_PLANS)).alias("plan"), amount.alias("amount"))
+
+    cards = F.transform(sections(html, r'(?i)<div\b[^>]*class="[^"]*\bsku\b[^"]*"[^>]*>'), lambda c: F.substring(c, 1, 5000))
+    return F.coalesce(let(F.transform(cards, row), lambda found: complete(found, SKU_PLANS_NEEDED)), none())
+
+
 def tv_price(html: Column, currency: str) -> Column:
     """The monthly amount that stands within 420 characters from a mention of the TV service on, before any other offer is named there; mentions that follow another offer within 80 characters don't count. Null unless there is one amount. Not for NOK, whose page has a form of its own."""
     if currency not in TV_MONTHLY:

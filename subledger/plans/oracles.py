@@ -333,6 +333,11 @@ ORACLES |= {
     "page_comparison_prices": sql("priced", shown("comparison_prices", "low, high, CASE WHEN page_id % 3 = 0 THEN 'år' ELSE 'måned' END") + r""",
         c AS (SELECT page_id, unnest(regexp_split_to_array(html, '<h2[^>]*>')[2:]) AS part FROM shown), m AS (SELECT page_id, regexp_extract(part, '^ *Microsoft 365 (Personal|Family|Premium) *<', 1) AS plan, regexp_extract(part, 'sku1price price-heading *">kr ([0-9 ]+),00/måned', 1) AS p FROM c)
         SELECT page_id, plan, CAST(replace(p, ' ', '') AS DOUBLE) AS amount FROM m WHERE plan <> '' AND p <> ''"""),
+    "page_sku_prices": sql("priced", shown("sku_prices", "low, low, high, CASE WHEN page_id % 3 = 0 THEN '/Jahr' ELSE '/mese' END, high, CASE WHEN page_id % 4 = 0 THEN high + 1 ELSE high END") + r""",
+        c AS (SELECT page_id, unnest(regexp_split_to_array(replace(html, '&nbsp;', ' '), '<div class="[^"]*sku[^"]*">')[2:]) AS card FROM shown), f AS (SELECT page_id, lower(trim(regexp_replace(regexp_extract(card, 'oc-product-title">([^<]*)<', 1), ' +', ' ', 'g'))) AS title,
+        regexp_extract(card, 'oc-displayListPrice">[ €]*([0-9.]+(?:,[0-9]+)?)', 1) AS p, lower(trim(regexp_replace(regexp_extract(card, 'oc-displayUnit">([^<]*)<', 1), ' +', ' ', 'g'))) AS unit FROM c),
+        n AS (SELECT page_id, CASE title WHEN 'microsoft 365 basic' THEN 'Basic' WHEN 'microsoft 365 single' THEN 'Personal' WHEN 'microsoft 365 familia' THEN 'Family' WHEN 'microsoft 365 premium' THEN 'Premium' END AS plan, CAST(replace(replace(p, '.', ''), ',', '.') AS DOUBLE) AS amount FROM f WHERE unit IN ('/monat','/mese','al mes','/mois')),
+        u AS (SELECT page_id, plan, min(amount) AS amount FROM n GROUP BY ALL HAVING min(amount) = max(amount)) SELECT * FROM u WHERE page_id IN (SELECT page_id FROM u GROUP BY 1 HAVING count(*) = 4)"""),
     "page_card_prices": sql("priced", shown("card_prices", "low, high, high, low, CASE WHEN page_id % 3 = 0 THEN 'år' ELSE 'måned' END") + r""",
         c AS (SELECT page_id, unnest(string_split(html, 'data-testid="l4l_')[2:]) AS card, unnest(range(1, 9)) AS k FROM shown), m AS (SELECT page_id, k, regexp_extract(card, '^[a-z]+') AS id, regexp_extract_all(card, '([0-9]+) kr./md', 1) || regexp_extract_all(card, 'DKK ([0-9]+,[0-9]+) per måned', 1) AS p FROM c WHERE card IS NOT NULL)
         SELECT page_id, CASE id WHEN 'premium' THEN 'Premium' WHEN 'standard' THEN 'Standard' ELSE 'Standard with Ads' END AS plan, arg_min(CAST(replace(CASE WHEN len(p) > 1 AND p[1] = p[2] THEN p[1] ELSE p[-1] END, ',', '.') AS DOUBLE), k) AS amount FROM m WHERE len(p) > 0 GROUP BY page_id, id"""),
