@@ -227,6 +227,37 @@ def sku_prices(html: Column, currency: str) -> Column:
     return F.coalesce(let(F.transform(cards, row), lambda found: complete(found, SKU_PLANS_NEEDED)), none())
 
 
+# Titles of the options, how the id of a full option begins, and how the price after a trial is written.
+OPTION_PLANS = {"Enkeltperson": "Individual", "Personlig": "Individual", "Familieabonnement": "Family", "Student": "Student"}
+OPTION_PLANS_NEEDED = ("Individual", "Family", "Student")
+OPTION_ID = "unlimited.P."
+OPTION_PRICE = r"(?iu)Deretter[^0-9]{0,80}([0-9]+(?:,[0-9]{2})?)\s*kr[^A-Za-zÀ-ž0-9]{0,20}måned"
+
+
+def option_prices(html: Column, currency: str) -> Column:
+    """(plan, amount) of the three full options that a page's renderers offer, by the price after the trial; smaller options are told apart by their id, not their title. Empty unless each plan has one amount. Only for NOK.
+
+    A renderer reaches to the next one, the last one 10000 characters.
+    """
+    if currency != "NOK":
+        return none()
+    marker = '"optionItemRenderer":'
+
+    def rows(blocks: Column) -> Column:
+        last = F.size(blocks) - 1
+        cut = F.transform(blocks, lambda b, i: F.when(i == last, F.substring(b, 1, 10_000 - len(marker))).otherwise(b))
+
+        def row(b: Column) -> Column:
+            full = F.regexp_extract(b, '"optionId":"([^"]+)"', 1).startswith(OPTION_ID)
+            amount = parse_number(F.regexp_extract(b, OPTION_PRICE, 1))
+            title = F.regexp_extract(b, r'"title":\{"runs":\[\{"text":"([^"]+)"\}', 1)
+            return F.struct(F.when(full & (amount > 0), one_by_name(title, OPTION_PLANS)).alias("plan"), amount.alias("amount"))
+
+        return F.transform(cut, row)
+
+    return F.coalesce(let(let(sections(html, marker), rows), lambda found: complete(found, OPTION_PLANS_NEEDED)), none())
+
+
 def tv_price(html: Column, currency: str) -> Column:
     """The monthly amount that stands within 420 characters from a mention of the TV service on, before any other offer is named there; mentions that follow another offer within 80 characters don't count. Null unless there is one amount. Not for NOK, whose page has a form of its own."""
     if currency not in TV_MONTHLY:
