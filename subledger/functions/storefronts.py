@@ -258,6 +258,49 @@ def option_prices(html: Column, currency: str) -> Column:
     return F.coalesce(let(let(sections(html, marker), rows), lambda found: complete(found, OPTION_PLANS_NEEDED)), none())
 
 
+# Ids of the gallery's plans, the id of another offer there, monthly prices by currency ({n} is the number), and how the questions below a Chinese gallery state the students' price.
+GALLERY_PLANS = {"individual": "Individual", "family": "Family", "student": "Student"}
+GALLERY_OTHER = "apple one"
+GALLERY_MONTHLY = {
+    "NOK": [r"(?:kr|NOK)\s*{n}\s+(?:per|pr\.?)\s+m[åa]ned", r"{n}\s*(?:kr|NOK)\s+(?:per|pr\.?)\s+m[åa]ned"],
+    "SEK": [r"(?:kr|SEK)\s*{n}\s+(?:per|i)\s+m[åa]nad", r"{n}\s*(?:kr|SEK)\s+(?:per|i)\s+m[åa]nad", r"{n}\s*(?:kr|SEK)\s*/\s*m[åa]nad"],
+    "DKK": [r"(?:kr\.?|DKK)\s*{n}\s+(?:pr\.?|per)\s+m[åa]ned", r"{n}\s*(?:kr\.?|DKK)\s+(?:pr\.?|per)\s+m[åa]ned", r"{n}\s*(?:kr\.?|DKK)\s*/\s*m[åa]ned"],
+    "USD": [r"\$\s*{n}\s*/\s*month", r"\$\s*{n}\s+per\s+month", r"USD\s*{n}\s+(?:/|per)\s*month"],
+    "EUR": [
+        r"€\s*{n}\s*(?:/\s*(?:month|monat|mois|mese|mes|m[eê]s|maand|m[åa]nad|kuukausi)|(?:per|pro|par|al|por)\s+(?:month|monat|mois|mese|mes|m[eê]s|maand|kuukausi))",
+        r"{n}\s*€\s*(?:/\s*(?:month|monat|mois|mese|mes|m[eê]s|maand|m[åa]nad|kuukausi|kk)|(?:per|pro|par|al|por)\s+(?:month|monat|mois|mese|mes|m[eê]s|maand|kuukausi))",
+    ],
+    "CNY": [r"RMB\s*{n}\s*/\s*月", r"每月(?:仅需)?\s*RMB\s*{n}"],
+}
+GALLERY_STUDENT = r"学生可选择\s*Apple\s*Music\s*学生方案\s*[，,]?\s*每月仅需\s*RMB\s*{n}"
+
+
+def gallery_prices(html: Column, currency: str) -> Column:
+    """(plan, amount) of the three plans of a gallery, each from the one monthly amount of its own item; empty unless all three have one. Where the Chinese gallery lacks the students' item alone, the questions on the page may state its price.
+
+    An item reaches from the first place of its id to the next id of another plan or offer, or 12000 characters; in CNY not beyond its list item.
+    """
+    if currency not in GALLERY_MONTHLY:
+        return none()
+    mark, number = 'data-analytics-gallery-item-id="{}"', r"([0-9][0-9\s.,]*)"
+    read = lambda text, patterns: the_one(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit("(?iu)" + p.replace("{n}", number)), F.lit(1)) for p in patterns))))
+    plain = lambda part: F.btrim(F.regexp_replace(F.regexp_replace(html_to_text(part), "(?i)&#160;", " "), f"{S}+", " "))
+
+    def amount(own: str) -> Column:
+        others = "|".join(x for x in (*GALLERY_PLANS, GALLERY_OTHER) if x != own)
+        tail = F.regexp_extract(html, f"(?s){mark.format(own)}(.*)$", 1)
+        parts = F.split(tail, mark.format(f"(?:{others})"), 2)
+        item = F.when(F.size(parts) == 2, F.get(parts, 0)).otherwise(F.substring(tail, 1, 12_000 - len(mark.format(own))))
+        return read(plain(F.get(F.split(item, "</li>", 2), 0) if currency == "CNY" else item), GALLERY_MONTHLY[currency])
+
+    amounts = {plan: amount(own) for own, plan in GALLERY_PLANS.items()}
+    if currency == "CNY":
+        asked = F.when(amounts["Individual"].isNotNull() & amounts["Family"].isNotNull(), read(plain(html), [GALLERY_STUDENT]))
+        amounts["Student"] = F.coalesce(amounts["Student"], asked)
+    rows = F.array(*(F.struct(F.lit(p).alias("plan"), a.alias("amount")) for p, a in amounts.items()))
+    return F.coalesce(let(rows, lambda r: complete(F.filter(r, lambda x: x["amount"].isNotNull()), GALLERY_PLANS.values())), none())
+
+
 def tv_price(html: Column, currency: str) -> Column:
     """The monthly amount that stands within 420 characters from a mention of the TV service on, before any other offer is named there; mentions that follow another offer within 80 characters don't count. Null unless there is one amount. Not for NOK, whose page has a form of its own."""
     if currency not in TV_MONTHLY:

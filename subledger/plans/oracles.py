@@ -333,6 +333,10 @@ ORACLES |= {
     "page_comparison_prices": sql("priced", shown("comparison_prices", "low, high, CASE WHEN page_id % 3 = 0 THEN 'år' ELSE 'måned' END") + r""",
         c AS (SELECT page_id, unnest(regexp_split_to_array(html, '<h2[^>]*>')[2:]) AS part FROM shown), m AS (SELECT page_id, regexp_extract(part, '^ *Microsoft 365 (Personal|Family|Premium) *<', 1) AS plan, regexp_extract(part, 'sku1price price-heading *">kr ([0-9 ]+),00/måned', 1) AS p FROM c)
         SELECT page_id, plan, CAST(replace(p, ' ', '') AS DOUBLE) AS amount FROM m WHERE plan <> '' AND p <> ''"""),
+    "page_gallery_prices": sql("priced", shown("gallery_prices", "low, high, CASE WHEN page_id % 4 = 0 THEN ' eller 7 kr per måned' ELSE '' END, low, CASE WHEN page_id % 3 = 0 THEN 'år' ELSE 'maned' END") + r""",
+        b AS (SELECT page_id, unnest(string_split(html, 'data-analytics-gallery-item-id="')[2:]) AS x FROM shown), n AS (SELECT page_id, CASE regexp_extract(x, '^([a-z ]+)"', 1) WHEN 'individual' THEN 'Individual' WHEN 'family' THEN 'Family' WHEN 'student' THEN 'Student' END AS plan,
+        unnest(regexp_extract_all(x, 'kr ([0-9,]+) per måned', 1) || regexp_extract_all(x, '([0-9,]+) kr (?:per|pr[.]) m[åa]ned', 1)) AS p FROM b), u AS (SELECT page_id, plan, CAST(replace(min(p), ',', '.') AS DOUBLE) AS amount FROM n WHERE plan IS NOT NULL GROUP BY ALL HAVING min(p) = max(p))
+        SELECT * FROM u WHERE page_id IN (SELECT page_id FROM u GROUP BY 1 HAVING count(*) = 3)"""),
     "page_option_prices": sql("priced", shown("option_prices", "low, high, CASE WHEN page_id % 3 = 0 THEN 'Pensjonist' ELSE 'Student' END, low, CASE WHEN page_id % 4 = 0 THEN low + 1 ELSE low END") + r""",
         b AS (SELECT page_id, unnest(string_split(html, '"optionItemRenderer":')[2:]) AS x FROM shown), n AS (SELECT page_id, CASE regexp_extract(x, '"title":[^"]*"runs":[^"]*"text":"([^"]*)"', 1) WHEN 'Personlig' THEN 'Individual' WHEN 'Enkeltperson' THEN 'Individual' WHEN 'Familieabonnement' THEN 'Family' WHEN 'Student' THEN 'Student' END AS plan,
         CAST(replace(regexp_extract(x, 'Deretter[^0-9]*([0-9,]+) kr', 1), ',', '.') AS DOUBLE) AS amount FROM b WHERE regexp_matches(x, '"optionId":"unlimited[.]P[.]')),

@@ -884,6 +884,7 @@ SAMPLES = {
     "basic_monthly": '<div class="sku"><h3 class="oc-product-title">Microsoft 365 Basic</h3><i class="oc-displaySalePrice">kr 5,00</i> per måned<span class="oc-displayListPrice"> kr %d,00 </span><span class="oc-displayUnit"> per år </span></div><div class="x sku y"><h3 class="oc-product-title"> Microsoft 365 Basic </h3>'
     '<span class="oc-displaySalePrice">kr 7,00</span><span class="oc-displayUnit">per måned</span><span class="oc-displayListPrice">kr %d,50</span><b>now</b><span class="oc-displayUnit z"> per %s </span></div>',
     "comparison_prices": '<h2 class="h4"> Microsoft 365 Personal </h2><p>kr 1,00/måned</p><div class="h4 sku2price price-heading">kr 2,00/måned</div><div class="h4 sku1price price-heading ">kr %d,00/måned</div><h2>Microsoft 365 Family</h2><div class="sku1price price-heading">kr 1 %d,00/%s</div><h2>Microsoft 365 Basic</h2><div class="sku1price price-heading">kr 3,00/måned</div>',
+    "gallery_prices": '<li class="x" data-analytics-gallery-item-id="individual"><h3>X</h3><p>kr %d per måned, gratis i 1 måned</p></li><li class="x" data-analytics-gallery-item-id="family"><h3>X</h3><p>kr %d,50 per måned%s</p></li><li class="x" data-analytics-gallery-item-id="student"><h3>X</h3><p>bare %d kr pr. %s for nye</p></li><li class="x" data-analytics-gallery-item-id="apple one"><h3>X</h3><p>fra kr 999 per måned</p></li>',
     "option_prices": '<script>"optionItemRenderer":{"title":{"runs":[{"text":"Enkeltperson"}]},"subtitle":{"runs":[{"text":"1 måned for 0 kr"},{"text":" Deretter "},{"text":"9,00 kr\u2060/\u2060måned"}]},"optionId":"unlimited-B.P.LITE"}"optionItemRenderer":{"title":{"runs":[{"text":"Personlig"}]},"subtitle":{"runs":[{"text":"1 måned for 0 kr"},{"text":" Deretter "},{"text":"%d,00 kr\u2060/\u2060måned"}]},"optionId":"unlimited.P.INDIVIDUAL"}"optionItemRenderer":{"title":{"runs":[{"text":"Familieabonnement"}]},"subtitle":{"runs":[{"text":"1 måned for 0 kr"},{"text":" Deretter "},{"text":"%d,50 kr\u2060/\u2060måned"}]},"optionId":"unlimited.P.FAMILY"}"optionItemRenderer":{"title":{"runs":[{"text":"%s"}]},"subtitle":{"runs":[{"text":"1 måned for 0 kr"},{"text":" Deretter "},{"text":"%d kr\u2060/\u2060måned"}]},"optionId":"unlimited.P.STUDENT"}"optionItemRenderer":{"title":{"runs":[{"text":"Enkeltperson"}]},"subtitle":{"runs":[{"text":"1 måned for 0 kr"},{"text":" Deretter "},{"text":"%d,00 kr\u2060/\u2060måned"}]},"optionId":"unlimited.P.TWO"}</script>',
     "sku_prices": '<div class="a sku b"><h3 class="oc-product-title"> Microsoft 365 Basic </h3><span class="oc-displaySalePrice">1,00 €</span><span class="oc-displayListPrice"> 20,00 € </span><span class="oc-displayUnit">/Jahr</span></div><div class="a sku b"><h3 class="oc-product-title"> Microsoft 365&nbsp;Basic </h3><span class="oc-displaySalePrice">1,00 €</span><span class="oc-displayListPrice"> %d,00 € </span><span class="oc-displayUnit">/Monat</span></div><div class="a sku b"><h3 class="oc-product-title"> Microsoft 365 SINGLE </h3><span class="oc-displaySalePrice">1,00 €</span><span class="oc-displayListPrice"> € %d,50 </span><span class="oc-displayUnit">/monat</span></div><div class="a sku b"><h3 class="oc-product-title"> Microsoft  365 Familia </h3><span class="oc-displaySalePrice">1,00 €</span><span class="oc-displayListPrice"> 1.%d,00&nbsp;€ TTC </span><span class="oc-displayUnit">%s</span></div><div class="a sku b"><h3 class="oc-product-title"> Microsoft 365 Premium </h3><span class="oc-displaySalePrice">1,00 €</span><span class="oc-displayListPrice"> %d € </span><span class="oc-displayUnit"> al  mes </span></div><div class="a sku b"><h3 class="oc-product-title"> Microsoft 365 Premium </h3><span class="oc-displaySalePrice">1,00 €</span><span class="oc-displayListPrice"> %d € </span><span class="oc-displayUnit">/mois</span></div>',
     "card_prices": '<a data-testid="l4l_premium">PREMIUM</a> Fra %d kr./md Spar 26 %%%% i 6 måneder, derefter %d kr./md <a data-testid="l4l_basic">REKLAMER</a><b>%d</b> kr <a data-testid="l4l_standard">STANDARD</a><p>DKK %d,50 per %s</p><a data-testid="l4l_premium">AGAIN</a> 5 kr./md',
@@ -1045,6 +1046,15 @@ def page_option_prices(t):
     return rows.select("page_id", F.inline(storefronts.option_prices(F.col("html"), "NOK")))
 
 
+@query
+def page_gallery_prices(t):
+    """Three plans of a gallery beside another offer; an item with a second price, or a yearly one, empties the page."""
+    low, mark, high = _amounts(t)
+    key = F.col("page_id")
+    rows = _page(t, SAMPLES["gallery_prices"], low, high, F.when(key % 4 == 0, " eller 7 kr per måned").otherwise(""), low, F.when(key % 3 == 0, "år").otherwise("maned"))
+    return rows.select("page_id", F.inline(storefronts.gallery_prices(F.col("html"), "NOK")))
+
+
 @query
 def page_tier_prices(t):
     low, mark, high = _amounts(t)
