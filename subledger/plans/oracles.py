@@ -120,9 +120,10 @@ RENEWS = "renewal_date IS NOT NULL AND (status = 'ACTIVE' OR coalesce(status IN
 
 
 
-def shown(name: str, values: str) -> str:
+def shown(name: str, values: str, times: int = 1) -> str:
     """A CTE of the pages with the query's sample in them, which the SQL then reads by expressions of its own."""
-    return f", shown AS (SELECT page_id, html || printf('{SAMPLES[name].replace("'", "''")}', {values}) AS html FROM priced)"
+    sample = SAMPLES[name].replace("'", "''") * times
+    return f", shown AS (SELECT page_id, html || printf('{sample}', {values}) AS html FROM priced)"
 
 
 ORACLES: dict[str, str] = {
@@ -297,10 +298,10 @@ ORACLES |= {
     "plan_names": """SELECT p_partkey, (['Basic','Standard','Standard with Ads',NULL,'Premium','Basic'])[p_partkey % 6 + 1] AS plan FROM part""",
     "page_language": """WITH h AS (SELECT page_id, '<HTML class="x" lang="' || (['nb-NO','en',''])[page_id % 3 + 1] || '">' || html AS html FROM pages) SELECT page_id, nullif(lower(regexp_extract(html, '<(?:html|HTML)[^>]* lang="([A-Za-z-]+)"', 1)), '') AS language FROM h""",
     "page_faq_prices": sql("priced", "SELECT page_id, plan, amount FROM (SELECT page_id, unnest(CASE WHEN mark = 'kr' THEN [{'plan': 'Individual', 'amount': low + 0.5}, {'plan': 'Duo', 'amount': CAST(high AS DOUBLE)}] ELSE [{'plan': 'Duo', 'amount': CAST(high AS DOUBLE)}] END, recursive := true) FROM priced)"),
-    "page_price_range": sql("priced", "SELECT page_id, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM priced"),
-    "page_market": "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 'NO' ELSE 'SE' END AS market FROM pages",
-    "page_anchored_price": sql("priced", "SELECT page_id, CASE WHEN page_id % 2 = 0 OR low = high THEN CAST(low AS DOUBLE) END AS amount FROM priced"),
-    "page_recurring_prices": sql("priced", "SELECT page_id, 'Individual' AS plan, CAST(low AS DOUBLE) AS amount FROM priced UNION ALL SELECT page_id, 'Duo', CAST(high AS DOUBLE) FROM priced"),
+    "page_price_range": sql("priced", shown("kr_range", "low, high") + " SELECT page_id, CAST(regexp_extract(html, 'range from kr ([0-9]+)', 1) AS DOUBLE) AS low, CAST(regexp_extract(html, 'a month to kr ([0-9]+)', 1) AS DOUBLE) AS high FROM shown"),
+    "page_market": sql("priced", shown("market", "CASE WHEN page_id % 4 = 0 THEN 'no' WHEN page_id % 2 = 0 THEN 'NO' ELSE 'SE' END") + " SELECT page_id, nullif(regexp_extract(html, 'data:\\[\\[null,null,null,[0-9]+,[0-9]+,null,\"([A-Z]{2})\"', 1), '') AS market FROM shown"),
+    "page_anchored_price": sql("priced", shown("anchored_price", "low, CASE WHEN page_id % 2 = 0 THEN low ELSE high END") + ", m AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:kr|NOK) ([0-9]+) per måned', 1)) AS p FROM shown) SELECT page_id, CASE WHEN min(p) = max(p) THEN CAST(min(p) AS DOUBLE) END AS amount FROM m GROUP BY 1"),
+    "page_recurring_prices": sql("priced", shown("recurring_prices", "low, high") + " SELECT page_id, 'Individual' AS plan, CAST(regexp_extract(html, 'then ([0-9]+) kr per month', 1) AS DOUBLE) AS amount FROM shown UNION ALL SELECT page_id, 'Duo', CAST(regexp_extract(html, 'Duo kr ([0-9]+) monthly', 1) AS DOUBLE) FROM shown"),
     "page_storage_tiers": sql("priced", "SELECT page_id, 'Google AI Pro — 100 GB' AS plan, CAST(low AS DOUBLE) AS amount FROM priced WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, 'Storage 100 GB', CAST(high AS DOUBLE) FROM priced WHERE page_id % 2 <> 0"),
     "page_structured_plans": sql("priced", shown('structured_plans', "low, CASE WHEN page_id % 3 = 0 THEN 'år' WHEN page_id % 2 = 0 THEN 'måned' ELSE ' Måned ' END, CASE WHEN page_id % 4 = 0 THEN 'SEK' ELSE 'NOK' END, high, high") + r""",
         r AS (SELECT page_id, unnest(regexp_extract_all(html, '"productName".*?"pricePlan":[^}]*')) AS x FROM shown), f AS (SELECT page_id, regexp_extract(x, '"productName":[^}]*"plainText":"([^"]*)"', 1) AS name, regexp_extract(x, '"currencyCode":"([^"]*)"', 1) AS code,
@@ -326,7 +327,8 @@ ORACLES |= {
         n AS (SELECT *, replace(replace(substr(html, greatest(instr(html, '"planLogoAltText"') - 6000, 1), 6000), chr(92) || 'u002F', '/'), '&nbsp;', ' ') AS near FROM shown WHERE regexp_matches(html, '"recordTerritory":"(FR|fr)"') AND regexp_matches(html, '"osLocale":"fr[-_]FR"')),
         m AS (SELECT page_id, unnest(regexp_extract_all(near, '([0-9]+,[0-9]+) *€ */ *mois', 1) || regexp_extract_all(near, '€ *([0-9]+,[0-9]+) */ *mois', 1)) AS p FROM n)
         SELECT s.page_id, CASE WHEN min(p) = max(p) THEN CAST(replace(min(p), ',', '.') AS DOUBLE) END AS amount FROM shown s LEFT JOIN m USING (page_id) GROUP BY 1"""),
-    "page_footnote_prices": sql("priced", "SELECT page_id, plan, CAST(CASE WHEN plan = 'Standard with Ads' THEN low ELSE high END AS DOUBLE) AS amount FROM priced, (VALUES ('Premium'), ('Standard'), ('Standard with Ads')) v(plan) WHERE mark = 'kr'"),
+    "page_footnote_prices": sql("priced", shown("footnote_prices", "high, high, low, mark") + r""", m AS (SELECT page_id, unnest(['Premium', 'Standard', 'Standard with Ads']) AS plan, unnest([regexp_extract(html, '([0-9]+) kr per måned for Premium,', 1), regexp_extract(html, '([0-9]+) kr per måned for Standard eller', 1), regexp_extract(html, '([0-9]+) kr per måned for Standard med', 1)]) AS p FROM shown)
+        SELECT page_id, plan, CAST(p AS DOUBLE) AS amount FROM m WHERE page_id NOT IN (SELECT page_id FROM m WHERE p = '')"""),
     "page_basic_monthly": sql("priced", shown("basic_monthly", "high, low, CASE WHEN page_id % 3 = 0 THEN 'år' ELSE 'måned' END") + r""",
         c AS (SELECT page_id, unnest(regexp_split_to_array(html, '<div class="[^"]*sku[^"]*">')[2:]) AS card FROM shown), m AS (SELECT page_id, regexp_extract(card, 'Microsoft 365 Basic *</h3>.*oc-displayListPrice"> *kr ([0-9]+,[0-9]+) *</span>.*oc-displayUnit[^>]*> *per måned *<', 1) AS p FROM c)
         SELECT page_id, max(CAST(replace(nullif(p, ''), ',', '.') AS DOUBLE)) AS amount FROM m GROUP BY 1"""),
@@ -350,9 +352,11 @@ ORACLES |= {
         c AS (SELECT page_id, unnest(string_split(html, 'data-testid="l4l_')[2:]) AS card, unnest(range(1, 9)) AS k FROM shown), m AS (SELECT page_id, k, regexp_extract(card, '^[a-z]+') AS id, regexp_extract_all(card, '([0-9]+) kr./md', 1) || regexp_extract_all(card, 'DKK ([0-9]+,[0-9]+) per måned', 1) AS p FROM c WHERE card IS NOT NULL)
         SELECT page_id, CASE id WHEN 'premium' THEN 'Premium' WHEN 'standard' THEN 'Standard' ELSE 'Standard with Ads' END AS plan, arg_min(CAST(replace(CASE WHEN len(p) > 1 AND p[1] = p[2] THEN p[1] ELSE p[-1] END, ',', '.') AS DOUBLE), k) AS amount FROM m WHERE len(p) > 0 GROUP BY page_id, id"""),
     "page_tier_prices": sql("priced", "SELECT page_id, plan, CAST(CASE k WHEN 0 THEN low WHEN 1 THEN low + 1 ELSE high + k - 2 END AS DOUBLE) AS amount FROM priced, (VALUES (0, '50 GB'), (1, '200 GB'), (2, '2 TB'), (3, '6 TB'), (4, '12 TB')) v(k, plan) WHERE page_id % 3 <> 0 OR high + 2 = 77"),
-    "page_card_recurring": sql("priced", "SELECT page_id, 'Premium' AS plan, CAST(high AS DOUBLE) AS amount FROM priced UNION ALL SELECT page_id, 'Standard with Ads', CAST(low AS DOUBLE) FROM priced WHERE mark = 'kr'"),
+    "page_card_recurring": sql("priced", shown("card_recurring", "'premium', 'PREMIUM', high, 'kr', 'premium', 'PREMIUM', high, 'kr', 'basic', 'STANDARD MED REKLAME', low, mark, 'standard', 'UKJENT', low, 'kr'", 4) + r""", c AS (SELECT page_id, unnest(string_split(html, 'data-testid="l4l_')[2:]) AS x FROM shown),
+        m AS (SELECT page_id, trim(regexp_extract(x, '>([^<]*)</a>', 1)) AS title, regexp_extract(x, 'deretter betaler du</p><b>([0-9]+) kr per måned', 1) AS p FROM c) SELECT DISTINCT page_id, CASE title WHEN 'PREMIUM' THEN 'Premium' ELSE 'Standard with Ads' END AS plan, CAST(p AS DOUBLE) AS amount FROM m WHERE p <> '' AND title <> 'UKJENT'"""),
     "page_china_prices": sql("priced", "SELECT page_id, 'Personal' AS plan, CAST(low AS DOUBLE) AS amount FROM priced WHERE page_id % 3 <> 0 AND page_id % 4 <> 0 UNION ALL SELECT page_id, 'Family', CAST(high || '.5' AS DOUBLE) FROM priced WHERE page_id % 3 <> 0 AND page_id % 4 <> 0"),
-    "page_membership_monthly": sql("priced", "SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 5 <> 0 THEN CAST(low || '.99' AS DOUBLE) END AS amount FROM priced"),
+    "page_membership_monthly": sql("priced", shown("membership", "2, high, 'per maand', 1, low, CASE WHEN page_id % 3 = 0 THEN 'per jaar' WHEN page_id % 5 = 0 THEN 'per maand, 3,50 € per week' ELSE 'per maand' END", 2) + r""", c AS (SELECT page_id, regexp_extract(html, 'data-index="1"><label>([^<]*)<', 1) AS x FROM shown),
+        m AS (SELECT page_id, x, regexp_extract_all(x, '[0-9]+[.,][0-9]+') AS p FROM c) SELECT page_id, CASE WHEN len(p) = 1 AND contains(x, 'per maand') THEN CAST(p[1] AS DOUBLE) END AS amount FROM m"""),
     "page_last_amount": sql("priced", shown("last_amount", "low, high, low") + r""",
         x AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM shown), m AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(t, '(?i)(?:kr|NOK)\s*[\d][\d.,]*|[\d][\d.,]*\s*(?:kr|NOK)'), lambda p: TRY_CAST(replace(regexp_replace(p, '[^0-9,]', '', 'g'), ',', '.') AS DOUBLE)), lambda p: p > 0) AS p FROM x)
         SELECT page_id, list_filter(p, lambda v, i: NOT list_contains(p[1 : i - 1], v))[-1] AS amount FROM m"""),

@@ -871,7 +871,13 @@ def word_matches(t):
 #: What stands on a page in the form that each parser knows; {a} and {b} are prices of the page, and {x} is its currency mark on some pages and another's on others.
 SAMPLES = {
     "faq_prices": '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"components":{"faq":{"faqEntry":[{"question":"How much is Spotify Premium?","answer":"Premium Individual plan costs %d,50 %s per month. Premium Duo plan costs %d kr per month."}]}}}}}</script>',
-    "price_range": "<p>Plans range from %d %s a month to kr %d a month</p>",
+    "card_recurring": '<a data-testid="l4l_%s" class="x"> %s </a><p>Fra 59 kr per måned</p><p>deretter betaler du</p><b>%d %s per måned</b>',
+    "membership": """<div class="c" data-a-input-name='ChoosePlanRadioButton' data-index="%d"><label>€%d.99 %s</label></div>""",
+    "kr_range": '<p>Plans range from kr %d a month to kr %d a month</p>',
+    "market": '<script>AF_initDataCallback({key: \'ds:0\', hash: \'1\', data:[[null,null,null,12,3,null,"%s"]]});</script>',
+    "anchored_price": '<p>Få Apple TV for bare kr %d per måned.</p><p>Apple TV-abonnementet koster NOK %d per måned</p>',
+    "recurring_prices": '<p>Individual 0 kr for 3 months, then %d kr per month. Duo kr %d monthly.</p>',
+    "footnote_prices": '<p>for øyeblikket %d kr per måned for Premium, %d kr per måned for Standard eller %d %s per måned for Standard med reklame</p>',
     "structured_plans": '<script>[{"productName":{"richTextHtml":"<p>x</p>","plainText":"Basis med reklame"},"price":{"format":"{{amount}} {{currency}}/{{period}}","currencyCode":"NOK","amount":{"richTextHtml":"<p>x</p>","plainText":"%d,00"},"period":{"plainText":"%s"},"currency":{"plainText":"kr"}},"pricePlan":{"id":"p1"}},'
     '{"productName":{"plainText":"Standard"},"price":{"amount":"77","currencyCode":"NOK","period":"month"},"pricePlan":{"id":"p0"}},{"productName":{"plainText":" Premium Plus "},"price":{"format":"x","currencyCode":"%s","amount":{"plainText":"1 %d,50"},"period":{"plainText":"mese"},"currency":{"plainText":"kr"}} , "pricePlan":{"id":"p2"}},'
     '{"productName":{"plainText":"PREMIUM"},"price":{"format":"x","currencyCode":"NOK","amount":{"plainText":"%d"},"period":{"plainText":"month"},"currency":{"plainText":"kr"}},"pricePlan":{"id":"p3"}}]</script>',
@@ -912,28 +918,28 @@ def page_faq_prices(t):
 @query
 def page_price_range(t):
     low, mark, high = _amounts(t)
-    rows = _page(t, "<p>Plans range from kr %d a month to kr %d a month</p>", low, high)
+    rows = _page(t, SAMPLES["kr_range"], low, high)
     return rows.select("page_id", pages.price_range(text.html_to_text(F.col("html")), "NOK").alias("r")).select("page_id", "r.low", "r.high")
 
 
 @query
 def page_market(t):
     code = F.when(F.col("page_id") % 4 == 0, "no").otherwise(_pick(F.col("page_id"), "NO", "SE"))
-    rows = _page(t, "<script>AF_initDataCallback({key: 'ds:0', hash: '1', data:[[null,null,null,12,3,null,\"%s\"]]});</script>", code)
+    rows = _page(t, SAMPLES["market"], code)
     return rows.select("page_id", pages.embedded_market(F.col("html")).alias("market"))
 
 
 @query
 def page_anchored_price(t):
     low, mark, high = _amounts(t)
-    rows = _page(t, "<p>Få Apple TV for bare kr %d per måned.</p><p>Apple TV-abonnementet koster NOK %d per måned</p>", low, F.when(F.col("page_id") % 2 == 0, low).otherwise(high))
+    rows = _page(t, SAMPLES["anchored_price"], low, F.when(F.col("page_id") % 2 == 0, low).otherwise(high))
     return rows.select("page_id", pages.unanimous_price(text.html_to_text(F.col("html")), pages.NORWAY_MONTHLY).alias("amount"))
 
 
 @query
 def page_recurring_prices(t):
     low, mark, high = _amounts(t)
-    rows = _page(t, "<p>Individual 0 kr for 3 months, then %d kr per month. Duo kr %d monthly.</p>", low, high)
+    rows = _page(t, SAMPLES["recurring_prices"], low, high)
     return rows.select("page_id", F.inline(pages.recurring_prices(text.html_to_text(F.col("html")), ["Individual", "Duo", "Student"], "NOK")))
 
 
@@ -1002,7 +1008,7 @@ def page_video_price(t):
 @query
 def page_footnote_prices(t):
     low, mark, high = _amounts(t)
-    rows = _page(t, "<p>for øyeblikket %d kr per måned for Premium, %d kr per måned for Standard eller %d %s per måned for Standard med reklame</p>", high, high, low, mark)
+    rows = _page(t, SAMPLES["footnote_prices"], high, high, low, mark)
     return rows.select("page_id", F.inline(pages.footnote_prices(F.col("html"), "NOK")))
 
 
@@ -1086,8 +1092,7 @@ def page_language(t):
 @query
 def page_card_recurring(t):
     low, mark, high = _amounts(t)
-    card = '<a data-testid="l4l_%s" class="x"> %s </a><p>Fra 59 kr per måned</p><p>deretter betaler du</p><b>%d %s per måned</b>'
-    rows = _page(t, card * 4, F.lit("premium"), F.lit("PREMIUM"), high, F.lit("kr"), F.lit("premium"), F.lit("PREMIUM"), high, F.lit("kr"), F.lit("basic"), F.lit("STANDARD MED REKLAME"), low, mark, F.lit("standard"), F.lit("UKJENT"), low, F.lit("kr"))
+    rows = _page(t, SAMPLES["card_recurring"] * 4, F.lit("premium"), F.lit("PREMIUM"), high, F.lit("kr"), F.lit("premium"), F.lit("PREMIUM"), high, F.lit("kr"), F.lit("basic"), F.lit("STANDARD MED REKLAME"), low, mark, F.lit("standard"), F.lit("UKJENT"), low, F.lit("kr"))
     return rows.select("page_id", F.inline(pages.card_recurring(F.col("html"), "NOK")))
 
 
@@ -1102,9 +1107,8 @@ def page_china_prices(t):
 @query
 def page_membership_monthly(t):
     low, mark, high = _amounts(t)
-    card = """<div class="c" data-a-input-name='ChoosePlanRadioButton' data-index="%d"><label>€%d.99 %s</label></div>"""
     period = F.when(F.col("page_id") % 3 == 0, "per jaar").when(F.col("page_id") % 5 == 0, "per maand, 3,50 € per week").otherwise("per maand")
-    rows = _page(t, card * 2, F.lit(2), high, F.lit("per maand"), F.lit(1), low, period)
+    rows = _page(t, SAMPLES["membership"] * 2, F.lit(2), high, F.lit("per maand"), F.lit(1), low, period)
     return rows.select("page_id", pages.membership_monthly(F.col("html"), "EUR").alias("amount"))
 
 
