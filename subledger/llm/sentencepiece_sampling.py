@@ -28,6 +28,10 @@ LONGEST = 16
 #: A word of more than LONG bytes is taken apart where no piece can cross, into parts of PART characters if the cuts allow it. What can't be cut and has over WHOLE characters is sampled by itself,
 #: WINDOW characters at a time.
 LONG, PART, WHOLE, WINDOW = 1024, 256, 2048, 1 << 16
+#: First bits of a key by which a vocabulary's entries are found.
+BUCKET_BITS = 18
+#: Words, and bytes of them, whose lattices a task remembers; beyond that it forgets them all and begins anew.
+MOST_WORDS, MOST_BYTES = 150_000, 3 << 20
 #: Bytes of words that are sampled at once; bytes of ids that are decoded at once.
 SLICE_BYTES, DECODE_BYTES = 1 << 20, 8 << 20
 _WORD = re.compile(rb" *[^ ]+| +")
@@ -63,37 +67,74 @@ class Vocabulary:
         keys = np.array([self.key(names[i]) for i in plain], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids, self.weights = keys[order], np.array(plain, np.int32)[order], weight[order].astype(np.float32)
-        # Of beginnings of pieces and of pieces: hashes with these first bits exist.
-        self.begins, self.maybe = np.zeros(1 << 22, bool), np.zeros(1 << 22, bool)
-        self.maybe[keys >> np.uint64(42)] = True
-        self.begins[np.array([self.key(b) for b in {names[i][:k] for i in plain for k in range(1, len(names[i]))}], np.uint64) >> np.uint64(42)] = True
+        # Beginnings of pieces, whole ones among them, by their keys: the piece (-1: none), its weight, and whether a longer piece begins so. The last entry stands for what begins no piece.
+        begins, goes_on, single = {}, set(), {}
+        for place, i in enumerate(plain):
+            h, text = 0, names[i].replace(MARK, " ")
+            for k, c in enumerate(text):
+                h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                begins.setdefault(h, -1)
+                if k == 0:
+                    single[ord(c)] = h
+                if k + 1 < len(text):
+                    goes_on.add(h)
+            begins[h] = place
+        hashes = mix(np.array(list(begins), np.uint64))
+        order, place, end = np.argsort(hashes), np.array(list(begins.values())), len(begins)
+        self.hashes = np.append(hashes[order], np.uint64(2**64 - 1))
+        self.piece = np.append(np.where(place >= 0, np.array(plain, np.int32)[place], -1)[order], -1).astype(np.int32)
+        self.piece_weight = np.append(np.where(place >= 0, weight[place], 0.0)[order], 0.0).astype(np.float32)
+        self.goes_on = np.append(np.fromiter((h in goes_on for h in begins), bool, end)[order], False)
+        # Where the entries with given first bits of the key start, and the entry of a single character.
+        self.bucket = np.searchsorted(self.hashes[:-1] >> np.uint64(64 - BUCKET_BITS), np.arange(1 << BUCKET_BITS, dtype=np.uint64)).astype(np.int32)
+        self.of_char = np.full(0x110000, end, np.int32)
+        self.of_char[list(single)] = np.searchsorted(self.hashes, mix(np.array(list(single.values()), np.uint64)))
         lengths = np.array([len(b) for b in self.bytes])
         self.start, self.length, self.flat = np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(self.bytes), np.uint8)
 
-    def edges(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(weight, piece, longest): weight[k, i] and piece[k, i] are those of the edge of k + 1 characters that begins at character i, whose word has ``left[i]`` characters from there on.
+    def entries(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or one with another hash where none has it."""
+        entry = self.bucket[hashes >> np.uint64(64 - BUCKET_BITS)]
+        behind = np.flatnonzero(self.hashes[entry] < hashes)
+        while len(behind):
+            entry[behind] += 1
+            behind = behind[self.hashes[entry[behind]] < hashes[behind]]
+        return entry
+
+    def hits(self, chars: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length in characters, from 1 on, the edges of that length: (first character, weight, piece). Character i's word has ``left[i]`` characters from there on.
 
-        A character that is no piece has the edge of its bytes, -2.
+        A character that is no piece has the edge of its bytes, whose piece is -1 less its code.
         """
-        n = len(chars)
-        weight, piece = np.full((LONGEST, n), -np.inf, np.float32), np.full((LONGEST, n), -1, np.int32)
         codes = chars.astype(np.uint64) + np.uint64(1)
-        at, h, k = np.arange(n), np.zeros(n, np.uint64), 0
-        for k in range(LONGEST):
-            h = h * _BASE + codes[at + k]
+        at, h, entry = np.arange(len(chars), dtype=np.int32), codes, self.of_char[chars]
+        weight, piece = self.piece_weight[entry], self.piece[entry]
+        bare = np.flatnonzero(piece < 0)
+        own = chars[bare]
+        weight[bare], piece[bare] = self.byte_weight * (1 + (own >= 0x80) + (own >= 0x800) + (own >= 0x10000)), -1 - own.astype(np.int32)
+        yield at, weight, piece
+        for k in range(1, LONGEST):
+            more = np.flatnonzero(self.goes_on[entry] & (left[at] > k))
+            if not len(more):
+                return
+            at = at[more]
+            h = h[more] * _BASE + codes[at + k]
             own = mix(h)
-            first_bits = own >> np.uint64(42)
-            hit = np.flatnonzero(self.maybe[first_bits])
-            found = np.minimum(np.searchsorted(self.keys, own[hit]), len(self.keys) - 1)
-            same = self.keys[found] == own[hit]
-            weight[k, at[hit[same]]], piece[k, at[hit[same]]] = self.weights[found[same]], self.ids[found[same]]
-            more = self.begins[first_bits] & (left[at] > k + 1)
-            at, h = at[more], h[more]
-            if not len(at):
-                break
-        bare = np.flatnonzero(piece[0] < 0)
-        weight[0, bare], piece[0, bare] = self.byte_weight * (1 + (chars[bare] >= 0x80) + (chars[bare] >= 0x800) + (chars[bare] >= 0x10000)), -2
-        return weight, piece, k + 1
+            entry = self.entries(own)
+            known = np.flatnonzero(self.hashes[entry] == own)
+            at, h, entry = at[known], h[known], entry[known]
+            whole = np.flatnonzero(self.piece[entry] >= 0)
+            yield at[whole], self.piece_weight[entry[whole]], self.piece[entry[whole]]
+
+    def edges(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(weight, piece, longest): weight[k, i] and piece[k, i] are those of the edge of k + 1 characters that begins at character i, whose word has ``left[i]`` characters from there on.
+
+        Where there is no edge, the weight is minus infinity; a character that is no piece has the edge of its bytes, -2.
+        """
+        weight, piece, longest = np.full((LONGEST, len(chars)), -np.inf, np.float32), np.full((LONGEST, len(chars)), -1, np.int32), 0
+        for k, (at, weights, pieces) in enumerate(self.hits(chars, left)):
+            weight[k, at], piece[k, at], longest = weights, np.where(pieces < 0, -2, pieces), k + 1
+        return weight, piece, longest
 
     def parts(self, word: bytes) -> list[bytes]:
         """``word`` cut where no edge crosses, into parts of PART characters or as near to that as the cuts allow."""
@@ -122,7 +163,7 @@ class Vocabulary:
         return out
 
     def long_sample(self, word: bytes, dice: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, characters) of a sample of one word that can't be cut, with its lattice in memory for WINDOW characters at a time."""
+        """(ids, characters) of a sample of one word that can't be cut, with its lattice in memory for WINDOW characters at a time; the id of a character that is no piece is -2."""
         chars = np.frombuffer(word.decode("utf-8").encode("utf-32-le"), np.uint32)
         n = len(chars)
         total = np.empty(n)
@@ -191,61 +232,82 @@ class Vocabulary:
 
 
 class Lattices(WordTable):
-    """Lattice nodes of words: for each end position and each edge length the cumulative share of the edges, and the pieces. A word's row is (its last node, its characters)."""
+    """Lattice nodes of words, one for each place where a character ends. A node's edges lie side by side, short ones first: each has the cumulative share of the edges up to it, its piece, and the node that it comes from (-1: the word's beginning).
 
-    def __init__(self, vocabulary: Vocabulary):
+    A word's row is its last node.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most_words: int = MOST_WORDS, most_bytes: int = MOST_BYTES):
         self.vocabulary = vocabulary
-        super().__init__(most_words=50_000, most_bytes=2 << 20)
+        super().__init__(most_words, most_bytes)
 
     def _forget(self) -> None:
         super()._forget()
-        self.nodes = 0
-        if not hasattr(self, "shares"):
-            self._room(1 << 20)
-
-    def _room(self, n: int) -> None:
-        grown = np.zeros((n, LONGEST), np.float32), np.zeros((n, LONGEST), np.int32), np.zeros(n, np.uint32)
-        if self.nodes:
-            for new, old in zip(grown, (self.shares, self.pieces, self.chars), strict=True):
-                new[: self.nodes] = old[: self.nodes]
-        self.shares, self.pieces, self.chars = grown
+        self.nodes = self.edges = 0
+        if not hasattr(self, "first"):
+            self.first, self.shares, self.pieces, self.back = np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def _room(self, name: str, used: int, more: int) -> np.ndarray:
+        """The part of the array ``name`` after the first ``used`` entries, for ``more`` entries."""
+        old = getattr(self, name)
+        if used + more > len(old):
+            new = np.empty(max(len(old) * 5 // 4, used + more), old.dtype)
+            new[:used] = old[:used]
+            setattr(self, name, new)
+        return getattr(self, name)[used : used + more]
 
     def compute(self, words: list[bytes]) -> np.ndarray:
-        v = self.vocabulary
-        texts = [w.decode("utf-8") for w in words]
-        length = np.fromiter(map(len, texts), np.int64, len(texts))
-        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        if not words:
+            return np.zeros(0, np.int64)
+        raw = b"".join(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        length = np.add.reduceat((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64)
+        chars = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
         n, begin = len(chars), np.cumsum(length) - length
         place = np.arange(n) - np.repeat(begin, length)
-        left = np.repeat(length, length) - place
-        weight, piece, deepest = v.edges(chars, left)
-        # Forward: total[i] is the log of the summed weights of all paths to the end of character i.
-        if self.nodes + n > len(self.chars):
-            self._room(max(len(self.chars) * 5 // 4, self.nodes + n))
-        total = np.zeros(n, np.float32)
-        share, into = self.shares[self.nodes : self.nodes + n], self.pieces[self.nodes : self.nodes + n]
-        share[:], into[:] = 2.0, -1
-        self.chars[self.nodes : self.nodes + n] = chars
-        by_place = np.argsort(place, kind="stable")
-        ends_at = np.searchsorted(place[by_place], np.arange(int(length.max(initial=0)) + 1))
-        for p, (a, b) in enumerate(zip(ends_at[:-1], ends_at[1:], strict=True)):
-            ends, width = by_place[a:b], min(p + 1, deepest)
-            path = np.empty((width, b - a), np.float32)
-            for k in range(width):
-                starts = ends - k
-                path[k] = weight[k, starts] if k == p else weight[k, starts] + total[starts - 1]
-                into[ends, k] = piece[k, starts]
-            top = path.max(0)
-            each = np.exp(path - top)
-            whole = each.sum(0)
-            total[ends] = top + np.log(whole)
-            shares = np.cumsum(each / whole, 0)
-            # Rounding must not leave a draw above the last edge: where nothing follows, the share is past any draw.
-            last = width - 1 - np.argmax((each > 0)[::-1], 0)
-            shares[last, np.arange(b - a)] = 2.0
-            share[ends, :width] = shares.T
-        rows = np.stack([self.nodes + begin + length - 1, length], 1)
-        self.nodes += n
+        # Nodes are numbered by place, then by word, longest first: those of a place are one stretch.
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-length, kind="stable")] = np.arange(len(words))
+        bounds = np.append(0, np.cumsum(np.bincount(place)))
+        node = (bounds[place] + np.repeat(rank, length)).astype(np.int32)
+        before = np.append(np.int32(-1), node[:-1])
+        before[begin] = -1
+        # Edges come by length, so each node's are counted up in the order in which they lie; at most one of a length ends in a node.
+        degree, found = np.zeros(n, np.int32), []
+        for k, (at, weight, piece) in enumerate(self.vocabulary.hits(chars, np.repeat(length, length) - place)):
+            to = node[at + k]
+            found.append((to, degree[to], before[at], weight, piece))
+            degree[to] += 1
+        first = np.append(0, np.cumsum(degree))
+        m = int(first[-1])
+        if self.edges + m >= 2**31:
+            raise ValueError("a table of lattices holds at most 2^31 edges")
+        self._room("first", self.nodes, n)[:] = first[:-1] + self.edges
+        shares, pieces, back = (self._room(name, self.edges, m) for name in ("shares", "pieces", "back"))
+        column, row = np.empty(m, np.int32), np.empty(m, np.int32)
+        for to, nth, source, weight, piece in found:
+            edge = first[to] + nth
+            column[edge], row[edge], back[edge], shares[edge], pieces[edge] = to, nth, source, weight, piece
+        # Forward: total[i] is the log of the summed weights of all paths to node i; the last entry, which -1 finds, is of the word's beginning.
+        total = np.zeros(n + 1, np.float32)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            lo, hi = first[a], first[b]
+            to, nth = column[lo:hi] - a, row[lo:hi]
+            path = shares[lo:hi] + total[back[lo:hi]]
+            top = np.maximum.reduceat(path, first[a:b] - lo)
+            each = np.zeros((int(nth.max()) + 1, b - a), np.float32)
+            each[nth, to] = np.exp(path - top[to])
+            # Summed one after another whatever the number of words, so that rounding doesn't depend on other words.
+            whole = np.cumsum(each, 0)[-1]
+            total[a:b] = top + np.log(whole)
+            # Rounding must not leave a draw above the last edge that has any share: it ends past any draw.
+            last = len(each) - 1 - np.argmax((each > 0)[::-1], 0)
+            share = np.cumsum(each / whole, 0)
+            share[last, np.arange(b - a)] = 2.0
+            shares[lo:hi] = share[nth, to]
+        back[back >= 0] += self.nodes
+        rows = self.nodes + bounds[length - 1] + rank
+        self.nodes, self.edges = self.nodes + n, self.edges + m
         return rows
 
 
@@ -261,41 +323,43 @@ def words_of(texts: list[str | None], vocabulary: Vocabulary) -> tuple[list[byte
 
 
 def _sample(words: list[bytes], dice: np.ndarray, table: Lattices) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, word of each): a sample of each word's lattice."""
+    """(ids, their number in each word): a sample of each word's lattice."""
     number, rows = table.look_up(words)
-    shares, pieces, chars = table.shares, table.pieces, table.chars
-    node, rest = rows[number].T.copy()
-    who, alive, found = [], np.arange(len(words)), []
-    step = 0
+    first, shares, pieces, back = table.first, table.shares, table.pieces, table.back
+    count, drawn = np.empty(len(words), np.int64), []
+    alive, node, step = np.arange(len(words)), rows[number], 0
     while len(alive):
-        at = node[alive]
         draw = (mix(dice[alive] + np.uint64((step + 1) * int(_BASE) % 2**64)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
-        edge = (shares[at] <= draw[:, None]).sum(1)
-        who.append(alive)
-        found.append(np.stack([pieces[at, edge].astype(np.int64), chars[at].astype(np.int64)]))
-        node[alive] -= edge + 1
-        rest[alive] -= edge + 1
-        alive = alive[rest[alive] > 0]
-        step += 1
+        # The first edge whose cumulative share is above the draw.
+        edge = first[node]
+        on = np.flatnonzero(shares[edge] <= draw)
+        while len(on):
+            edge[on] += 1
+            on = on[shares[edge[on]] <= draw[on]]
+        drawn.append((alive, pieces[edge]))
+        node, step = back[edge], step + 1
+        count[alive[node < 0]] = step
+        alive, node = alive[node >= 0], node[node >= 0]
     # The pieces were drawn last to first.
-    owner, level = np.concatenate(who), np.concatenate([np.full(len(x), k, np.int32) for k, x in enumerate(who)])
-    order = np.lexsort((-level, owner))
-    ids, code = np.concatenate(found, 1)[:, order]
-    return _spelt(ids, code, owner[order], table.vocabulary)
+    ends, ids = np.cumsum(count), np.empty(int(count.sum()), np.int32)
+    for k, (who, piece) in enumerate(drawn):
+        ids[ends[who] - 1 - k] = piece
+    return _spelt(ids, -1 - ids, count, table.vocabulary)
 
 
-def _spelt(ids: np.ndarray, code: np.ndarray, owner: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The ids with the byte pieces of each character that is no piece."""
-    bare = np.flatnonzero(ids == -2)
+def _spelt(ids: np.ndarray, code: np.ndarray, count: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids, and their number in each word, with the byte pieces of each character that is no piece: its id is negative, ``code`` has its code."""
+    bare = np.flatnonzero(ids < 0)
     if len(bare):
-        spelt = [chr(c).encode("utf-8") for c in code[bare]]
+        spelt = [chr(c).encode("utf-8") for c in code[bare].tolist()]
         times = np.ones(len(ids), np.int64)
         times[bare] = [len(x) for x in spelt]
         first = np.cumsum(times) - times
-        ids, owner = np.repeat(ids, times), np.repeat(owner, times)
         into = np.repeat(first[bare], times[bare]) + np.arange(int(times[bare].sum())) - np.repeat(np.cumsum(times[bare]) - times[bare], times[bare])
+        count = np.add.reduceat(times, np.cumsum(count) - count)
+        ids = np.repeat(ids, times)
         ids[into] = vocabulary.byte_ids[np.frombuffer(b"".join(spelt), np.uint8)]
-    return ids.astype(np.int32), owner
+    return ids.astype(np.int32), count
 
 
 def encode_all(texts: list[str | None], keys: np.ndarray, table: Lattices, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,11 +378,10 @@ def encode_all(texts: list[str | None], keys: np.ndarray, table: Lattices, seed:
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if alone[a]:
             ids, code = table.vocabulary.long_sample(words[a], dice[a])
-            ids, owner = _spelt(ids, code, np.zeros(len(ids), np.int64), table.vocabulary)
+            found.append(_spelt(ids, code, np.array([len(ids)]), table.vocabulary))
         else:
-            ids, owner = _sample(words[a:b], dice[a:b], table)
-        found.append((ids, owner + a))
-    return np.concatenate([x for x, _ in found]), np.searchsorted(np.concatenate([x for _, x in found]), starts)
+            found.append(_sample(words[a:b], dice[a:b], table))
+    return np.concatenate([x for x, _ in found]), np.append(0, np.cumsum(np.concatenate([x for _, x in found])))[starts]
 
 
 _vocabularies: dict[str, Vocabulary] = {}
